@@ -214,3 +214,47 @@ ALNUM_WORD = np.zeros(256, bool)
 ALNUM_WORD[0x30:0x3A] = ALNUM_WORD[0x41:0x5B] = ALNUM_WORD[0x61:0x7B] = ALNUM_WORD[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Sorted 64-bit integers as differences in byte planes, without planes of zeros; Spark's codec squeezes the rest."""
+    d = np.diff(values, prepend=U64(0))
+    planes = d.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    keep = 8
+    while keep > 1 and not planes[keep - 1].any():
+        keep -= 1
+    return bytes([keep]) + planes[:keep].tobytes()
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    keep = data[0]
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(keep, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :keep] = planes.T
+    return np.cumsum(out.reshape(-1).view("<u8"), dtype=U64)
+
+
+def order_blocks(docs: DataFrame, key: str, block_bytes: int, bins: int = 512) -> tuple[F.Column, int, int]:
+    """(expression of a document's block, upper bound of blocks, total bytes): blocks rise with the key column.
+
+    Quantiles of the key give at most ``bins`` intervals of equal rows; each is cut evenly as often as the bytes ask for.
+    Only the quantiles come to the driver, a fixed number.
+    """
+    asked = [i / bins for i in range(1, bins)]
+    total, low, high, bounds = docs.agg(F.sum(F.octet_length("text")), F.min(key), F.max(key), F.percentile_approx(key, asked, 2000)).first()
+    total = total or 0
+    if low is None:
+        return F.lit(0).cast("bigint"), 1, 0
+    edges = sorted({low, *bounds})
+    cuts = max(1, -(-total // (block_bytes * len(edges))))
+    step = max(1, len(edges) * block_bytes // max(total, 1))  # few bytes: fewer blocks than bins
+    edges = edges[::step] if cuts == 1 else edges
+    arr = F.array(*[F.lit(int(x)) for x in edges]).cast("array<bigint>")
+    ends = F.array(*[F.lit(int(x)) for x in [*edges[1:], max(high, edges[-1]) + (1 if high < (1 << 63) - 1 else 0)]]).cast("array<bigint>")
+    at = F.size(F.filter(arr, lambda b: b <= F.col(key)))
+    if cuts == 1:
+        return at.cast("bigint"), len(edges) + 1, total
+    begin, end = F.element_at(arr, at), F.element_at(ends, at)
+    share = (F.col(key).cast("double") - begin.cast("double")) / F.greatest(end.cast("double") - begin.cast("double"), F.lit(1.0))
+    sub = F.least(F.floor(share * cuts), F.lit(cuts - 1))
+    return (at.cast("bigint") * cuts + sub).cast("bigint"), (len(edges) + 1) * cuts, total

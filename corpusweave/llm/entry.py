@@ -7,6 +7,7 @@ from importlib import import_module
 QUERIES = {
     "op1_decontaminate": "decontaminate",
     "op2_bpe": "bpe",
+    "op3_substring_dedup": "substring_dedup",
     "op9_token_counts": "token_counts",
 }
 
