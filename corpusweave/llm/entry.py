@@ -8,7 +8,9 @@ QUERIES = {
     "op1_decontaminate": "decontaminate",
     "op2_bpe": "bpe",
     "op3_substring_dedup": "substring_dedup",
+    "op5_language_id": "language_id",
     "op9_token_counts": "token_counts",
+    "op10_pii": "pii",
 }
 
 
