@@ -9,6 +9,8 @@ QUERIES = {
     "op2_bpe": "bpe",
     "op3_substring_dedup": "substring_dedup",
     "op5_language_id": "language_id",
+    "op6_url_filters": "url_filters",
+    "op7_line_dedup": "line_dedup",
     "op9_token_counts": "token_counts",
     "op10_pii": "pii",
 }
