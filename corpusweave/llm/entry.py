@@ -11,6 +11,7 @@ QUERIES = {
     "op5_language_id": "language_id",
     "op6_url_filters": "url_filters",
     "op7_line_dedup": "line_dedup",
+    "op8_embedding_dedup": "embedding_dedup",
     "op9_token_counts": "token_counts",
     "op10_pii": "pii",
 }
