@@ -8,6 +8,7 @@ QUERIES = {
     "op1_decontaminate": "decontaminate",
     "op2_bpe": "bpe",
     "op3_substring_dedup": "substring_dedup",
+    "op4_minhash_dedup": "minhash_dedup",
     "op5_language_id": "language_id",
     "op6_url_filters": "url_filters",
     "op7_line_dedup": "line_dedup",
