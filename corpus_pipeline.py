@@ -1,11 +1,65 @@
-"""The corpus pipeline (to be filled stage by stage)."""
+"""The corpus pipeline: language ID, line dedup, MinHash near-dedup, benchmark decontamination, BPE.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), docs with the columns of documents, and works on all that its predecessor kept.
+All but the last return these columns; the last returns the tokens of the documents that are left. Stages are written to
+the shared folder between each other, so a lost executor costs a stage at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusweave.llm import bpe, common, decontaminate, language_id, line_dedup, minhash_dedup
+
+#: Below this calibrated score the language is taken as unknown.
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a known language stay: those without a letter, without text or with a score under LEAST_SCORE go."""
+    model = language_id.train(docs)
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    return language_id.identify(rows, model).where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of line runs are cut; a document of which nothing is left goes. n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs).where((F.col("n_removed") == 0) | (F.trim("text", F.lit(" \t\r\n\x0b\x0c")) != ""))
+    columns = {"n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
+    return out.withColumns(columns).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id; of rows with one id, one."""
+    kept = common.staged(minhash_dedup.dedup(docs).where("kept").select("doc_id"), "kept").groupBy("doc_id").count()
+    out = docs.join(kept, docs.doc_id.cast("bigint").eqNullSafe(kept.doc_id), "left_semi")
+    if not kept.where("doc_id is not null and count > 1").isEmpty():
+        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    return out
+
+
+def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    out = decontaminate.decontaminate(docs, common.read(spark, sf_dir, "benchmark"))
+    return out.where(F.size("starts") == 0).select("row.*")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit), their number, and the digest of what they decode to."""
+    out = bpe.encode_decode(docs.select("doc_id", "text"))
+    return out.select("doc_id", "ids", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("language_id", language), ("line_dedup", lines), ("near_duplicates", near_duplicates), ("decontaminate", contamination), ("bpe", tokens)]
+#: Training, component search and tokenisation are beyond SQL; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = common.staged(docs, f"stage-{name}")
     return docs

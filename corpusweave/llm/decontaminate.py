@@ -10,7 +10,8 @@ shorter than a window are looked up as whole spans of their own length.
 
 Defined cases: null or wordless texts have no words, no hits and are not contaminated; items that are null or wordless
 hit nothing; items with a null id hit words but are not listed; repeated items count once for each distinct id; repeated
-document rows are judged each for itself; an empty benchmark contaminates nothing. Extra columns are ignored.
+document rows are judged each for itself; an empty benchmark contaminates nothing. All columns of docs come back in a
+struct, so no name clashes with the results.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as c
 
 WINDOW, GRAM = 10, 5
 #: Bytes of benchmark text in one broadcast block; a larger benchmark is applied block by block.
 BLOCK_BYTES = 8 << 20
-SCHEMA = "doc_id bigint, n_words bigint, item_ids array<bigint>, starts array<int>, ends array<int>"
 
 
 class Index:
@@ -90,11 +91,28 @@ def hits(raw: np.ndarray, bounds: np.ndarray, index: Index) -> tuple[np.ndarray,
     return docs, found
 
 
-def _scan(batches, index):
+def merged(runs: list[tuple[int, int]]) -> list[list[int]]:
+    """Sorted word intervals [start, end) without overlaps."""
+    out: list[list[int]] = []
+    for s, e in sorted(runs):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
+RESULTS = ("n_words", "item_ids", "starts", "ends")
+KINDS = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+
+
+def _scan(batches, index, first: bool, last: bool):
+    """One block of the benchmark: adds its hits to those of the blocks before."""
     index = index.value
     for batch in batches:
         raw, bounds = c.texts_of(batch, "text")
         n_words, ids, starts, ends = [], [], [], []
+        before = None if first else [batch.column(batch.schema.get_field_index(x)).to_pylist() for x in RESULTS[1:]]
         for i, j in c.slices(bounds):
             docs, found = hits(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], index)
             own = defaultdict(list)
@@ -102,20 +120,15 @@ def _scan(batches, index):
                 own[int(np.searchsorted(docs, at, "right")) - 1].append((at, size, items))
             for d in range(j - i):
                 n_words.append(int(docs[d + 1] - docs[d]))
+                old = ([], [], []) if first else [x[i + d] for x in before]
                 if d not in own:
-                    ids.append([]), starts.append([]), ends.append([])
+                    ids.append(old[0]), starts.append(old[1]), ends.append(old[2])
                     continue
-                ids.append(sorted({x for _, _, items in own[d] for x in items if x is not None}))
-                runs: list[list[int]] = []
-                for at, size, _ in sorted((at - int(docs[d]), size, 0) for at, size, _ in own[d]):
-                    if runs and at <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], at + size)
-                    else:
-                        runs.append([at, at + size])
+                ids.append(sorted({x for _, _, items in own[d] for x in items if x is not None}.union(old[0])))
+                runs = merged([(at - int(docs[d]), at - int(docs[d]) + size) for at, size, _ in own[d]] + list(zip(old[1], old[2])))
                 starts.append([r[0] for r in runs]), ends.append([r[1] for r in runs])
-        rest = [batch.column(k) for k, name in enumerate(batch.schema.names) if name != "text"]
-        names = [name for name in batch.schema.names if name != "text"]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(n_words, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], [*names, "n_words", "item_ids", "starts", "ends"])
+        rest = [name for name in batch.schema.names if name not in RESULTS and not (last and name == "text")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(x)) for x in rest), *(pa.array(x, k) for x, k in zip((n_words, ids, starts, ends), KINDS))], [*rest, *RESULTS])
 
 
 def _blocks(benchmark: DataFrame, most: int) -> list[DataFrame]:
@@ -126,44 +139,25 @@ def _blocks(benchmark: DataFrame, most: int) -> list[DataFrame]:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """For every document: n_words, item_ids (sorted, distinct) and the hit word spans as merged [starts, ends).
+    """For every document: row (its columns as a struct), n_words, item_ids (sorted, distinct) and the hit word spans as
+    merged [starts, ends).
 
-    docs: doc_id, text; benchmark: item_id, text. One pass over the documents for each block of the benchmark; with more
-    than one block the passes' spans meet by a key of the row, not of the document, so repeated rows stay apart.
+    docs: text and any other columns; benchmark: item_id, text. A benchmark of more than block_bytes is applied block by
+    block: documents stream through one lookup after the other in one stage, without a shuffle, and each adds its hits.
     """
     if not 1 <= k <= window:
         raise ValueError("k must be from 1 to window")
     spark = docs.sparkSession
     benchmark = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where(F.col("text").isNotNull())
     blocks = _blocks(benchmark, block_bytes)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    many = len(blocks) > 1
-    if many:  # equal rows have equal results, so they may be judged once and counted
-        docs = docs.groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
-    passes = []
-    for block in blocks:
+    out = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    kinds = [T.StructField("n_words", T.LongType()), T.StructField("item_ids", T.ArrayType(T.LongType())), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType()))]
+    for i, block in enumerate(blocks):
         index = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in block.toLocalIterator()], window, k))
-        own = docs.drop("copies") if many else docs
-        if many:
-            own = own.withColumn("row", F.struct(F.xxhash64("text"), F.sha2("text", 256)).cast("string"))
-            passes.append(c.map_batches(own, lambda it, index=index: _scan(it, index), "doc_id bigint, row string, " + SCHEMA.partition(", ")[2]))
-        else:
-            return c.map_batches(own, lambda it, index=index: _scan(it, index), SCHEMA)
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    copies = docs.select("doc_id", F.struct(F.xxhash64("text"), F.sha2("text", 256)).cast("string").alias("row"), "copies")
-    spans = F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))
-    merged = (
-        every.groupBy("doc_id", "row")
-        .agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(spans).alias("spans"))
-        .withColumn("spans", F.expr("""aggregate(spans, cast(array() as array<struct<starts:int,ends:int>>), (a, s) ->
-            if(size(a) > 0 and s.starts <= element_at(a, -1).ends,
-               concat(slice(a, 1, size(a) - 1), array(named_struct('starts', element_at(a, -1).starts, 'ends', greatest(element_at(a, -1).ends, s.ends)))),
-               concat(a, array(s))))"""))
-    )
-    out = merged.join(copies, [merged.doc_id.eqNullSafe(copies.doc_id), merged.row.eqNullSafe(copies.row)]).select(merged.doc_id, "n_words", "item_ids", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_n"))
-    return out.drop("_n")
+        last = i == len(blocks) - 1
+        schema = T.StructType([*(out.schema[x] for x in (["row"] if last else ["row", "text"])), *kinds])
+        out = c.map_batches(out, lambda it, index=index, first=i == 0, last=last: _scan(it, index, first, last), schema)
+    return out
 
 
 def n_hit() -> F.Column:
@@ -173,5 +167,5 @@ def n_hit() -> F.Column:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: contamination of every document by the benchmark."""
-    out = decontaminate(c.read(spark, sf_dir, "documents"), c.read(spark, sf_dir, "benchmark"))
-    return out.select("doc_id", "n_words", n_hit().alias("n_hit"), F.size("item_ids").cast("bigint").alias("n_items"), c.hex_list("item_ids").alias("items_sha256"), (F.size("starts") > 0).alias("contaminated"))
+    out = decontaminate(c.read(spark, sf_dir, "documents").select("doc_id", "text"), c.read(spark, sf_dir, "benchmark"))
+    return out.select("row.doc_id", "n_words", n_hit().alias("n_hit"), F.size("item_ids").cast("bigint").alias("n_items"), c.hex_list("item_ids").alias("items_sha256"), (F.size("starts") > 0).alias("contaminated"))

@@ -79,9 +79,7 @@ def _cut(min_run: int):
             get = lambda n: b.column(b.schema.get_field_index(n))
             rows = [clean(*x) for x in zip(get("text").to_pylist(), get("starts").to_pylist(), get("copy").to_pylist())]
             text, n, gone = zip(*rows) if rows else ((), (), ())
-            out = {name: b.column(i) for i, name in enumerate(b.schema.names) if name not in ("starts", "copy")}
-            out |= {"text": pa.array(text, pa.string()), "n_lines": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64())}
-            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+            yield pa.RecordBatch.from_arrays([get("row"), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["row", "text", "n_lines", "n_removed"])
 
     return run
 
@@ -92,23 +90,21 @@ def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
         raise ValueError("min_run must be 1 or more")
     c.small_batches(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed").withColumn("text", F.col("text").cast("string"))
-    row = docs.select(F.col("doc_id").cast("bigint").alias("own_id"), "text", F.struct("*").alias("row"))
+    row = docs.select(F.col("doc_id").cast("bigint").alias("own_id"), "text", F.struct(*[x for x in docs.columns if x != "text"]).alias("row"))
     t1, t2 = _hashes("text")
-    keyed = row.select("row", t1.alias("t1"), t2.alias("t2"), F.coalesce("own_id", F.lit(LAST)).alias("key"))
-    lines = F.transform(F.filter(F.transform(F.split("row.text", "\n"), lambda x: F.trim(x, F.lit(" \t\r\x0b\x0c"))), lambda x: x != ""), lambda x: F.struct(_hashes(x)[0].alias("a"), _hashes(x)[1].alias("b")))
-    texts = keyed.where("row.text is not null").select("t1", "t2", "key", lines.alias("lines")).groupBy("t1", "t2").agg(F.min("key").alias("key"), F.max("key").alias("most"), F.first("lines").alias("lines"))
+    keyed = row.select("row", "text", t1.alias("t1"), t2.alias("t2"), F.coalesce("own_id", F.lit(LAST)).alias("key"))
+    lines = F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x, F.lit(" \t\r\x0b\x0c"))), lambda x: x != ""), lambda x: F.struct(_hashes(x)[0].alias("a"), _hashes(x)[1].alias("b")))
+    texts = keyed.where("text is not null").select("t1", "t2", "key", lines.alias("lines")).groupBy("t1", "t2").agg(F.min("key").alias("key"), F.max("key").alias("most"), F.first("lines").alias("lines"))
     used: list[DataFrame] = []
     texts = c.staged(texts, "line-texts")
     used.append(texts)
     starts = repeated_starts(texts, min_run, used).groupBy("t1", "t2").agg(F.collect_list("at").alias("starts"))
     firsts = texts.where("most > key").select("t1", "t2", F.col("key").alias("first"))
     marks = firsts.join(starts, ["t1", "t2"], "full")
-    joined = keyed.join(marks, ["t1", "t2"], "left").select("row.*", "starts", F.coalesce(F.col("key") > F.col("first"), F.lit(False)).alias("copy"))
-    clash = [x for x in ("starts", "copy") if x in docs.columns]
-    if clash:
-        raise ValueError(f"columns {clash} clash with the operator's own")
-    schema = T.StructType([*docs.schema, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return c.map_batches(joined, _cut(min_run), schema)
+    joined = keyed.join(marks, ["t1", "t2"], "left").select("row", "text", "starts", F.coalesce(F.col("key") > F.col("first"), F.lit(False)).alias("copy"))
+    schema = T.StructType([joined.schema["row"], joined.schema["text"], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    out = c.map_batches(joined, _cut(min_run), schema)
+    return out.select(*["text" if x == "text" else F.col("row")[x].alias(x) for x in docs.columns], "n_lines", "n_removed")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common as c
 from .components import connected_components
 
-SHINGLE, SIMILARITY = 4, (80, 100)
+SHINGLE, SIMILARITY = 5, (80, 100)
 BANDS, ROWS = 36, 6
 SMALL, SALT = 16, 200
 U32 = np.uint32
@@ -208,5 +208,5 @@ def dedup(docs: DataFrame, k: int = SHINGLE, similarity: tuple[int, int] = SIMIL
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op4: near-duplicate components of all documents."""
-    return dedup(c.read(spark, sf_dir, "documents"))
+    """op4: near-duplicate components of all documents, on 4-word shingles."""
+    return dedup(c.read(spark, sf_dir, "documents"), k=4)
