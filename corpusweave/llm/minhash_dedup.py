@@ -7,12 +7,13 @@ BANDS bands of ROWS coordinates are keys; a pair of Jaccard similarity s shares
 1 - (1 - s**ROWS)**BANDS, at 0.8 more than 0.9999.
 
 1. Documents with equal sets are one class, known by two 64-bit sums over the set; the smallest id represents it.
-2. Stars: in every bucket of a band key the members are confirmed against the bucket's smallest class, on full sets; twice,
-   the second time against another member. Components of the confirmed links merge most of each group of copies.
-3. The rest: only buckets that still hold several components are opened. Pairs of members in different components whose
-   sizes allow the similarity are confirmed too; in buckets of more than SMALL members only those that share a second
-   band, for a hot passage shared by unlike documents fills single bands. A pair of one component is never made.
-Confirming deals rows by (leader, salt), each salt of a bounded number of members, and streams them past the leader's set,
+2. Stars: in every bucket of a band key the members are confirmed against the bucket's smallest class, on full sets.
+   Components of the confirmed links merge most of each group of copies.
+3. The rest: buckets that still hold several components are opened. What they connect is a group (a bucket alone, where
+   that would be more than GROUP members), cut into chunks; a task gets the texts of two chunks, finds all links between
+   different components by one product of their incidence matrix, and returns a spanning forest: at most a row for each
+   member, however many pairs are similar.
+Confirming stars deals rows by (leader, salt), each salt of a bounded number of members, and streams them past the leader's set,
 so a hot leader is no hot task and no group is held.
 
 Defined cases: a null or wordless text has an empty set, is linked with nothing and is kept. A row with a null id is linked
@@ -28,10 +29,12 @@ from pyspark.sql import functions as F
 
 from . import common as c
 from .components import connected_components
+from .embedding_dedup import forest
 
 SHINGLE, SIMILARITY = 5, (80, 100)
 BANDS, ROWS = 36, 6
-SMALL, SALT = 16, 200
+SALT = 200  # members in one stretch of a leader
+GROUP, CHUNK, CHUNK_SHINGLES = 4096, 512, 400_000  # members of a group, of a chunk, and shingles of a chunk
 U32 = np.uint32
 
 
@@ -156,24 +159,92 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, similarity: tuple[int,
     return c.map_batches(rows, _confirm(k, *similarity), "a bigint, b bigint")
 
 
-def stars(buckets: DataFrame, turn: int) -> DataFrame:
-    """a, b: in buckets that hold several components, every member of another component with the bucket's leader."""
-    order = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-    heads = buckets.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "component", "n")).alias("head"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    pair = buckets.join(heads.select("key", "head.rep", "head.component", "head.n").toDF("key", "a", "a_component", "a_n"), "key")
-    return pair.where("component <> a_component and 100 * least(n, a_n) >= 80 * greatest(n, a_n)").select("a", F.col("rep").alias("b")).distinct()
+def stars(buckets: DataFrame) -> DataFrame:
+    """a, b: in every bucket each member with the smallest class, if their sizes allow the similarity."""
+    heads = buckets.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head")).select("key", "head.rep", "head.n").toDF("key", "a", "a_n")
+    pair = buckets.join(heads, "key")
+    return pair.where("rep <> a and 100 * least(n, a_n) >= 80 * greatest(n, a_n)").select("a", F.col("rep").alias("b")).distinct()
+
+
+def open_groups(buckets: DataFrame, most: int) -> DataFrame:
+    """gkey, rep, component, n: groups in which pairs of different components may still be links.
+
+    Members of buckets with several components, grouped by what such buckets connect; where that is more than most members,
+    by bucket.
+    """
+    facts = buckets.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("rep").alias("head")).where("low <> high").select("key", "head")
+    rows = c.staged(buckets.join(facts, "key").select("key", "rep", "component", "n", "head"), "open-buckets")
+    groups = connected_components(rows.select(F.col("rep").alias("a"), F.col("head").alias("b"))).toDF("rep", "group")
+    sizes = groups.groupBy("group").agg((F.count("*") > most).alias("large"))
+    rows = rows.join(groups.join(sizes, "group"), "rep")
+    small = rows.where("not large").select(F.col("group").alias("gkey"), "rep", "component", "n").distinct()
+    return small.unionByName(rows.where("large").select(F.col("key").alias("gkey"), "rep", "component", "n"))
+
+
+def block_links(components: np.ndarray, sets: list[np.ndarray], least: int, of: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): a spanning forest of the links between different components, from the sets' incidence matrix."""
+    none = np.zeros(0, np.int64)
+    sizes = np.array([len(x) for x in sets])
+    if len(sets) < 2 or (components == components[0]).all():
+        return none, none
+    h, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    doc = np.repeat(np.arange(len(sets)), sizes)
+    shared = count[code] > 1  # a shingle of one document is in no intersection
+    new = np.cumsum(count > 1) - 1
+    code, doc = new[code[shared]], doc[shared]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    step = max(256, (16 << 20) // (4 * len(sets)))
+    order = np.argsort(code, kind="stable")
+    code, doc = code[order], doc[order]
+    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, step):
+        a, b = np.searchsorted(code, (lo, lo + step))
+        m = np.zeros((len(sets), step), np.float32)
+        m[doc[a:b], code[a:b] - lo] = 1
+        both += m @ m.T
+    mask = (of * both >= least * (sizes[:, None] + sizes[None] - both)) & (both > 0) & (components[:, None] != components[None])
+    label = forest(len(sets), *np.nonzero(mask))
+    moved = np.flatnonzero(label != np.arange(len(sets)))
+    return moved, label[moved]
+
+
+def _blocks(k: int, least: int, of: int):
+    """Rows sorted by (gkey, lo, hi): all links between components inside each block of at most two chunks."""
+
+    def run(batches):
+        at, held = None, []
+
+        def flush():
+            links = block_links(np.array([x[1] for x in held]), [x[2] for x in held], least, of)
+            ids = np.array([x[0] for x in held], np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(ids[x], pa.int64()) for x in links], ["a", "b"])
+
+        for b in batches:
+            raw, bounds = c.texts_of(b, "text")
+            get = lambda x: b.column(b.schema.get_field_index(x)).to_pylist()
+            keys, rows = list(zip(get("gkey"), get("lo"), get("hi"))), list(zip(get("rep"), get("component")))
+            for i, j in c.slices(bounds):
+                h, own = shingle_hashes(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], k)
+                for d in range(i, j):
+                    if keys[d] != at:
+                        if len(held) > 1:
+                            yield flush()
+                        at, held = keys[d], []
+                    held.append((*rows[d], h[own[d - i] : own[d - i + 1]].copy()))
+        if len(held) > 1:
+            yield flush()
+
+    return run
 
 
-def rest(buckets: DataFrame, small: int) -> DataFrame:
-    """a, b: all pairs of different components that still share a bucket; in large buckets, if they share a second band."""
-    facts = buckets.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "members")
-    rows = buckets.join(facts, "key").select("rep", "component", "n", "members", "key", "bands")
-    one = rows.where(F.col("members") <= small).select(F.array("key").alias("k"), "rep", "component", "n")
-    second = F.filter(F.transform(F.filter("bands", lambda b: b != F.col("key")), lambda b: F.array(F.least(b, "key"), F.greatest(b, "key"))), lambda p: p[0] == F.col("key"))
-    two = rows.where(F.col("members") > small).select(F.explode(second).alias("k"), "rep", "component", "n")
-    open_ = one.union(two)
-    a, b = (open_.select("k", *[F.col(x).alias(f"{s}_{x}") for x in ("rep", "component", "n")]) for s in "ab")
-    return a.join(b, "k").where("a_rep < b_rep and a_component <> b_component and 100 * least(a_n, b_n) >= 80 * greatest(a_n, b_n)").select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct()
+def rest(buckets: DataFrame, texts: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
+    """a, b: the links between different components, of which no pair is made outside a numpy block."""
+    groups = open_groups(buckets, GROUP)
+    chunks = groups.groupBy("gkey").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    rows = groups.join(chunks, "gkey").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("gkey", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("rep").alias("id"), F.col("rep"), "component")
+    dealt = rows.join(texts, "id").drop("id").repartition("gkey", "lo", "hi").sortWithinPartitions("gkey", "lo", "hi")
+    return c.map_batches(dealt, _blocks(k, *similarity), "a bigint, b bigint")
 
 
 def dedup(docs: DataFrame, k: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -190,18 +261,13 @@ def dedup(docs: DataFrame, k: int = SHINGLE, similarity: tuple[int, int] = SIMIL
     needed = buckets.select(F.col("rep").alias("doc_id")).distinct()
     # one text for each id: rows of an id that differ are one node, and its smallest text stands for it
     texts = c.staged(docs.where("doc_id is not null").join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "id"), "texts")
-    bands_of = classes.select("rep", "bands").join(needed.withColumnRenamed("doc_id", "rep"), "rep", "left_semi")
-
-    links, parts = None, None
-    for turn in range(3):
-        own = buckets.withColumn("component", F.col("rep")) if parts is None else buckets.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        pairs = stars(own, turn) if turn < 2 else rest(own.join(bands_of, "rep"), SMALL)
-        new = c.staged(confirmed(c.staged(pairs, "pairs"), texts, k, similarity), "links")
-        if turn and new.isEmpty():
-            continue
-        links = new if links is None else links.union(new)
-        parts = connected_components(links)
-    by_class = classes.select("k1", "k2", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
+    links = c.staged(confirmed(c.staged(stars(buckets), "pairs"), texts, k, similarity), "links")
+    parts = connected_components(links).withColumnRenamed("node", "rep")
+    merged = buckets.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    more = c.staged(rest(merged, texts, k, similarity), "links")
+    if not more.isEmpty():
+        parts = connected_components(links.union(more)).withColumnRenamed("node", "rep")
+    by_class = classes.select("k1", "k2", "rep").join(parts, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = sets.select("doc_id", "n", "k1", "k2").join(by_class, ["k1", "k2"], "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
