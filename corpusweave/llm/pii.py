@@ -375,5 +375,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op10: personal data of every document; the counts are those of base spans."""
     out = find(c.read(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
-    every = F.concat(*[F.array_sort(F.filter(F.concat("base", "added"), lambda s, k=k: s["kind"] == k), lambda a, b: a["start"] - b["start"]) for k in KINDS])
+    of = lambda k: F.filter(F.concat("base", "added"), lambda s: s["kind"] == k)
+    every = F.concat(*[F.array_sort(of(k), lambda a, b: a["start"] - b["start"]) for k in KINDS])
     return out.select("doc_id", *map(count, KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(every).alias("spans"), F.size("added").cast("bigint").alias("n_added"))
