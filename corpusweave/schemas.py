@@ -9,8 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+TABLE = T.StructType([T.StructField("caption", T.StringType()), T.StructField("headers", T.ArrayType(T.StringType())), T.StructField("rows", T.ArrayType(T.ArrayType(T.StringType())))])
+LINK = T.StructType([T.StructField(x, T.StringType()) for x in ("url", "text", "type")])
+KINDS = {"bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "vector": T.ArrayType(T.FloatType()), "structured": T.StructType([T.StructField("tables", T.ArrayType(TABLE)), T.StructField("documentLinks", T.ArrayType(LINK))])}
+
+
 def ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A flat schema from "name kind, ..."; needs no session."""
+    return T.StructType([T.StructField(name, KINDS[kind]) for name, kind in (x.split() for x in text.split(","))])
 
 
 STAMPS = ", created_at timestamp, updated_at timestamp"
@@ -18,8 +24,8 @@ STRUCTURED = "struct<tables:array<struct<caption:string,headers:array<string>,ro
 SITES = ddl("id bigint, name string, base_url string, robots_txt string, crawl_delay_ms int, allowed boolean, render_mode string, max_depth int, max_pages int" + STAMPS)
 PAGES = ddl("id bigint, site_id bigint, url string, status string, content_hash string, last_crawled_at timestamp, http_status int" + STAMPS)
 PAGE_VERSIONS = ddl("id bigint, page_id bigint, version_no int, raw_html string, content_hash string, fetched_at timestamp" + STAMPS)
-DOCUMENTS = ddl(f"id bigint, page_version_id bigint, title string, cleaned_text string, structured_data {STRUCTURED}, content_type string" + STAMPS)
-CHUNKS = ddl("id bigint, document_id bigint, chunk_index int, heading_path string, text string, token_count int, embedding array<float>" + STAMPS)
+DOCUMENTS = ddl("id bigint, page_version_id bigint, title string, cleaned_text string, structured_data structured, content_type string" + STAMPS)
+CHUNKS = ddl("id bigint, document_id bigint, chunk_index int, heading_path string, text string, token_count int, embedding vector" + STAMPS)
 FAILED_JOBS = ddl("id bigint, queue string, job_id string, payload string, error_message string, error_stack string, attempts_made int, failed_at timestamp" + STAMPS)
 CRAWL_SESSIONS = ddl("id bigint, site_id bigint, status string, max_depth int, max_pages int, pages_crawled int, pages_skipped int, pages_failed int, started_at timestamp, finished_at timestamp" + STAMPS)
 
@@ -49,13 +55,14 @@ def integer(value: Any, name: str, low: int, high: int | None = None, default: i
     """A whole number, numeric strings included."""
     if value is None:
         return default
-    try:
-        number = float(value) if not isinstance(value, bool) else float("nan")
-    except (TypeError, ValueError):
-        number = float("nan")
-    if number != number or number in (float("inf"), float("-inf")) or number != int(number) or number < low or (high is not None and number > high):
+    number: int | None = None
+    if isinstance(value, str) and value.strip().lstrip("+-").isdecimal():
+        number = int(value)
+    elif isinstance(value, (int, float)) and not isinstance(value, bool) and value == value and abs(value) != float("inf") and value == int(value):
+        number = int(value)
+    if number is None or number < low or (high is not None and number > high):
         raise ValueError(f"{name} must be a whole number from {low}" + (f" to {high}" if high is not None else ""))
-    return int(number)
+    return number
 
 
 def text(value: Any, name: str, low: int, high: int, required: bool = True) -> str | None:
