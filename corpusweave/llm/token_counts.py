@@ -43,10 +43,16 @@ class Library:
         #: Whether counts are sums over pre-tokens; else whole texts are encoded.
         self.splits = not any(MARK in p.lstrip(MARK) for p in pieces)
         self.misses: dict[int, int] = {}
+        #: Tokens of a space that stands alone at the end of a text.
+        self.space = 1 if self.model.piece_to_id(MARK) != self.model.unk_id() else len(MARK.encode())
 
     def lengths(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.model.encode(texts, num_threads=1)]
 
+    def pretoken_lengths(self, pretokens: list[str]) -> list[int]:
+        """Tokens of pre-tokens without their first space; the empty one is a space alone."""
+        return [n if p else self.space for p, n in zip(pretokens, self.lengths(pretokens))]
+
 
 _libraries: dict[str, Library] = {}
 
@@ -138,7 +144,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, rows: int = FREQUENT)
             ends = np.cumsum([len(x) for x in data])
             h = c.span_hashes(raw, np.append(0, ends[:-1]), ends)
             order = np.argsort(h)
-            table = (h[order], np.array(lib.lengths(words), np.int32)[order])
+            table = (h[order], np.array(lib.pretoken_lengths(words), np.int32)[order])
     table = spark.sparkContext.broadcast(table)
 
     def run(batches):
@@ -178,12 +184,8 @@ def _counts(lib: Library, keys: np.ndarray, lengths: np.ndarray, raw: np.ndarray
         got = [cache.get(k) for k in u.tolist()]
         new = [i for i, x in enumerate(got) if x is None]
         at = miss[first[new]]
-        # the pre-token of one space alone is an empty string here, of one piece
-        for i, x in zip(new, lib.lengths([data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())])):
+        for i, x in zip(new, lib.pretoken_lengths([data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())])):
             got[i] = x
-        for i, a in zip(new, at.tolist()):
-            if starts[a] == ends[a]:
-                got[i] = lib.lengths([" "])[0]
         if len(cache) + len(new) > CACHE:
             cache.clear()
         cache.update((int(u[i]), got[i]) for i in new)
