@@ -45,22 +45,25 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
+    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors.
+
+    The tables of a session lie in one folder named by its application id, to be deleted when its results are written.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/corpusweave/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/corpusweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.staged_at = path
+    return out
 
 
-def drop_staged(*tables: DataFrame) -> None:
+def unstage(*tables: DataFrame) -> None:
     """Delete staged tables that no later plan reads."""
     for df in tables:
         spark = df.sparkSession
-        for f in df.inputFiles()[:1]:
-            folder = f.rpartition("/")[0]
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -68,11 +71,6 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(fn, schema)
 
 
-def broadcast_bound(default: int = 64 << 20) -> int:
-    """Bytes up to which a lookup table may be sent to every executor."""
-    return default
-
-
 # ---------------------------------------------------------------- task side
 
 

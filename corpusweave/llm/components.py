@@ -21,20 +21,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
     maps: list[DataFrame] = []
     while not current.isEmpty():
         both = current.select(F.col("a").alias("node"), F.col("b").alias("to")).union(current.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        hook = c.staged(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("to")), "hooks")
+        hook = first = c.staged(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("to")), "hooks")
         for _ in range(2):
             further = hook.select(F.col("node").alias("to"), F.col("to").alias("next"))
             hook = hook.join(further, "to").select("node", F.col("next").alias("to"))
-        hook = c.staged(hook, "hooks")
+        jumped = c.staged(hook, "hooks")
+        c.unstage(first)
+        hook = jumped
         maps.append(hook)
         left = hook.select(F.col("node").alias("a"), F.col("to").alias("la"))
         right = hook.select(F.col("node").alias("b"), F.col("to").alias("lb"))
         moved = current.join(left, "a").select("la", "b").distinct().join(right, "b").where("la <> lb")
-        current = c.staged(moved.select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")).distinct(), "edges")
+        before, current = current, c.staged(moved.select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")).distinct(), "edges")
+        c.unstage(before)
     if not maps:
         return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     out = maps[0].select("node", F.col("to").alias("component"))
     for hook in maps[1:]:
         later = hook.select(F.col("node").alias("component"), F.col("to").alias("label"))
         out = out.join(later, "component", "left").select("node", F.coalesce("label", "component").alias("component"))
-    return c.staged(out, "components") if len(maps) > 1 else out
+    if len(maps) == 1:
+        return out
+    out = c.staged(out, "components")
+    c.unstage(current, *maps)
+    return out

@@ -103,15 +103,12 @@ def near(a: str = "a", b: str = "b", eps: float = 0.0) -> F.Column:
 def block_pairs(boxes: DataFrame, bits: int, eps: float) -> DataFrame:
     """a, b (a <= b): blocks whose boxes are near, by recursion over intervals of 2**SPAN_BITS children. boxes: block, lo, hi."""
     levels = [boxes]
-    dims = F.sequence(F.lit(0), F.lit(DIRECTIONS - 1))
     for _ in range(max(1, -(-bits // SPAN_BITS))):
         down = levels[-1]
-        width = [F.min(F.col("lo")[i]) for i in range(DIRECTIONS)], [F.max(F.col("hi")[i]) for i in range(DIRECTIONS)]
-        up = down.groupBy(F.shiftright("block", SPAN_BITS).alias("block")).agg(F.array(*width[0]).alias("lo"), F.array(*width[1]).alias("hi"))
-        # boxes have at most DIRECTIONS sides; shorter ones give nulls, which stand for no bound
-        up = up.select("block", F.filter("lo", lambda x: x.isNotNull()).alias("lo"), F.filter("hi", lambda x: x.isNotNull()).alias("hi"))
-        levels.append(up)
-    del dims
+        lo, hi = [F.min(F.col("lo")[i]) for i in range(DIRECTIONS)], [F.max(F.col("hi")[i]) for i in range(DIRECTIONS)]
+        up = down.groupBy(F.shiftright("block", SPAN_BITS).alias("block")).agg(F.array(*lo).alias("lo"), F.array(*hi).alias("hi"))
+        # vectors shorter than DIRECTIONS have fewer sides
+        levels.append(up.select("block", F.filter("lo", lambda x: x.isNotNull()).alias("lo"), F.filter("hi", lambda x: x.isNotNull()).alias("hi")))
     top = levels[-1]
     pairs = top.select(F.col("block").alias("a"), F.col("block").alias("b"))  # bits are used up: the root alone
     for level in reversed(levels[:-1]):

@@ -34,30 +34,27 @@ def _hashes(col) -> list[F.Column]:
     return [F.xxhash64(col), F.xxhash64(F.lit("second"), col)]
 
 
-def _ranked(suffixes: DataFrame, by: list[str], staged: list[DataFrame]) -> DataFrame:
+def _ranked(suffixes: DataFrame, by: list[str]) -> DataFrame:
     """suffixes whose ``by`` columns occur more than once, with their rank in the order of these columns instead of them."""
     classes = suffixes.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     order = classes.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id())
     order = c.staged(order, "line-ranks")  # ids that depend on the partition are fixed by writing them
-    staged.append(order)
     return suffixes.join(order, by).drop(*by)
 
 
-def repeated_starts(docs: DataFrame, min_run: int, staged: list[DataFrame]) -> DataFrame:
+def repeated_starts(docs: DataFrame, min_run: int) -> DataFrame:
     """t1, t2, at: every start of min_run lines that also stand earlier in text order. docs: t1, t2, key, lines (array of struct<a,b>)."""
     s = docs.select("t1", "t2", "key", F.posexplode("lines").alias("at", "line")).select("t1", "t2", "key", "at", "line.a", "line.b")
-    s = _ranked(s, ["a", "b"], staged)
+    s = _ranked(s, ["a", "b"])
     size = 1
     while size < min_run:
         step = min(size, min_run - size)
         s = c.staged(s, "line-suffixes")
-        staged.append(s)
         ahead = s.select("t1", "t2", (F.col("at") - step).alias("at"), F.col("rank").alias("b"))
-        s = _ranked(s.withColumnRenamed("rank", "a").join(ahead, ["t1", "t2", "at"]), ["a", "b"], staged)
+        s = _ranked(s.withColumnRenamed("rank", "a").join(ahead, ["t1", "t2", "at"]), ["a", "b"])
         size += step
     place = F.struct("key", "t1", "t2", "at")
     s = c.staged(s.withColumn("place", place), "line-suffixes")
-    staged.append(s)
     first = s.groupBy("rank").agg(F.min("place").alias("first"))
     return s.join(first, "rank").where("place != first").select("t1", "t2", "at")
 
@@ -95,10 +92,8 @@ def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     keyed = row.select("row", "text", t1.alias("t1"), t2.alias("t2"), F.coalesce("own_id", F.lit(LAST)).alias("key"))
     lines = F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x, F.lit(" \t\r\x0b\x0c"))), lambda x: x != ""), lambda x: F.struct(_hashes(x)[0].alias("a"), _hashes(x)[1].alias("b")))
     texts = keyed.where("text is not null").select("t1", "t2", "key", lines.alias("lines")).groupBy("t1", "t2").agg(F.min("key").alias("key"), F.max("key").alias("most"), F.first("lines").alias("lines"))
-    used: list[DataFrame] = []
     texts = c.staged(texts, "line-texts")
-    used.append(texts)
-    starts = repeated_starts(texts, min_run, used).groupBy("t1", "t2").agg(F.collect_list("at").alias("starts"))
+    starts = repeated_starts(texts, min_run).groupBy("t1", "t2").agg(F.collect_list("at").alias("starts"))
     firsts = texts.where("most > key").select("t1", "t2", F.col("key").alias("first"))
     marks = firsts.join(starts, ["t1", "t2"], "full")
     joined = keyed.join(marks, ["t1", "t2"], "left").select("row", "text", "starts", F.coalesce(F.col("key") > F.col("first"), F.lit(False)).alias("copy"))

@@ -261,7 +261,9 @@ def dedup(docs: DataFrame, k: int = SHINGLE, similarity: tuple[int, int] = SIMIL
     needed = buckets.select(F.col("rep").alias("doc_id")).distinct()
     # one text for each id: rows of an id that differ are one node, and its smallest text stands for it
     texts = c.staged(docs.where("doc_id is not null").join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "id"), "texts")
-    links = c.staged(confirmed(c.staged(stars(buckets), "pairs"), texts, k, similarity), "links")
+    pairs = c.staged(stars(buckets), "pairs")
+    links = c.staged(confirmed(pairs, texts, k, similarity), "links")
+    c.unstage(pairs)
     parts = connected_components(links).withColumnRenamed("node", "rep")
     merged = buckets.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     more = c.staged(rest(merged, texts, k, similarity), "links")

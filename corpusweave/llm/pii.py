@@ -294,6 +294,16 @@ def field_from(rows) -> Field:
     return train([[(w, t) for _, w, t in sorted(x)] for x in by.values()])
 
 
+_default: list[Field] = []
+
+
+def default_field(spark: SparkSession) -> Field:
+    """The field of the labelled table, trained once in a driver."""
+    if not _default:
+        _default.append(field_from(labelled_frame(spark).collect()))  # a table of fixed size
+    return _default[0]
+
+
 def valid(kind: str, span: str) -> bool:
     """What an added span must hold."""
     n = len(digits_of(span))
@@ -348,9 +358,8 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, base and added: arrays of (kind, start, end), by kind as listed and then start."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    field = field or field_from(labelled_frame(spark).collect())  # a table of fixed size
-    field.cache = None
-    shared = spark.sparkContext.broadcast(field)
+    field = field or default_field(spark)
+    shared = spark.sparkContext.broadcast(Field(field.own, field.before, field.after, field.moves))
     kind = "array<struct<kind:string,start:int,end:int>>"
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
