@@ -6,9 +6,10 @@ non-spaces (every text starts with one space more, the dummy prefix). That prope
 
 Tier 1: a broadcast table of hash and length of the most frequent pre-tokens (``FREQUENT`` rows of 12 bytes at most, so
 its size has a fixed bound). It's made from counts over all documents: every task sums the pre-tokens of each block of
-its own texts, and the heaviest of each block meet in a sum. The table only saves time; results don't depend on it.
-Tier 2: pre-tokens that miss are encoded by the library, once per worker while they stay in its bounded cache. Pre-tokens
-themselves are never shuffled, nor are texts.
+its own texts, and the heaviest of each block meet in a sum, ``REPORTED`` rows a block and the only shuffle here. Those that
+a slice has once aren't reported, so the choice is approximate; the table only saves time, results don't depend on it.
+Tier 2: pre-tokens that miss are encoded by the library, once per worker while they stay in its bounded cache. Counting
+itself shuffles neither pre-tokens nor texts.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens. A text with U+2581, which the library takes for a space,
 is encoded whole. Repeated rows give repeated results; extra columns are ignored.
