@@ -258,7 +258,7 @@ def dedup(docs: DataFrame, k: int = SHINGLE, similarity: tuple[int, int] = SIMIL
     keys = classes.select("rep", "n", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key")
     buckets = c.staged(keys.join(shared, "key"), "buckets")
-    needed = buckets.select(F.col("rep").alias("doc_id")).distinct()
+    needed = c.staged(buckets.select(F.col("rep").alias("doc_id")).distinct(), "needed")  # written, so that the join knows its size
     # one text for each id: rows of an id that differ are one node, and its smallest text stands for it
     texts = c.staged(docs.where("doc_id is not null").join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "id"), "texts")
     pairs = c.staged(stars(buckets), "pairs")
