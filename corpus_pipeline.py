@@ -32,9 +32,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id; of rows with one id, one."""
-    kept = common.staged(minhash_dedup.dedup(docs).where("kept").select("doc_id"), "kept").groupBy("doc_id").count()
-    out = docs.join(kept, docs.doc_id.cast("bigint").eqNullSafe(kept.doc_id), "left_semi")
-    if not kept.where("doc_id is not null and count > 1").isEmpty():
+    ids = common.staged(minhash_dedup.dedup(docs).where("doc_id is not null").groupBy("doc_id").agg(F.count_if("kept").alias("n")), "ids")
+    gone = common.staged(ids.where("n = 0").select("doc_id"), "gone")  # fewer than stay, and of a size that the join knows
+    out = docs.join(gone, docs.doc_id.cast("bigint") == gone.doc_id, "left_anti")
+    if not ids.where("n > 1").isEmpty():
         out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
     return out
 
