@@ -10,7 +10,10 @@ Suffixes with the same rank at ``min_run`` lines are an LCP interval of that dep
 text order stays and the later ones are deleted; consecutive deleted starts chain to maximal repeated runs. Doubling
 stops when prefixes have reached min_run (the last step overlaps), because deeper ranks only split these intervals: every
 line of a longer repeated run is in a repeated run of min_run lines whose first copy is the longer run's first copy or
-earlier. Documents with equal texts are ranked once: all but the first lose every line of theirs, if they have min_run.
+earlier. A line of more than ``long_line`` words is a run by itself: its copies are found by its rank of one line, and all
+but the first are deleted too, so only short recurring lines may stand alone again. The first copy of a line is never
+deleted. Documents with equal texts are ranked once: all but the first lose every line of theirs, if they have min_run, or
+else their long lines. Words are what blanks part.
 
 Text order: by doc_id, null last, then by text, then by line. Rows with the same id and text are the same document and
 keep or lose the same lines. A null text has no lines and stays null. Lines are known by two 64-bit hashes.
@@ -19,6 +22,8 @@ Extra columns pass through; columns called n_lines and n_removed give way to the
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +32,9 @@ from pyspark.sql import types as T
 from . import common as c
 
 MIN_RUN = 2
+#: A line of more words than this is a run, whatever min_run is.
+LONG_LINE = 50
+BLANKS = " \t\r\x0b\x0c"
 LAST = (1 << 63) - 1
 
 
@@ -42,63 +50,77 @@ def _ranked(suffixes: DataFrame, by: list[str]) -> DataFrame:
     return suffixes.join(order, by).drop(*by)
 
 
+def _later(s: DataFrame) -> DataFrame:
+    """t1, t2, at of all suffixes of a rank but the first in text order."""
+    s = s.withColumn("place", F.struct("key", "t1", "t2", "at"))
+    first = s.groupBy("rank").agg(F.min("place").alias("first"))
+    return s.join(first, "rank").where("place != first").select("t1", "t2", "at")
+
+
 def repeated_starts(docs: DataFrame, min_run: int) -> DataFrame:
-    """t1, t2, at: every start of min_run lines that also stand earlier in text order. docs: t1, t2, key, lines (array of struct<a,b>)."""
-    s = docs.select("t1", "t2", "key", F.posexplode("lines").alias("at", "line")).select("t1", "t2", "key", "at", "line.a", "line.b")
-    s = _ranked(s, ["a", "b"])
+    """t1, t2, at, alone: every start of min_run lines, and (alone) every long line, that also stands earlier in text order.
+
+    docs: t1, t2, key, lines (array of struct<a,b,long>).
+    """
+    s = docs.select("t1", "t2", "key", F.posexplode("lines").alias("at", "line")).select("t1", "t2", "key", "at", "line.a", "line.b", "line.long")
+    s = c.staged(_ranked(s, ["a", "b"]), "line-suffixes")
+    alone = _later(c.staged(s.where("long").drop("long"), "line-long")).withColumn("alone", F.lit(True))
+    s = s.drop("long")
     size = 1
     while size < min_run:
         step = min(size, min_run - size)
-        s = c.staged(s, "line-suffixes")
         ahead = s.select("t1", "t2", (F.col("at") - step).alias("at"), F.col("rank").alias("b"))
         s = _ranked(s.withColumnRenamed("rank", "a").join(ahead, ["t1", "t2", "at"]), ["a", "b"])
+        s = c.staged(s, "line-suffixes")
         size += step
-    place = F.struct("key", "t1", "t2", "at")
-    s = c.staged(s.withColumn("place", place), "line-suffixes")
-    first = s.groupBy("rank").agg(F.min("place").alias("first"))
-    return s.join(first, "rank").where("place != first").select("t1", "t2", "at")
+    return _later(s).withColumn("alone", F.lit(False)).unionByName(alone)
+
 
+def _cut(min_run: int, long_line: int):
+    blanks = re.compile(f"[{BLANKS}]+")
 
-def _cut(min_run: int):
-    def clean(text: str | None, starts: list[int] | None, copy: bool) -> tuple[str | None, int, int]:
+    def clean(text: str | None, starts: list[int] | None, alone: list[int] | None, copy: bool) -> tuple[str | None, int, int]:
         if text is None:
             return None, 0, 0
         lines = text.split("\n")
-        real = [i for i, x in enumerate(lines) if x.strip(" \t\r\x0b\x0c")]
+        real = [i for i, x in enumerate(lines) if x.strip(BLANKS)]
         if copy and len(real) >= min_run:
             gone = set(real)
         else:
-            gone = {real[k] for s in starts or () for k in range(s, s + min_run)}
+            gone = {real[k] for s in starts or () for k in range(s, s + min_run)} | {real[k] for k in alone or ()}
+            if copy:
+                gone |= {i for i in real if len(blanks.split(lines[i].strip(BLANKS))) > long_line}
         return ("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text), len(real), len(gone)
 
     def run(batches):
         for b in batches:
             get = lambda n: b.column(b.schema.get_field_index(n))
-            rows = [clean(*x) for x in zip(get("text").to_pylist(), get("starts").to_pylist(), get("copy").to_pylist())]
+            rows = [clean(*x) for x in zip(get("text").to_pylist(), get("starts").to_pylist(), get("alone").to_pylist(), get("copy").to_pylist())]
             text, n, gone = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([get("row"), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["row", "text", "n_lines", "n_removed"])
 
     return run
 
 
-def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_run: int = MIN_RUN, long_line: int = LONG_LINE) -> DataFrame:
     """docs (doc_id, text and any other columns) with repeated line runs cut from text, and n_lines and n_removed."""
-    if min_run < 1:
-        raise ValueError("min_run must be 1 or more")
+    if min_run < 1 or long_line < 0:
+        raise ValueError("min_run must be 1 or more, long_line 0 or more")
     c.small_batches(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed").withColumn("text", F.col("text").cast("string"))
     row = docs.select(F.col("doc_id").cast("bigint").alias("own_id"), "text", F.struct(*[x for x in docs.columns if x != "text"]).alias("row"))
     t1, t2 = _hashes("text")
     keyed = row.select("row", "text", t1.alias("t1"), t2.alias("t2"), F.coalesce("own_id", F.lit(LAST)).alias("key"))
-    lines = F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x, F.lit(" \t\r\x0b\x0c"))), lambda x: x != ""), lambda x: F.struct(_hashes(x)[0].alias("a"), _hashes(x)[1].alias("b")))
+    long = lambda x: (F.length(x) > 2 * long_line) & (F.size(F.split(x, f"[{BLANKS}]+")) > long_line)
+    lines = F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x, F.lit(BLANKS))), lambda x: x != ""), lambda x: F.struct(_hashes(x)[0].alias("a"), _hashes(x)[1].alias("b"), long(x).alias("long")))
     texts = keyed.where("text is not null").select("t1", "t2", "key", lines.alias("lines")).groupBy("t1", "t2").agg(F.min("key").alias("key"), F.max("key").alias("most"), F.first("lines").alias("lines"))
     texts = c.staged(texts, "line-texts")
-    starts = repeated_starts(texts, min_run).groupBy("t1", "t2").agg(F.collect_list("at").alias("starts"))
+    starts = repeated_starts(texts, min_run).groupBy("t1", "t2").agg(F.collect_list(F.when(~F.col("alone"), F.col("at"))).alias("starts"), F.collect_list(F.when(F.col("alone"), F.col("at"))).alias("alone"))
     firsts = texts.where("most > key").select("t1", "t2", F.col("key").alias("first"))
     marks = firsts.join(starts, ["t1", "t2"], "full")
-    joined = keyed.join(marks, ["t1", "t2"], "left").select("row", "text", "starts", F.coalesce(F.col("key") > F.col("first"), F.lit(False)).alias("copy"))
+    joined = keyed.join(marks, ["t1", "t2"], "left").select("row", "text", "starts", "alone", F.coalesce(F.col("key") > F.col("first"), F.lit(False)).alias("copy"))
     schema = T.StructType([joined.schema["row"], joined.schema["text"], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    out = c.map_batches(joined, _cut(min_run), schema)
+    out = c.map_batches(joined, _cut(min_run, long_line), schema)
     return out.select(*["text" if x == "text" else F.col("row")[x].alias(x) for x in docs.columns], "n_lines", "n_removed")
 
 

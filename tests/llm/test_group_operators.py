@@ -173,6 +173,36 @@ def test_lines_of_odd_tables(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def brute_long_lines(docs, m, most):
+    """brute_lines where a line of more than ``most`` words is a run by itself."""
+    cut = {(i, t): None for i, t in docs}
+    places = lambda t: [(k, x.strip(" \t\r\x0b\x0c")) for k, x in enumerate(t.split("\n")) if x.strip(" \t\r\x0b\x0c")]
+    seen = {}
+    for i, t in sorted((x for x in cut if x[1] is not None), key=lambda x: 1 << 62 if x[0] is None else x[0]):
+        real, gone = places(t), set()
+        for a in range(len(real)):
+            for n in {m, 1}:
+                run = tuple(x for _, x in real[a : a + n])
+                if len(run) == n and (n == m or len(run[0].split()) > most):
+                    if run in seen.setdefault(n, set()):
+                        gone.update(k for k, _ in real[a : a + n])
+                    seen[n].add(run)
+        cut[i, t] = ("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone), len(real), len(gone))
+    return sorted(((i, *(cut[i, t] or (None, 0, 0))) for i, t in docs), key=str)
+
+
+@pytest.mark.parametrize("m", [1, 2, 3])
+def test_long_lines_are_runs_by_themselves(spark, m):
+    r = random.Random(7)
+    lines = [" ".join(f"w{r.randrange(9)}" for _ in range(n)) for n in (1, 2, 49, 50, 51, 52, 90, 700)] + ["a  b\t" * 25 + "c", "x" * 500]
+    docs = [(i, "\n".join(r.choice(lines) if r.random() < 0.4 else f" line {r.randrange(1000)}" for _ in range(r.randint(1, 6)))) for i in range(60)]
+    docs += [(100, lines[6]), (101, lines[6]), (102, lines[0]), (103, lines[0]), (104, lines[4] + "\nonce"), (105, lines[4] + "\nonce"), (106, "new\n\t" + lines[7] + " \nown"), (107, None), (None, lines[5])]
+    r.shuffle(docs)
+    got = sorted(map(tuple, line_dedup.dedup_lines(spark.createDataFrame(docs, DOC).repartition(3), m).select("doc_id", "text", "n_lines", "n_removed").collect()), key=str)
+    assert got == brute_long_lines(docs, m, 50)
+    assert m != 2 or {(101, "", 1, 1), (103, lines[0], 1, 0)} <= set(got)
+
+
 # ---------------------------------------------------------------- 8
 
 
