@@ -198,7 +198,10 @@ def citations(spark, d):
 m as (select doc_id, pos, list_extract(found, pos)::bigint as marker from (select doc_id, regexp_extract_all(answer, '\\[(\\d+)\\]', 1) as found, unnest(range(1, len(regexp_extract_all(answer, '\\[(\\d+)\\]', 1)) + 1)) as pos from a))
 select doc_id, pos, marker, case when marker between 1 and 5 then 'https://source/' || marker end as url from m""".replace("\\\\", "\\"))
 def inline_citations(spark, d):
-    body = F.left(F.regexp_replace("text", r"[\[\]]", ""), F.lit(20))
+    return cited_inline(spark, d, F.left(F.regexp_replace("text", r"[\[\]]", ""), F.lit(20)))
+
+
+def cited_inline(spark, d, body):
     said = F.concat(F.lit("As "), body, F.lit(" says ["), (F.col("doc_id") % 7).cast("string"), F.lit("], see ["), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("]."))
     m = table(spark, d, "documents").select("doc_id", F.posexplode(A.cited_markers(said)).alias("pos", "marker"))
     sources = spark.range(1, 6).select(F.col("id").alias("marker"), F.concat(F.lit("https://source/"), F.col("id").cast("string")).alias("url"))
@@ -401,7 +404,11 @@ def fetcher_and_delay(spark, d):
 
 @query("""select event_id, coalesce(case when event_id % 3 = 0 then 4 end, 2) as max_depth, coalesce(case when event_id % 3 = 0 then 9 end, case when event_id % 2 = 1 then 50 else 30 end) as max_pages from events where user_id % 2 = 0""")
 def crawl_limits(spark, d):
-    jobs = table(spark, d, "events").where("user_id % 2 = 0").select("event_id", (F.col("event_id") % 3).alias("session_id"), (F.col("event_id") % 2).alias("site_id"))
+    return limits_of(spark, table(spark, d, "events").where("user_id % 2 = 0"))
+
+
+def limits_of(spark, events):
+    jobs = events.select("event_id", (F.col("event_id") % 3).alias("session_id"), (F.col("event_id") % 2).alias("site_id"))
     sessions = spark.createDataFrame([(0, 4, 9)], "id bigint, max_depth int, max_pages int")
     sites = spark.createDataFrame([(0, 2, 30), (1, 2, 50)], "id bigint, max_depth int, max_pages int")
     return C.limits(jobs, sessions, sites).select("event_id", "max_depth", "max_pages")
@@ -536,3 +543,63 @@ def indexed_pages(spark, d):
 
     made = embed_column(chunks(spark, d), "text", HashingEmbedder(64))
     return made.select("document_id", "chunk_index", "token_count", F.size("embedding").alias("dimensions"))
+
+
+# ---------------------------------------------------------------- answers over whole tables
+
+#: Every row whose id is divisible by this is a query. SQL is too slow here; tests/test_whole_queries.py has brute force.
+EVERY = 50
+
+
+def all_chunks(spark, d):
+    """All documents as chunks: chunk_id, text, embedding. Those without a vector are found by their words alone."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return docs.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left")
+
+
+def all_queries(spark, d):
+    """query_id, q, vector: text and vector of every row that is a query."""
+    return all_chunks(spark, d).where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), F.col("text").alias("q"), F.col("embedding").alias("vector"))
+
+
+def found_by_all(spark, d, k=5):
+    """query_id, rank, chunk_id, score: the hybrid search of all queries."""
+    chunks = all_chunks(spark, d)
+    return R.hybrid_search(chunks, I.postings(chunks), all_queries(spark, d), k)
+
+
+def all_hits(spark, d):
+    """The results of found_by_all with url, title and the whole text."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("https://"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("url"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), "text")
+    return docs.join(found_by_all(spark, d), "chunk_id")
+
+
+@query()
+def rag_context_all(spark, d):
+    return A.context(all_hits(spark, d))
+
+
+@query()
+def citations_all(spark, d):
+    return A.citations(all_hits(spark, d))
+
+
+@query()
+def distinct_sources_all(spark, d):
+    return all_hits(spark, d).groupBy("query_id").agg(F.countDistinct("url").alias("n_sources"))
+
+
+@query()
+def multi_source_hosts_all(spark, d):
+    hosts = all_hits(spark, d).groupBy("query_id").agg(F.countDistinct(X.host(F.col("url"))).alias("n_hosts"))
+    return hosts.withColumn("multi_source", F.col("n_hosts") >= 2)
+
+
+@query()
+def inline_citations_all(spark, d):
+    return cited_inline(spark, d, F.regexp_replace("text", r"[\[\]]", ""))
+
+
+@query()
+def crawl_limits_all(spark, d):
+    return limits_of(spark, table(spark, d, "events"))
