@@ -58,8 +58,9 @@ def rank_weight(tf):
 
 def keyword_scores(postings: DataFrame, lexemes: DataFrame) -> DataFrame:
     """query_id, chunk_id, score from postings (chunk_id, lexeme, tf): any lexeme matches."""
-    hit = postings.join(F.broadcast(lexemes), "lexeme")
-    return hit.groupBy("query_id", "chunk_id").agg((F.sum(rank_weight(F.col("tf")) / F.col("n"))).alias("raw")).select("query_id", "chunk_id", F.round("raw", 12).alias("score"))
+    weighted = postings.select("chunk_id", "lexeme", rank_weight(F.col("tf")).alias("weight")).repartition("chunk_id")  # so that pairs are summed where they arise
+    hit = weighted.join(F.broadcast(lexemes), "lexeme")
+    return hit.groupBy("query_id", "chunk_id").agg((F.sum(F.col("weight") / F.col("n"))).alias("raw")).select("query_id", "chunk_id", F.round("raw", 12).alias("score"))
 
 
 def keyword_search(postings: DataFrame, queries: DataFrame, k: int = 5, lexemes: DataFrame | None = None) -> DataFrame:

@@ -160,12 +160,16 @@ from embeddings a, (select * from embeddings where vec_id % 50 = 3) b where a.ve
 f as (select query_id, min(case when want = got and rank <= 5 then rank end) as first from r group by all)
 select round(avg((first is not null)::int), 6) as hit_rate, round(avg(coalesce(1.0 / first, 0)), 6) as mrr from f""")
 def retrieval_eval(spark, d):
-    e = table(spark, d, "embeddings")
-    queries = e.where("vec_id % 50 = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return judged(table(spark, d, "embeddings"), "vec_id % 50 = 3")
+
+
+def judged(e, asked):
+    """hit_rate and mrr of the rows of e that are asked: whether a row with the same label is found."""
+    queries = e.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     hits = R.vector_search(e.select(F.col("vec_id").alias("chunk_id"), "embedding"), queries, 6).where("chunk_id <> query_id")
     w = Window.partitionBy("query_id").orderBy("rank")
     hits = hits.withColumn("rank", F.row_number().over(w)).join(e.select(F.col("vec_id").alias("chunk_id"), F.concat(F.lit("/"), F.col("label").cast("string"), F.lit("/")).alias("url")), "chunk_id")
-    goldens = e.where("vec_id % 50 = 3").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("/"), F.col("label").cast("string"), F.lit("/")).alias("expect"))
+    goldens = e.where(asked).select(F.col("vec_id").alias("query_id"), F.concat(F.lit("/"), F.col("label").cast("string"), F.lit("/")).alias("expect"))
     return rounded(R.evaluate(hits, goldens, 5), "hit_rate", "mrr")
 
 
@@ -603,3 +607,43 @@ def inline_citations_all(spark, d):
 @query()
 def crawl_limits_all(spark, d):
     return limits_of(spark, table(spark, d, "events"))
+
+
+# ---------------------------------------------------------------- searches by every query
+
+
+@query()
+def vector_topk_all(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    queries = e.where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return rounded(R.vector_search(e, queries, 10))
+
+
+@query()
+def retrieval_eval_all(spark, d):
+    return judged(table(spark, d, "embeddings"), f"vec_id % {EVERY} = 0")
+
+
+@query()
+def keyword_or_rank_all(spark, d):
+    return rounded(R.keyword_search(I.postings(all_chunks(spark, d)), all_queries(spark, d), 10))
+
+
+@query()
+def keyword_english_all(spark, d):
+    english, queries = I.english(spark), all_queries(spark, d)
+    lex = queries.withColumn("terms", F.array_distinct(english("q"))).select("query_id", F.explode("terms").alias("lexeme"), F.size("terms").alias("n"))
+    return rounded(R.keyword_search(I.postings(all_chunks(spark, d), "english"), queries, 10, lex))
+
+
+@query()
+def hybrid_rrf_all(spark, d):
+    return rounded(found_by_all(spark, d))
+
+
+@query()
+def multi_query_rrf_all(spark, d):
+    """Every query is a sub-query; two that follow each other by id are one question."""
+    chunks = all_chunks(spark, d)
+    subs = all_queries(spark, d).select(F.floor(F.col("query_id") / (2 * EVERY)).alias("group_id"), F.floor(F.col("query_id") / EVERY % 2).cast("int").alias("sub"), "q", "vector")
+    return rounded(R.multi_search(chunks, I.postings(chunks), subs, 8))

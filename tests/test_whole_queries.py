@@ -94,3 +94,34 @@ def test_limits_of_all_events_and_markers_behind_whole_texts(spark, tables):
     got = {(r.doc_id, r.pos): (r.marker, r.url) for r in catalogue.inline_citations_all(spark, d).collect()}
     link = lambda m: (m, f"https://source/{m}" if 1 <= m <= 5 else None)
     assert got == {(i, n): link(m) for i, (t, _) in docs.items() if t is not None for n, m in ((1, i % 7), (2, i % 3 + 1))}
+
+
+def ranked(want):
+    return sorted((q, n, i, round(s, 6)) for q, found in want.items() for n, (i, s) in enumerate(found, 1))
+
+
+def near(df):
+    return sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 6)) for r in df.collect())
+
+
+@pytest.mark.parametrize("most", [1000, 4])
+def test_searches_take_every_query_also_in_blocks(spark, tables, monkeypatch, most):
+    monkeypatch.setattr(R, "MOST_QUERIES", most)
+    d, docs, vecs, _ = tables
+    vectors, texts = {i: v for i, (v, _) in vecs.items()}, {i: t for i, (t, _) in docs.items()}
+    top = {i: brute_vectors(vectors, v, 10) for i, v in vectors.items() if i % 50 == 0}
+    assert len(top) == 7 and near(catalogue.vector_topk_all(spark, d)) == ranked(top)
+    assert near(catalogue.keyword_or_rank_all(spark, d)) == ranked({i: brute_words(texts, t, 10) for i, t in texts.items() if i % 50 == 0})
+    hybrid = brute_hybrid(tables, 10)
+    assert near(catalogue.hybrid_rrf_all(spark, d)) == ranked(brute_hybrid(tables, 5))
+    groups = {g: fused([(sub, hybrid[g * 100 + sub * 50]) for sub in (0, 1) if g * 100 + sub * 50 in hybrid], 8) for g in {i // 100 for i in hybrid}}
+    assert near(catalogue.multi_query_rrf_all(spark, d)) == ranked(groups)
+    firsts = [next((n for n, i in enumerate([i for i, _ in brute_vectors(vectors, vectors[q], 6) if i != q][:5], 1) if vecs[i][1] == vecs[q][1]), None) for q in top]
+    got = catalogue.retrieval_eval_all(spark, d).first()
+    assert (got.hit_rate, got.mrr) == (round(sum(x is not None for x in firsts) / 7, 6), round(sum(1 / x for x in firsts if x) / 7, 6))
+
+
+def test_english_search_takes_every_query(spark, tables):
+    d, docs, _, _ = tables
+    texts = {i: t for i, (t, _) in docs.items()}  # words and digits that the stemmer leaves as they are
+    assert near(catalogue.keyword_english_all(spark, d)) == ranked({i: brute_words(texts, t, 10) for i, t in texts.items() if i % 50 == 0})
