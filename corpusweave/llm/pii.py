@@ -120,7 +120,7 @@ LEXICON = frozenset("phone tel tel. mobile cell call fax email e-mail mail conta
 def shape(word: str) -> str:
     """Letters as a, capitals as A, digits as 9, other characters as they are; runs of letters are one."""
     out: list[str] = []
-    for x in word[:64]:
+    for x in word:
         s = "9" if "0" <= x <= "9" else "A" if x.isupper() else "a" if x.isalpha() else x
         if s == "9" or not out or out[-1] != s:
             out.append(s)

@@ -279,3 +279,10 @@ def test_word_and_window_hashes_follow_the_words():
     v = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 999).astype(np.uint64))
     assert np.array_equal(common.unpack_sorted(common.pack_sorted(v)), v)
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_shapes_are_of_whole_words():
+    url = "https://" + "a-" * 40
+    assert pii.shape(url + "x42") != pii.shape(url + "x") and pii.shape(url + "x42").endswith("a99")
+    assert pii.features(url + "B7")[0] != pii.features(url + "b7")[0]
+    assert pii.shape("Ab--c12") == "Aa-a99" and pii.shape("") == "" and pii.shape("7" * 100) == "9" * 100
