@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 BATCH_ROWS = 512
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASE = 0x9E3779B97F4A7C15
 
 
 # ---------------------------------------------------------------- Spark side
@@ -105,23 +104,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """Powers 0 to n-1 of the base (or of its inverse) modulo 2**64, kept by the worker."""
-    key = "inverse" if inverse else "base"
-    have = _powers.get(key)
-    if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        steps = np.full(size, U64(_INVERSE if inverse else _BASE))
-        steps[0] = 1
-        have = np.multiply.accumulate(steps)
-        if size <= 4 << 20:
-            _powers[key] = have
-    return have[:n]
-
-
 def word_bounds(raw: np.ndarray, bounds: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and past-the-end byte of every word, and the n+1 bounds of the documents in words. is_word: 256 booleans."""
     if not len(raw):
@@ -137,27 +119,97 @@ def word_bounds(raw: np.ndarray, bounds: np.ndarray, is_word: np.ndarray) -> tup
     return starts, ends, np.searchsorted(starts, bounds)
 
 
+def lanes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one integer, zeros beyond the end; no copy of the text but one."""
+    return np.ndarray((len(raw) + 1,), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+_SHIFT = (U64(8) * (U64(8) - np.arange(9, dtype=U64))) % U64(64)
+#: Which bits of a lane belong to a span that has so many bytes in it.
+_LANE = np.where(np.arange(9) > 0, U64(0xFFFFFFFFFFFFFFFF) >> _SHIFT, U64(0))
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of byte spans by prefix sums of a polynomial: all spans at once, whatever their lengths."""
+    """64-bit hashes of byte spans, all at once, whatever their lengths.
+
+    A span is cut into lanes of eight bytes; each lane is mixed, moved by its number and mixed again, and the sum is mixed
+    with the length. No arithmetic structure of the bytes is left in what is summed, unlike in a polynomial modulo a power
+    of two, which has equal values for whole families of different words.
+    """
     if not len(starts):
         return np.zeros(0, U64)
-    total = np.zeros(len(raw) + 1, U64)
-    np.cumsum((raw.astype(U64) + U64(1 + seed)) * powers(len(raw)), out=total[1:])
-    h = (total[ends] - total[starts]) * powers(len(raw) + 1, inverse=True)[starts]
-    return mix(h ^ ((ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)))
-
-
-def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Rabin-Karp hashes of every k consecutive word hashes (len(words)-k+1 of them, documents not regarded)."""
+    at = lanes(raw)
+    sizes = ends - starts
+    salt = mix(np.array([seed * 2 + 1], U64))[0]
+    hashed = lambda place, left, number: mix(mix((at[place] & _LANE[np.minimum(left, 8)]) ^ salt) + number * U64(_BASE))
+    h = hashed(starts, sizes, np.array([1], U64))
+    two = np.flatnonzero(sizes > 8)
+    if len(two):
+        h[two] += hashed(starts[two] + 8, sizes[two] - 8, np.array([2], U64))
+        more = two[sizes[two] > 16]
+        if len(more):  # the rest lane by lane, in one list
+            counts = (sizes[more] - 9) // 8
+            first = np.cumsum(counts) - counts
+            number = np.arange(int(counts.sum())) - np.repeat(first, counts) + 2
+            x = hashed(np.repeat(starts[more], counts) + 8 * number, np.repeat(sizes[more], counts) - 8 * number, (number + 1).astype(U64))
+            h[more] += np.add.reduceat(x, first)
+    return mix(h ^ (sizes.astype(U64) * U64(0xD6E8FEB86659FD93)))
+
+
+def same_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Which spans hold the same bytes as the spans of another text: eight bytes at a time, while any pair is equal."""
+    sizes = ends - starts
+    same = sizes == other_ends - other_starts
+    left = np.flatnonzero(same & (sizes > 0))
+    if not len(left):
+        return same
+    one, two, k = lanes(raw), lanes(other), 0
+    while len(left):
+        keep = _LANE[np.minimum(sizes[left] - k, 8)]
+        equal = (one[starts[left] + k] & keep) == (two[other_starts[left] + k] & keep)
+        same[left[~equal]] = False
+        k += 8
+        left = left[equal & (sizes[left] > k)]
+        if k > 1024 and len(left):  # few and long
+            a, b = raw.data, other.data
+            for i in left.tolist():
+                same[i] = a[starts[i] + k : ends[i]] == b[other_starts[i] + k : other_ends[i]]
+            break
+    return same
+
+
+PRIME = U64((1 << 61) - 1)
+_MULTIPLIERS = (U64(0x2E3779B1), U64(0x35EBCA6B))  # bases of the rolling hash, under 2**30
+
+
+def _times(x: np.ndarray, base: np.uint64) -> np.ndarray:
+    """x * base modulo PRIME (not fully reduced, under 2**62), for x under 2**62 and a base under 2**30."""
+    high = (x >> U64(31)) * base
+    low = (x & U64(0x7FFFFFFF)) * base
+    out = (high >> U64(30)) + ((high & U64(0x3FFFFFFF)) << U64(31)) + low
+    return (out & PRIME) + (out >> U64(61))
+
+
+def gram_hashes(words: np.ndarray, k: int, base: int = 0) -> np.ndarray:
+    """Rabin-Karp hashes of every k consecutive word hashes (len(words)-k+1 of them, documents not regarded).
+
+    The polynomial is taken modulo a prime, by Horner's rule over all windows at once. base: 0 or 1, for two independent hashes.
+    """
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    if k == 1:
-        return mix(words + U64(0x51ED27))
-    total = np.zeros(len(words) + 1, U64)
-    np.cumsum(words * powers(len(words)), out=total[1:])
-    h = (total[k:] - total[:-k]) * powers(n, inverse=True)
-    return mix(h + U64(k))
+    out = np.empty(n, U64)
+    last, step = U64(k * _BASE & 0xFFFFFFFFFFFFFFFF), 1 << 14  # so many windows stay in the processor's cache
+    for at in range(0, n, step):
+        x = words[at : at + step + k - 1] % PRIME
+        m = len(x) - k + 1
+        h = x[:m].copy()
+        for i in range(1, k):
+            h = _times(h, _MULTIPLIERS[base])
+            h += x[i : i + m]
+            h = (h & PRIME) + (h >> U64(61))
+        out[at : at + m] = mix(h % PRIME + last)
+    return out
 
 
 def gram_starts(doc_words: np.ndarray, k: int) -> np.ndarray:

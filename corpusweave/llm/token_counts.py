@@ -4,12 +4,13 @@ The vocabulary is a sentencepiece BPE whose pieces never hold a space mark after
 the start of a run of spaces: a text's count is the sum over its pre-tokens, a run of spaces with the following
 non-spaces (every text starts with one space more, the dummy prefix). That property is checked when the model is loaded.
 
-Tier 1: a broadcast table of hash and length of the most frequent pre-tokens (``FREQUENT`` rows of 12 bytes at most, so
-its size has a fixed bound). It's made from counts over all documents: every task sums the pre-tokens of each block of
-its own texts, and the heaviest of each block meet in a sum, ``REPORTED`` rows a block and the only shuffle here. Those that
-a slice has once aren't reported, so the choice is approximate; the table only saves time, results don't depend on it.
-Tier 2: pre-tokens that miss are encoded by the library, once per worker while they stay in its bounded cache. Counting
-itself shuffles neither pre-tokens nor texts.
+Tier 1: a broadcast table of the most frequent pre-tokens with their lengths (``FREQUENT`` entries of at most ``LONGEST``
+bytes, so its size has a fixed bound). They are the most frequent of a sample of SAMPLE_BYTES of text, drawn at random from
+the texts of at most SAMPLE_TEXT bytes; SAMPLE_ROWS bounds what comes to the driver. The sample decides only what is looked up and
+what is encoded, never a count.
+Tier 2: pre-tokens that miss are encoded by the library, once per worker while they stay in its bounded cache.
+Both tiers find a pre-token by its hash and then compare its bytes, so a count doesn't rest on a hash. Neither pre-tokens
+nor texts are shuffled.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens. A text with U+2581, which the library takes for a space,
 is encoded whole. Repeated rows give repeated results; extra columns are ignored.
@@ -26,8 +27,10 @@ from . import common as c
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Rows of the broadcast table; heaviest pre-tokens that a block of texts reports, and bytes of a block.
-FREQUENT, REPORTED, BLOCK = 1 << 16, 4096, 24 << 20
+#: Entries of the broadcast table and bytes of an entry.
+FREQUENT, LONGEST = 1 << 16, 64
+#: Of the sample: expected bytes, bytes of a text, and the most rows.
+SAMPLE_BYTES, SAMPLE_TEXT, SAMPLE_ROWS = 8 << 20, 16 << 10, 16 << 10
 #: Entries of a worker's cache of misses.
 CACHE = 300_000
 LIMIT = 4096
@@ -43,7 +46,7 @@ class Library:
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         #: Whether counts are sums over pre-tokens; else whole texts are encoded.
         self.splits = not any(MARK in p.lstrip(MARK) for p in pieces)
-        self.misses: dict[int, int] = {}
+        self.misses: dict[bytes, int] = {}
         #: Tokens of a space that stands alone at the end of a text.
         self.space = 1 if self.model.piece_to_id(MARK) != self.model.unk_id() else len(MARK.encode())
 
@@ -91,78 +94,67 @@ def pretokens(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, c.span_hashes(raw, starts, ends), docs
 
 
-def frequent(docs: DataFrame, rows: int = FREQUENT, reported: int = REPORTED, block: int = BLOCK) -> DataFrame:
-    """The most frequent pre-tokens with their counts over all documents (of those that a block reports)."""
-
-    def run(batches):
-        hashes, counts, names, size = [], [], {}, 0
-
-        def flush():
-            if not hashes:
-                return
-            h, at = np.unique(np.concatenate(hashes), return_inverse=True)
-            n = np.bincount(at, np.concatenate(counts)).astype(np.int64)
-            top = np.argsort(-n, kind="stable")[:reported]
-            top = [i for i in top if int(h[i]) in names]
-            yield pa.RecordBatch.from_arrays([pa.array([names[int(h[i])] for i in top], pa.string()), pa.array(n[top] if len(top) else [], pa.int64())], ["pretoken", "n"])
-
-        for batch in batches:
-            raw, bounds = c.texts_of(batch, "text")
-            for i, j in c.slices(bounds):
-                own = raw[bounds[i] : bounds[j]]
-                starts, ends, h, _ = pretokens(own, bounds[i : j + 1] - bounds[i])
-                if not len(h):
-                    continue
-                u, at, n = np.unique(h, return_index=True, return_counts=True)
-                again = n > 1
-                u, at, n = u[again], at[again], n[again]
-                hashes.append(u), counts.append(n)
-                for k, a in zip(u.tolist(), at.tolist()):
-                    if k not in names and ends[a] - starts[a] <= 64:
-                        names[k] = own[starts[a] : ends[a]].tobytes().decode()
-                size += len(own)
-            if size >= block:
-                yield from flush()
-                hashes, counts, names, size = [], [], {}, 0
-        yield from flush()
-
-    found = c.map_batches(docs.select(F.col("text").cast("string").alias("text")), run, "pretoken string, n bigint")
-    return found.groupBy("pretoken").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pretoken").limit(rows)
+def frequent(docs: DataFrame, rows: int = FREQUENT) -> list[bytes]:
+    """The most frequent pre-tokens of the sample, the first of equal ones in byte order."""
+    texts = docs.select("text").where(F.octet_length("text") <= SAMPLE_TEXT)
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    drawn = texts.where(F.rand(5) < SAMPLE_BYTES / max(total, 1)).limit(SAMPLE_ROWS).toArrow()
+    counts: dict[bytes, int] = {}
+    for batch in drawn.to_batches():
+        raw, bounds = c.texts_of(batch, "text")
+        data = raw.tobytes()
+        starts, ends, _, _ = pretokens(raw, bounds)
+        for a, b in zip(starts.tolist(), ends.tolist()):
+            if b - a <= LONGEST:
+                counts[data[a:b]] = counts.get(data[a:b], 0) + 1
+    return sorted(counts, key=lambda w: (-counts[w], w))[:rows]
+
+
+class Table:
+    """Sorted hashes of pre-tokens, their token counts, and their bytes to compare with."""
+
+    def __init__(self, words: list[bytes], lengths: list[int]):
+        self.raw = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+        starts = ends - [len(w) for w in words] if words else ends
+        h = c.span_hashes(self.raw, starts, ends)
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.starts, self.ends, self.lengths = h[order], starts[order], ends[order], np.array(lengths, np.int64)[order]
+
+    def find(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the spans that the table holds, their token counts)."""
+        if not len(self.hashes):
+            return np.zeros(0, np.int64), self.lengths
+        at = np.searchsorted(self.hashes, hashes)
+        at[at == len(self.hashes)] = 0
+        hit = np.flatnonzero(self.hashes[at] == hashes)
+        at = at[hit]
+        same = c.same_spans(raw, starts[hit], ends[hit], self.raw, self.starts[at], self.ends[at])
+        return hit[same], self.lengths[at[same]]
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, rows: int = FREQUENT) -> DataFrame:
-    """doc_id, n_bytes and n_tokens of every document."""
+    """doc_id, n_bytes and n_tokens of every document. rows: entries of the broadcast table."""
     spark = docs.sparkSession
-    c.small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lib = library(_path(path))
-    table = (np.zeros(0, c.U64), np.zeros(0, np.int32))
-    if lib.splits and rows:
-        words = [r.pretoken for r in frequent(docs, rows).collect()]  # FREQUENT rows of at most 64 bytes
-        if words:
-            data = [w.encode() for w in words]
-            raw = np.frombuffer(b"".join(data), np.uint8)
-            ends = np.cumsum([len(x) for x in data])
-            h = c.span_hashes(raw, np.append(0, ends[:-1]), ends)
-            order = np.argsort(h)
-            table = (h[order], np.array(lib.pretoken_lengths(words), np.int32)[order])
-    table = spark.sparkContext.broadcast(table)
+    words = frequent(docs, rows) if lib.splits and rows else []
+    table = spark.sparkContext.broadcast(Table(words, lib.pretoken_lengths([w.decode() for w in words]) if words else []))
 
     def run(batches):
         lib = library(_path(path))
-        keys, lengths = table.value
         for batch in batches:
             raw, bounds = c.texts_of(batch, "text")
             out = []
             for i, j in c.slices(bounds):
-                out.append(_counts(lib, keys, lengths, raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]))
+                out.append(_counts(lib, table.value, raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]))
             n = np.concatenate(out) if out else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     return c.map_batches(docs, run, "doc_id bigint, n_bytes bigint, n_tokens bigint")
 
 
-def _counts(lib: Library, keys: np.ndarray, lengths: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def _counts(lib: Library, table: Table, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     n_docs = len(bounds) - 1
     if not len(raw):
         return np.zeros(n_docs, np.int64)
@@ -171,26 +163,25 @@ def _counts(lib: Library, keys: np.ndarray, lengths: np.ndarray, raw: np.ndarray
         return np.array(lib.lengths([data[a:b].decode() for a, b in zip(bounds[:-1], bounds[1:])]), np.int64)
     starts, ends, h, docs = pretokens(raw, bounds)
     n = np.zeros(len(h), np.int64)
-    if len(keys):
-        at = np.searchsorted(keys, h)
-        at[at == len(keys)] = 0
-        known = keys[at] == h
-        n[known] = lengths[at[known]]
-    else:
-        known = np.zeros(len(h), bool)
-    miss = np.flatnonzero(~known)
+    miss = np.ones(len(h), bool)
+    known, lengths = table.find(raw, starts, ends, h)
+    n[known], miss[known] = lengths, False
+    miss = np.flatnonzero(miss)
     if len(miss):
-        u, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
+        _, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
+        one = miss[first][back]  # the first miss with the same hash
+        odd = miss[~c.same_spans(raw, starts[miss], ends[miss], raw, starts[one], ends[one])]  # the same hash, other bytes
+        at = np.concatenate([miss[first], odd])
+        keys = [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
         cache = lib.misses
-        got = [cache.get(k) for k in u.tolist()]
-        new = [i for i, x in enumerate(got) if x is None]
-        at = miss[first[new]]
-        for i, x in zip(new, lib.pretoken_lengths([data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())])):
-            got[i] = x
-        if len(cache) + len(new) > CACHE:
+        new = [k for k in dict.fromkeys(keys) if k not in cache]
+        got = dict(zip(new, lib.pretoken_lengths([k.decode() for k in new])))
+        values = np.array([got[k] if k in got else cache[k] for k in keys], np.int64)
+        n[miss] = values[: len(first)][back]
+        n[odd] = values[len(first) :]
+        if len(cache) + len(got) > CACHE:
             cache.clear()
-        cache.update((int(u[i]), got[i]) for i in new)
-        n[miss] = np.array(got, np.int64)[back]
+        cache.update((k, v) for k, v in got.items() if len(k) <= LONGEST)
     total = np.concatenate([[0], np.cumsum(n)])
     out = total[docs[1:]] - total[docs[:-1]]
     if MARK.encode() in data:
