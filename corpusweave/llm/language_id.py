@@ -5,9 +5,11 @@ a gram's weight is its share of the text's grams times the bucket's inverse docu
 with follow-the-regularised-leader and elastic-net penalties, so most weights are exactly zero; a temperature fitted on
 the part of the sample that training didn't see calibrates the scores.
 
-The classifier is fitted on the driver from a bounded sample of labelled rows: about ``per_language`` documents of each
-language and ``sample_bytes`` of text in all, drawn by a hash of the id, whole texts. Prediction runs over all documents,
-whole texts, and reads nothing but the text.
+The classifier is fitted on the driver from a bounded sample of labelled rows of at most ``sample_text`` bytes (where a language
+has no such row, its shortest ones): expected are at most ``per_language`` documents of each language, ``sample_docs``
+documents and ``sample_bytes`` of text in all, drawn by a 63-bit hash of id and text, whole texts; never more than twice
+``sample_docs`` rows come to the driver, and of those what passes twice ``sample_bytes`` is left out. Of more than
+``languages`` languages the most frequent are learned. Prediction runs over all documents, whole texts, and reads nothing but the text.
 
 Defined cases: a text that is null or without a letter is ``und`` with score 0. With no labelled row to learn from every
 text is ``und``. Rows with a null id are predicted, never learned from, and not held out. Ties go to the first language in
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common as c
 
 BITS, GRAMS = 16, (1, 2, 3)
-PER_LANGUAGE, SAMPLE_DOCS, SAMPLE_BYTES = 500, 4000, 24 << 20
+PER_LANGUAGE, SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_TEXT, LANGUAGES = 500, 4000, 24 << 20, 32 << 10, 256
 SCALE = 40.0  # makes shares of a text about as large as counts of a short one
 UND = "und"
 _FOLD = np.arange(128, dtype=np.uint32)
@@ -143,23 +145,34 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
-    """The model of a bounded sample of docs (doc_id, text, lang); None if no row has an id, a text and a language.
-
-    Each language gives at most per_language documents and its share of sample_docs and sample_bytes, as expected values:
-    a row is drawn where a hash of its id is small enough.
-    """
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, sample_text: int = SAMPLE_TEXT, languages: int = LANGUAGES) -> list:
+    """The rows to learn from (doc_id, lang, text), in an order that doesn't depend on partitions; bounded as stated above."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()  # a row per language
+    known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out()).withColumn("size", F.octet_length("text"))
+    small = F.col("size") <= sample_text
+    sizes = known.groupBy("lang").agg(F.count("*").alias("all"), F.count_if(small).alias("n"), F.sum(F.when(small, F.col("size"))).alias("b"), F.min("size").alias("least"))
+    sizes = sizes.orderBy(F.desc("all"), "lang").limit(languages).collect()
     if not sizes:
-        return None
+        return []
     k = len(sizes)
-    share = {r.lang: min(1.0, per_language / r.n, sample_docs / k / r.n, sample_bytes / k / max(r.b, 1)) for r in sizes}
-    draw = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("lang")]
-    rows = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < draw * (1 << 20)).select("doc_id", "lang", "text").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.lang, r.text))
-    rows = [r for r in rows if any(map(str.isalpha, r.text))]
+    share = {r.lang: min(1.0, per_language / r.n, sample_docs / k / r.n, sample_bytes / k / max(r.b, 1)) if r.n else 1.0 for r in sizes}
+    table = lambda of: F.create_map(*[F.lit(x) for pair in of.items() for x in pair])[F.col("lang")]
+    most = table({r.lang: max(sample_text, r.least) for r in sizes})
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(5)), 1)
+    drawn = known.where((F.col("size") <= most) & (place < F.least(table(share) * float(1 << 63), F.lit((1 << 63) - 1))))
+    rows = drawn.select("doc_id", "lang", "text").orderBy(place, "doc_id", "lang").limit(2 * sample_docs).collect()
+    held, out = 0, []
+    for r in rows:
+        held += len(r.text.encode())
+        if out and held > 2 * sample_bytes:
+            break
+        out.append(r)
+    return sorted(out, key=lambda r: (r.doc_id, r.lang, r.text))
+
+
+def train(docs: DataFrame, **bounds: int) -> Model | None:
+    """The model of a bounded sample of docs (doc_id, text, lang); None if no row has an id, a text with a letter and a language."""
+    rows = [r for r in sample(docs, **bounds) if any(map(str.isalpha, r.text))]
     return fit([r.text for r in rows], [r.lang for r in rows]) if rows else None
 
 

@@ -40,6 +40,14 @@ def random_docs(seed, n, length=60, words=None):
     return out
 
 
+def thue_morse(n=10):
+    """Two words of 2**n letters that a polynomial modulo a power of two can't tell apart."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
 # ---------------------------------------------------------------- 1
 
 
@@ -117,6 +125,14 @@ def test_substrings_equal_brute_force(spark, k, block, part):
     assert rows_of(got) == brute_substrings(docs, k)
 
 
+def test_substrings_tell_words_apart_that_fool_polynomials(spark):
+    docs = []
+    for i, w in enumerate([w for n in (10, 11) for w in thue_morse(n)]):
+        docs.append((i, " ".join([*"abcdef", w, *"ghijkl"])))
+    assert rows_of(substring_dedup.dedup_substrings(spark.createDataFrame(docs, DOC))) == brute_substrings(docs, 13)
+    assert all(x[2] == 0 for x in brute_substrings(docs, 13))
+
+
 def test_substrings_of_odd_tables(spark):
     assert rows_of(substring_dedup.dedup_substrings(odd(spark), 3)) == brute_substrings(ODD, 3)
     assert substring_dedup.dedup_substrings(odd(spark).limit(0)).count() == 0
@@ -144,6 +160,39 @@ def test_bpe_equals_the_library_and_round_trips(spark):
     assert bpe.encode_decode(odd(spark)).where("length(ids) > 0").count() == 6 and bpe.encode_decode(odd(spark).limit(0)).count() == 0
 
 
+def test_bpe_equals_the_library_on_every_code_point():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path(bpe.VOCABULARY)
+    t, own = Tokenizer.from_file(path), bpe.Codec(path)
+    points = [chr(x) for x in range(0x110000) if not 0xD800 <= x < 0xE000 and (x < 0x32400 or 0xE0000 <= x < 0xE0200 or x % 1009 == 0)]
+    texts = [f"a{x}b {x} x{x}\u0327\u0301" for x in points]
+    for i in range(0, len(texts), 4096):
+        for x, ids in zip(texts[i : i + 4096], t.encode_batch(texts[i : i + 4096], add_special_tokens=False)):
+            assert own.encode(x) == b"".join(n.to_bytes(4, "little") for n in ids.ids), ascii(x)
+
+
+def test_bpe_of_long_words_equals_the_library_within_seconds():
+    public = pytest.importorskip("public_tokenizers")
+    from time import perf_counter
+
+    from tokenizers import Tokenizer
+
+    path = public.path(bpe.VOCABULARY)
+    t, own, r = Tokenizer.from_file(path), bpe.Codec(path), random.Random(15)
+    mixed = "".join(r.choice("etaoinshrdlu") for _ in range(300_000))
+    texts = ["x" * 300_000, mixed, *("".join(chr(r.randrange(a, b)) for _ in range(100_000)) for a, b in ((0xE01, 0xE3B), (0x4E00, 0x9FA0)))]
+    texts += [mixed[a : a + n] for n in range(bpe.LONG - 3, bpe.LONG + 4) for a in range(0, 20_000, 1000)]
+    began = perf_counter()
+    got = [own.encode(x) for x in texts]
+    assert perf_counter() - began < 30
+    assert got == [b"".join(n.to_bytes(4, "little") for n in t.encode(x, add_special_tokens=False).ids) for x in texts]
+    for n in (2, 50, 700):
+        parts = [own.first[b] for b in mixed[:n].encode()]
+        assert own._scanned(list(parts)) == own._merged(list(parts))
+
+
 def test_bpe_cache_forgets_and_stays_right():
     cache = bpe.Generations(lambda x: x * 2, 3)
     assert [cache[i % 7] for i in range(50)] == [i % 7 * 2 for i in range(50)] and len(cache) <= 3 and len(cache.old) <= 3
@@ -155,12 +204,32 @@ def test_token_counts_equal_the_library(spark, rows):
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=public.path(token_counts.MODEL))
-    texts = [*random_texts(7, 1500), *["the same words again and again"] * 30, "", None, LONG, " ", "  ", "a ", " a"]
+    texts = [*random_texts(7, 1500), *["the same words again and again"] * 30, "", None, LONG, " ", "  ", "a ", " a", *(w for n in (10, 11) for w in thue_morse(n)), " ".join(w for n in (10, 11) for w in thue_morse(n))]
     docs = spark.createDataFrame(list(enumerate(texts)), DOC).repartition(3)
     got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(docs, rows=rows).collect()}
     assert got == {i: (len((t or "").encode()), len(model.encode(t or ""))) for i, t in enumerate(texts)}
 
 
+def test_token_counts_do_not_rest_on_hashes(monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    import numpy as np
+
+    hashes = common.span_hashes
+    monkeypatch.setattr(common, "span_hashes", lambda *x: hashes(*x) % common.U64(5))  # nearly all pre-tokens collide
+    lib = token_counts.library(public.path(token_counts.MODEL))
+    words = sorted({w.encode() for w in vocabulary(3, 60)})
+    table = token_counts.Table(words[:30], lib.pretoken_lengths([w.decode() for w in words[:30]]))
+    texts = [t for t in random_texts(8, 200) if t] + [" ".join(w.decode() for w in words)]
+    raw, bounds = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    assert token_counts._counts(lib, table, raw, bounds).tolist() == lib.lengths(texts)
+
+
+def test_token_counts_shuffle_no_pre_tokens(spark):
+    pytest.importorskip("public_tokenizers")
+    plan = token_counts.count_tokens(spark.createDataFrame([(1, "a b")], DOC))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def test_token_counts_of_odd_tables(spark):
     pytest.importorskip("public_tokenizers")
     assert token_counts.count_tokens(odd(spark)).count() == len(ODD) and token_counts.count_tokens(odd(spark).limit(0)).count() == 0
@@ -190,6 +259,76 @@ def test_held_out_labels_teach_nothing_and_prediction_reads_the_text_alone(spark
     assert a.languages == b.languages == ["xx", "yy", "zz"] and all((x == y).all() for x, y in zip(a.columns, b.columns))
 
 
+def test_the_sample_to_learn_from_is_bounded(spark):
+    rows = [(i, f"ka lo {i}", "xx") for i in range(3000)] + [(5000 + i, f"mi {i} " + "lo " * 40, "yy") for i in range(300)] + [(9000, "za " * 3000, "zz"), (9001, "zo " * 4000, "zz")]
+    docs = spark.createDataFrame(rows, DOC + ", lang string").repartition(7)
+    got = language_id.sample(docs, per_language=100, sample_docs=150, sample_bytes=4000, sample_text=500)
+    count = {x: sum(r.lang == x for r in got) for x in ("xx", "yy", "zz")}
+    assert 20 < count["xx"] < 90 and count["yy"] < 40 and len(got) <= 300 and sum(len(r.text) for r in got) <= 8000 + 9000
+    assert all(len(r.text) <= 9000 for r in got)  # of zz, which has no short text, the shortest alone
+    assert got == language_id.sample(docs.repartition(2), per_language=100, sample_docs=150, sample_bytes=4000, sample_text=500)
+    hot = docs.select(F.lit(1).cast("bigint").alias("doc_id"), F.lit("one text of all rows").alias("text"), F.lit("xx").alias("lang"))
+    assert len(language_id.sample(hot, sample_docs=50)) <= 100
+    assert {r.lang for r in language_id.sample(docs, languages=1)} == {"xx"}
+
+
+def plain_ftrl(rows, labels, seen, k, epochs=4, alpha=0.3, beta=1.0, l1=0.02, l2=0.1):
+    """The update rule weight by weight, with dictionaries; rows: [(bucket, value)]."""
+    import math
+
+    z, q, zb, qb = {}, {}, [0.0] * k, [0.0] * k
+    sign = lambda x: (x > 0) - (x < 0)
+    weight = lambda key: 0.0 if abs(z.get(key, 0.0)) <= l1 else -(z[key] - sign(z[key]) * l1) / ((beta + math.sqrt(q[key])) / alpha + l2)
+    bias = lambda j: -zb[j] / ((beta + math.sqrt(qb[j])) / alpha)
+    for _ in range(epochs):
+        for i in seen:
+            w = {(u, j): weight((u, j)) for u, _ in rows[i] for j in range(k)}
+            b = [bias(j) for j in range(k)]
+            logit = [b[j] + sum(x * w[u, j] for u, x in rows[i]) for j in range(k)]
+            e = [math.exp(v - max(logit)) for v in logit]
+            for j in range(k):
+                slope = e[j] / sum(e) - (labels[i] == j)
+                for u, x in rows[i]:
+                    g, old = x * slope, q.get((u, j), 0.0)
+                    z[u, j] = z.get((u, j), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w[u, j]
+                    q[u, j] = old + g * g
+                zb[j] += slope - (math.sqrt(qb[j] + slope * slope) - math.sqrt(qb[j])) / alpha * b[j]
+                qb[j] += slope * slope
+    return weight, [bias(j) for j in range(k)]
+
+
+def test_training_and_temperature_equal_a_plain_second_version():
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    docs = language_docs(40)
+    texts, langs = [d[1] for d in docs], [d[2] for d in docs]
+    model = language_id.fit(texts, langs, seed=3)
+    counts = [Counter(language_id.grams([t])[0].tolist()) for t in texts]
+    df = Counter(u for x in counts for u in x)
+    idf = {u: math.log((1 + len(texts)) / (1 + n)) + 1 for u, n in df.items()}
+    rows = [[(u, n / sum(x.values()) * language_id.SCALE * idf[u]) for u, n in sorted(x.items())] for x in counts]
+    labels = [sorted(set(langs)).index(x) for x in langs]
+    order = np.random.default_rng(3).permutation(len(texts)).tolist()
+    held = order[::5]
+    weight, bias = plain_ftrl(rows, labels, [i for k, i in enumerate(order) if k % 5], 3)
+    assert np.allclose(model.bias, bias)
+    assert all(abs(model.columns[j][u] - weight((u, j)) * idf[u]) < 1e-9 for u in df for j in range(3))
+    logits = [[b + sum(x * weight((u, j)) for u, x in rows[i]) for j, b in enumerate(bias)] for i in held]
+    sure = (len(held) + 1) / (len(held) + 2)
+
+    def loss(t):
+        total = 0.0
+        for i, z in zip(held, logits):
+            norm = math.log(sum(math.exp((v - max(z)) / t) for v in z)) + max(z) / t
+            total -= sum((sure if labels[i] == j else (1 - sure) / 2) * (v / t - norm) for j, v in enumerate(z))
+        return total
+
+    assert model.temperature == pytest.approx(min(np.geomspace(0.05, 20, 61), key=loss))
+
+
 def test_language_of_odd_tables(spark):
     model = language_id.train(spark.createDataFrame(language_docs(60), DOC + ", lang string"))
     got = {(r.doc_id, r.lang_pred == "und") for r in language_id.identify(odd(spark), model).collect()}
