@@ -164,11 +164,48 @@ def test_lines_equal_brute_force(spark, m):
     assert sorted(map(tuple, got.select("doc_id", "text", "n_lines", "n_removed").collect()), key=str) == brute_lines(docs, m)
 
 
+def brute_runs(docs, m):
+    """Per id (distinct texts): the number of maximal later copies and the longest, each against the first suffix with its first m lines."""
+    lines = {i: [x.strip(" \t\r\x0b\x0c") for x in t.split("\n") if x.strip(" \t\r\x0b\x0c")] for i, t in docs}
+    first, out = {}, {}
+    for i in sorted(lines):
+        end, n, longest = 0, 0, 0
+        for a in range(len(lines[i]) - m + 1):
+            d, b = first.setdefault(tuple(lines[i][a : a + m]), (i, a))
+            if (d, b) == (i, a):
+                continue
+            k = 0
+            while a + k < len(lines[i]) and b + k < len(lines[d]) and lines[i][a + k] == lines[d][b + k]:
+                k += 1
+            if a + k > end:
+                n, longest, end = n + 1, max(longest, k), a + k
+        out[i] = (n, longest)
+    return out
+
+
+@pytest.mark.parametrize("m", [1, 2, 3, 6])
+def test_maximal_runs_equal_brute_force(spark, m):
+    r = random.Random(16)
+    blocks = [[f"line {r.randrange(60)}" for _ in range(n)] for n in (2, 3, 7, 16, 33, 70)]
+    docs = []
+    for i in range(50):
+        own = [f"own {i} {k}" for k in range(r.randint(0, 3))]
+        for _ in range(r.randint(1, 3)):
+            x = r.choice(blocks)
+            a = r.randrange(len(x))
+            own += x[a : a + r.randint(1, len(x))] + [r.choice("ab")] * r.randint(0, 2)
+        docs.append((i, "\n".join(own) + "\n" * i))  # no two texts are equal
+    docs.append((60, "z\n" * 300))
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, DOC).repartition(3), m)
+    assert {x.doc_id: (x.n_runs, x.longest_run) for x in got.collect()} == brute_runs(docs, m)
+    assert brute_runs(docs, m)[60] == (1, 299)
+
+
 def test_lines_of_odd_tables(spark):
     docs = [(1, None), (2, ""), (3, "a\nb\nc"), (4, "a\nb\nc"), (4, "a\nb\nc"), (None, "x\na\nb\ny"), (6, "z\n" * 5000)]
     df = spark.createDataFrame(docs, DOC).withColumns({x: F.lit("extra") for x in ("starts", "copy", "t1", "key", "row", "lines", "n_lines")})
     got = line_dedup.dedup_lines(df)
-    assert set(df.columns) | {"n_removed"} == set(got.columns)
+    assert set(df.columns) | set(line_dedup.RESULTS) == set(got.columns)
     assert sorted(map(tuple, got.select("doc_id", "text", F.col("n_lines"), "n_removed").collect()), key=str) == brute_lines(docs, 2)
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
