@@ -1,19 +1,24 @@
 """Embedding near-dedup by epsilon grid order join.
 
 Cosine of at least ``threshold`` means that unit vectors lie within epsilon = sqrt(2 - 2 threshold). Unit vectors are
-projected on their leading principal directions, a projection never lengthens a distance, and sorted by the grid cells (of
-width epsilon) that they fall in, lexicographically: the epsilon grid order. The sorted sequence is cut into blocks with
-bounding boxes. The join recurses over intervals of the sequence: groups of SPAN blocks are paired, pairs whose boxes are
-farther apart than epsilon are provably without links and skipped, the others are split into their children, down to
-blocks, and inside a task down to LEAF vectors, whose cosines are computed in double precision.
-
-The directions come from a bounded sample of SAMPLE vectors; they decide only what is skipped, never a result. Equal
-vectors are one class with a count, so copies are never paired. A pair of blocks returns link counts and a spanning forest
-of its links, at most a row for each vector, whatever the number of links.
+projected on their leading principal directions, and the norm of what is left is one coordinate more: a map that never lengthens a
+distance. They are sorted by the grid cells (of width epsilon) of the leading coordinates, lexicographically: the epsilon
+grid order. The sorted sequence is cut into groups, one for each range partition, and groups into blocks with bounding boxes. The
+join recurses over intervals of the sequence: groups are paired, pairs whose boxes are farther apart than epsilon are
+provably without links and skipped. A pair of groups is a tile, to which either group is sent once, so a vector is
+sent as often as there are groups, whatever the number of blocks. Inside a tile the recursion goes on, over blocks down to leaves
+of LEAF vectors, skipping what is distant. Between two leaves one small matrix product of these coordinates bounds all
+cosines from above (the inner products of what is left by those norms); only pairs whose bound reaches the threshold have
+their cosine computed, in double precision.
+
+The directions come from a bounded sample of SAMPLE vectors; they decide only what is skipped, never a result. Copies of a vector
+that stand together in the order are one node with a count, so copies aren't paired. A tile returns link counts
+and a spanning forest of its links, at most a row for each vector, whatever the number of links.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of
-different lengths are never compared. A null vec_id links with nothing and has a null component. Rows with the same id
-are one node of the graph. Extra columns (label among them) are ignored.
+different lengths are never compared (the length is a side of the boxes, so their tiles are skipped). A null vec_id links
+with nothing and has a null component. Rows with the same id are one node of the graph. Extra columns (label among them)
+are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +30,20 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as c
 from .components import connected_components
 
 THRESHOLD = 0.95
-DIRECTIONS, SAMPLE, SPAN_BITS, LEAF = 6, 4096, 4, 256
-BLOCK_BYTES = 1 << 20
+#: Principal directions, those of them that the grid order is of, and sides of a box (length, directions, norm of the rest).
+DIRECTIONS, GRID, SIDES = 16, 6, 18
+SAMPLE, SAMPLE_BYTES, LENGTHS = 4096, 32 << 20, 16  # vectors, bytes of the sample; lengths of vectors that have directions
+SPAN_BITS, LEAF = 4, 512
+#: Bytes of a block, of a group of blocks at most, and groups that are made if there are as many blocks.
+BLOCK_BYTES, GROUP_BYTES, LEAST_GROUPS = 1 << 20, 16 << 20, 4
+COPIES = 1 << 16  # copies that one node counts; more are further nodes
+FAR = 1e6  # between the sides of two lengths
 
 
 def directions(sample: np.ndarray, n: int) -> np.ndarray:
@@ -49,47 +61,76 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def coordinates(x: np.ndarray, v: np.ndarray | None) -> np.ndarray:
+    """Projections of unit vectors, zeros for directions that are wanting, and the norm of the rest: DIRECTIONS + 1 columns."""
+    out = np.zeros((len(x), DIRECTIONS + 1))
+    if v is not None:
+        out[:, : v.shape[1]] = x @ v
+    out[:, -1] = np.sqrt(np.maximum(0, 1 - (out * out).sum(1)))
+    return out
+
+
 def _matrix(column: pa.ListArray, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
 
+def _grid(v, eps: float, kind: str):
+    """Rows with the cells and the vector as bytes."""
 
-def _grid(dim: int, v, eps: float):
     def run(batches):
         for b in batches:
-            cells = np.floor(unit(_matrix(b.column(2), dim)) @ v.value / eps).astype(np.int32)
-            grid = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32)) if cells.shape[1] else pa.array(np.zeros(len(cells) + 1, np.int32)), pa.array(cells.ravel()))
-            yield pa.RecordBatch.from_arrays([*b.columns, grid], ["rep", "n", "embedding", "cell"])
+            vectors = b.column(b.schema.get_field_index("embedding"))
+            sizes = np.diff(vectors.offsets.to_numpy())
+            flat, at = vectors.flatten().to_numpy(zero_copy_only=False).astype(kind), np.concatenate([[0], np.cumsum(sizes)])
+            cells = np.zeros((len(sizes), GRID), np.int32)
+            for dim in np.unique(sizes):
+                own = np.flatnonzero(sizes == dim)
+                x = flat[at[own][:, None] + np.arange(dim)]
+                cells[own] = np.floor(coordinates(unit(x), v.value.get(int(dim)))[:, :GRID] / eps)
+            data = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((at * flat.itemsize).astype(np.int32)), pa.py_buffer(flat)])
+            grid = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, GRID, dtype=np.int32)), pa.array(cells.ravel()))
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in ("vec_id", "h1", "h2")), pa.array(sizes, pa.int32()), grid, data], ["vec_id", "h1", "h2", "dim", "cell", "vector"])
 
     return run
 
 
-def _blocks(dim: int, v, size: int):
-    """Consecutive vectors as one row: place, bounding box in the principal directions, ids, counts, vectors."""
+BLOCK = "grp bigint, seq bigint, dim int, lo array<double>, hi array<double>, ids binary, counts binary, vectors binary, rows binary, nodes binary"
 
-    def run(batches):
-        place, held, have = 0, [], 0
 
-        def cut(parts):
-            nonlocal place
-            ids, n, x = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            y = unit(x) @ v.value
-            row = [[TaskContext.get().partitionId()], [place], [(y.min(0) - 1e-9).tolist()], [(y.max(0) + 1e-9).tolist()], [ids.astype("<i8").tobytes()], [n.astype("<i8").tobytes()], [x.astype("<f8").tobytes()]]
-            place += 1
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(row, kinds)], ["part", "seq", "lo", "hi", "ids", "counts", "vectors"])
+def _blocks(v, size: int, kind: str):
+    """Consecutive vectors of one length as one row: bounding box, node ids, counts, vectors; and the node of each row."""
+
+    def run(batches):
+        group, seq = TaskContext.get().partitionId(), 0
+        held, last = [], None  # nodes: [id, count, vector]; (dim, h1, h2) of the last one
+        rows, nodes = [], []
+
+        def cut():
+            nonlocal seq, held, rows, nodes
+            dim = last[0]
+            x = np.frombuffer(b"".join(n[2] for n in held), kind).reshape(-1, dim)
+            y = coordinates(unit(x), v.value.get(dim))
+            lo, hi = ([dim * FAR, *side] for side in ((y.min(0) - 1e-9).tolist(), (y.max(0) + 1e-9).tolist()))
+            ids, counts = (np.array([n[i] for n in held], "<i8") for i in (0, 1))
+            row = ([group], [seq], [dim], [lo], [hi], [ids.tobytes()], [counts.tobytes()], [x.tobytes()], [np.array(rows, "<i8").tobytes()], [ids[np.array(nodes)].astype("<i8").tobytes()])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), *[pa.binary()] * 5)
+            seq, held, rows, nodes = seq + 1, [], [], []
+            return pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(row, kinds)], [n.split(" ")[0] for n in BLOCK.split(", ")])
 
         for b in batches:
-            new = [b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2), dim)]
-            while len(new[0]):
-                take = size - have
-                held.append([x[:take] for x in new])
-                have += len(held[-1][0])
-                new = [x[take:] for x in new]
-                if have == size:
-                    yield cut(held)
-                    held, have = [], 0
-        if have:
-            yield cut(held)
+            get = lambda n: b.column(b.schema.get_field_index(n))
+            keys = zip(get("dim").to_pylist(), get("h1").to_pylist(), get("h2").to_pylist())
+            for key, id, data in zip(keys, get("vec_id").to_pylist(), get("vector").to_pylist()):
+                same = held and key == last and data == held[-1][2] and held[-1][1] < COPIES
+                if held and not same and (len(held) >= max(LEAF, size // key[0]) or key[0] != last[0]):
+                    yield cut()
+                if not same:
+                    held.append([id, 0, data])
+                last = key
+                held[-1][1] += 1
+                rows.append(id), nodes.append(len(held) - 1)
+        if held:
+            yield cut()
 
     return run
 
@@ -101,14 +142,13 @@ def near(a: str = "a", b: str = "b", eps: float = 0.0) -> F.Column:
 
 
 def block_pairs(boxes: DataFrame, bits: int, eps: float) -> DataFrame:
-    """a, b (a <= b): blocks whose boxes are near, by recursion over intervals of 2**SPAN_BITS children. boxes: block, lo, hi."""
+    """a, b (a <= b): blocks whose boxes are near, by recursion over intervals of 2**SPAN_BITS children. boxes: block, lo, hi
+    (arrays of SIDES numbers)."""
     levels = [boxes]
     for _ in range(max(1, -(-bits // SPAN_BITS))):
         down = levels[-1]
-        lo, hi = [F.min(F.col("lo")[i]) for i in range(DIRECTIONS)], [F.max(F.col("hi")[i]) for i in range(DIRECTIONS)]
-        up = down.groupBy(F.shiftright("block", SPAN_BITS).alias("block")).agg(F.array(*lo).alias("lo"), F.array(*hi).alias("hi"))
-        # vectors shorter than DIRECTIONS have fewer sides
-        levels.append(up.select("block", F.filter("lo", lambda x: x.isNotNull()).alias("lo"), F.filter("hi", lambda x: x.isNotNull()).alias("hi")))
+        lo, hi = [F.min(F.col("lo")[i]) for i in range(SIDES)], [F.max(F.col("hi")[i]) for i in range(SIDES)]
+        levels.append(down.groupBy(F.shiftright("block", SPAN_BITS).alias("block")).agg(F.array(*lo).alias("lo"), F.array(*hi).alias("hi")))
     top = levels[-1]
     pairs = top.select(F.col("block").alias("a"), F.col("block").alias("b"))  # bits are used up: the root alone
     for level in reversed(levels[:-1]):
@@ -132,51 +172,64 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def join_blocks(a: tuple, b: tuple | None, v: np.ndarray, threshold: float, eps: float):
-    """(node, links, root) of the vectors of two blocks (or one, b None) that have links; blocks: ids, counts, vectors."""
-    ids = a[0] if b is None else np.concatenate([a[0], b[0]])
-    counts = a[1] if b is None else np.concatenate([a[1], b[1]])
-    x = unit(a[2] if b is None else np.concatenate([a[2], b[2]]))
-    y = x @ v
-    n, cut = len(ids), len(a[0])
+def _links(x: np.ndarray, y: np.ndarray, s: int, e: int, t: int, u: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (g, h), g < h, of vectors s to e and t to u with a cosine of at least threshold. y: coordinates, single precision."""
+    bound = y[s:e] @ y[t:u].T
+    g, h = np.nonzero(bound >= threshold - 1e-4)
+    if s == t:
+        g, h = g[g < h], h[g < h]
+    if not len(g):
+        return g, h
+    g, h = g + s, h + t
+    if len(g) * 4 > (e - s) * (u - t):
+        cos = (x[s:e] @ x[t:u].T)[g - s, h - t]
+    else:
+        cos = np.einsum("ij,ij->i", x[g], x[h])
+    ok = cos >= threshold
+    for i in np.flatnonzero(np.abs(cos - threshold) < 1e-12):
+        ok[i] = math.fsum((x[g[i]] * x[h[i]]).tolist()) >= threshold or np.array_equal(x[g[i]], x[h[i]])
+    return g[ok], h[ok]
+
+
+def join_blocks(one: list[tuple], two: list[tuple] | None, v: np.ndarray | None, threshold: float, eps: float, seen: list | None = None):
+    """(node, links, root) of the vectors that have links, between the blocks of two groups, or inside one group (two None).
+
+    blocks: ids, counts, vectors. seen: counts of the vector pairs in all and of those whose leaves were compared, to be added to.
+    """
+    parts = [*one, *(two or [])]
+    ids, counts = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    x = unit(np.concatenate([p[2] for p in parts]))
+    full = coordinates(x, v)
+    y = full.astype(np.float32)
+    n, cut = len(ids), sum(len(p[0]) for p in one)
     leaves = [(s, min(s + LEAF, e)) for lo, e in ((0, cut), (cut, n)) for s in range(lo, e, LEAF)]
-    boxes = [(y[s:e].min(0) - 1e-9, y[s:e].max(0) + 1e-9) for s, e in leaves]
+    low, high = (np.array([f(full[s:e], axis=0) for s, e in leaves]) for f in (np.min, np.max))
+    low, high = low - 1e-9, high + 1e-9
     links = np.zeros(n, np.int64)
     left, right = [], []
 
     def leaf(p, q):
         (s, e), (t, u) = leaves[p], leaves[q]
-        cos = x[s:e] @ x[t:u].T
-        mask = cos >= threshold
-        edge = np.abs(cos - threshold) < 1e-12
-        if edge.any():
-            for g, h in zip(*np.nonzero(edge)):
-                mask[g, h] = math.fsum((x[s + g] * x[t + h]).tolist()) >= threshold
-        if p == q:
-            np.fill_diagonal(mask, False)
-        if not mask.any():
+        if seen is not None:
+            seen[1] += (e - s) * (u - t) if p != q else (e - s) * (e - s - 1) // 2
+        g, h = _links(x, y, s, e, t, u, threshold)
+        if not len(g):
             return
-        links[s:e] += mask @ counts[t:u]
-        if p != q:
-            links[t:u] += counts[s:e] @ mask
-        g, h = np.nonzero(mask)
-        label = forest(e - s + u - t, g, h + (e - s)) if p != q else forest(e - s, g, h)
-        where = np.concatenate([np.arange(s, e), np.arange(t, u)]) if p != q else np.arange(s, e)
+        np.add.at(links, g, counts[h])
+        np.add.at(links, h, counts[g])
+        where, at = np.unique(np.concatenate([g, h]), return_inverse=True)
+        label = forest(len(where), at[: len(g)], at[len(g) :])
         moved = np.flatnonzero(label != np.arange(len(label)))
         left.append(where[moved]), right.append(where[label[moved]])
 
     def recurse(p0, p1, q0, q1):
         """Leaves p0 to p1 against q0 to q1: skip if their boxes are distant, else halve the longer interval."""
-        lo = [np.min([boxes[k][0] for k in range(*r)], axis=0) for r in ((p0, p1), (q0, q1))]
-        hi = [np.max([boxes[k][1] for k in range(*r)], axis=0) for r in ((p0, p1), (q0, q1))]
-        gap = np.maximum(0, np.maximum(lo[0] - hi[1], lo[1] - hi[0]))
+        gap = np.maximum(0, np.maximum(low[p0:p1].min(0) - high[q0:q1].max(0), low[q0:q1].min(0) - high[p0:p1].max(0)))
         if gap @ gap > eps * eps:
             return
         if p1 - p0 == q1 - q0 == 1:
-            if p0 <= q0:
-                leaf(p0, q0)
-            return
-        if (p0, p1) == (q0, q1):
+            leaf(p0, q0)
+        elif (p0, p1) == (q0, q1):
             m = (p0 + p1) // 2
             recurse(p0, m, p0, m), recurse(p0, m, m, p1), recurse(m, p1, m, p1)
         elif p1 - p0 >= q1 - q0:
@@ -186,8 +239,10 @@ def join_blocks(a: tuple, b: tuple | None, v: np.ndarray, threshold: float, eps:
             m = (q0 + q1) // 2
             recurse(p0, p1, q0, m), recurse(p0, p1, m, q1)
 
+    if seen is not None:
+        seen[0] += cut * (n - cut) if two is not None else n * (n - 1) // 2
     split = -(-cut // LEAF)
-    if b is None:
+    if two is None:
         recurse(0, split, 0, split)
     else:
         recurse(0, split, split, len(leaves))
@@ -198,63 +253,82 @@ def join_blocks(a: tuple, b: tuple | None, v: np.ndarray, threshold: float, eps:
     return ids[some], links[some], ids[label[some]]
 
 
-def _pairs(dim: int, v, threshold: float, eps: float):
+def _tiles(v, threshold: float, eps: float, kind: str):
+    """Rows sorted by tile: the blocks of its two groups. Yields the links of every tile."""
+
     def run(batches):
+        at, held = None, ({}, {})
+
+        def flush():
+            for dim in held[0]:
+                if at[0] == at[1] or dim in held[1]:
+                    out = join_blocks(held[0][dim], None if at[0] == at[1] else held[1][dim], v.value.get(dim), threshold, eps)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["node", "links", "root"])
+
         for b in batches:
             get = {name: b.column(i) for i, name in enumerate(b.schema.names)}
             for i in range(b.num_rows):
-                block = [(np.frombuffer(get[f"ids_{s}"][i].as_buffer(), "<i8"), np.frombuffer(get[f"counts_{s}"][i].as_buffer(), "<i8"), np.frombuffer(get[f"vectors_{s}"][i].as_buffer(), "<f8").reshape(-1, dim)) for s in "ab"]
-                one = get["a"][i].as_py() == get["b"][i].as_py()
-                out = join_blocks(block[0], None if one else block[1], v.value, threshold, eps)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["node", "links", "root"])
+                key = get["a"][i].as_py(), get["b"][i].as_py()
+                if key != at:
+                    if at is not None:
+                        yield from flush()
+                    at, held = key, ({}, {})
+                dim = get["dim"][i].as_py()
+                block = [np.frombuffer(get[n][i].as_buffer(), t).copy() for n, t in (("ids", "<i8"), ("counts", "<i8"), ("vectors", kind))]
+                side = held[0] if get["grp"][i].as_py() == key[0] else held[1]
+                side.setdefault(dim, []).append((*block[:2], block[2].reshape(-1, dim)))
+        if at is not None:
+            yield from flush()
 
     return run
 
 
-def _links_of_length(classes: DataFrame, dim: int, n: int, threshold: float, block_bytes: int) -> DataFrame:
-    """node, links, root of the classes of one vector length."""
-    spark = classes.sparkSession
-    c.small_batches(spark)
-    eps = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-7
-    sample = classes.orderBy(F.xxhash64("rep")).limit(min(SAMPLE, max(64, (32 << 20) // (8 * dim)))).select("embedding").collect()
-    v = spark.sparkContext.broadcast(directions(unit(np.array([r.embedding for r in sample], np.float64)), min(DIRECTIONS, dim)))
-    size = max(64, block_bytes // (8 * dim))
-    grid = c.map_batches(classes.select("rep", "n", "embedding"), _grid(dim, v, eps), "rep bigint, n bigint, embedding array<double>, cell array<int>")
-    order = grid.repartitionByRange(max(1, -(-n // (8 * size))), "cell", "rep").sortWithinPartitions("cell", "rep").drop("cell")
-    cut = c.staged(c.map_batches(order, _blocks(dim, v, size), "part bigint, seq bigint, lo array<double>, hi array<double>, ids binary, counts binary, vectors binary"), "vector-blocks")
-    parts, seqs = cut.agg(F.max("part"), F.max("seq")).first()
-    seq_bits = int(seqs or 0).bit_length()
-    cut = cut.withColumn("block", F.shiftleft("part", seq_bits) + F.col("seq"))
-    pairs = c.staged(block_pairs(cut.select("block", "lo", "hi"), seq_bits + int(parts or 0).bit_length(), eps), "block-pairs")
-    side = lambda s: cut.select(F.col("block").alias(s), *[F.col(x).alias(f"{x}_{s}") for x in ("ids", "counts", "vectors")])
-    work = pairs.join(side("a"), "a").join(side("b"), "b")
-    return c.map_batches(work, _pairs(dim, v, threshold, eps), "node bigint, links bigint, root bigint")
-
-
-def dedup_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _members(batches):
+    for b in batches:
+        get = lambda n: np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in b.column(b.schema.get_field_index(n))] or [np.zeros(0, np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(get("rows"), pa.int64()), pa.array(get("nodes"), pa.int64())], ["vec_id", "node"])
+
+
+def dedup_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of vectors (vec_id, embedding). threshold: over 0, up to 1."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
-    v = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    spark = vectors.sparkSession
+    single = isinstance(vectors.schema["embedding"].dataType, T.ArrayType) and isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
+    kind, width = ("<f4", 4) if single else ("<f8", 8)
+    v = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    v = v.withColumn("good", F.coalesce(good, F.lit(False)))
-    v = v.withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit("second"), "embedding"))
-    classes = c.staged(v.where("good").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("embedding")), "vector-classes")
-    found = None
-    for dim, n in classes.groupBy(F.size("embedding")).count().collect():  # a row for each length of vectors
-        one = _links_of_length(classes.where(F.size("embedding") == dim), dim, n, threshold, block_bytes)
-        found = one if found is None else found.unionByName(one)
-    whole = classes.select("h1", "h2", "rep", "n")
-    if found is None:
-        whole = whole.select("h1", "h2", (F.col("n") - 1).alias("links"), F.col("rep").alias("component"))
-    else:
-        found = c.staged(found, "vector-links")
-        counts = found.groupBy("node").agg(F.sum("links").alias("links")).withColumnRenamed("node", "rep")
-        parts = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-        whole = whole.join(counts, "rep", "left").join(parts, "rep", "left").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    out = v.select("vec_id", "good", "h1", "h2").join(whole, ["h1", "h2"], "left")
-    own = F.when(F.col("good"), F.col("component")).otherwise(F.col("vec_id"))
-    return out.select("vec_id", F.when(F.col("good"), F.col("links")).otherwise(F.lit(0)).cast("bigint").alias("n_links"), own.alias("component_id"), F.col("vec_id").eqNullSafe(own).alias("kept"))
+    good = F.coalesce(good, F.lit(False))
+    rows = v.where(good)
+    total, longest = rows.agg(F.sum(F.size("embedding")), F.max(F.size("embedding"))).first()
+    own = rows.select("vec_id", F.lit(0).cast("bigint").alias("links"), F.col("vec_id").alias("component"))
+    if total:
+        eps = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-7
+        sample = rows.orderBy(F.xxhash64("vec_id", "embedding")).limit(max(64, min(SAMPLE, SAMPLE_BYTES // (8 * longest)))).select("embedding").toArrow()
+        by: dict[int, list] = {}
+        for r in sample.column(0):
+            by.setdefault(len(r), []).append(r.values.to_numpy(zero_copy_only=False))
+        lengths = sorted(by, key=lambda d: (-len(by[d]), d))[:LENGTHS]
+        shared = spark.sparkContext.broadcast({d: directions(unit(np.array(by[d])), min(DIRECTIONS, d)) for d in lengths})
+        size = block_bytes // width
+        groups = max(-(-total * width // group_bytes), min(LEAST_GROUPS, -(-total * width // block_bytes)))
+        grid = c.map_batches(rows.select("vec_id", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit("second"), "embedding").alias("h2"), "embedding"), _grid(shared, eps, kind), "vec_id bigint, h1 bigint, h2 bigint, dim int, cell array<int>, vector binary")
+        order = ["dim", "cell", "h1", "h2", "vec_id"]
+        cut = c.staged(c.map_batches(grid.repartitionByRange(groups, *order).sortWithinPartitions(*order).drop("cell"), _blocks(shared, size, kind), BLOCK), "vector-blocks")
+        boxes = cut.groupBy(F.col("grp").alias("block")).agg(F.array(*[F.min(F.col("lo")[i]) for i in range(SIDES)]).alias("lo"), F.array(*[F.max(F.col("hi")[i]) for i in range(SIDES)]).alias("hi"))
+        pairs = c.staged(block_pairs(boxes, int(groups).bit_length(), eps), "group-pairs")
+        sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("grp"))
+        tiles = pairs.count()
+        work = sides.join(cut.select("grp", "dim", "ids", "counts", "vectors"), "grp").repartition(max(1, 3 * tiles), "a", "b").sortWithinPartitions("a", "b")
+        found = c.staged(c.map_batches(work, _tiles(shared, threshold, eps, kind), "node bigint, links bigint, root bigint"), "vector-links")
+        members = c.map_batches(cut.select("rows", "nodes"), _members, "vec_id bigint, node bigint")
+        # links of a node: those in tiles, and the other copies that it counts
+        copies = members.groupBy("node").agg((F.count("*") - 1).alias("links"))
+        counts = found.select("node", "links").unionByName(copies).groupBy("node").agg(F.sum("links").alias("links"))
+        parts = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        own = members.join(counts, "node").join(parts, "node", "left").select("vec_id", "links", F.coalesce("component", "node").alias("component"))
+    bad = v.where(~good).select("vec_id", F.lit(0).cast("bigint").alias("links"), F.col("vec_id").alias("component"))
+    return own.unionByName(bad).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.col("vec_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
