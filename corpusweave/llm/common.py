@@ -276,6 +276,23 @@ def pack_sorted(values: np.ndarray) -> bytes:
     return bytes([keep]) + planes[:keep].tobytes()
 
 
+def places(h: np.ndarray, check: np.ndarray, table: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Where each pair (h, check) stands in a table sorted by its hashes; -1 where it doesn't."""
+    out = np.full(len(h), -1, np.int64)
+    if not len(table) or not len(h):
+        return out
+    at = np.searchsorted(table, h)
+    left = np.flatnonzero(at < len(table))
+    while len(left):  # once, unless hashes in the table are equal
+        left = left[table[at[left]] == h[left]]
+        ok = checks[at[left]] == check[left]
+        out[left[ok]] = at[left[ok]]
+        left = left[~ok]
+        at[left] += 1
+        left = left[at[left] < len(table)]
+    return out
+
+
 def unpack_sorted(data: bytes) -> np.ndarray:
     keep = data[0]
     planes = np.frombuffer(data, np.uint8, offset=1).reshape(keep, -1)
@@ -284,27 +301,60 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(out.reshape(-1).view("<u8"), dtype=U64)
 
 
-def order_blocks(docs: DataFrame, key: str, block_bytes: int, bins: int = 512) -> tuple[F.Column, int, int]:
-    """(expression of a document's block, upper bound of blocks, total bytes): blocks rise with the key column.
+#: Bits of a block's number that tell the parts of one rank apart.
+PART_BITS = 20
+
+
+def order_blocks(docs: DataFrame, key: str, block_bytes: int, bins: int = 512) -> tuple[DataFrame, int]:
+    """(docs with a column block, total bytes of text). The rank block >> PART_BITS rises with the key, which isn't null.
 
-    Quantiles of the key give at most ``bins`` intervals of equal rows; each is cut evenly as often as the bytes ask for.
-    Only the quantiles come to the driver, a fixed number.
+    Ranks are intervals between quantiles of the key, weighted by bytes of text: at most ``bins`` of them, and where that leaves more
+    than block_bytes in each, as many again inside every interval (only these quantiles come to the driver or are
+    broadcast, bins + bins**2 numbers at most); what is still larger is cut evenly. A key that several quantiles fall on is a
+    rank of its own, in parts by the place of the row in its file or partition, so equal rows part too: only such a rank has
+    more than one part, and its rows have one key. docs: a scan, whose rows come in the same order again if a task is repeated.
     """
-    asked = [i / bins for i in range(1, bins)]
-    total, low, high, bounds = docs.agg(F.sum(F.octet_length("text")), F.min(key), F.max(key), F.percentile_approx(key, asked, 2000)).first()
-    total = total or 0
+    weight = F.octet_length("text") + 16
+    total, text, low, high = docs.agg(F.sum(weight), F.sum(F.octet_length("text")), F.min(key), F.max(key)).first()
     if low is None:
-        return F.lit(0).cast("bigint"), 1, 0
-    edges = sorted({low, *bounds})
-    cuts = max(1, -(-total // (block_bytes * len(edges))))
-    step = max(1, len(edges) * block_bytes // max(total, 1))  # few bytes: fewer blocks than bins
-    edges = edges[::step] if cuts == 1 else edges
-    arr = F.array(*[F.lit(int(x)) for x in edges]).cast("array<bigint>")
-    ends = F.array(*[F.lit(int(x)) for x in [*edges[1:], max(high, edges[-1]) + (1 if high < (1 << 63) - 1 else 0)]]).cast("array<bigint>")
-    at = F.size(F.filter(arr, lambda b: b <= F.col(key)))
-    if cuts == 1:
-        return at.cast("bigint"), len(edges) + 1, total
-    begin, end = F.element_at(arr, at), F.element_at(ends, at)
-    share = (F.col(key).cast("double") - begin.cast("double")) / F.greatest(end.cast("double") - begin.cast("double"), F.lit(1.0))
-    sub = F.least(F.floor(share * cuts), F.lit(cuts - 1))
-    return (at.cast("bigint") * cuts + sub).cast("bigint"), (len(edges) + 1) * cuts, total
+        return docs.withColumn("block", F.lit(0).cast("bigint")), 0
+    wanted = max(1, -(-total // block_bytes))
+    first = min(bins, wanted)
+    second = min(bins, -(-wanted // first))
+    third = -(-wanted // (first * second))
+
+    def draws(number: int) -> DataFrame:
+        """Keys, each about as often as its share of ``number`` says."""
+        dice = F.shiftrightunsigned(F.xxhash64(key, "text", F.lit(3)), 11) / float(1 << 53)
+        return docs.select(F.col(key).alias("key"), F.explode(F.array_repeat(F.lit(0), F.floor(weight * (number / total) + dice).cast("int"))).alias("x")).select("key")
+
+    def cuts(edges: F.Column) -> F.Column:
+        """Of sorted quantiles: struct(edge, many: how many of them it is)."""
+        return F.transform(F.array_distinct(edges), lambda e: F.struct(e.alias("edge"), F.size(F.filter(edges, lambda x: x == e)).alias("many")))
+
+    def place(column: F.Column, table: F.Column) -> tuple[F.Column, F.Column]:
+        """(rank among the cuts, how many quantiles fall on the key)."""
+        n = F.size(F.filter(table, lambda e: e["edge"] <= column))
+        at = F.when(n > 0, F.try_element_at(table, F.greatest(n, F.lit(1))))
+        many = F.coalesce(F.when((at["edge"] == column) & (at["many"] > 1), at["many"]), F.lit(0))
+        return n * 2 + (many == 0).cast("int"), many
+
+    ask = lambda n: [i / n for i in range(1, n)] or [1.0]
+    found = draws(64 * first).agg(F.percentile_approx("key", ask(first), 8 * bins).alias("edges")).first().edges or [high]
+    one = cuts(F.array(*[F.lit(int(x)).cast("bigint") for x in sorted(found)]))
+    rank, many = place(F.col(key), one)
+    part = many * (total // first // block_bytes + 1)
+    if second > 1:
+        inner = draws(64 * first * second).select("key", place(F.col("key"), one)[0].alias("outer")).groupBy("outer").agg(F.percentile_approx("key", ask(second), 8 * bins).alias("edges"), F.min("key").alias("least"), F.max("key").alias("most"))
+        inner = inner.select("outer", cuts(F.array_sort("edges")).alias("cuts"), "least", "most")
+        docs = docs.withColumn("outer", rank).join(F.broadcast(inner), "outer", "left")
+        rank2, many2 = place(F.col(key), F.coalesce("cuts", F.array().cast(inner.schema["cuts"].dataType)))
+        part = F.when(many > 0, part).otherwise(many2 * (total // (first * second) // block_bytes + 1))
+        rank = rank.cast("bigint") * (2 * second + 2) + F.when(many > 0, 0).otherwise(rank2)
+        if third > 1:
+            share = (F.col(key).cast("double") - F.col("least").cast("double")) / F.greatest(F.col("most").cast("double") - F.col("least").cast("double"), F.lit(1.0))
+            step = F.coalesce(F.greatest(F.lit(0), F.least(F.floor(share * second * third), F.lit(second * third - 1))), F.lit(0))  # rises with the key
+            rank = rank * (second * third) + F.when((many > 0) | (many2 > 0), 0).otherwise(step)
+    salt = F.when(part > 0, F.pmod(F.monotonically_increasing_id(), F.least(part, F.lit(1 << PART_BITS)))).otherwise(0)
+    block = F.shiftleft(rank.cast("bigint"), PART_BITS) + salt.cast("bigint")
+    return docs.withColumn("block", block).drop("outer", "cuts", "least", "most"), text or 0

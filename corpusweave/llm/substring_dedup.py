@@ -4,15 +4,18 @@ Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. A window is ``window`` consecutiv
 is covered by a window whose word sequence also starts in a document with a smaller id is removed; repeated windows merge
 into maximal removal intervals. Windows are judged on the input, not on what is left.
 
-The plan. Documents are dealt to blocks that rise with the id, so of two blocks every id of the first is smaller.
+The plan. Documents are dealt to blocks whose ranks rise with the id, by cumulated bytes; an id that holds many rows is a
+rank of its own, in several blocks.
 1. Each task hashes all windows of its blocks and sends one row for each (block, hash range) with the distinct hashes,
    packed. However often a passage stands in a block, it's sent once: a hot passage can't swell a range.
-2. Each hash range meets in one group of bounded size (the number of ranges follows the bytes). The first block of a hash
-   owns it; every other block gets it back as removable, the owner gets it back if it has it more than once.
+2. Each hash range meets in one group of bounded size (the number of ranges follows the bytes). The smallest rank with a hash
+   owns it; every block of another rank gets it back as removable, a block of the owner's rank gets it back if it has it more
+   than once.
 3. Each block takes its documents (the same shuffle as in 1) and its hashes, and decides: a removable hash goes, an owned
    one goes in all documents but those with the block's smallest id.
-Nothing is collected; a group is a block or a hash range, both of bounded size. Two different windows are taken for equal
-with a probability of 2**-64.
+Nothing is collected; a group is a block or a hash range, both of bounded size. A window is known by 96 bits: a Rabin-Karp
+hash of 64 bits and 32 bits of a second one with another base, modulo a prime. Among the 2e13 windows of 100 TB of text
+fewer than 0.01 pairs of different windows are expected to agree in them.
 
 Defined cases: a null text has no words; a null id comes after all others (rows with null ids never remove from each
 other); rows with the same id never remove from each other; documents shorter than a window lose nothing; extra columns
@@ -29,44 +32,57 @@ from pyspark.sql import functions as F
 from . import common as c
 
 WINDOW = 13
-#: Text bytes of a block, of a hash range and of what a task gathers before it sends.
-BLOCK_BYTES, RANGE_BYTES, FLUSH_BYTES = 4 << 20, 8 << 20, 8 << 20
+#: Text bytes of a block, of a hash range, of what a task gathers before it sends, and of a shuffle's partition.
+BLOCK_BYTES, RANGE_BYTES, FLUSH_BYTES, TASK_BYTES = 4 << 20, 8 << 20, 8 << 20, 16 << 20
+PARTITIONS = 1 << 16  # of a shuffle at most; more bytes make larger ones
 LAST = (1 << 63) - 1
+U32 = np.uint32
 
 
-def window_hashes(raw: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and first word of every window, and the documents' bounds in words."""
+def window_hashes(raw: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, second hash and first word of every window, and the documents' bounds in words."""
     starts, ends, docs = c.word_bounds(raw, bounds, c.WHITESPACE_WORD)
     at = np.flatnonzero(c.gram_starts(docs, k))
-    return c.gram_hashes(c.span_hashes(raw, starts, ends), k)[at], at, docs
+    words = c.span_hashes(raw, starts, ends)
+    return c.gram_hashes(words, k)[at], (c.gram_hashes(words, k, 1)[at] >> c.U64(32)).astype(U32), at, docs
+
+
+def _in_order(groups: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by group, hash, second hash; which of that order begin a new one)."""
+    order = np.lexsort((hashes, groups))
+    same = (hashes[order][1:] == hashes[order][:-1]) & (groups[order][1:] == groups[order][:-1])
+    if (same & (checks[order][1:] != checks[order][:-1])).any():  # hashes that agree by chance
+        order = np.lexsort((checks, hashes, groups))
+        same = (hashes[order][1:] == hashes[order][:-1]) & (groups[order][1:] == groups[order][:-1]) & (checks[order][1:] == checks[order][:-1])
+    new = np.ones(len(order), bool)
+    new[1:] = ~same
+    return order, new
 
 
 def _send(batches, k: int, ranges: int):
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
 
     def flush():
-        blocks, hashes = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-        order = np.lexsort((hashes, blocks))
-        blocks, hashes = blocks[order], hashes[order]
-        new = np.ones(len(hashes), bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (blocks[1:] != blocks[:-1])
+        blocks, hashes, checks = (np.concatenate([x[i] for x in held]) for i in (0, 1, 2))
+        order, new = _in_order(blocks, hashes, checks)
         at = np.flatnonzero(new)
-        again = np.diff(np.append(at, len(hashes))) > 1
-        blocks, hashes = blocks[at], hashes[at]
+        again = np.diff(np.append(at, len(order))) > 1
+        blocks, hashes, checks = (x[order][at] for x in (blocks, hashes, checks))
         part = (hashes >> c.U64(32)) * c.U64(ranges) >> c.U64(32)
         cut = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(part.astype(np.int64)) != 0)) + 1
-        rows = [(int(part[a]), int(blocks[a]), c.pack_sorted(hashes[a:b]), c.pack_sorted(own) if len(own := hashes[a:b][again[a:b]]) else None) for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(hashes)])]
+        rows = [(int(part[a]), int(blocks[a]), c.pack_sorted(hashes[a:b]), checks[a:b].tobytes(), np.packbits(again[a:b]).tobytes() if again[a:b].any() else None) for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(hashes)])]
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         for i in range(0, len(rows), 256):
-            yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*rows[i : i + 256]), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["part", "block", "hashes", "again"])
+            yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*rows[i : i + 256]), kinds)], ["part", "block", "hashes", "checks", "again"])
 
     for batch in batches:
         raw, bounds = c.texts_of(batch, "text")
         block = batch.column(batch.schema.get_field_index("block")).to_numpy(zero_copy_only=False)
         for i, j in c.slices(bounds):
-            h, at, docs = window_hashes(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], k)
+            h, check, at, docs = window_hashes(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], k)
             if len(h):
-                held.append((block[i:j][np.searchsorted(docs, at, "right") - 1], h))
+                held.append((block[i:j][np.searchsorted(docs, at, "right") - 1], h, check))
             size += int(bounds[j] - bounds[i])
             if size >= FLUSH_BYTES and held:
                 yield from flush()
@@ -76,33 +92,34 @@ def _send(batches, k: int, ranges: int):
 
 
 def _settle(table: pa.Table) -> pa.Table:
-    """One hash range: for each block its removable hashes, and those it owns but has more than once."""
+    """One hash range: for each block its removable hashes, and those of its rank that it has more than once."""
     table = table.sort_by("block")
     blocks = table["block"].to_numpy()
-    hashes, repeats = [], []
-    for h, a in zip(table["hashes"], table["again"]):
+    hashes, checks, repeats = [], [], []
+    for h, x, a in zip(table["hashes"], table["checks"], table["again"]):
         hashes.append(c.unpack_sorted(h.as_py()))
-        repeats.append(c.member(hashes[-1], c.unpack_sorted(a.as_py())) if a.is_valid else np.zeros(len(hashes[-1]), bool))
-    block = np.repeat(np.arange(len(blocks)), [len(h) for h in hashes])
-    h, repeat = np.concatenate(hashes), np.concatenate(repeats)
-    del hashes, repeats
-    order = np.argsort(h, kind="stable")
-    h, block, repeat = h[order], blocks[block[order]], repeat[order]
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    owner = block[new][np.cumsum(new) - 1]
-    removable = block != owner
+        checks.append(np.frombuffer(x.as_py(), U32))
+        n = len(hashes[-1])
+        repeats.append(np.unpackbits(np.frombuffer(a.as_py(), np.uint8), count=n).astype(bool) if a.is_valid else np.zeros(n, bool))
+    block = np.repeat(blocks, [len(h) for h in hashes])
+    h, check, repeat = np.concatenate(hashes), np.concatenate(checks), np.concatenate(repeats)
+    del hashes, checks, repeats
+    order, new = _in_order(np.zeros(len(h), np.int8), h, check)  # stable: in a hash, blocks rise
+    h, check, block, repeat = h[order], check[order], block[order], repeat[order]
+    rank = block >> c.PART_BITS
+    removable = rank != rank[new][np.cumsum(new) - 1]
     own = ~removable & (repeat | ~new)  # a block that sent a hash twice has it twice
     rows = []
     for what, mask in ((0, removable), (1, own)):
-        b, x = block[mask], h[mask]
-        by = np.argsort(b, kind="stable")
-        b, x = b[by], x[by]
+        b, x, y = block[mask], h[mask], check[mask]
+        by, first = _in_order(b, x, y)
+        by = by[first]
+        b, x, y = b[by], x[by], y[by]
         cut = np.flatnonzero(np.diff(b)) + 1
         if len(b):
-            rows += [(int(b[s]), what, c.pack_sorted(np.unique(x[s:e]))) for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(b)])]
-    cols = list(zip(*rows)) or [[], [], []]
-    return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["block", "kind", "hashes"])
+            rows += [(int(b[s]), what, c.pack_sorted(x[s:e]), y[s:e].tobytes()) for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(b)])]
+    cols = list(zip(*rows)) or [[], [], [], []]
+    return pa.table([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["block", "kind", "hashes", "checks"])
 
 
 OUT = ["doc_id", "n_words", "starts", "ends", "kept"]
@@ -110,24 +127,30 @@ OUT = ["doc_id", "n_words", "starts", "ends", "kept"]
 
 def _remove(k: int):
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
-        empty = np.zeros(0, c.U64)
-        sets = [[], []]
-        for kind, h in zip(marks["kind"].to_pylist(), marks["hashes"]):
-            sets[kind].append(c.unpack_sorted(h.as_py()))
-        removable, owned = (np.unique(np.concatenate(x)) if x else empty for x in sets)
+        sets = [([], []), ([], [])]
+        for kind, h, check in zip(marks["kind"].to_pylist(), marks["hashes"], marks["checks"]):
+            sets[kind][0].append(c.unpack_sorted(h.as_py()))
+            sets[kind][1].append(np.frombuffer(check.as_py(), U32))
+        tables = []
+        for hashes, checks in sets:
+            h, check = (np.concatenate(hashes), np.concatenate(checks)) if hashes else (np.zeros(0, c.U64), np.zeros(0, U32))
+            order, new = _in_order(np.zeros(len(h), np.int8), h, check)
+            tables.append((h[order[new]], check[order[new]]))
+        removable, owned = tables
         batches = docs.to_batches(max_chunksize=c.BATCH_ROWS)
-        least = np.full(len(owned), LAST)  # the smallest id that has an owned hash
+        least = np.full(len(owned[0]), LAST)  # the smallest id that has an owned hash
         scanned = []
         for b in batches:
             raw, bounds = c.texts_of(b, "text")
             key = b.column(b.schema.get_field_index("key")).to_numpy(zero_copy_only=False)
             for i, j in c.slices(bounds):
-                h, at, words = window_hashes(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], k)
+                h, check, at, words = window_hashes(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], k)
                 keys = key[i:j][np.searchsorted(words, at, "right") - 1]
-                mine = np.flatnonzero(c.member(h, owned))
-                place = np.searchsorted(owned, h[mine])
+                place = c.places(h, check, *owned)
+                mine = np.flatnonzero(place >= 0)
+                place = place[mine]
                 np.minimum.at(least, place, keys[mine])
-                go = c.member(h, removable)
+                go = c.places(h, check, *removable) >= 0
                 scanned.append((at[go], at[mine], place, keys[mine], words))
         out = [[] for _ in OUT]
         turn = iter(scanned)
@@ -159,14 +182,14 @@ def _remove(k: int):
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, n_words, the removed word intervals [starts, ends) and the kept text of every document."""
-    spark = docs.sparkSession
-    c.small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    block, _, total = c.order_blocks(docs, "key", block_bytes)
+    docs, total = c.order_blocks(docs, "key", block_bytes)
     ranges = max(64, -(-total // range_bytes))
-    dealt = docs.withColumn("block", block).repartition("block")
-    sent = c.map_batches(dealt, lambda it: _send(it, window, ranges), "part bigint, block bigint, hashes binary, again binary")
-    marks = sent.groupBy("part").applyInArrow(_settle, "block bigint, kind int, hashes binary")
+    tasks = min(PARTITIONS, -(-total // TASK_BYTES))  # more than the session's number only where the bytes ask for it
+    deal = lambda df, by: df.repartition(tasks, by) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(by)
+    dealt = deal(docs, "block")
+    sent = c.map_batches(dealt, lambda it: _send(it, window, ranges), "part bigint, block bigint, hashes binary, checks binary, again binary")
+    marks = deal(sent, "part").groupBy("part").applyInArrow(_settle, "block bigint, kind int, hashes binary, checks binary")
     return dealt.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_remove(window), "doc_id bigint, n_words bigint, starts array<int>, ends array<int>, kept string")
 
 

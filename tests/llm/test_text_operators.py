@@ -133,6 +133,60 @@ def test_substrings_tell_words_apart_that_fool_polynomials(spark):
     assert all(x[2] == 0 for x in brute_substrings(docs, 13))
 
 
+@pytest.mark.parametrize("bins, block", [(512, 300), (6, 400), (2, 150)])
+def test_blocks_rise_with_the_key_and_follow_bytes(spark, bins, block):
+    r = random.Random(17)
+    last = (1 << 63) - 1
+    keys = [10**15, *range(1000, 1200), *([777] * 90), *([last] * 60), *(r.randrange(10**6) for _ in range(60))]
+    rows = [(k, "x" * r.choice([5, 30, 100])) for k in keys]
+    total = sum(len(t) for _, t in rows)
+    df, bytes_ = common.order_blocks(spark.createDataFrame(rows, "key bigint, text string").repartition(3), "key", block, bins)
+    got = df.collect()
+    assert bytes_ == total and len(got) == len(rows)
+    by = {}
+    for x in got:
+        by.setdefault(x.block, []).append(x)
+    ranks = {}
+    for b, xs in by.items():
+        ranks.setdefault(b >> common.PART_BITS, []).append((b, {x.key for x in xs}))
+    for parts in ranks.values():  # several blocks of a rank: one key
+        assert len(parts) == 1 or len(set.union(*(k for _, k in parts))) == 1
+    spans = sorted((rank, min(min(k) for _, k in p), max(max(k) for _, k in p)) for rank, p in ranks.items())
+    assert all(a[2] < b[1] for a, b in zip(spans, spans[1:]))
+    if bins == 512:
+        assert max(sum(len(x.text) + 16 for x in xs) for xs in by.values()) < 8 * block
+
+
+def test_substrings_with_null_and_repeated_ids_in_many_blocks(spark):
+    base = random_docs(18, 80)
+    docs = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t) for i, t in base]
+    docs += [(7, docs[4][1])] * 3 + [(None, docs[0][1])]
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(docs, DOC).repartition(3), 5, 400, 300)
+    assert rows_of(got) == brute_substrings(docs, 5)
+
+
+def test_windows_do_not_rest_on_one_hash(spark, monkeypatch):
+    docs = random_docs(19, 50)
+    import numpy as np
+
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    raw = np.frombuffer("".join(t for _, t in docs).encode(), np.uint8)
+    bounds = np.cumsum([0, *(len(t.encode()) for _, t in docs)])
+    h, check, at, docs_ = substring_dedup.window_hashes(raw, bounds, 5)
+    seen = {}
+    text = [w for _, t in docs for w in words(t)]
+    for i, a in enumerate(at.tolist()):
+        seen.setdefault(tuple(text[a : a + 5]), set()).add((int(h[i]), int(check[i])))
+    assert all(len(x) == 1 for x in seen.values()) and len(set.union(*seen.values())) == len(seen)
+    few = h % common.U64(7)  # hashes that agree by chance
+    order, new = substring_dedup._in_order(np.zeros(len(h), np.int8), few, check)
+    table, checks = few[order[new]], check[order[new]]
+    assert len(table) == len({(int(a), int(b)) for a, b in zip(few, check)})
+    place = common.places(few, check, table, checks)
+    assert (table[place] == few).all() and (checks[place] == check).all()
+    assert (common.places(few, check + np.uint32(1), table, checks) >= 0).sum() == sum((int(a), (int(b) + 1) % 2**32) in {(int(x), int(y)) for x, y in zip(few, check)} for a, b in zip(few, check))
+
+
 def test_substrings_of_odd_tables(spark):
     assert rows_of(substring_dedup.dedup_substrings(odd(spark), 3)) == brute_substrings(ODD, 3)
     assert substring_dedup.dedup_substrings(odd(spark).limit(0)).count() == 0
