@@ -6,22 +6,27 @@ scatters the shingles, the second is applied after a circular shift by the coord
 BANDS bands of ROWS coordinates are keys; a pair of Jaccard similarity s shares one with probability
 1 - (1 - s**ROWS)**BANDS, at 0.8 more than 0.9999.
 
-1. Documents with equal sets are one class, known by two 64-bit sums over the set; the smallest id represents it.
-2. Stars: in every bucket of a band key the members are confirmed against the bucket's smallest class, on full sets.
+1. Documents with equal sets are one class, known by two 64-bit sums over the set; one of its texts stands for it.
+2. Stars: in every bucket of a band key the members are confirmed against the bucket's first class, on full sets.
    Components of the confirmed links merge most of each group of copies.
 3. The rest: buckets that still hold several components are opened. What they connect is a group (a bucket alone, where
-   that would be more than GROUP members), cut into chunks; a task gets the texts of two chunks, finds all links between
-   different components by one product of their incidence matrix, and returns a spanning forest: at most a row for each
-   member, however many pairs are similar.
+   that would be more than GROUP members). Similar sets have similar sizes, so a group is parted into size classes of which only
+   equal and adjacent ones meet, and these into chunks of bounded bytes. A task gets the texts of two chunks, once each, and finds the links
+   between different components by products of incidence matrices; it returns a spanning forest: at most a row for each member,
+   however many pairs are similar. Pairs that share no band aren't links, whatever the group, so links don't depend on
+   how groups are cut.
 Confirming stars deals rows by (leader, salt), each salt of a bounded number of members, and streams them past the leader's set,
 so a hot leader is no hot task and no group is held.
 
 Defined cases: a null or wordless text has an empty set, is linked with nothing and is kept. A row with a null id is linked
-with nothing, has a null component and is kept. Rows of one id are one node of the graph. Extra columns are ignored.
+with nothing, has a null component and is kept. Rows of one id are one node of the graph, each with its own text's links. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +39,9 @@ from .embedding_dedup import forest
 SHINGLE, SIMILARITY = 5, (80, 100)
 BANDS, ROWS = 36, 6
 SALT = 200  # members in one stretch of a leader
-GROUP, CHUNK, CHUNK_SHINGLES = 4096, 512, 400_000  # members of a group, of a chunk, and shingles of a chunk
+GROUP = 4096  # members of a group that isn't a single bucket
+CHUNK, CHUNK_SHINGLES = 4096, 4_000_000  # members and shingles of a chunk
+BLOCK, BLOCK_SHINGLES = 512, 400_000  # of what one product compares
 U32 = np.uint32
 
 
@@ -120,7 +127,7 @@ def _sets(k: int, bands: int, rows: int):
                 keys = [(s[own[1:]] - s[own[:-1]]).view(np.int64) for s in sums]
                 parts.append((np.diff(own), *keys, band_keys(signatures(h, own, bands * rows), bands, rows)))
             n, k1, k2, keys = (np.concatenate([p[i] for p in parts]) for i in range(4)) if parts else (np.zeros(0, np.int64),) * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1), pa.array(k2), c.list_array(keys.ravel(), np.full(len(n), bands), pa.int64())], ["doc_id", "n", "k1", "k2", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(k1), pa.array(k2), c.list_array(keys.ravel(), np.full(len(n), bands), pa.int64())], ["doc_id", "text_hash", "n", "k1", "k2", "bands"])
 
     return run
 
@@ -181,69 +188,120 @@ def open_groups(buckets: DataFrame, most: int) -> DataFrame:
     return small.unionByName(rows.where("large").select(F.col("key").alias("gkey"), "rep", "component", "n"))
 
 
-def block_links(components: np.ndarray, sets: list[np.ndarray], least: int, of: int) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j): a spanning forest of the links between different components, from the sets' incidence matrix."""
+class Members:
+    """Sets with their components and band keys."""
+
+    def __init__(self, rows: list[tuple[int, int, np.ndarray, np.ndarray]]):
+        self.ids, self.components = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+        self.bands = np.array([r[2] for r in rows])
+        self.sets = [r[3] for r in rows]
+        self.sizes = np.array([len(x) for x in self.sets])
+
+    def cut(self) -> list[tuple[int, int]]:
+        """Ranges of at most BLOCK members and BLOCK_SHINGLES shingles, or one member."""
+        total, out, i = np.cumsum(self.sizes), [], 0
+        while i < len(self.sizes):
+            j = int(np.searchsorted(total, (total[i - 1] if i else 0) + BLOCK_SHINGLES, "right"))
+            out.append((i, max(i + 1, min(j, i + BLOCK))))
+            i = out[-1][1]
+        return out
+
+
+def block_links(x: Members, a: tuple[int, int], y: Members, b: tuple[int, int], least: int, of: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): members a of x and b of y that are links between different components, from the sets' incidence matrices."""
     none = np.zeros(0, np.int64)
-    sizes = np.array([len(x) for x in sets])
-    if len(sets) < 2 or (components == components[0]).all():
+    other = x.components[slice(*a)][:, None] != y.components[slice(*b)][None]
+    if not other.any():
         return none, none
-    h, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    doc = np.repeat(np.arange(len(sets)), sizes)
-    shared = count[code] > 1  # a shingle of one document is in no intersection
-    new = np.cumsum(count > 1) - 1
-    code, doc = new[code[shared]], doc[shared]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    step = max(256, (16 << 20) // (4 * len(sets)))
-    order = np.argsort(code, kind="stable")
-    code, doc = code[order], doc[order]
-    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, step):
-        a, b = np.searchsorted(code, (lo, lo + step))
-        m = np.zeros((len(sets), step), np.float32)
-        m[doc[a:b], code[a:b] - lo] = 1
-        both += m @ m.T
-    mask = (of * both >= least * (sizes[:, None] + sizes[None] - both)) & (both > 0) & (components[:, None] != components[None])
-    label = forest(len(sets), *np.nonzero(mask))
-    moved = np.flatnonzero(label != np.arange(len(sets)))
-    return moved, label[moved]
+    left, right = np.concatenate(x.sets[slice(*a)]), np.concatenate(y.sets[slice(*b)])
+    common = np.intersect1d(left, right)
+    both = np.zeros(other.shape, np.float32)
+
+    def incidence(h: np.ndarray, sizes: np.ndarray):
+        at = np.searchsorted(common, h)
+        at[at == len(common)] = 0
+        keep = common[at] == h
+        code, doc = at[keep], np.repeat(np.arange(len(sizes)), sizes)[keep]
+        order = np.argsort(code, kind="stable")
+        return code[order], doc[order]
+
+    if len(common):
+        sides = [incidence(left, x.sizes[slice(*a)]), incidence(right, y.sizes[slice(*b)])]
+        step = max(256, (8 << 20) // (4 * max(other.shape)))
+        for lo in range(0, len(common), step):
+            m = []
+            for (code, doc), n in zip(sides, other.shape):
+                p, q = np.searchsorted(code, (lo, lo + step))
+                one = np.zeros((n, step), np.float32)
+                one[doc[p:q], code[p:q] - lo] = 1
+                m.append(one)
+            both += m[0] @ m[1].T
+    sizes = x.sizes[slice(*a)][:, None] + y.sizes[slice(*b)][None]
+    i, j = np.nonzero((of * both >= least * (sizes - both)) & (both > 0) & other)
+    i, j = i + a[0], j + b[0]
+    share = np.zeros(len(i), bool)
+    for k in range(0, len(i), 1 << 14):
+        share[k : k + (1 << 14)] = (x.bands[i[k : k + (1 << 14)]] == y.bands[j[k : k + (1 << 14)]]).any(axis=1)
+    return i[share], j[share]
+
+
+def tile_links(x: Members, y: Members | None, least: int, of: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): a spanning forest of the links between two chunks, or inside one (y None), as ids."""
+    left, right = [], []
+    n = len(x.ids)
+    for p, a in enumerate(x.cut()):
+        for b in x.cut()[p:] if y is None else y.cut():
+            i, j = block_links(x, a, x if y is None else y, b, least, of)
+            left.append(i), right.append(j if y is None else j + n)
+    ids = x.ids if y is None else np.concatenate([x.ids, y.ids])
+    label = forest(len(ids), np.concatenate(left), np.concatenate(right))
+    moved = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[moved], ids[label[moved]]
 
 
 def _blocks(k: int, least: int, of: int):
-    """Rows sorted by (gkey, lo, hi): all links between components inside each block of at most two chunks."""
+    """Rows sorted by (gkey, lo, hi): all links between components inside each tile of two chunks."""
 
     def run(batches):
-        at, held = None, []
+        at, held = None, ([], [])
 
         def flush():
-            links = block_links(np.array([x[1] for x in held]), [x[2] for x in held], least, of)
-            ids = np.array([x[0] for x in held], np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(ids[x], pa.int64()) for x in links], ["a", "b"])
+            if held[0] and (held[1] if at[1] != at[2] else len(held[0]) > 1):
+                links = tile_links(Members(held[0]), Members(held[1]) if at[1] != at[2] else None, least, of)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in links], ["a", "b"])
 
         for b in batches:
             raw, bounds = c.texts_of(b, "text")
             get = lambda x: b.column(b.schema.get_field_index(x)).to_pylist()
-            keys, rows = list(zip(get("gkey"), get("lo"), get("hi"))), list(zip(get("rep"), get("component")))
+            keys, rows = list(zip(get("gkey"), get("lo"), get("hi"))), list(zip(get("rep"), get("component"), get("bands"), get("own")))
             for i, j in c.slices(bounds):
                 h, own = shingle_hashes(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], k)
                 for d in range(i, j):
                     if keys[d] != at:
-                        if len(held) > 1:
-                            yield flush()
-                        at, held = keys[d], []
-                    held.append((*rows[d], h[own[d - i] : own[d - i + 1]].copy()))
-        if len(held) > 1:
-            yield flush()
+                        yield from flush()
+                        at, held = keys[d], ([], [])
+                    rep, component, bands, chunk = rows[d]
+                    held[chunk != at[1]].append((rep, component, np.array(bands), h[own[d - i] : own[d - i + 1]].copy()))
+        if at is not None:
+            yield from flush()
 
     return run
 
 
-def rest(buckets: DataFrame, texts: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
+def rest(buckets: DataFrame, classes: DataFrame, texts: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
     """a, b: the links between different components, of which no pair is made outside a numpy block."""
-    groups = open_groups(buckets, GROUP)
-    chunks = groups.groupBy("gkey").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    rows = groups.join(chunks, "gkey").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("gkey", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("rep").alias("id"), F.col("rep"), "component")
-    dealt = rows.join(texts, "id").drop("id").repartition("gkey", "lo", "hi").sortWithinPartitions("gkey", "lo", "hi")
+    groups = open_groups(buckets, GROUP).withColumn("size", F.floor(F.log(F.col("n").cast("double")) / math.log(1.01 * similarity[1] / similarity[0])).cast("bigint"))
+    groups = c.staged(groups, "open-groups")
+    chunks = groups.groupBy("gkey", "size").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES)).cast("bigint").alias("chunks"))
+    number = lambda size, chunk: F.col(size) * (1 << 32) + chunk
+    # sets of sizes that allow the similarity are in the same class or in adjacent ones (1.01: whatever the rounding)
+    near = chunks.withColumn("mine", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
+    near = near.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+    near = near.select("gkey", F.col("mine"), number("size", F.col("chunk")).alias("other"))
+    rows = groups.join(chunks, ["gkey", "size"]).withColumn("own", number("size", F.pmod(F.xxhash64("rep"), F.col("chunks")))).withColumnRenamed("size", "mine").join(near, ["gkey", "mine"])
+    rows = rows.select("gkey", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", F.col("rep").alias("id"), "rep", "component")
+    full = texts.join(classes.select(F.col("rep").alias("id"), "bands"), "id")
+    dealt = rows.join(full, "id").drop("id").repartition("gkey", "lo", "hi").sortWithinPartitions("gkey", "lo", "hi")
     return c.map_batches(dealt, _blocks(k, *similarity), "a bigint, b bigint")
 
 
@@ -251,27 +309,33 @@ def dedup(docs: DataFrame, k: int = SHINGLE, similarity: tuple[int, int] = SIMIL
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text). similarity: fraction, 80/100 or more."""
     if similarity[0] * 100 < 80 * similarity[1]:
         raise ValueError("the bands are made for similarities of 0.8 or more")
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sets = c.staged(c.map_batches(docs, _sets(k, bands, rows), "doc_id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"), "sets")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    sets = c.staged(c.map_batches(docs.select("doc_id", "text_hash", "text"), _sets(k, bands, rows), "doc_id bigint, text_hash bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"), "sets")
     linked = sets.where("doc_id is not null and n > 0")
-    classes = linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.min_by("text_hash", "doc_id").alias("text_hash"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = c.staged(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # numbers are fixed by writing them
+    members = c.staged(sets.select("doc_id", "n", "k1", "k2").join(classes.select("k1", "k2", "rep", "first"), ["k1", "k2"], "left").drop("k1", "k2"), "members")
     keys = classes.select("rep", "n", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key")
     buckets = c.staged(keys.join(shared, "key"), "buckets")
-    needed = c.staged(buckets.select(F.col("rep").alias("doc_id")).distinct(), "needed")  # written, so that the join knows its size
-    # one text for each id: rows of an id that differ are one node, and its smallest text stands for it
-    texts = c.staged(docs.where("doc_id is not null").join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "id"), "texts")
+    needed = c.staged(classes.select("rep", F.col("first").alias("doc_id"), "text_hash").join(buckets.select("rep").distinct(), "rep", "left_semi"), "needed")  # written, so that the join knows its size
+    texts = c.staged(docs.join(needed, ["doc_id", "text_hash"]).groupBy("rep").agg(F.first("text").alias("text")).withColumnRenamed("rep", "id"), "texts")
     pairs = c.staged(stars(buckets), "pairs")
     links = c.staged(confirmed(pairs, texts, k, similarity), "links")
-    c.unstage(pairs)
-    parts = connected_components(links).withColumnRenamed("node", "rep")
+    # rows of one id are one node: their classes are linked
+    known = members.where("doc_id is not null and n > 0")
+    several = known.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a < most").drop("most")
+    same = c.staged(known.join(several, "doc_id").select("a", F.col("rep").alias("b")), "same-ids")
+    parts = connected_components(links.union(same)).withColumnRenamed("node", "rep")
     merged = buckets.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    more = c.staged(rest(merged, texts, k, similarity), "links")
+    more = c.staged(rest(merged, classes, texts, k, similarity), "links")
     if not more.isEmpty():
-        parts = connected_components(links.union(more)).withColumnRenamed("node", "rep")
-    by_class = classes.select("k1", "k2", "rep").join(parts, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    out = sets.select("doc_id", "n", "k1", "k2").join(by_class, ["k1", "k2"], "left")
-    own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+        parts = connected_components(links.union(same).union(more)).withColumnRenamed("node", "rep")
+    lowest = parts.join(classes.select("rep", "first"), "rep").groupBy("component").agg(F.min("first").alias("component_id"))
+    labels = c.staged(parts.join(lowest, "component").select("rep", "component_id"), "labels")
+    c.unstage(sets, classes, buckets, needed, texts, pairs, links, same, more)
+    out = members.join(labels, "rep", "left")
+    own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "first")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
