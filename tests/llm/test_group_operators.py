@@ -87,15 +87,17 @@ def test_near_duplicates_equal_brute_force(spark, k):
     assert sorted(map(tuple, got.collect()), key=str) == want and len({x[2] for x in want}) < 140
 
 
-def test_near_duplicates_in_blocks_when_groups_and_chunks_are_small(spark, monkeypatch):
-    monkeypatch.setattr(minhash_dedup, "GROUP", 10)
-    monkeypatch.setattr(minhash_dedup, "CHUNK", 4)
+@pytest.mark.parametrize("group", [4096, 10])
+def test_near_duplicates_in_blocks_when_groups_and_chunks_are_small(spark, monkeypatch, group):
+    monkeypatch.setattr(minhash_dedup, "GROUP", group)
+    monkeypatch.setattr(minhash_dedup, "CHUNK", 7)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 3)
     monkeypatch.setattr(minhash_dedup, "SALT", 2)
     r = random.Random(4)
     base = [f"b{i}" for i in range(150)]
     docs = []
-    for i in range(60):  # one dense group, many pairs just above or below the threshold
-        own = list(base)
+    for i in range(60):  # one dense group, many pairs just above or below the threshold, of different lengths
+        own = list(base) + [f"y{i} {k}" for k in range(r.choice([0, 0, 5, 12]))]
         for _ in range(r.randint(0, 8)):
             own[r.randrange(150)] = f"x{r.randrange(10**6)}"
         docs.append((i, " ".join(own)))
@@ -103,6 +105,58 @@ def test_near_duplicates_in_blocks_when_groups_and_chunks_are_small(spark, monke
     assert sorted(map(tuple, got.collect()), key=str) == brute_near(docs, 4)
 
 
+def test_links_do_not_depend_on_chunks_and_need_a_shared_band():
+    r = np.random.default_rng(21)
+    base = r.integers(0, 1 << 62, 200).astype(np.uint64)
+    rows = []
+    for i in range(40):
+        own = np.unique(np.concatenate([base[r.random(200) < 0.9], r.integers(0, 1 << 62, int(r.integers(0, 30))).astype(np.uint64)]))
+        rows.append((i, i % 33, r.integers(0, 3, 4), own))
+    want = set()
+    for i, a in enumerate(rows):
+        for b in rows[:i]:
+            both = len(np.intersect1d(a[3], b[3]))
+            if a[1] != b[1] and (a[2] == b[2]).any() and 100 * both >= 80 * (len(a[3]) + len(b[3]) - both):
+                want.add((b[0], a[0]))
+    whole = minhash_dedup.Members(rows)
+    got = set(zip(*(x.tolist() for x in minhash_dedup.block_links(whole, (0, 40), whole, (0, 40), 80, 100))))
+    assert {(a, b) for a, b in got if a < b} == want and want
+    one, two = minhash_dedup.Members(rows[:25]), minhash_dedup.Members(rows[25:])
+    parts = [minhash_dedup.tile_links(*x, 80, 100) for x in ((one, None), (two, None), (one, two))]
+    links = [(int(a), int(b)) for x in parts for a, b in zip(*x)]
+    assert smallest(40, links, list(range(40))) == smallest(40, sorted(want), list(range(40)))
+
+
+def test_rows_of_one_id_keep_the_links_of_their_own_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = [(3, b), (5, a), (5, b), (7, a + " end"), (8, c), (9, c)]
+    got = sorted({(x.doc_id, x.component_id) for x in minhash_dedup.dedup(spark.createDataFrame(docs, DOC), k=4).collect()})
+    assert got == [(3, 3), (5, 3), (7, 3), (8, 8), (9, 8)]
+
+
+def test_words_that_fool_polynomials_are_not_equal(spark):
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    got = minhash_dedup.dedup(spark.createDataFrame([(1, a), (2, b), (3, a)], DOC), k=4).collect()
+    assert {x.doc_id: x.component_id for x in got} == {1: 1, 2: 2, 3: 1}
+
+
+def test_bands_meet_at_the_threshold():
+    """Pairs of a Jaccard similarity of exactly 0.8 that share no band: 1.8e-5 are expected, so more than one of 6000 is a fault."""
+    r = np.random.default_rng(22)
+    missed = 0
+    for n in (36, 90, 360):
+        for _ in range(20):
+            x = r.integers(0, 1 << 63, (100, n + n // 4)).astype(np.uint64)
+            sets = [np.sort(row[cut]) for row in x for cut in (np.s_[:n], np.r_[0 : n - n // 9, n : n + n // 9])]
+            h, at = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+            assert len(np.intersect1d(sets[0], sets[1])) * 100 >= 80 * len(np.union1d(sets[0], sets[1]))
+            keys = minhash_dedup.band_keys(minhash_dedup.signatures(h, at, minhash_dedup.BANDS * minhash_dedup.ROWS), minhash_dedup.BANDS, minhash_dedup.ROWS)
+            missed += int((~(keys[::2] == keys[1::2]).any(axis=1)).sum())
+    assert missed <= 1
+
+
 def test_near_duplicates_of_odd_tables(spark):
     long = " ".join(f"w{i}" for i in range(20_000))
     docs = [(1, None), (2, ""), (3, " \n"), (None, "a b c d e f"), (5, "a b c d e f"), (6, "A b c d e f"), (6, "A b c d e f"), (7, "a"), (8, "A"), (9, long), (10, long + " end")]
