@@ -5,8 +5,14 @@ benchmark item are one window; an item with fewer words, but at least one, is on
 
 Winnowing: of the ``window - k + 1`` word k-grams in a window the smallest hash is kept. Equal windows keep equal hashes,
 so every shared span of ``window`` words meets in the join of document and benchmark fingerprints. A hit is then extended
-to the windows around it: the whole window's hash is looked up and its words are compared with the item's words. Items
-shorter than a window are looked up as whole spans of their own length.
+to the windows around it: the whole window is looked up by its hash and compared word by word. Items shorter than a
+window are looked up as whole spans of their own length.
+
+A benchmark of at most ``broadcast_bytes`` of text is broadcast as arrays (five to ten times its text): fingerprints, and
+for each window a hash, its place in one text and its items; documents stream past it without a shuffle. A larger
+benchmark never comes to the driver: its fingerprints and windows are made in tasks and staged, the distinct fingerprints of each
+text are joined with them, and only texts that hit send the windows around their hits to be compared, by an equi-join on
+the window's words. Both ways give the same rows.
 
 Defined cases: null or wordless texts have no words, no hits and are not contaminated; items that are null or wordless
 hit nothing; items with a null id hit words but are not listed; repeated items count once for each distinct id; repeated
@@ -27,33 +33,61 @@ from pyspark.sql import types as T
 from . import common as c
 
 WINDOW, GRAM = 10, 5
-#: Bytes of benchmark text in one broadcast block; a larger benchmark is applied block by block.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text up to which it's broadcast.
+BROADCAST_BYTES = 8 << 20
+
+
+def normal(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words joined by single spaces, and their bounds there, so that a run of words is one span."""
+    sizes = ends - starts
+    to = np.cumsum(sizes + 1) - sizes - 1
+    out = np.full(int(to[-1] + sizes[-1]) if len(sizes) else 0, 0x20, np.uint8)
+    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(to, sizes) + place] = raw[np.repeat(starts, sizes) + place]
+    return out, to, to + sizes
 
 
 class Index:
-    """Fingerprints and windows of one block of benchmark items; its size is bounded by BLOCK_BYTES."""
+    """Fingerprints and windows of a benchmark, in arrays."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW, k: int = GRAM):
         self.window, self.k = window, k
-        prints, spans = [], defaultdict(dict)
-        for item, text in items:
-            raw = c.LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-            starts, ends, n = c.word_bounds(raw, np.array([0, len(raw)]), c.ALNUM_WORD)
-            if not len(starts):
-                continue
-            words = c.span_hashes(raw, starts, ends)
-            size = min(window, len(words))
-            grams = c.gram_hashes(words, size)
-            data = raw.tobytes()
-            for i, h in enumerate(grams.tolist()):
-                key = b" ".join(data[s:e] for s, e in zip(starts[i : i + size], ends[i : i + size]))
-                spans[size].setdefault((h, key), set()).add(item)
+        texts = [(text or "").encode() for _, text in items]
+        raw = c.LOWER[np.frombuffer(b"".join(texts), np.uint8)]
+        starts, ends, docs = c.word_bounds(raw, np.cumsum([0, *map(len, texts)]), c.ALNUM_WORD)
+        self.raw, starts, ends = normal(raw, starts, ends)
+        words = c.span_hashes(self.raw, starts, ends)
+        counts = np.diff(docs)
+        prints = c.gram_starts(docs, window)
+        self.prints = np.unique(winnowed(c.gram_hashes(words, k), window - k + 1)[prints])
+        #: for each size: sorted hashes of windows, their bounds in raw, and their items as a list of ranges
+        self.spans = {}
+        for size in np.unique(np.minimum(counts[counts > 0], window)).tolist():
             if size == window:
-                prints.append(winnowed(c.gram_hashes(words, k), window - k + 1))
-        self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, c.U64)
-        self.spans = dict(spans)
-        self.hashes = {size: np.unique(np.array([h for h, _ in by], c.U64)) for size, by in self.spans.items()}
+                at = np.flatnonzero(prints)
+                item = np.searchsorted(docs, at, "right") - 1
+            else:
+                item = np.flatnonzero(counts == size)
+                at = docs[:-1][item]
+            h = c.gram_hashes(words, size)[at]
+            order = np.argsort(h, kind="stable")
+            h, item, s, e = h[order], item[order], starts[at[order]], ends[at[order] + size - 1]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | ~c.same_spans(self.raw, s[1:], e[1:], self.raw, s[:-1], e[:-1])
+            first = np.flatnonzero(new)
+            self.spans[size] = (h[first], *(x.astype(np.int32) for x in (s[first], e[first], np.append(first, len(h)), item)))
+        self.items = [i for i, _ in items]
+
+    def items_of(self, size: int, h: int, words: bytes) -> set | None:
+        """The items that hold a window; None if there's none."""
+        hashes, starts, ends, ranges, item = self.spans[size]
+        found = None
+        i = int(np.searchsorted(hashes, c.U64(h)))
+        while i < len(hashes) and hashes[i] == h:
+            if self.raw[starts[i] : ends[i]].tobytes() == words:
+                found = (found or set()).union(self.items[x] for x in item[ranges[i] : ranges[i + 1]].tolist())
+            i += 1
+        return found
 
 
 def winnowed(grams: np.ndarray, w: int) -> np.ndarray:
@@ -67,28 +101,35 @@ def winnowed(grams: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def hits(raw: np.ndarray, bounds: np.ndarray, index: Index) -> tuple[np.ndarray, list[tuple[int, int, set]]]:
-    """The documents' bounds in words, and every hit: first word, number of words, items."""
-    raw = c.LOWER[raw]
-    starts, ends, docs = c.word_bounds(raw, bounds, c.ALNUM_WORD)
-    words = c.span_hashes(raw, starts, ends)
+class Words:
+    """The words of a slice of texts: hashes, bounds in normalised text, and the texts' bounds in words."""
+
+    def __init__(self, raw: np.ndarray, bounds: np.ndarray):
+        raw = c.LOWER[raw]
+        starts, ends, self.docs = c.word_bounds(raw, bounds, c.ALNUM_WORD)
+        self.raw, self.starts, self.ends = raw, starts, ends
+        self.hashes = c.span_hashes(raw, starts, ends)
+
+    def text(self, at: int, size: int) -> bytes:
+        return b" ".join(self.raw[s:e].tobytes() for s, e in zip(self.starts[at : at + size], self.ends[at : at + size]))
+
+    def prints(self, window: int, k: int) -> np.ndarray:
+        """The fingerprint of the window that starts at each word."""
+        return winnowed(c.gram_hashes(self.hashes, k), window - k + 1)
+
+
+def hits(words: Words, index: Index) -> list[tuple[int, int, set]]:
+    """Every hit: first word, number of words, items."""
     found = []
-    for size, table in index.hashes.items():
-        ok = c.gram_starts(docs, size)
-        if size == index.window:
-            at = np.flatnonzero(ok & c.member(winnowed(c.gram_hashes(words, index.k), size - index.k + 1), index.prints))
-        else:
-            at = np.flatnonzero(ok)
-        if not len(at):
-            continue
-        grams = c.gram_hashes(words, size)[at]
+    for size, (table, *_) in index.spans.items():
+        ok = c.gram_starts(words.docs, size)
+        at = np.flatnonzero(ok & c.member(words.prints(size, index.k), index.prints) if size == index.window else ok)
+        grams = c.gram_hashes(words.hashes, size)[at]
         real = c.member(grams, table)
-        by = index.spans[size]
         for i, h in zip(at[real].tolist(), grams[real].tolist()):
-            key = b" ".join(raw[s:e].tobytes() for s, e in zip(starts[i : i + size], ends[i : i + size]))
-            if (items := by.get((h, key))) is not None:
+            if (items := index.items_of(size, h, words.text(i, size))) is not None:
                 found.append((i, size, items))
-    return docs, found
+    return found
 
 
 def merged(runs: list[tuple[int, int]]) -> list[list[int]]:
@@ -106,58 +147,146 @@ RESULTS = ("n_words", "item_ids", "starts", "ends")
 KINDS = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
 
 
-def _scan(batches, index, first: bool, last: bool):
-    """One block of the benchmark: adds its hits to those of the blocks before."""
-    index = index.value
+def _results(batch: pa.RecordBatch, docs: list[tuple[int, list, list]]) -> pa.RecordBatch:
+    """row and the results of each document: n_words, hit spans, items."""
+    runs = [merged(r) for _, r, _ in docs]
+    columns = [n for n, _, _ in docs], [sorted({x for x in i if x is not None}) for _, _, i in docs], [[s for s, _ in r] for r in runs], [[e for _, e in r] for r in runs]
+    return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("row")), *(pa.array(x, k) for x, k in zip(columns, KINDS))], ["row", *RESULTS])
+
+
+def _scan(index):
+    """All documents past a broadcast index."""
+
+    def run(batches):
+        own = index.value
+        for batch in batches:
+            raw, bounds = c.texts_of(batch, "text")
+            out = []
+            for i, j in c.slices(bounds):
+                words = Words(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+                by = defaultdict(lambda: ([], []))
+                for at, size, items in hits(words, own):
+                    d = int(np.searchsorted(words.docs, at, "right")) - 1
+                    by[d][0].append((at - int(words.docs[d]), at - int(words.docs[d]) + size))
+                    by[d][1].extend(items)
+                out += [(int(words.docs[d + 1] - words.docs[d]), *(by[d] if d in by else ([], []))) for d in range(j - i)]
+            yield _results(batch, out)
+
+    return run
+
+
+def _windows(window: int, k: int):
+    """Of benchmark items: every window with its fingerprint. item_id, size, print, hash, words."""
+
+    def run(batches):
+        for batch in batches:
+            raw, bounds = c.texts_of(batch, "text")
+            ids = batch.column(batch.schema.get_field_index("item_id")).to_pylist()
+            for i, j in c.slices(bounds):
+                words = Words(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+                prints = words.prints(window, k).view(np.int64)
+                rows = []
+                for d in range(j - i):
+                    a, n = int(words.docs[d]), int(words.docs[d + 1] - words.docs[d])
+                    size = min(n, window)
+                    h = c.gram_hashes(words.hashes[a : a + n], size).view(np.int64).tolist() if n else []
+                    rows += [(ids[i + d], size, int(prints[a + x]) if size == window else y, y, words.text(a + x, size).decode()) for x, y in enumerate(h)]
+                for x in range(0, len(rows), 4096):
+                    yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*rows[x : x + 4096]), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()))], ["item_id", "size", "print", "hash", "words"])
+
+    return run
+
+
+def _prints(sizes: list[int], window: int, k: int):
+    """Of documents: the distinct fingerprints of each text. t1, t2, size, print."""
+
+    def run(batches):
+        for batch in batches:
+            raw, bounds = c.texts_of(batch, "text")
+            keys = [batch.column(batch.schema.get_field_index(x)).to_numpy() for x in ("t1", "t2")]
+            for i, j in c.slices(bounds):
+                words = Words(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+                for size in sizes:
+                    at = np.flatnonzero(c.gram_starts(words.docs, size))
+                    h = (words.prints(window, k) if size == window else c.gram_hashes(words.hashes, size))[at]
+                    doc = np.searchsorted(words.docs, at, "right") - 1
+                    order = np.lexsort((h, doc))
+                    h, doc = h[order], doc[order]
+                    new = np.ones(len(h), bool)
+                    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x[i:j][doc[new]]) for x in keys), pa.array(np.full(int(new.sum()), size, np.int32)), pa.array(h[new].view(np.int64))], ["t1", "t2", "size", "print"])
+
+    return run
+
+
+def _extended(window: int, k: int):
+    """Of texts with their hit fingerprints: the windows that keep them. t1, t2, at, size, hash, words."""
+
+    def run(batches):
+        for batch in batches:
+            raw, bounds = c.texts_of(batch, "text")
+            get = lambda x: batch.column(batch.schema.get_field_index(x)).to_pylist()
+            t1, t2, found = get("t1"), get("t2"), get("found")
+            for d in range(batch.num_rows):
+                words = Words(raw[bounds[d] : bounds[d + 1]], bounds[d : d + 2] - bounds[d])
+                rows = []
+                for size in {x["size"] for x in found[d]}:
+                    hit = np.unique(np.array([x["print"] for x in found[d] if x["size"] == size], np.int64).view(c.U64))
+                    grams = c.gram_hashes(words.hashes, size)
+                    at = np.flatnonzero(c.member(words.prints(window, k) if size == window else grams, hit))
+                    rows += [(t1[d], t2[d], x, size, h, words.text(x, size).decode()) for x, h in zip(at.tolist(), grams[at].view(np.int64).tolist())]
+                for x in range(0, len(rows), 4096):
+                    yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*rows[x : x + 4096]), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string()))], ["t1", "t2", "at", "size", "hash", "words"])
+
+    return run
+
+
+def _finish(batches):
     for batch in batches:
         raw, bounds = c.texts_of(batch, "text")
-        n_words, ids, starts, ends = [], [], [], []
-        before = None if first else [batch.column(batch.schema.get_field_index(x)).to_pylist() for x in RESULTS[1:]]
+        get = lambda x: batch.column(batch.schema.get_field_index(x)).to_pylist()
+        spans, items, counts = get("spans"), get("items"), []
         for i, j in c.slices(bounds):
-            docs, found = hits(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], index)
-            own = defaultdict(list)
-            for at, size, items in found:
-                own[int(np.searchsorted(docs, at, "right")) - 1].append((at, size, items))
-            for d in range(j - i):
-                n_words.append(int(docs[d + 1] - docs[d]))
-                old = ([], [], []) if first else [x[i + d] for x in before]
-                if d not in own:
-                    ids.append(old[0]), starts.append(old[1]), ends.append(old[2])
-                    continue
-                ids.append(sorted({x for _, _, items in own[d] for x in items if x is not None}.union(old[0])))
-                runs = merged([(at - int(docs[d]), at - int(docs[d]) + size) for at, size, _ in own[d]] + list(zip(old[1], old[2])))
-                starts.append([r[0] for r in runs]), ends.append([r[1] for r in runs])
-        rest = [name for name in batch.schema.names if name not in RESULTS and not (last and name == "text")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(x)) for x in rest), *(pa.array(x, k) for x, k in zip((n_words, ids, starts, ends), KINDS))], [*rest, *RESULTS])
-
-
-def _blocks(benchmark: DataFrame, most: int) -> list[DataFrame]:
-    """The benchmark in parts of about ``most`` bytes; one part if it's small. Only the total is read to decide."""
-    total = benchmark.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = -(-total // most) if total > most else 1
-    return [benchmark if n == 1 else benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) for b in range(n)]
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+            counts += np.diff(c.word_bounds(c.LOWER[raw[bounds[i] : bounds[j]]], bounds[i : j + 1] - bounds[i], c.ALNUM_WORD)[2]).tolist()
+        yield _results(batch, [(n, [(x["at"], x["at"] + x["size"]) for x in s or ()], i or []) for n, s, i in zip(counts, spans, items)])
+
+
+def _joined(docs: DataFrame, benchmark: DataFrame, window: int, k: int) -> DataFrame:
+    """row, text, spans and items of every document, by joins with the staged windows of the benchmark."""
+    windows = c.staged(c.map_batches(benchmark, _windows(window, k), "item_id bigint, size int, print bigint, hash bigint, words string"), "benchmark-windows")
+    prints = c.staged(windows.select("size", "print").distinct(), "benchmark-prints")
+    sizes = [r.size for r in prints.select("size").distinct().collect()]  # at most one for each length up to a window
+    docs = docs.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit("second"), "text")})
+    texts = docs.select("t1", "t2", "text")
+    found = c.map_batches(texts, _prints(sizes, window, k), "t1 bigint, t2 bigint, size int, print bigint").join(prints, ["size", "print"])
+    found = c.staged(found.groupBy("t1", "t2").agg(F.collect_set(F.struct("size", "print")).alias("found")), "hit-texts")
+    some = texts.join(found, ["t1", "t2"]).dropDuplicates(["t1", "t2"])
+    around = c.map_batches(some, _extended(window, k), "t1 bigint, t2 bigint, at int, size int, hash bigint, words string")
+    items = windows.groupBy("size", "hash", "words").agg(F.collect_set("item_id").alias("ids"))
+    real = around.join(items, ["size", "hash", "words"]).groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "size")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("items"))
+    real = c.staged(real, "hits")
+    c.unstage(windows, prints, found)
+    return docs.join(real, ["t1", "t2"], "left").select("row", "text", "spans", "items")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = GRAM, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """For every document: row (its columns as a struct), n_words, item_ids (sorted, distinct) and the hit word spans as
     merged [starts, ends).
 
-    docs: text and any other columns; benchmark: item_id, text. A benchmark of more than block_bytes is applied block by
-    block: documents stream through one lookup after the other in one stage, without a shuffle, and each adds its hits.
+    docs: text and any other columns; benchmark: item_id, text.
     """
     if not 1 <= k <= window:
         raise ValueError("k must be from 1 to window")
     spark = docs.sparkSession
-    benchmark = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where(F.col("text").isNotNull())
-    blocks = _blocks(benchmark, block_bytes)
-    out = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    benchmark = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
+    docs = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
     kinds = [T.StructField("n_words", T.LongType()), T.StructField("item_ids", T.ArrayType(T.LongType())), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType()))]
-    for i, block in enumerate(blocks):
-        index = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in block.toLocalIterator()], window, k))
-        last = i == len(blocks) - 1
-        schema = T.StructType([*(out.schema[x] for x in (["row"] if last else ["row", "text"])), *kinds])
-        out = c.map_batches(out, lambda it, index=index, first=i == 0, last=last: _scan(it, index, first, last), schema)
-    return out
+    schema = T.StructType([docs.schema["row"], *kinds])
+    size = benchmark.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    if size <= broadcast_bytes:
+        index = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in benchmark.collect()], window, k))
+        return c.map_batches(docs, _scan(index), schema)
+    return c.map_batches(_joined(docs, benchmark, window, k), _finish, schema)
 
 
 def n_hit() -> F.Column:

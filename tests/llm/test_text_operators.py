@@ -71,26 +71,48 @@ def brute_contamination(docs, items, window=10):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
-def test_contamination_equals_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 200])
+def test_contamination_equals_brute_force(spark, broadcast_bytes):
     docs = random_docs(2, 60)
     r = random.Random(3)
     items = [(i, " ".join((r.choice(docs)[1].upper() if i % 3 else "Abc DEF").split()[: r.choice([1, 3, 9, 10, 25])])) for i in range(15)] + [(3, "again here"), (None, docs[9][1]), (90, None), (91, ""), (92, "!!")]
-    got = decontaminate.decontaminate(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id bigint, text string"), block_bytes=block_bytes)
+    got = decontaminate.decontaminate(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id bigint, text string"), broadcast_bytes=broadcast_bytes)
     rows = got.select("row.doc_id", "n_words", decontaminate.n_hit().alias("n"), "item_ids").collect()
     assert sorted(((x[0], x[1], x[2], list(x[3])) for x in rows), key=str) == brute_contamination(docs, items)
     assert any(x[2] for x in rows)
 
 
-def test_contamination_of_odd_tables(spark):
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_contamination_of_odd_tables(spark, broadcast_bytes):
     items = spark.createDataFrame([(1, "one two three")], "item_id bigint, text string")
-    rows = decontaminate.decontaminate(odd(spark), items).select("row.*", F.col("n_words").alias("n"), F.size("starts").alias("hits")).collect()
+    rows = decontaminate.decontaminate(odd(spark), items, broadcast_bytes=broadcast_bytes).select("row.*", F.col("n_words").alias("n"), F.size("starts").alias("hits")).collect()
     assert sorted((r.doc_id or 0, r.n, r.hits) for r in rows) == [(0, 3, 1), (1, 0, 0), (2, 0, 0), (3, 0, 0), (5, 3, 1), (5, 3, 1), (6, 30_000, 0), (7, 20, 0), (8, 1, 0)]
     none = items.limit(0)
     assert decontaminate.decontaminate(odd(spark), none).where("size(starts) > 0").count() == 0
     assert decontaminate.decontaminate(odd(spark).limit(0), items).count() == 0
 
 
+def test_the_index_is_small_and_does_not_rest_on_hashes(monkeypatch):
+    import pickle
+
+    import numpy as np
+
+    r = random.Random(23)
+    items = [(i, " ".join(str(r.randrange(1000)) for _ in range(r.choice([3, 40, 4000])))) for i in range(60)]
+    size = sum(len(t) for _, t in items)
+    assert len(pickle.dumps(decontaminate.Index(items))) < 10 * size  # words of three letters
+    monkeypatch.setattr(common, "gram_hashes", lambda w, k, base=0: np.zeros(max(0, len(w) - k + 1), common.U64))
+    few = [(i, " ".join(t.split()[:30])) for i, t in items[:12]]
+    index = decontaminate.Index(few)
+    docs = [(i, t) for i, (_, t) in enumerate(few)] + [(99, "1 2 3 4 5 6 7 8 9 10 11 12")]
+    for d, t in docs:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        found = decontaminate.hits(decontaminate.Words(raw, np.array([0, len(raw)])), index)
+        want = brute_contamination([(d, t)], few)[0]
+        assert sorted({x for *_, s in found for x in s}) == want[3]
+        assert len({p for a, n, _ in found for p in range(a, a + n)}) == want[2]
+
+
 # ---------------------------------------------------------------- 3
 
 
