@@ -298,3 +298,18 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op1: contamination of every document by the benchmark."""
     out = decontaminate(c.read(spark, sf_dir, "documents").select("doc_id", "text"), c.read(spark, sf_dir, "benchmark"))
     return out.select("row.doc_id", "n_words", n_hit().alias("n_hit"), F.size("item_ids").cast("bigint").alias("n_items"), c.hex_list("item_ids").alias("items_sha256"), (F.size("starts") > 0).alias("contaminated"))
+
+
+SQL = r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where text is not null),
+k as (select item_id, w, least(len(w), 10) as n from b where len(w) > 0),
+bw as (select distinct item_id, n, array_to_string(w[i : i + n - 1], ' ') as x from k, unnest(range(1, len(w) - n + 2)) t(i)),
+s as (select distinct n from k),
+dw as (select doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') as x from (select * from d, s where len(w) >= n) q, unnest(range(1, len(w) - n + 2)) t(i)),
+h as (select distinct doc_id, i, n, item_id from dw join bw using (n, x)),
+p as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from h) group by 1),
+m as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, cast(item_id as varchar) as id from h where item_id is not null) group by 1)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join p using (doc_id) left join m using (doc_id)
+"""

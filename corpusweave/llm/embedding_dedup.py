@@ -334,3 +334,15 @@ def dedup_embeddings(vectors: DataFrame, threshold: float = THRESHOLD, block_byt
 def query(spark, sf_dir: str) -> DataFrame:
     """op8: links and components of all vectors."""
     return dedup_embeddings(c.read(spark, sf_dir, "embeddings"))
+
+
+SQL = r"""
+with recursive v as (select vec_id, cast(embedding as double[]) as x from embeddings),
+g as (select vec_id, x, sqrt(list_inner_product(x, x)) as norm from v where vec_id is not null and len(x) > 0 and len(list_filter(x, lambda e: e is null or isnan(e) or isinf(e))) = 0 and len(list_filter(x, lambda e: e <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from g a join g b on a.vec_id <> b.vec_id and len(a.x) = len(b.x) where list_inner_product(a.x, b.x) / (a.norm * b.norm) >= 0.95),
+r as (select vec_id, vec_id as dest from g union select r.vec_id, l.b from r join l on l.a = r.dest),
+c as (select vec_id, min(dest) as low from r group by 1),
+n as (select a as vec_id, count(*) as n_links from l group by 1)
+select v.vec_id, coalesce(n_links, 0)::bigint as n_links, coalesce(low, v.vec_id) as component_id, coalesce(low, v.vec_id) = v.vec_id as kept
+from v left join n using (vec_id) left join c using (vec_id)
+"""

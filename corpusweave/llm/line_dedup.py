@@ -158,3 +158,29 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op7: what line dedup removes from every document, its maximal repeated runs, and the text it leaves."""
     out = dedup_lines(c.read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", *RESULTS, F.sha2("text", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+with raw as (select doc_id, text, string_split(text, chr(10)) as all_lines from documents),
+v as (select doc_id, i as at_raw, all_lines[i] as line, trim(all_lines[i], ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as x from raw, unnest(range(1, len(all_lines) + 1)) t(i)),
+real as (select *, row_number() over (partition by doc_id order by at_raw) - 1 as place from v where x <> ''),
+d as (select doc_id, list(x order by place) as w from real group by 1),
+e as (select *, min(doc_id) over (partition by text) as head from raw where text is not null),
+g as (select doc_id, i - 1 as place, w[i] || chr(10) || w[i + 1] as k from d, unnest(range(1, len(w))) t(i)),
+f as (select k, min(struct_pack(doc := doc_id, place := place)) as first from g group by 1),
+q as (select g.doc_id, g.place, first.doc as fd, first.place as fa from g join f using (k) where (first.doc, first.place) <> (g.doc_id, g.place)),
+lcp as (select q.doc_id, q.place, list_transform(range(1, len(a.w) - q.place + 1), lambda k: a.w[q.place + k] = b.w[q.fa + k] and q.fa + k <= len(b.w)) as same from q join d a on a.doc_id = q.doc_id join d b on b.doc_id = q.fd),
+long as (select doc_id, place, x, min(struct_pack(doc := doc_id, place := place)) over (partition by x) as first from real where len(regexp_split_to_array(x, '[ \t\r\x0B\x0C]+')) > 50),
+run as (select doc_id, place, coalesce(list_position(same, false) - 1, len(same)) as length from lcp
+        union all select doc_id, place, 1 from long where (first.doc, first.place) <> (doc_id, place)),
+own as (select run.* from run join e using (doc_id) where not (e.head < e.doc_id and len((select w from d where d.doc_id = e.doc_id)) >= 2)
+        union all select e.doc_id, 0, len(d.w) from e join d using (doc_id) where e.head < e.doc_id and len(d.w) >= 2),
+o as (select *, coalesce(max(place + length) over (partition by doc_id order by place, length desc rows between unbounded preceding and 1 preceding), 0) as before from own),
+s as (select doc_id, count(*) as n_runs, max(length) as longest_run from o where place + length > before group by 1),
+gone as (select distinct doc_id, unnest(range(place, place + length)) as place from own),
+c as (select doc_id, count(*) as n_removed from gone group by 1),
+cut as (select v.doc_id, string_agg(v.line, chr(10) order by v.at_raw) as kept from v left join real using (doc_id, at_raw) where not exists (select 1 from gone where gone.doc_id = v.doc_id and gone.place = real.place) group by 1)
+select raw.doc_id, coalesce(len(d.w), 0)::bigint as n_lines, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_runs, 0)::bigint as n_runs, coalesce(longest_run, 0)::bigint as longest_run,
+       case when raw.text is null then null when n_removed is null then sha256(raw.text) else sha256(coalesce(kept, '')) end as kept_sha256
+from raw left join d using (doc_id) left join c using (doc_id) left join s using (doc_id) left join cut using (doc_id)
+"""

@@ -342,3 +342,16 @@ def dedup(docs: DataFrame, k: int = SHINGLE, similarity: tuple[int, int] = SIMIL
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: near-duplicate components of all documents, on 4-word shingles."""
     return dedup(c.read(spark, sf_dir, "documents"), k=4)
+
+
+SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select distinct doc_id, array_to_string(w[i : i + 3], ' ') as x from d, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) t(i)),
+n as (select doc_id, count(*) as n from g group by 1),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as shared from g a join g b on a.x = b.x and a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 80 * (x.n + y.n - shared)),
+r as (select doc_id, doc_id as dest from n union select r.doc_id, l.b from r join l on l.a = r.dest),
+c as (select doc_id, min(dest) as low from r group by 1)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(low, d.doc_id) as component_id, coalesce(low, d.doc_id) = d.doc_id as kept
+from d left join n using (doc_id) left join c using (doc_id)
+"""

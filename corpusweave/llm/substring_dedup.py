@@ -198,3 +198,16 @@ def query(spark, sf_dir: str) -> DataFrame:
     out = dedup_substrings(c.read(spark, sf_dir, "documents"))
     removed = F.aggregate(F.zip_with("starts", "ends", lambda s, e: (e - s).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select doc_id, i, array_to_string(w[i : i + 12], ' ') as x from d, unnest(range(1, len(w) - 11)) t(i)),
+f as (select x, min(doc_id) as first from g group by 1),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) as p from g join f using (x) where first < doc_id),
+r as (select doc_id, count(*) as n_removed from gone group by 1),
+v as (select doc_id, i as p, w[i] as word from d, unnest(range(1, len(w) + 1)) t(i)),
+k as (select doc_id, string_agg(word, ' ' order by p) as kept from v anti join gone using (doc_id, p) group by 1)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join r using (doc_id) left join k using (doc_id)
+"""
