@@ -18,10 +18,10 @@ from .operators import crawl as C
 from .operators import extract as E
 from .operators import index as I
 from .operators import retrieve as R
-from .sources.fetch import by_mode, with_robots
+from .sources.fetch import by_mode, robots_rules, with_robots
 from .sources.store import Store
 
-TABLES = {"sites": S.SITES, "pages": S.PAGES, "page_versions": S.PAGE_VERSIONS, "documents": S.DOCUMENTS, "chunks": S.CHUNKS, "failed_jobs": S.FAILED_JOBS, "crawl_sessions": S.CRAWL_SESSIONS, "postings": S.ddl("chunk_id bigint, lexeme string, tf bigint"), "links": S.ddl("session_id bigint, parent bigint, place int, url string, depth int")}
+TABLES = {"sites": S.SITES, "pages": S.PAGES, "page_versions": S.PAGE_VERSIONS, "documents": S.DOCUMENTS, "chunks": S.CHUNKS, "failed_jobs": S.FAILED_JOBS, "crawl_sessions": S.CRAWL_SESSIONS, "postings": S.ddl("chunk_id bigint, lexeme string, tf bigint"), "robots": S.ddl("origin string, robots_txt string"), "fetches": S.ddl("session_id bigint, url string, domain string, attempt int, now_ms bigint, status int, in_cooldown boolean")}
 
 
 def key(*columns) -> F.Column:
@@ -30,7 +30,7 @@ def key(*columns) -> F.Column:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, fetcher, js_fetcher=None, embedder=None, generator=None, tokenizer=None, analyzer: str = "simple"):
+    def __init__(self, spark: SparkSession, root: str, fetcher, js_fetcher=None, embedder=None, generator=None, tokenizer=None, analyzer: str = "english"):
         self.spark, self.store = spark, Store(spark, root)
         self.fetcher, self.js_fetcher = fetcher, js_fetcher or fetcher
         self.embedder, self.generator, self.tokenizer, self.analyzer = embedder or HashingEmbedder(), generator, tokenizer, analyzer
@@ -49,7 +49,10 @@ class Engine:
     # ------------------------------------------------------------ crawl
 
     def start_crawl(self, site_id, max_depth=None, max_pages=None, robots: DataFrame | None = None) -> int:
-        """Crawls a site breadth first and returns the session's id. A site that isn't allowed is refused."""
+        """Crawls a site breadth first and returns the session's id. A site that isn't allowed is refused.
+
+        robots: origin, robots_txt that are used instead of fetching them.
+        """
         site_id = S.positive_id(site_id)
         max_depth, max_pages = S.crawl_request(max_depth, max_pages)
         site = self.table("sites").where(F.col("id") == site_id).first()
@@ -64,7 +67,7 @@ class Engine:
         started = self.spark.range(1).select(F.current_timestamp()).first()[0]
         frontier = self.spark.createDataFrame([(site.base_url, 0)], "url string, depth int")
         known = self.table("pages")
-        self.write("pages", known.unionByName(I.find_or_create(known.select("url"), frontier.select("url", key("url").alias("id"), F.lit(site_id).alias("site_id"), F.lit("pending").alias("status"))), allowMissingColumns=True))
+        self.store.append("pages", I.find_or_create(known.select("url"), frontier.select("url", key("url").alias("id"), F.lit(site_id).alias("site_id"), F.lit("pending").alias("status"))), TABLES["pages"])
         counted, tally = 1, {"crawled": 0, "skipped": 0, "failed": 0}
         for level in range(depth + 1):
             links = self._round(frontier, site, session, level, robots, tally)
@@ -75,7 +78,7 @@ class Engine:
             limit = self.spark.createDataFrame([(session, counted, most)], "session bigint, prior bigint, max_pages int")
             judged = C.budget(new.withColumn("session", F.lit(session)), limit).where("outcome <> 'dropped'")
             fresh = judged.select(key("url").alias("id"), F.lit(site_id).alias("site_id"), "url", F.when(F.col("outcome") == "enqueued", "pending").otherwise("skipped").alias("status"))
-            self.write("pages", pages.unionByName(fresh, allowMissingColumns=True))
+            self.store.append("pages", fresh, TABLES["pages"])
             frontier = self.table("pages").where((F.col("site_id") == site_id) & (F.col("status") == "pending")).join(links.select("url").distinct(), "url", "left_semi").select("url", F.lit(level + 1).alias("depth"))
             enqueued = frontier.count()
             counted += enqueued
@@ -83,38 +86,91 @@ class Engine:
                 break
         row = [(session, site_id, "completed", depth, most, tally["crawled"], tally["skipped"], tally["failed"], started)]
         done = self.spark.createDataFrame(row, "id bigint, site_id bigint, status string, max_depth int, max_pages int, pages_crawled int, pages_skipped int, pages_failed int, started_at timestamp").withColumn("finished_at", F.current_timestamp())
-        self.write("crawl_sessions", self.table("crawl_sessions").unionByName(done, allowMissingColumns=True))
+        self.store.append("crawl_sessions", done, TABLES["crawl_sessions"])
         return session
 
+    def _rules(self, urls: DataFrame, site) -> DataFrame:
+        """origin, robots_txt of urls: asked for once for each origin and stored; the site's row keeps the first text."""
+        origins = urls.select(F.regexp_extract("url", r"^([a-z]+://[^/?#]+)", 1).alias("origin")).distinct()
+        new = origins.join(self.table("robots"), "origin", "left_anti")
+        if not new.isEmpty():
+            self.store.append("robots", robots_rules(new, self.fetcher), TABLES["robots"])
+            own = self.table("robots").where((F.col("origin") == F.regexp_extract(F.lit(site.base_url), r"^([a-z]+://[^/?#]+)", 1)) & (F.col("robots_txt") != "")).first()
+            if own is not None and site.robots_txt is None:
+                text = F.when((F.col("id") == site.id) & F.col("robots_txt").isNull(), F.lit(own.robots_txt)).otherwise(F.col("robots_txt"))
+                self.write("sites", self.table("sites").withColumn("robots_txt", text))
+        return self.table("robots")
+
+    def _attempt(self, jobs: DataFrame, site, session: int, level: int, attempt: int) -> DataFrame:
+        """One try of jobs (url, robots_delay): url, http_status, html, final_url, domain, now_ms, in_cooldown.
+
+        A domain's requests take slots spaced by its delay, after the ones before them; a retry also waits out its backoff.
+        A request that meets a cooldown isn't made.
+        """
+        before = self.table("fetches").where(F.col("session_id") == session)
+        start = F.unix_millis(F.current_timestamp())
+        wait = F.lit(0) if attempt == 1 else X.backoff_ceiling(F.lit(attempt - 1)) * (1 + F.rand()) / 2
+        delay = X.effective_delay(F.lit(site.crawl_delay_ms or 0), F.col("robots_delay"))
+        last = before.groupBy("domain").agg(F.max("now_ms").alias("last"))
+        arrivals = jobs.withColumn("domain", X.host(F.col("url"))).join(last, "domain", "left").withColumn("delay", (delay * 1000).cast("bigint"))
+        arrivals = arrivals.withColumn("now_us", (F.greatest(start + wait, F.coalesce(F.col("last") + F.col("delay") / 1000, F.lit(0))) * 1000).cast("bigint")).withColumn("seq", F.col("url"))
+        plan = f"{self.store.root}/rounds/{session}-{level}-{attempt}"
+        slots = C.rate_slots(arrivals).select("url", "domain", (F.col("slot") / 1000).cast("bigint").alias("now_ms"), F.lit(site.render_mode or "static").alias("render_mode"))
+        slots.withColumn("wait_ms", F.col("now_ms") - start).write.mode("overwrite").parquet(plan + "-slots")
+        urls = self.spark.read.parquet(plan + "-slots")
+        got = by_mode(urls, self.fetcher, self.js_fetcher)
+        got.select("url", "domain", "now_ms", F.col("status").alias("http_status"), "html", "final_url").write.mode("overwrite").parquet(plan)  # a fetch isn't repeated
+        got = self.spark.read.schema("url string, domain string, now_ms bigint, http_status int, html string, final_url string").parquet(plan)
+        seen = before.select("domain", "now_ms", key("url").alias("seq"), (F.col("status").isin(403, 429) & ~F.col("in_cooldown")).alias("blocked"))
+        events = seen.unionByName(got.select("domain", "now_ms", key("url").alias("seq"), F.col("http_status").isin(403, 429).alias("blocked")))
+        cold = C.cooldown(events).select("seq", "now_ms", F.col("in_cooldown").alias("cold"))
+        done = got.withColumn("seq", key("url")).join(cold, ["seq", "now_ms"]).drop("seq").withColumn("in_cooldown", F.col("cold") | (F.col("http_status") == -1)).drop("cold")
+        self.store.append("fetches", done.select(F.lit(session).alias("session_id"), "url", "domain", F.lit(attempt).alias("attempt"), "now_ms", F.col("http_status").alias("status"), "in_cooldown"), TABLES["fetches"])
+        return done
+
     def _round(self, frontier: DataFrame, site, session: int, level: int, robots: DataFrame | None, tally: dict) -> DataFrame | None:
-        """One level of the crawl: fetch, version, discover. Returns the links of changed pages, or None."""
-        rules = robots if robots is not None else self.spark.createDataFrame([], "origin string, robots_txt string")
-        urls = with_robots(frontier.withColumn("render_mode", F.lit(site.render_mode or "static")), rules).where("robots_ok")
-        got = by_mode(urls, self.fetcher, self.js_fetcher).withColumn("content_hash", F.when(F.col("status") < 400, X.sha(F.coalesce("html", F.lit("")))))
+        """One level of the crawl: robots, slots, fetch and retries, versions, links. Returns the links of changed pages, or None."""
+        urls = with_robots(frontier, robots if robots is not None else self._rules(frontier, site))
         path = f"{self.store.root}/rounds/{session}-{level}"
-        got.select("url", F.col("status").alias("http_status"), "html", "final_url", "content_hash").write.mode("overwrite").parquet(path)  # a fetch isn't repeated
-        got = self.spark.read.schema("url string, http_status int, html string, final_url string, content_hash string").parquet(path)
+        urls.select("url", "robots_ok", "robots_delay").write.mode("overwrite").parquet(path + "-robots")
+        urls = self.spark.read.parquet(path + "-robots")
+        yes, jobs, final, dead = F.lit(True), urls.where("robots_ok").select("url", "robots_delay"), [], None
+        for attempt in range(1, C.ATTEMPTS + 1):
+            got = self._attempt(jobs, site, session, level, attempt).withColumn("fate", C.outcome(yes, yes, yes, F.col("in_cooldown"), F.col("http_status"), yes))
+            final.append(got.where("fate <> 'retry'"))
+            again = got.where("fate = 'retry'")
+            if again.isEmpty():
+                break
+            jobs, dead = urls.join(again.select("url"), "url", "left_semi").select("url", "robots_delay"), again if attempt == C.ATTEMPTS else None
+        got = final[0]
+        for more in final[1:]:
+            got = got.unionByName(more)
+        got = got.withColumn("content_hash", F.when(F.col("http_status") < 400, X.sha(F.coalesce("html", F.lit("")))))
         versions = self.table("page_versions")
         latest = G.latest_versions(versions, ["content_hash"]).withColumnRenamed("page_id", "page")
         good = got.where("http_status < 400").select(key("url").alias("page"), F.lit(0).alias("fetched_at"), F.lit(0).alias("seq"), "content_hash")
         new = C.versions(good, latest).select(F.col("page").alias("page_id"), "version_no", "content_hash")
         new = new.join(got.select(key("url").alias("page_id"), F.col("html").alias("raw_html")), "page_id").withColumn("id", key("page_id", "version_no")).withColumn("fetched_at", F.current_timestamp())
         before = versions.select("id")
-        self.write("page_versions", versions.unionByName(new, allowMissingColumns=True))
+        self.store.append("page_versions", new, TABLES["page_versions"])
         changed = self.table("page_versions").join(before, "id", "left_anti").select("page_id")
         log = got.join(changed.withColumn("changed", F.lit(True)), key("url") == F.col("page_id"), "left").select("url", "http_status", "html", "final_url", "content_hash", F.coalesce("changed", F.lit(False)).alias("changed"))
-        yes = F.lit(True)
-        log = log.withColumn("outcome", C.outcome(yes, yes, yes, F.lit(False), F.col("http_status"), F.col("changed"))).withColumn("session", F.lit(session))
+        log = log.withColumn("outcome", C.outcome(yes, yes, yes, F.lit(False), F.col("http_status"), F.col("changed")))
+        refused = urls.where("not robots_ok").select("url", F.lit("skipped").alias("outcome"))
+        log = log.unionByName(refused, allowMissingColumns=True).withColumn("session", F.lit(session))
         for r in C.session_counters(log).collect():  # one session
             tally["crawled"] += r.pages_crawled
             tally["skipped"] += r.pages_skipped
             tally["failed"] += r.pages_failed
-        status = F.when(F.col("outcome") == "failed", "failed").when(F.col("outcome").isin("crawled", "unchanged"), "crawled").otherwise("pending")
+        status = F.when(F.col("outcome").isin("failed", "skipped"), F.col("outcome")).otherwise("crawled")
         seen = log.select(F.col("url"), status.alias("new_status"), F.col("http_status").alias("new_http"), F.col("content_hash").alias("new_hash"))
         pages = self.table("pages").join(seen, "url", "left")
         self.write("pages", pages.withColumn("status", F.coalesce("new_status", "status")).withColumn("http_status", F.coalesce("new_http", "http_status")).withColumn("content_hash", F.coalesce("new_hash", "content_hash")).withColumn("last_crawled_at", F.when(F.col("new_status").isNotNull(), F.current_timestamp()).otherwise(F.col("last_crawled_at"))))
-        dead = log.where("outcome = 'retry'").select(F.lit("scrape").alias("queue"), F.col("url").alias("job_id"), F.to_json(F.struct("url")).alias("payload"), F.format_string("status %d", "http_status").alias("error_message"), F.lit(C.ATTEMPTS).alias("attempts_made"), F.current_timestamp().alias("failed_at"))
-        self.store.append("failed_jobs", dead.withColumn("id", key("job_id", F.lit(session))), TABLES["failed_jobs"])
+        if dead is not None:  # every attempt was made
+            error = F.when(F.col("in_cooldown"), F.format_string("%s is in cooldown", "domain")).otherwise(F.format_string("status %d", "http_status"))
+            tried = dead.select(F.lit("scrape").alias("queue"), F.col("url").alias("job_id"), F.to_json(F.struct("url")).alias("payload"), error.alias("error_message"), F.lit(C.ATTEMPTS).alias("attempts_made"), F.current_timestamp().alias("failed_at"))
+            letters = C.dead_letters(tried).withColumn("id", key("job_id", F.lit(session)))
+            self.store.append("failed_jobs", letters, TABLES["failed_jobs"])
         return E.links(log.where("changed").select(key("url").alias("page_id"), F.col("final_url").alias("url"), "html")).withColumnRenamed("page_id", "parent")
 
     # ------------------------------------------------------------ process and index
@@ -124,7 +180,7 @@ class Engine:
         todo = self.table("page_versions").join(self.table("documents").select("page_version_id"), F.col("id") == F.col("page_version_id"), "left_anti")
         url = self.table("pages").select(F.col("id").alias("page_id"), "url")
         good, bad = E.documents(E.extract(todo.join(url, "page_id", "left").select(F.col("id").alias("page_version_id"), "url", "raw_html")))
-        self.write("documents", I.upsert(self.table("documents"), good.select(key("page_version_id").alias("id"), "*", *[F.lit(None).cast("timestamp").alias(x) for x in ("created_at", "updated_at")]), "page_version_id"))
+        self.store.append("documents", good.select(key("page_version_id").alias("id"), "*"), TABLES["documents"])
         self.store.append("failed_jobs", bad.select(key("page_version_id").alias("id"), F.lit("process").alias("queue"), F.lit("invalid document").alias("error_message"), F.current_timestamp().alias("failed_at")), TABLES["failed_jobs"])
 
     def index(self) -> None:
@@ -132,12 +188,15 @@ class Engine:
         todo = I.backfill(self.table("documents"), self.table("chunks"))
         made = I.chunk(todo.select(F.col("id").alias("document_id"), "title", "cleaned_text"), self.tokenizer).withColumn("id", key("document_id", "chunk_index"))
         made = embed_column(made, "text", self.embedder)
-        old = self.table("chunks")
-        self.write("chunks", I.replace_chunks(old, made.select(*[F.col(f.name) if f.name in made.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES["chunks"]])))
+        self.store.append("chunks", made, TABLES["chunks"])  # of documents that had none
         chunks = self.table("chunks")
         fresh = chunks.select(F.col("id").alias("chunk_id"), "text").join(self.table("postings").select("chunk_id").distinct(), "chunk_id", "left_anti")
-        kept = self.table("postings").join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
-        self.write("postings", kept.unionByName(I.postings(fresh, self.analyzer)))
+        self.store.append("postings", I.postings(fresh, self.analyzer), TABLES["postings"])
+
+    def compact(self) -> None:
+        """Rewrites every table that has grown by deltas as one snapshot."""
+        for name, schema in TABLES.items():
+            self.store.compact(name, schema)
 
     # ------------------------------------------------------------ queries
 
@@ -213,7 +272,9 @@ class Engine:
         question, k, subs = S.ask_request(question, k, sub_queries)
         if subs:
             chunks = self.table("chunks").select(F.col("id").alias("chunk_id"), "embedding")
-            hits = self._resolved(R.multi_search(chunks, self.table("postings"), self._queries(subs), k))
+            asked = self._queries(subs)
+            lexemes = self._lexemes(asked.withColumn("query_id", F.struct("group_id", "sub")))
+            hits = self._resolved(R.multi_search(chunks, self.table("postings"), asked, k, lexemes))
         else:
             hits = self.search(question, "hybrid", k)
         out = A.answer(question, hits.collect(), self.generator)  # k rows

@@ -153,9 +153,9 @@ def readable(root: Node) -> tuple[str | None, str] | None:
     return (title_of(root), text) if text else None
 
 
-def extract(html: str | None) -> tuple[str | None, str, bool]:
+def extract(html: str | None, root: Node | None = None) -> tuple[str | None, str, bool]:
     """(title, text, whether the reader found an article)."""
-    root = parse(html)
+    root = root or parse(html)
     found = readable(root)
     if found and len(found[1]) >= LEAST_READABLE:
         return found[0], found[1], True

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import snippet
 
-# The answer without sources and the instruction for generators.
+# Fixed value: the answer without sources.
 NO_ANSWER = "I don't have enough information in the indexed sources to answer that."
-INSTRUCTION = "Answer from the numbered sources alone and cite each claim like [1] or [2][3]; if they don't hold the answer, say that you don't have enough information. Be concise."
+#: What a generator is told before the sources.
+INSTRUCTION = "You are given numbered excerpts of web pages. Write a short answer that rests on nothing but these excerpts, and put the number of the excerpt, as [n], behind each statement. Where they don't settle the question, say so."
 
 
 class ExtractiveGenerator:

@@ -135,6 +135,7 @@ def outcome(site_known, allowed, robots_ok, cold, status, changed):
         .when(~allowed, "skipped")
         .when(~robots_ok, "skipped")
         .when(cold, "retry")
+        .when(status <= 0, "retry")  # no answer
         .when((status == 429) | status.between(500, 599), "retry")
         .when(status == 403, "retry")
         .when(status >= 400, "failed")

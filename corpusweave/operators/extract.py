@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
+from ..functions.partition import spread
 from ..functions.text import content_type
 from ..schemas import STRUCTURED, invalid_document
 
@@ -18,12 +19,13 @@ def extract(pages: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for i, url, html in zip(pdf.page_version_id, pdf.url, pdf.raw_html):
-                title, text, used = H.extract(html)
-                rows.append((i, title, text, used, {"tables": H.tables(html), "documentLinks": H.document_links(html, url)}))
+                root = H.parse(html)
+                title, text, used = H.extract(html, root)
+                rows.append((i, title, text, used, {"tables": H.tables(html, root), "documentLinks": H.document_links(html, url, root)}))
             yield pd.DataFrame(rows, columns=["page_version_id", "title", "text", "used_readability", "structured"])
 
     rows = pages.select("page_version_id", F.coalesce("url", F.lit("")).alias("url"), "raw_html")
-    return rows.mapInPandas(run, f"page_version_id bigint, title string, text string, used_readability boolean, structured {STRUCTURED}")
+    return spread(rows).mapInPandas(run, f"page_version_id bigint, title string, text string, used_readability boolean, structured {STRUCTURED}")
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -34,7 +36,7 @@ def links(pages: DataFrame) -> DataFrame:
             rows = [(i, k, x) for i, url, html in zip(pdf.page_id, pdf.url, pdf.html) for k, x in enumerate(H.same_host_links(html, url))]
             yield pd.DataFrame(rows, columns=["page_id", "place", "url"])
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id bigint, place int, url string")
+    return spread(pages.select("page_id", "url", "html")).mapInPandas(run, "page_id bigint, place int, url string")
 
 
 def outcome(extracted: DataFrame) -> DataFrame:

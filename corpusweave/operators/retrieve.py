@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.embed import cosine
+from ..functions.partition import spread
 from ..functions.text import simple_tokens
 
 RRF, POOL = 60, 10
@@ -36,15 +39,64 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 
 
 def vector_search(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Exact cosine top-k. chunks: chunk_id, embedding; queries: query_id, vector. Rows without a vector are skipped."""
+    """Exact cosine top-k. chunks: chunk_id, embedding; queries: query_id, vector. Rows without a vector are skipped.
+
+    A block of queries is broadcast as one matrix; every Arrow batch of chunks is one matrix product with it, of which the k
+    best of each query in the batch are rows. Scores are rounded to twelve places, so that equal vectors tie.
+    """
 
     def search(part: DataFrame) -> DataFrame:
-        pairs = chunks.where("embedding is not null").select("chunk_id", "embedding").crossJoin(F.broadcast(part.select("query_id", "vector")))
-        return top_k(pairs.select("query_id", "chunk_id", cosine(F.col("embedding"), F.col("vector")).alias("score")).where("score is not null"), k)
+        asked = part.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector")).collect()  # at most MOST_QUERIES
+        by_length: dict[int, list[int]] = {}
+        for i, r in enumerate(asked):
+            by_length.setdefault(len(r.vector), []).append(i)
+        lengths = {n: (np.array(at), _unit(np.array([asked[i].vector for i in at], np.float64))) for n, at in by_length.items() if n}
+        shared = chunks.sparkSession.sparkContext.broadcast(lengths)
+
+        def run(batches):
+            for batch in batches:
+                ids, vectors = batch.column(0), batch.column(1)
+                sizes = np.diff(vectors.offsets.to_numpy())
+                flat = vectors.flatten().to_numpy(zero_copy_only=False)
+                at = np.concatenate([[0], np.cumsum(sizes)])
+                for n, (place, q) in shared.value.items():
+                    own = np.flatnonzero(sizes == n)
+                    if not len(own):
+                        continue
+                    score = np.round(q @ _unit(flat[at[own][:, None] + np.arange(n)].astype(np.float64)).T, 12)
+                    best = _best(score, own if ids.null_count else ids.to_numpy()[own], k)
+                    for i, cols in enumerate(best):
+                        cols = cols[~np.isnan(score[i, cols])]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols), place[i], np.int32)), ids.take(pa.array(own[cols])), pa.array(score[i, cols])], ["number", "chunk_id", "score"])
+
+        rows = spread(chunks.where("embedding is not null").select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "embedding"))
+        found = rows.mapInArrow(run, "number int, chunk_id bigint, score double")
+        kind = part.schema["query_id"].dataType
+        names = chunks.sparkSession.createDataFrame([(i, r.query_id) for i, r in enumerate(asked)], T.StructType([T.StructField("number", T.IntegerType()), T.StructField("query_id", kind)]))
+        return top_k(found.join(F.broadcast(names), "number").select("query_id", "chunk_id", "score"), k)
 
     return in_blocks(queries, search)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; a zero vector has no direction and becomes nan."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each row the places of its k best scores, the least id first of equal ones; nan comes last."""
+    out = []
+    for row in np.where(np.isnan(score), -np.inf, score):
+        if len(row) > k:
+            least = np.partition(row, len(row) - k)[len(row) - k]
+            some = np.flatnonzero(row >= least)
+        else:
+            some = np.arange(len(row))
+        out.append(some[np.lexsort((ids[some], -row[some]))][:k])
+    return out
+
+
 def query_lexemes(queries: DataFrame) -> DataFrame:
     """query_id, lexeme, n: the distinct lexemes of each query and how many there are."""
     lex = F.array_distinct(simple_tokens(F.col("q")))
@@ -79,18 +131,20 @@ def rrf(lists: DataFrame, k: int) -> DataFrame:
     return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 
-def hybrid_search(chunks: DataFrame, postings: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Both arms with a pool of max(k, 10), semantic first, fused. queries: query_id, q, vector."""
+def hybrid_search(chunks: DataFrame, postings: DataFrame, queries: DataFrame, k: int = 5, lexemes: DataFrame | None = None) -> DataFrame:
+    """Both arms with a pool of max(k, 10), semantic first, fused. queries: query_id, q, vector; lexemes: those of the queries,
+    where the postings aren't of the simple analyzer."""
     pool = max(k, POOL)
     semantic = vector_search(chunks, queries, pool).withColumn("list", F.lit(0))
-    keyword = keyword_search(postings, queries, pool).withColumn("list", F.lit(1))
+    keyword = keyword_search(postings, queries, pool, lexemes).withColumn("list", F.lit(1))
     return rrf(semantic.unionByName(keyword), k)
 
 
-def multi_search(chunks: DataFrame, postings: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
-    """Hybrid search for each sub-query, then the fused lists are fused. queries: group_id, sub (order), q, vector."""
+def multi_search(chunks: DataFrame, postings: DataFrame, queries: DataFrame, k: int = 8, lexemes: DataFrame | None = None) -> DataFrame:
+    """Hybrid search for each sub-query, then the fused lists are fused. queries: group_id, sub (order), q, vector; lexemes: as
+    above, by query_id, a struct of group_id and sub."""
     own = queries.withColumn("query_id", F.struct("group_id", "sub"))
-    each = hybrid_search(chunks, postings, own, max(k, POOL))
+    each = hybrid_search(chunks, postings, own, max(k, POOL), lexemes)
     return rrf(each.select(F.col("query_id.group_id").alias("query_id"), F.col("query_id.sub").alias("list"), "rank", "chunk_id"), k)
 
 

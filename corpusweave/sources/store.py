@@ -1,45 +1,57 @@
-"""Stage tables as snapshots: a new directory is written whole, readers take the last finished one. No directory is
-overwritten while it's read, so every write can be repeated and every reader sees one state."""
+"""Stage tables as snapshots and deltas. A write makes a new snapshot, an append a new delta of the new rows alone; readers take
+the last finished snapshot and the finished deltas after it. No directory is overwritten while it's read, so every write can be
+repeated and every reader sees one state."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 class Store:
     def __init__(self, spark: SparkSession, root: str, keep: int = 2):
+        """keep: snapshots that stay, with the deltas between them; readers that are older lose their files."""
         self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _snapshots(self, name: str) -> list[int]:
+    def _parts(self, name: str) -> list[tuple[int, str]]:
+        """(number, kind) of the finished snapshots (s) and deltas (d), in the order they were written."""
         fs, p = self._fs(f"{self.root}/{name}")
         if not fs.exists(p):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(p)]
-        done = (n for n in names if n.startswith("s") and n[1:].isdigit() and self._fs(f"{self.root}/{name}/{n}/_SUCCESS")[0].exists(self._fs(f"{self.root}/{name}/{n}/_SUCCESS")[1]))
-        return sorted(int(n[1:]) for n in done)
+        found = [n for n in names if n[:1] in "sd" and n[1:].isdigit()]
+        return sorted((int(n[1:]), n[0]) for n in found if fs.exists(self._fs(f"{self.root}/{name}/{n}/_SUCCESS")[1]))
 
     def read(self, name: str, schema: T.StructType) -> DataFrame:
-        """The last snapshot; an empty table before the first."""
-        have = self._snapshots(name)
-        if not have:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/s{have[-1]}")
+        """The last snapshot and what was appended since; an empty table before the first write."""
+        parts = self._parts(name)
+        last = max((n for n, kind in parts if kind == "s"), default=0)
+        live = [f"{self.root}/{name}/{kind}{n}" for n, kind in parts if n >= last]
+        return self.spark.read.schema(schema).parquet(*live) if live else self.spark.createDataFrame([], schema)
+
+    def _put(self, name: str, df: DataFrame, schema: T.StructType, kind: str) -> None:
+        rows = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/{kind}{max((n for n, _ in self._parts(name)), default=0) + 1}")
 
     def write(self, name: str, df: DataFrame, schema: T.StructType) -> None:
         """The next snapshot. Columns that df lacks are null."""
-        from pyspark.sql import functions as F
-
-        have = self._snapshots(name)
-        rows = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
-        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/s{(have or [0])[-1] + 1}")
-        for old in have[: max(0, len(have) + 1 - self.keep)]:
-            fs, p = self._fs(f"{self.root}/{name}/s{old}")
-            fs.delete(p, True)
+        self._put(name, df, schema, "s")
+        parts = self._parts(name)
+        snapshots = [n for n, kind in parts if kind == "s"]
+        for n, kind in parts:
+            if len(snapshots) >= self.keep and n < snapshots[-self.keep]:
+                fs, p = self._fs(f"{self.root}/{name}/{kind}{n}")
+                fs.delete(p, True)
 
     def append(self, name: str, df: DataFrame, schema: T.StructType) -> None:
-        self.write(name, self.read(name, schema).unionByName(df, allowMissingColumns=True), schema)
+        """Writes the rows of df and nothing else."""
+        self._put(name, df, schema, "d")
+
+    def compact(self, name: str, schema: T.StructType) -> None:
+        """One snapshot of a table that has grown by many deltas."""
+        self.write(name, self.read(name, schema), schema)

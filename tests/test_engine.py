@@ -96,3 +96,94 @@ def test_budget_stops_the_crawl(spark, tmp_path):
     e.start_crawl(1, max_depth=1, max_pages=3)
     assert {r.url: r.status for r in e.table("pages").collect()} == {BASE: "crawled", BASE + "0": "crawled", BASE + "1": "crawled", BASE + "2": "skipped"}
     assert S.crawl_request("3", "4") == (3, 4)
+
+
+def small_site(spark, root, rows, **site):
+    """An engine over pages (url, html, status) of one site."""
+    e = Engine(spark, root, FixtureFetcher(spark.createDataFrame(rows, "url string, html string, status int")), embedder=HashingEmbedder(16))
+    base = {"id": 1, "name": "One", "base_url": BASE, "crawl_delay_ms": 500, "allowed": True} | site
+    e.add_sites(spark.createDataFrame([tuple(base.values())], "id bigint, name string, base_url string, crawl_delay_ms int, allowed boolean"))
+    return e
+
+
+def test_robots_are_fetched_once_and_forbidden_pages_are_skipped(spark, tmp_path):
+    rows = [(BASE, page("Home", "x", ["/open", "/closed/1"]), 200), (BASE + "open", page("Open", "y"), 200), (BASE + "closed/1", page("No", "z"), 200), ("https://site.example/robots.txt", "User-agent: *\nDisallow: /closed\nCrawl-delay: 2", 200)]
+    e = small_site(spark, str(tmp_path), rows)
+    session = e.start_crawl(1, max_depth=1)
+    assert {r.url: r.status for r in e.table("pages").collect()} == {BASE: "crawled", BASE + "open": "crawled", BASE + "closed/1": "skipped"}
+    s = e.table("crawl_sessions").first()
+    assert (s.pages_crawled, s.pages_skipped, s.pages_failed) == (2, 1, 0)
+    assert e.table("robots").count() == 1 and "Disallow: /closed" in e.get_site(1)[0].robots_txt
+    seen = {r.url: r.now_ms for r in e.table("fetches").where(F.col("session_id") == session).collect()}
+    assert set(seen) == {BASE, BASE + "open"} and seen[BASE + "open"] - seen[BASE] >= 2000  # robots are stricter than the site's 500 ms
+    assert e.table("page_versions").count() == 2
+
+
+def test_retries_and_cooldowns_end_as_dead_letters(spark, tmp_path):
+    rows = [(BASE, page("Home", "x", ["/a", "/b", "/c", "/busy", "/gone"]), 200), *[(f"{BASE}{x}", None, 403) for x in "abc"], (BASE + "busy", None, 503), (BASE + "gone", None, 404)]
+    e = small_site(spark, str(tmp_path), rows, crawl_delay_ms=100)
+    e.start_crawl(1, max_depth=1)
+    status = {r.url: r.status for r in e.table("pages").collect()}
+    assert status[BASE] == "crawled" and all(status[BASE + x] == "pending" for x in ("a", "b", "c"))
+    tries = e.table("fetches").where(f"url <> '{BASE}'").orderBy("now_ms", "url").collect()
+    per = {}
+    for r in tries:
+        per.setdefault(r.url, []).append((r.attempt, r.in_cooldown))
+    assert all([a for a, _ in per[BASE + x]] == [1, 2, 3, 4] for x in ("a", "b", "c"))
+    blocks = [r for r in tries if r.status == 403]
+    assert not any(r.in_cooldown for r in blocks[:3]) and all(r.in_cooldown for r in tries if r.now_ms > blocks[2].now_ms)  # three blocks in a minute
+    by = sorted(tries, key=lambda r: r.now_ms)
+    assert all(b.now_ms - a.now_ms >= 100 for a, b in zip(by, by[1:]))
+    dead = {r.job_id: (r.attempts_made, r.error_message) for r in e.table("failed_jobs").collect()}
+    assert {BASE + x for x in "abc"} <= set(dead) and all(n == 4 for n, _ in dead.values())
+    assert dead[BASE + "a"][1] == "site.example is in cooldown"
+
+
+def test_an_append_writes_only_new_rows(spark, tmp_path):
+    from corpusweave.sources.store import Store
+
+    schema = S.ddl("id bigint, name string")
+    store = Store(spark, str(tmp_path))
+    rows = lambda *xs: spark.createDataFrame([(x, str(x)) for x in xs], "id bigint, name string").coalesce(1)
+    count = lambda part: spark.read.parquet(f"{tmp_path}/t/{part}").count()
+    store.append("t", rows(1, 2), schema)
+    store.append("t", rows(3), schema)
+    assert (count("d1"), count("d2")) == (2, 1) and sorted(r.id for r in store.read("t", schema).collect()) == [1, 2, 3]
+    old = store.read("t", schema)
+    store.compact("t", schema)
+    store.append("t", rows(4), schema)
+    assert count("s3") == 3 and count("d4") == 1 and store.read("t", schema).count() == 4 and old.count() == 3
+    store.write("t", rows(9), schema)
+    store.write("t", rows(8), schema)
+    assert [r.id for r in store.read("t", schema).collect()] == [8] and not (tmp_path / "t" / "d1").exists() and store.read("none", schema).count() == 0
+
+
+def test_plain_http_survives_bad_servers():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from corpusweave.sources.fetch import HttpFetcher
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            if self.path == "/broken":
+                self.wfile.write(b"nonsense\r\n\r\n")
+                return
+            self.send_response(429 if self.path == "/busy" else 302 if self.path == "/moved" else 200)
+            self.send_header("Content-Type", "text/html; charset=" + ("klingon" if self.path == "/charset" else "utf-8"))
+            if self.path == "/moved":
+                self.send_header("Location", "/end")
+            self.end_headers()
+            self.wfile.write("grüße".encode() * (1000 if self.path == "/long" else 1))
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base, f = f"http://127.0.0.1:{server.server_port}", HttpFetcher(timeout=5, most=700)
+    assert f.get(base + "/x") == (200, "grüße", base + "/x") and f.get(base + "/charset")[1] == "grüße"
+    assert f.get(base + "/moved") == (200, "grüße", base + "/end") and f.get(base + "/busy")[0] == 429
+    assert f.get(base + "/broken")[0] == 0 and f.get("http://127.0.0.1:1/")[0] == 0 and f.get("no url")[0] == 0
+    assert len(f.get(base + "/long")[1].encode()) <= 702
+    server.shutdown()
