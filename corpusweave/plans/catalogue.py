@@ -50,17 +50,6 @@ def pages_of(spark, d):
     return p.select(F.col("page_id").alias("id"), X.host(F.col("url")).alias("site_id"), "url", F.expr(STATUS).alias("status"), "html")
 
 
-def chunks_of(spark, d):
-    """Documents that have a vector, as chunks: chunk_id, text, embedding."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return docs.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id")
-
-
-def vector_queries(spark, d, ids):
-    e = table(spark, d, "embeddings").where(F.col("vec_id").isin(*ids))
-    return e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-
-
 def rounded(df, *cols):
     return df.withColumns({c: F.round(c, 6) for c in cols or ("score",)})
 
@@ -78,89 +67,111 @@ po as (select chunk_id, lexeme, count(*) as tf from (select chunk_id, unnest({TO
 kw as (select query_id, chunk_id, round(sum({RANK_SQL.replace("tf", "po.tf")} / n), 12) as score from po join lx using (lexeme) group by all)"""
 
 
-KEYWORDS = [(0, "the of and"), (1, "que les de la"), (2, "ation ing")]
-KEYWORDS_SQL = "(values (0, 'the of and'), (1, 'que les de la'), (2, 'ation ing')) as t(query_id, q)"
+#: Every row whose id is divisible by this is a query of the searches.
+EVERY = 50
+CHUNKS_SQL = "select doc_id as chunk_id, text, embedding from documents left join embeddings on doc_id = vec_id"
+
+
+def all_chunks(spark, d):
+    """All documents as chunks: chunk_id, text, embedding. Those without a vector are found by their words alone."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return docs.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left")
+
+
+def all_queries(spark, d):
+    """query_id, q, vector: text and vector of every row that is a query."""
+    return all_chunks(spark, d).where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), F.col("text").alias("q"), F.col("embedding").alias("vector"))
+
+
+def vectors_of(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
 
 
-def keyword_queries(spark):
-    return spark.createDataFrame(KEYWORDS, "query_id int, q string").withColumn("query_id", F.col("query_id").cast("bigint"))
+def vector_queries(spark, d):
+    """Vectors that are queries: query_id, vector."""
+    return vectors_of(spark, d).where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 # ---------------------------------------------------------------- retrieval
 
 
-@query(f"""select a.vec_id as chunk_id, round({VEC_SQL}, 6) as score from embeddings a, (select * from embeddings where vec_id = 0) b
-order by {VEC_SQL} desc, a.vec_id limit 10""")
+def topk_sql(k: int) -> str:
+    return f"""select query_id, rank, chunk_id, score from (select b.vec_id as query_id, a.vec_id as chunk_id, round({VEC_SQL}, 6) as score,
+row_number() over (partition by b.vec_id order by round({VEC_SQL}, 12) desc, a.vec_id) as rank from embeddings a, (select * from embeddings where vec_id % {EVERY} = 0) b) where rank <= {k}"""
+
+
+def top_vectors(spark, d, k):
+    return rounded(R.vector_search(vectors_of(spark, d), vector_queries(spark, d), k)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query(topk_sql(10))
 def vector_topk(spark, d):
-    chunks = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return rounded(R.vector_search(chunks, vector_queries(spark, d, [0]), 10)).select("chunk_id", "score")
+    return top_vectors(spark, d, 10)
 
 
-@query(f"""select query_id, rank, chunk_id, score from (select b.vec_id as query_id, a.vec_id as chunk_id, round({VEC_SQL}, 6) as score,
-row_number() over (partition by b.vec_id order by {VEC_SQL} desc, a.vec_id) as rank from embeddings a, (select * from embeddings where vec_id % 100 = 7) b) where rank <= 5""")
+@query(topk_sql(5))
 def vector_topk_batch(spark, d):
-    e = table(spark, d, "embeddings")
-    queries = e.where("vec_id % 100 = 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return rounded(R.vector_search(e.select(F.col("vec_id").alias("chunk_id"), "embedding"), queries, 5)).withColumn("rank", F.col("rank").cast("bigint"))
+    return top_vectors(spark, d, 5)
 
 
-@query(f"""with qs as (select * from {KEYWORDS_SQL}), tx as (select doc_id as chunk_id, text from documents), {keyword_sql('tx', 'qs')}
+@query(f"""with qs as (select doc_id as query_id, text as q from documents where doc_id % {EVERY} = 0), tx as (select doc_id as chunk_id, text from documents), {keyword_sql('tx', 'qs')}
 select query_id, rank, chunk_id, round(score, 6) as score from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from kw) where rank <= 10""")
 def keyword_or_rank(spark, d):
-    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    queries = keyword_queries(spark)
-    wanted = F.broadcast(R.query_lexemes(queries).select("lexeme").distinct())
-    hits = chunks.select("chunk_id", F.explode(X.simple_tokens(F.col("text"))).alias("lexeme")).join(wanted, "lexeme", "left_semi").groupBy("chunk_id", "lexeme").agg(F.count("*").alias("tf"))
-    return rounded(R.keyword_search(hits, queries, 10)).withColumn("rank", F.col("rank").cast("bigint"))
+    texts = all_chunks(spark, d).select("chunk_id", "text")
+    return rounded(R.keyword_search(I.postings(texts), all_queries(spark, d), 10)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query()
 def keyword_english(spark, d):
-    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    english = I.english(spark)
-    lex = keyword_queries(spark).withColumn("terms", F.array_distinct(english("q"))).select("query_id", F.explode("terms").alias("lexeme"), F.size("terms").alias("n"))
-    return rounded(R.keyword_search(I.postings(chunks, "english"), keyword_queries(spark), 10, lex))
+    english, queries = I.english(spark), all_queries(spark, d)
+    lex = queries.withColumn("terms", F.array_distinct(english("q"))).select("query_id", F.explode("terms").alias("lexeme"), F.size("terms").alias("n"))
+    return rounded(R.keyword_search(I.postings(all_chunks(spark, d), "english"), queries, 10, lex))
 
 
-def fused_sql(pool: int, k: int, queries: str) -> str:
-    """queries(query_id, q, vec): both arms, fused."""
+def fused_sql(pool: int, queries: str) -> str:
+    """queries(query_id, q, vec): both arms, fused into hy(query_id, chunk_id, score, rank)."""
     return f"""
-ch as (select doc_id as chunk_id, text, embedding from documents join embeddings on doc_id = vec_id),
+ch as ({CHUNKS_SQL}),
 qs as ({queries}), {keyword_sql('ch', 'qs')},
-ve as (select query_id, a.chunk_id, {VEC_SQL} as score from ch a, (select qs.query_id, embedding from qs join embeddings on vec = vec_id) b),
+ve as (select query_id, a.chunk_id, round({VEC_SQL}, 12) as score from ch a, (select qs.query_id, embedding from qs join embeddings on vec = vec_id) b where a.embedding is not null),
 li as (select query_id, 0 as list, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) as rank from ve union all
        select query_id, 1, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) from kw),
 fu as (select query_id, chunk_id, list_sum(list(1.0::double / (60 + rank) order by list)) as score, min(list * 1000000 + rank) as first from li where rank <= {pool} group by all),
 hy as (select query_id, chunk_id, score, row_number() over (partition by query_id order by round(score, 12) desc, first) as rank from fu)"""
 
 
-@query(f"""with {fused_sql(10, 5, "select 0::bigint as query_id, 'the of and that' as q, 0 as vec")}
-select rank, chunk_id, round(score, 6) as score from hy where rank <= 5""")
-def hybrid_rrf(spark, d):
-    chunks = chunks_of(spark, d)
-    queries = vector_queries(spark, d, [0]).withColumn("q", F.lit("the of and that"))
-    return rounded(R.hybrid_search(chunks, I.postings(chunks), queries, 5)).select(F.col("rank").cast("bigint").alias("rank"), "chunk_id", "score")
+QUERIES_SQL = f"select doc_id as query_id, text as q, doc_id as vec from documents where doc_id % {EVERY} = 0"
+
+
+def found_by_all(spark, d, k=5):
+    """query_id, rank, chunk_id, score: the hybrid search of all queries."""
+    chunks = all_chunks(spark, d)
+    return R.hybrid_search(chunks, I.postings(chunks), all_queries(spark, d), k).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-SUBS = [(0, 3, "the of and that"), (1, 11, "que les de la")]
+@query(f"""with {fused_sql(10, QUERIES_SQL)}
+select query_id, rank, chunk_id, round(score, 6) as score from hy where rank <= 5""")
+def hybrid_rrf(spark, d):
+    return rounded(found_by_all(spark, d))
 
 
-@query(f"""with {fused_sql(10, 10, "select * from (values (0::bigint, 'the of and that', 3), (1, 'que les de la', 11)) as t(query_id, q, vec)")},
-mu as (select chunk_id, list_sum(list(1.0::double / (60 + rank) order by query_id)) as score, min(query_id * 1000000 + rank) as first from hy where rank <= 10 group by all)
-select row_number() over (order by round(score, 12) desc, first) as rank, chunk_id, round(score, 6) as score from mu order by 1 limit 8""")
+@query(f"""with {fused_sql(10, QUERIES_SQL)},
+mu as (select query_id // {2 * EVERY} as query_id, chunk_id, list_sum(list(1.0::double / (60 + rank) order by query_id)) as score, min(query_id // {EVERY} % 2 * 1000000 + rank) as first from hy where rank <= 10 group by query_id // {2 * EVERY}, chunk_id),
+ra as (select *, row_number() over (partition by query_id order by round(score, 12) desc, first) as rank from mu)
+select query_id, rank, chunk_id, round(score, 6) as score from ra where rank <= 8""")
 def multi_query_rrf(spark, d):
-    chunks = chunks_of(spark, d)
-    subs = spark.createDataFrame(SUBS, "sub int, vec int, q string")
-    queries = subs.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("vec"), F.col("embedding").alias("vector")), "vec").select(F.lit(0).alias("group_id"), "sub", "q", "vector")
-    return rounded(R.multi_search(chunks, I.postings(chunks), queries, 8)).select(F.col("rank").cast("bigint").alias("rank"), "chunk_id", "score")
+    """Every query is a sub-query; two that follow each other by id are one question."""
+    chunks = all_chunks(spark, d)
+    subs = all_queries(spark, d).select(F.floor(F.col("query_id") / (2 * EVERY)).alias("group_id"), F.floor(F.col("query_id") / EVERY % 2).cast("int").alias("sub"), "q", "vector")
+    return rounded(R.multi_search(chunks, I.postings(chunks), subs, 8)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query(f"""with r as (select b.vec_id as query_id, b.label as want, a.label as got, row_number() over (partition by b.vec_id order by {VEC_SQL} desc, a.vec_id) as rank
-from embeddings a, (select * from embeddings where vec_id % 50 = 3) b where a.vec_id <> b.vec_id),
+@query(f"""with r as (select b.vec_id as query_id, b.label as want, a.label as got, row_number() over (partition by b.vec_id order by round({VEC_SQL}, 12) desc, a.vec_id) as rank
+from embeddings a, (select * from embeddings where vec_id % {EVERY} = 0) b where a.vec_id <> b.vec_id),
 f as (select query_id, min(case when want = got and rank <= 5 then rank end) as first from r group by all)
 select round(avg((first is not null)::int), 6) as hit_rate, round(avg(coalesce(1.0 / first, 0)), 6) as mrr from f""")
 def retrieval_eval(spark, d):
-    return judged(table(spark, d, "embeddings"), "vec_id % 50 = 3")
+    return judged(table(spark, d, "embeddings"), f"vec_id % {EVERY} = 0")
 
 
 def judged(e, asked):
@@ -173,36 +184,42 @@ def judged(e, asked):
     return rounded(R.evaluate(hits, goldens, 5), "hit_rate", "mrr")
 
 
-@query(f"""select count(distinct host) as n_hosts, count(distinct host) >= 2 as multi_source from (select {HOST_SQL} as host from pages order by page_id limit 8)""")
-def multi_source_hosts(spark, d):
-    top = table(spark, d, "pages").orderBy("page_id").limit(8)
-    return top.agg(F.countDistinct(X.host(F.col("url"))).alias("n_hosts")).withColumn("multi_source", F.col("n_hosts") >= 2)
-
-
 def hits_of(spark, d):
-    """Documents 0 to 9 as two ranked result lists."""
-    docs = table(spark, d, "documents").where("doc_id < 10")
-    return docs.select((F.col("doc_id") % 2).alias("query_id"), (F.floor(F.col("doc_id") / 2) + 1).alias("rank"), F.concat(F.lit("https://"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("url"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.left("text", F.lit(400)).alias("text"))
+    """The results of the hybrid search of all queries with url, title and the whole text."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("https://"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("url"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), "text")
+    return docs.join(found_by_all(spark, d), "chunk_id")
 
 
-HITS_SQL = "(select doc_id % 2 as query_id, doc_id // 2 + 1 as rank, 'https://' || source || '/' || doc_id as url, 'Doc ' || doc_id as title, left(text, 400) as text from documents where doc_id < 10)"
+HITS_SQL = f"""with {fused_sql(10, QUERIES_SQL)},
+hits as (select query_id, rank, 'https://' || source || '/' || doc_id as url, 'Doc ' || doc_id as title, d.text from hy join documents d on doc_id = chunk_id where rank <= 5)"""
 
 
-@query(f"select query_id, string_agg('[' || rank || '] Source: ' || url || chr(10) || text, chr(10) || chr(10) order by rank) as context from {HITS_SQL} group by 1")
+@query(f"{HITS_SQL} select query_id, string_agg('[' || rank || '] Source: ' || url || chr(10) || text, chr(10) || chr(10) order by rank) as context from hits group by 1")
 def rag_context(spark, d):
     return A.context(hits_of(spark, d))
 
 
-@query(f"select query_id, rank as marker, url, title, case when length(text) > 160 then left(text, 160) || '…' else text end as snippet from {HITS_SQL}")
+@query(f"{HITS_SQL} select query_id, rank as marker, url, title, case when length(text) > 160 then left(text, 160) || '…' else text end as snippet from hits")
 def citations(spark, d):
     return A.citations(hits_of(spark, d))
 
 
-@query("""with a as (select doc_id, 'As ' || left(replace(replace(text, '[', ''), ']', ''), 20) || ' says [' || (doc_id % 7) || '], see [' || (doc_id % 3 + 1) || '].' as answer from documents),
+@query(f"{HITS_SQL} select query_id, count(distinct url) as n_sources from hits group by 1")
+def distinct_sources(spark, d):
+    return hits_of(spark, d).groupBy("query_id").agg(F.countDistinct("url").alias("n_sources"))
+
+
+@query(f"{HITS_SQL} select query_id, count(distinct {HOST_SQL}) as n_hosts, count(distinct {HOST_SQL}) >= 2 as multi_source from hits group by 1")
+def multi_source_hosts(spark, d):
+    hosts = hits_of(spark, d).groupBy("query_id").agg(F.countDistinct(X.host(F.col("url"))).alias("n_hosts"))
+    return hosts.withColumn("multi_source", F.col("n_hosts") >= 2)
+
+
+@query("""with a as (select doc_id, 'As ' || replace(replace(text, '[', ''), ']', '') || ' says [' || (doc_id % 7) || '], see [' || (doc_id % 3 + 1) || '].' as answer from documents),
 m as (select doc_id, pos, list_extract(found, pos)::bigint as marker from (select doc_id, regexp_extract_all(answer, '\\[(\\d+)\\]', 1) as found, unnest(range(1, len(regexp_extract_all(answer, '\\[(\\d+)\\]', 1)) + 1)) as pos from a))
 select doc_id, pos, marker, case when marker between 1 and 5 then 'https://source/' || marker end as url from m""".replace("\\\\", "\\"))
 def inline_citations(spark, d):
-    return cited_inline(spark, d, F.left(F.regexp_replace("text", r"[\[\]]", ""), F.lit(20)))
+    return cited_inline(spark, d, F.regexp_replace("text", r"[\[\]]", ""))
 
 
 def cited_inline(spark, d, body):
@@ -212,11 +229,6 @@ def cited_inline(spark, d, body):
     return m.withColumn("pos", F.col("pos").cast("bigint") + 1).join(F.broadcast(sources), "marker", "left")
 
 
-@query(f"select query_id, count(distinct url) as n_sources from {HITS_SQL} group by 1")
-def distinct_sources(spark, d):
-    return hits_of(spark, d).groupBy("query_id").agg(F.countDistinct("url").alias("n_sources"))
-
-
 # ---------------------------------------------------------------- listings and statistics
 
 
@@ -327,7 +339,10 @@ def queue_depth(spark, d):
     return G.queue_depths(table(spark, d, "events").select(F.col("event_type").alias("queue"), state.alias("state")))
 
 
-@query("select * from (values (1::bigint, 'Books to Scrape', 'https://books.toscrape.com/', 500, 'static', 2, 50), (2, 'Quotes to Scrape (JS)', 'https://quotes.toscrape.com/js/', 500, 'js', 2, 50), (3, 'Scrape This Site (real static)', 'https://www.scrapethissite.com/pages/', 1000, 'static', 2, 30)) as t(id, name, base_url, crawl_delay_ms, render_mode, max_depth, max_pages)")
+SEEDS_SQL = ", ".join(f"({i}::bigint, '{name}', '{url}', {delay}, '{mode}', {depth}, {pages})" for i, name, url, delay, mode, depth, pages in schemas.SEED_SITES)
+
+
+@query(f"select * from (values {SEEDS_SQL}) as t(id, name, base_url, crawl_delay_ms, render_mode, max_depth, max_pages)")
 def seed_sites(spark, d):
     return schemas.seed_sites(spark).drop("robots_txt", "allowed")
 
@@ -406,9 +421,9 @@ def fetcher_and_delay(spark, d):
     return p.select("page_id", mode.alias("fetcher"), X.effective_delay(F.lit(500), (F.col("page_id") % 4).cast("double")).alias("delay_ms"))
 
 
-@query("""select event_id, coalesce(case when event_id % 3 = 0 then 4 end, 2) as max_depth, coalesce(case when event_id % 3 = 0 then 9 end, case when event_id % 2 = 1 then 50 else 30 end) as max_pages from events where user_id % 2 = 0""")
+@query("""select event_id, coalesce(case when event_id % 3 = 0 then 4 end, 2) as max_depth, coalesce(case when event_id % 3 = 0 then 9 end, case when event_id % 2 = 1 then 50 else 30 end) as max_pages from events""")
 def crawl_limits(spark, d):
-    return limits_of(spark, table(spark, d, "events").where("user_id % 2 = 0"))
+    return limits_of(spark, table(spark, d, "events"))
 
 
 def limits_of(spark, events):
@@ -418,7 +433,11 @@ def limits_of(spark, events):
     return C.limits(jobs, sessions, sites).select("event_id", "max_depth", "max_pages")
 
 
-@query()
+@query("""with recursive e as (select event_type as domain, epoch_us(ts) // 1000 as now_ms, event_id as seq, event_id % 3 <> 0 as blocked, row_number() over (partition by event_type order by epoch_us(ts) // 1000, event_id) as i from events),
+f as (select distinct domain, 0::bigint as now_ms, 0::bigint as seq, false as blocked, 0::bigint as i, false as cold, 0::bigint as n, 0::bigint as win, 0::bigint as until from e union all
+      select domain, now_ms, seq, blocked, i, cold, case when not counts then n when c >= 3 then 0 else c end, case when not counts then win when c >= 3 then 0 when c = 1 then now_ms + 60000 else win end, case when counts and c >= 3 then now_ms + 120000 else until end
+      from (select e.*, e.now_ms < f.until as cold, f.n, f.win, f.until, e.blocked and e.now_ms >= f.until as counts, case when e.now_ms >= f.win then 1 else f.n + 1 end as c from f join e on e.domain = f.domain and e.i = f.i + 1))
+select domain, now_ms, seq, blocked, cold as in_cooldown from f where i > 0""")
 def cooldown(spark, d):
     e = table(spark, d, "events").select(F.col("event_type").alias("domain"), F.unix_millis(F.col("ts").cast("timestamp")).alias("now_ms"), F.col("event_id").alias("seq"), (F.col("event_id") % 3 != 0).alias("blocked"))
     return C.cooldown(e)
@@ -434,9 +453,9 @@ def frontier_new_urls(spark, d):
 # ---------------------------------------------------------------- text and documents
 
 
-@query("select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as clean, nullif(trim(regexp_replace(left(text, 3), '[^A-Z]+', ' ', 'g')), '') as title from documents".replace("\\\\", "\\"))
+@query("select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as clean, nullif(trim(regexp_replace(text, '[^A-Z]+', ' ', 'g')), '') as title from documents".replace("\\\\", "\\"))
 def normalize_ws(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.normalize_whitespace(F.col("text")).alias("clean"), X.clean_title(F.regexp_replace(F.left("text", F.lit(3)), "[^A-Z]+", " ")).alias("title"))
+    return table(spark, d, "documents").select("doc_id", X.normalize_whitespace(F.col("text")).alias("clean"), X.clean_title(F.regexp_replace("text", "[^A-Z]+", " ")).alias("title"))
 
 
 @query("""with s as (select doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]+["'')\\]]*\\s*|[^.!?]+$'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '') as found from documents)
@@ -450,10 +469,10 @@ def exact_dedup(spark, d):
     return table(spark, d, "documents").groupBy(X.sha(F.col("text")).alias("digest")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"))
 
 
-@query("""select page_id, case when page_id % 5 = 0 and length(html) % 1000 >= 500 then 'mixed' when page_id % 5 = 0 then 'table' when page_id % 2 = 0 and length(html) % 1000 < 500 then 'listing' else 'article' end as content_type from pages""")
+@query()
 def classify_content(spark, d):
-    text = F.expr("repeat('x', cast(length(html) % 1000 as int))")
-    return table(spark, d, "pages").select("page_id", X.content_type(text, F.when(F.col("page_id") % 5 == 0, 1).otherwise(0), F.col("page_id") % 2 != 0).alias("content_type"))
+    """The content type of every page by its own text and tables."""
+    return E.outcome(E.extract(versions_in(spark, d))).select(F.col("page_version_id").alias("page_id"), "content_type")
 
 
 STRIP = r"<(script|style|noscript|template|svg|nav|header|footer|aside)[^>]*>.*?</(script|style|noscript|template|svg|nav|header|footer|aside)>"
@@ -491,7 +510,7 @@ def find_or_create(spark, d):
 
 
 @query(r"""select page_id, nullif(lower(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '\.([^.]+)$', 1)), '') as ext,
-coalesce(nullif(lower(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '\.([^.]+)$', 1)), '') in ('pdf', 'doc', 'docx', 'xls', 'xlsx', 'ppt', 'pptx', 'csv', 'tsv', 'rtf', 'odt', 'ods', 'odp', 'txt', 'json', 'xml', 'zip'), false) as is_document from pages""")
+coalesce(nullif(lower(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '\.([^.]+)$', 1)), '') in ({EXTENSIONS}), false) as is_document from pages""".replace("{EXTENSIONS}", ", ".join(f"'{x}'" for x in X.DOCUMENT_EXTENSIONS)))
 def document_extension(spark, d):
     ext = X.extension(F.try_parse_url("url", F.lit("PATH")))
     return table(spark, d, "pages").select("page_id", ext.alias("ext")).withColumn("is_document", F.coalesce(F.col("ext").isin(*X.DOCUMENT_EXTENSIONS), F.lit(False)))
@@ -549,101 +568,51 @@ def indexed_pages(spark, d):
     return made.select("document_id", "chunk_index", "token_count", F.size("embedding").alias("dimensions"))
 
 
-# ---------------------------------------------------------------- answers over whole tables
-
-#: Every row whose id is divisible by this is a query. SQL is too slow here; tests/test_whole_queries.py has brute force.
-EVERY = 50
-
-
-def all_chunks(spark, d):
-    """All documents as chunks: chunk_id, text, embedding. Those without a vector are found by their words alone."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return docs.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left")
-
-
-def all_queries(spark, d):
-    """query_id, q, vector: text and vector of every row that is a query."""
-    return all_chunks(spark, d).where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), F.col("text").alias("q"), F.col("embedding").alias("vector"))
-
-
-def found_by_all(spark, d, k=5):
-    """query_id, rank, chunk_id, score: the hybrid search of all queries."""
-    chunks = all_chunks(spark, d)
-    return R.hybrid_search(chunks, I.postings(chunks), all_queries(spark, d), k)
+# ---------------------------------------------------------------- extraction over inline pages, with the values to be found
 
+FIXTURE_URL = "https://site.example/dir/page.html"
+#: (case, html): small pages whose tables, links and text are known.
+FIXTURES = [
+    (1, "<html><head><title> One  page </title></head><body><nav>menu</nav><main><p>Main text.</p></main><footer>foot</footer></body></html>"),
+    (2, "<body><h1>Only a heading</h1><table><caption>Prices</caption><tr><th>Item</th><th>Price</th></tr><tr><td>Tea</td><td>2</td></tr><tr><td>Milk</td><td>1</td></tr></table></body>"),
+    (3, "<table><thead><tr><th>A</th><th>B</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr></tbody></table><table><tr><td>layout</td></tr></table>"),
+    (4, "<a href='/a'>a</a><a href='b?x=1#top'>b</a><a href='/a'>again</a><a href='https://other.example/c'>c</a><a href='mailto:x@y.example'>m</a><a href='/files/Report.PDF'>The  report</a><a href='data.csv?v=2'>data</a>"),
+    (5, "<body><script>var x = 1;</script><p>Plain</p><style>p {}</style><p>words</p></body>"),
+    (6, ""),
+]
 
-def all_hits(spark, d):
-    """The results of found_by_all with url, title and the whole text."""
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("https://"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("url"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), "text")
-    return docs.join(found_by_all(spark, d), "chunk_id")
 
+def fixtures(spark):
+    return spark.createDataFrame([(i, FIXTURE_URL, h) for i, h in FIXTURES], "page_version_id bigint, url string, raw_html string")
 
-@query()
-def rag_context_all(spark, d):
-    return A.context(all_hits(spark, d))
 
+@query("""select * from (values (1::bigint, 'One page', 'Main text.'), (2, 'Only a heading', 'Only a headingPricesItemPriceTea2Milk1'), (3, null, 'AB12layout'), (4, null, 'abagaincmThe reportdata'), (5, null, 'Plainwords'), (6, null, '')) as t(page_id, title, text)""")
+def fixture_text(spark, d):
+    return E.extract(fixtures(spark)).select(F.col("page_version_id").alias("page_id"), "title", "text")
 
-@query()
-def citations_all(spark, d):
-    return A.citations(all_hits(spark, d))
 
+@query("""select * from (values (2::bigint, 0::bigint, 'Prices', 'Item|Price', 'Tea|2;Milk|1'), (3, 0, null, 'A|B', '1|2')) as t(page_id, pos, caption, headers, cells)""")
+def fixture_tables(spark, d):
+    found = E.extract(fixtures(spark)).select(F.col("page_version_id").alias("page_id"), F.posexplode("structured.tables").alias("pos", "t"))
+    cells = F.array_join(F.transform("t.rows", lambda r: F.array_join(r, "|")), ";")
+    return found.select("page_id", F.col("pos").cast("bigint").alias("pos"), "t.caption", F.array_join("t.headers", "|").alias("headers"), cells.alias("cells"))
 
-@query()
-def distinct_sources_all(spark, d):
-    return all_hits(spark, d).groupBy("query_id").agg(F.countDistinct("url").alias("n_sources"))
 
+@query("""select * from (values (4::bigint, 0::bigint, 'https://site.example/a'), (4, 1, 'https://site.example/dir/b?x=1'), (4, 2, 'https://site.example/files/Report.PDF'), (4, 3, 'https://site.example/dir/data.csv?v=2')) as t(page_id, place, url)""")
+def fixture_links(spark, d):
+    return E.links(fixtures(spark).select(F.col("page_version_id").alias("page_id"), "url", F.col("raw_html").alias("html"))).withColumn("place", F.col("place").cast("bigint"))
 
-@query()
-def multi_source_hosts_all(spark, d):
-    hosts = all_hits(spark, d).groupBy("query_id").agg(F.countDistinct(X.host(F.col("url"))).alias("n_hosts"))
-    return hosts.withColumn("multi_source", F.col("n_hosts") >= 2)
 
-
-@query()
-def inline_citations_all(spark, d):
-    return cited_inline(spark, d, F.regexp_replace("text", r"[\[\]]", ""))
+@query("""select * from (values (4::bigint, 'https://site.example/files/Report.PDF', 'The report', 'pdf'), (4, 'https://site.example/dir/data.csv?v=2', 'data', 'csv')) as t(page_id, url, text, type)""")
+def fixture_documents(spark, d):
+    return E.extract(fixtures(spark)).select(F.col("page_version_id").alias("page_id"), F.inline("structured.documentLinks"))
 
 
-@query()
-def crawl_limits_all(spark, d):
-    return limits_of(spark, table(spark, d, "events"))
-
-
-# ---------------------------------------------------------------- searches by every query
-
-
-@query()
-def vector_topk_all(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
-    queries = e.where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return rounded(R.vector_search(e, queries, 10))
-
-
-@query()
-def retrieval_eval_all(spark, d):
-    return judged(table(spark, d, "embeddings"), f"vec_id % {EVERY} = 0")
-
-
-@query()
-def keyword_or_rank_all(spark, d):
-    return rounded(R.keyword_search(I.postings(all_chunks(spark, d)), all_queries(spark, d), 10))
-
-
-@query()
-def keyword_english_all(spark, d):
-    english, queries = I.english(spark), all_queries(spark, d)
-    lex = queries.withColumn("terms", F.array_distinct(english("q"))).select("query_id", F.explode("terms").alias("lexeme"), F.size("terms").alias("n"))
-    return rounded(R.keyword_search(I.postings(all_chunks(spark, d), "english"), queries, 10, lex))
-
-
-@query()
-def hybrid_rrf_all(spark, d):
-    return rounded(found_by_all(spark, d))
-
-
-@query()
-def multi_query_rrf_all(spark, d):
-    """Every query is a sub-query; two that follow each other by id are one question."""
-    chunks = all_chunks(spark, d)
-    subs = all_queries(spark, d).select(F.floor(F.col("query_id") / (2 * EVERY)).alias("group_id"), F.floor(F.col("query_id") / EVERY % 2).cast("int").alias("sub"), "q", "vector")
-    return rounded(R.multi_search(chunks, I.postings(chunks), subs, 8))
+@query(f"""select v.event_id as chunk_id, 'Doc ' || (v.event_id % 7) as title, p.url from events v join pages p on p.page_id = v.event_id % 7 where v.event_id % {EVERY} = 0""")
+def resolved_hits(spark, d):
+    """Hits with the title of their document and the address of their page, by the joins of search results."""
+    chunks = table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") % 7).alias("document_id"), F.lit("").alias("heading_path"), F.col("event_type").alias("text"))
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), "url")
+    documents = pages.select("id", F.col("id").alias("page_version_id"), F.concat(F.lit("Doc "), F.col("id").cast("string")).alias("title"))
+    hits = chunks.where(F.col("id") % EVERY == 0).select(F.lit(0).cast("bigint").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("chunk_id"), F.lit(0.0).alias("score"))
+    return R.resolve_hits(hits, chunks, documents, pages.select("id", F.col("id").alias("page_id")), pages).select("chunk_id", "title", "url")

@@ -1,4 +1,4 @@
-"""Queries over whole tables that have no SQL, against brute force."""
+"""Searches and answers over whole tables against brute force."""
 
 import math
 import random
@@ -80,18 +80,18 @@ def test_answers_use_the_whole_search(spark, tables):
     texts = {i: docs[i][0] for x in want.values() for i in x}
     assert any(len(t or "") > 400 for t in texts.values())
     block = lambda n, i: f"[{n}] Source: {url(i)}\n{texts[i]}"
-    assert rows(catalogue.rag_context_all(spark, d)) == sorted((q, "\n\n".join(block(n, i) for n, i in enumerate(x, 1) if texts[i] is not None)) for q, x in want.items())
+    assert rows(catalogue.rag_context(spark, d)) == sorted((q, "\n\n".join(block(n, i) for n, i in enumerate(x, 1) if texts[i] is not None)) for q, x in want.items())
     short = lambda t: t if t is None or len(t) <= 160 else t[:160] + "…"
-    assert rows(catalogue.citations_all(spark, d)) == sorted((q, n, url(i), f"Doc {i}", short(texts[i])) for q, x in want.items() for n, i in enumerate(x, 1))
-    assert rows(catalogue.distinct_sources_all(spark, d)) == sorted((q, len(set(x))) for q, x in want.items())
+    assert rows(catalogue.citations(spark, d)) == sorted((q, n, url(i), f"Doc {i}", short(texts[i])) for q, x in want.items() for n, i in enumerate(x, 1))
+    assert rows(catalogue.distinct_sources(spark, d)) == sorted((q, len(set(x))) for q, x in want.items())
     hosts = {q: len({urlsplit(url(i)).netloc for i in x}) for q, x in want.items()}
-    assert rows(catalogue.multi_source_hosts_all(spark, d)) == sorted((q, n, n >= 2) for q, n in hosts.items())
+    assert rows(catalogue.multi_source_hosts(spark, d)) == sorted((q, n, n >= 2) for q, n in hosts.items())
 
 
 def test_limits_of_all_events_and_markers_behind_whole_texts(spark, tables):
     d, docs, _, events = tables
-    assert rows(catalogue.crawl_limits_all(spark, d)) == [(i, 4 if i % 3 == 0 else 2, 9 if i % 3 == 0 else 50 if i % 2 else 30) for i, _ in events]
-    got = {(r.doc_id, r.pos): (r.marker, r.url) for r in catalogue.inline_citations_all(spark, d).collect()}
+    assert rows(catalogue.crawl_limits(spark, d)) == [(i, 4 if i % 3 == 0 else 2, 9 if i % 3 == 0 else 50 if i % 2 else 30) for i, _ in events]
+    got = {(r.doc_id, r.pos): (r.marker, r.url) for r in catalogue.inline_citations(spark, d).collect()}
     link = lambda m: (m, f"https://source/{m}" if 1 <= m <= 5 else None)
     assert got == {(i, n): link(m) for i, (t, _) in docs.items() if t is not None for n, m in ((1, i % 7), (2, i % 3 + 1))}
 
@@ -110,18 +110,18 @@ def test_searches_take_every_query_also_in_blocks(spark, tables, monkeypatch, mo
     d, docs, vecs, _ = tables
     vectors, texts = {i: v for i, (v, _) in vecs.items()}, {i: t for i, (t, _) in docs.items()}
     top = {i: brute_vectors(vectors, v, 10) for i, v in vectors.items() if i % 50 == 0}
-    assert len(top) == 7 and near(catalogue.vector_topk_all(spark, d)) == ranked(top)
-    assert near(catalogue.keyword_or_rank_all(spark, d)) == ranked({i: brute_words(texts, t, 10) for i, t in texts.items() if i % 50 == 0})
+    assert len(top) == 7 and near(catalogue.vector_topk(spark, d)) == ranked(top)
+    assert near(catalogue.keyword_or_rank(spark, d)) == ranked({i: brute_words(texts, t, 10) for i, t in texts.items() if i % 50 == 0})
     hybrid = brute_hybrid(tables, 10)
-    assert near(catalogue.hybrid_rrf_all(spark, d)) == ranked(brute_hybrid(tables, 5))
+    assert near(catalogue.hybrid_rrf(spark, d)) == ranked(brute_hybrid(tables, 5))
     groups = {g: fused([(sub, hybrid[g * 100 + sub * 50]) for sub in (0, 1) if g * 100 + sub * 50 in hybrid], 8) for g in {i // 100 for i in hybrid}}
-    assert near(catalogue.multi_query_rrf_all(spark, d)) == ranked(groups)
+    assert near(catalogue.multi_query_rrf(spark, d)) == ranked(groups)
     firsts = [next((n for n, i in enumerate([i for i, _ in brute_vectors(vectors, vectors[q], 6) if i != q][:5], 1) if vecs[i][1] == vecs[q][1]), None) for q in top]
-    got = catalogue.retrieval_eval_all(spark, d).first()
+    got = catalogue.retrieval_eval(spark, d).first()
     assert (got.hit_rate, got.mrr) == (round(sum(x is not None for x in firsts) / 7, 6), round(sum(1 / x for x in firsts if x) / 7, 6))
 
 
 def test_english_search_takes_every_query(spark, tables):
     d, docs, _, _ = tables
     texts = {i: t for i, (t, _) in docs.items()}  # words and digits that the stemmer leaves as they are
-    assert near(catalogue.keyword_english_all(spark, d)) == ranked({i: brute_words(texts, t, 10) for i, t in texts.items() if i % 50 == 0})
+    assert near(catalogue.keyword_english(spark, d)) == ranked({i: brute_words(texts, t, 10) for i, t in texts.items() if i % 50 == 0})
