@@ -6,7 +6,9 @@ its own), so the memory of a task doesn't depend on how many documents a partiti
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.partition import spread
+
 SLICE_BYTES = 1 << 20
 BATCH_ROWS = 512
 U64 = np.uint64
@@ -35,18 +39,30 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests) a local one is made."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it's unset, a local session gets a folder of its own
+    (a process on one machine shares its disk); on a cluster that's an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _local.get(spark.sparkContext.applicationId)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="corpusweave-")
-        spark.conf.set("spark.checkpoint.dir", folder) if spark.conf.isModifiable("spark.checkpoint.dir") else None
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = _local[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="corpusweave-")
+        atexit.register(shutil.rmtree, folder, True)
     return folder.rstrip("/")
 
 
+_local: dict[str, str] = {}
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all staged tables of this session; to be called when the results that read them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/corpusweave/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, survives lost executors.
 
-    The tables of a session lie in one folder named by its application id, to be deleted when its results are written.
+    The tables of a session lie in one folder named by its application id; operators delete those that their result doesn't read, and clean() the rest.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/corpusweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
@@ -67,7 +83,7 @@ def unstage(*tables: DataFrame) -> None:
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return spread(df).mapInArrow(fn, schema)
 
 
 # ---------------------------------------------------------------- task side
@@ -328,33 +344,35 @@ def order_blocks(docs: DataFrame, key: str, block_bytes: int, bins: int = 512) -
         dice = F.shiftrightunsigned(F.xxhash64(key, "text", F.lit(3)), 11) / float(1 << 53)
         return docs.select(F.col(key).alias("key"), F.explode(F.array_repeat(F.lit(0), F.floor(weight * (number / total) + dice).cast("int"))).alias("x")).select("key")
 
-    def cuts(edges: F.Column) -> F.Column:
-        """Of sorted quantiles: struct(edge, many: how many of them it is)."""
-        return F.transform(F.array_distinct(edges), lambda e: F.struct(e.alias("edge"), F.size(F.filter(edges, lambda x: x == e)).alias("many")))
+    def place(df: DataFrame, column: str, edges: F.Column, many: F.Column) -> DataFrame:
+        """Adds rank (among the distinct edges) and many (how many quantiles fall on the key); steps, so that each is computed once."""
+        df = df.withColumn("n", F.size(F.filter(edges, lambda e: e <= F.col(column))))
+        on = F.when(F.col("n") > 0, F.try_element_at(edges, F.greatest("n", F.lit(1)))) == F.col(column)
+        df = df.withColumn("many", F.coalesce(F.when(on, F.try_element_at(many, F.greatest("n", F.lit(1)))), F.lit(0)))
+        df = df.withColumn("many", F.when(F.col("many") > 1, F.col("many")).otherwise(0))
+        return df.withColumn("rank", F.col("n") * 2 + (F.col("many") == 0).cast("int")).drop("n")
 
-    def place(column: F.Column, table: F.Column) -> tuple[F.Column, F.Column]:
-        """(rank among the cuts, how many quantiles fall on the key)."""
-        n = F.size(F.filter(table, lambda e: e["edge"] <= column))
-        at = F.when(n > 0, F.try_element_at(table, F.greatest(n, F.lit(1))))
-        many = F.coalesce(F.when((at["edge"] == column) & (at["many"] > 1), at["many"]), F.lit(0))
-        return n * 2 + (many == 0).cast("int"), many
+    def times(edges: F.Column) -> F.Column:
+        return F.transform(F.array_distinct(edges), lambda e: F.size(F.filter(edges, lambda x: x == e)))
 
     ask = lambda n: [i / n for i in range(1, n)] or [1.0]
-    found = draws(64 * first).agg(F.percentile_approx("key", ask(first), 8 * bins).alias("edges")).first().edges or [high]
-    one = cuts(F.array(*[F.lit(int(x)).cast("bigint") for x in sorted(found)]))
-    rank, many = place(F.col(key), one)
-    part = many * (total // first // block_bytes + 1)
+    found = sorted(draws(64 * first).agg(F.percentile_approx("key", ask(first), 8 * bins).alias("edges")).first().edges or [high])
+    distinct = sorted(set(found))
+    outer = F.lit(distinct).cast("array<bigint>"), F.lit([found.count(x) for x in distinct]).cast("array<int>")
+    docs = place(docs, key, *outer)
+    rank, part = F.col("rank").cast("bigint"), F.col("many") * (total // first // block_bytes + 1)
     if second > 1:
-        inner = draws(64 * first * second).select("key", place(F.col("key"), one)[0].alias("outer")).groupBy("outer").agg(F.percentile_approx("key", ask(second), 8 * bins).alias("edges"), F.min("key").alias("least"), F.max("key").alias("most"))
-        inner = inner.select("outer", cuts(F.array_sort("edges")).alias("cuts"), "least", "most")
-        docs = docs.withColumn("outer", rank).join(F.broadcast(inner), "outer", "left")
-        rank2, many2 = place(F.col(key), F.coalesce("cuts", F.array().cast(inner.schema["cuts"].dataType)))
-        part = F.when(many > 0, part).otherwise(many2 * (total // (first * second) // block_bytes + 1))
-        rank = rank.cast("bigint") * (2 * second + 2) + F.when(many > 0, 0).otherwise(rank2)
+        inner = place(draws(64 * first * second), "key", *outer).groupBy(F.col("rank").alias("outer")).agg(F.percentile_approx("key", ask(second), 8 * bins).alias("edges"), F.min("key").alias("least"), F.max("key").alias("most"))
+        inner = inner.select("outer", F.array_distinct(F.array_sort("edges")).alias("edges"), times(F.array_sort("edges")).alias("times"), "least", "most")
+        docs = docs.withColumnsRenamed({"rank": "outer", "many": "heavy"}).join(F.broadcast(inner), "outer", "left")
+        docs = place(docs, key, F.coalesce("edges", F.array().cast("array<bigint>")), F.coalesce("times", F.array().cast("array<int>")))
+        heavy = F.col("heavy") > 0
+        part = F.when(heavy, F.col("heavy") * (total // first // block_bytes + 1)).otherwise(F.col("many") * (total // (first * second) // block_bytes + 1))
+        rank = F.col("outer").cast("bigint") * (2 * second + 2) + F.when(heavy, 0).otherwise(F.col("rank"))
         if third > 1:
             share = (F.col(key).cast("double") - F.col("least").cast("double")) / F.greatest(F.col("most").cast("double") - F.col("least").cast("double"), F.lit(1.0))
             step = F.coalesce(F.greatest(F.lit(0), F.least(F.floor(share * second * third), F.lit(second * third - 1))), F.lit(0))  # rises with the key
-            rank = rank * (second * third) + F.when((many > 0) | (many2 > 0), 0).otherwise(step)
+            rank = rank * (second * third) + F.when(heavy | (F.col("many") > 0), 0).otherwise(step)
     salt = F.when(part > 0, F.pmod(F.monotonically_increasing_id(), F.least(part, F.lit(1 << PART_BITS)))).otherwise(0)
     block = F.shiftleft(rank.cast("bigint"), PART_BITS) + salt.cast("bigint")
-    return docs.withColumn("block", block).drop("outer", "cuts", "least", "most"), text or 0
+    return docs.withColumn("block", block).drop("outer", "heavy", "rank", "many", "edges", "times", "least", "most"), text or 0

@@ -13,9 +13,9 @@ rank of its own, in several blocks.
    than once.
 3. Each block takes its documents (the same shuffle as in 1) and its hashes, and decides: a removable hash goes, an owned
    one goes in all documents but those with the block's smallest id.
-Nothing is collected; a group is a block or a hash range, both of bounded size. A window is known by 96 bits: a Rabin-Karp
-hash of 64 bits and 32 bits of a second one with another base, modulo a prime. Among the 2e13 windows of 100 TB of text
-fewer than 0.01 pairs of different windows are expected to agree in them.
+Nothing is collected; a group is a block or a hash range, both of bounded size. A window is known by 88 bits: a Rabin-Karp
+hash of 64 bits and 24 bits of a second one with another base, modulo a prime. Among the 2e13 windows of 100 TB of text
+about one pair of different windows is expected to agree in them.
 
 Defined cases: a null text has no words; a null id comes after all others (rows with null ids never remove from each
 other); rows with the same id never remove from each other; documents shorter than a window lose nothing; extra columns
@@ -39,12 +39,23 @@ LAST = (1 << 63) - 1
 U32 = np.uint32
 
 
+def _three(checks: np.ndarray) -> bytes:
+    """The three low bytes of each."""
+    return np.ascontiguousarray(checks).view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def _four(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return out.reshape(-1).view(U32)
+
+
 def window_hashes(raw: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, second hash and first word of every window, and the documents' bounds in words."""
     starts, ends, docs = c.word_bounds(raw, bounds, c.WHITESPACE_WORD)
     at = np.flatnonzero(c.gram_starts(docs, k))
     words = c.span_hashes(raw, starts, ends)
-    return c.gram_hashes(words, k)[at], (c.gram_hashes(words, k, 1)[at] >> c.U64(32)).astype(U32), at, docs
+    return c.gram_hashes(words, k)[at], (c.gram_hashes(words, k, 1)[at] >> c.U64(40)).astype(U32), at, docs
 
 
 def _in_order(groups: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +82,7 @@ def _send(batches, k: int, ranges: int):
         blocks, hashes, checks = (x[order][at] for x in (blocks, hashes, checks))
         part = (hashes >> c.U64(32)) * c.U64(ranges) >> c.U64(32)
         cut = np.flatnonzero((np.diff(blocks) != 0) | (np.diff(part.astype(np.int64)) != 0)) + 1
-        rows = [(int(part[a]), int(blocks[a]), c.pack_sorted(hashes[a:b]), checks[a:b].tobytes(), np.packbits(again[a:b]).tobytes() if again[a:b].any() else None) for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(hashes)])]
+        rows = [(int(part[a]), int(blocks[a]), c.pack_sorted(hashes[a:b]), _three(checks[a:b]), np.packbits(again[a:b]).tobytes() if again[a:b].any() else None) for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(hashes)])]
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         for i in range(0, len(rows), 256):
             yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*rows[i : i + 256]), kinds)], ["part", "block", "hashes", "checks", "again"])
@@ -98,7 +109,7 @@ def _settle(table: pa.Table) -> pa.Table:
     hashes, checks, repeats = [], [], []
     for h, x, a in zip(table["hashes"], table["checks"], table["again"]):
         hashes.append(c.unpack_sorted(h.as_py()))
-        checks.append(np.frombuffer(x.as_py(), U32))
+        checks.append(_four(x.as_py()))
         n = len(hashes[-1])
         repeats.append(np.unpackbits(np.frombuffer(a.as_py(), np.uint8), count=n).astype(bool) if a.is_valid else np.zeros(n, bool))
     block = np.repeat(blocks, [len(h) for h in hashes])
@@ -117,7 +128,7 @@ def _settle(table: pa.Table) -> pa.Table:
         b, x, y = b[by], x[by], y[by]
         cut = np.flatnonzero(np.diff(b)) + 1
         if len(b):
-            rows += [(int(b[s]), what, c.pack_sorted(x[s:e]), y[s:e].tobytes()) for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(b)])]
+            rows += [(int(b[s]), what, c.pack_sorted(x[s:e]), _three(y[s:e])) for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(b)])]
     cols = list(zip(*rows)) or [[], [], [], []]
     return pa.table([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["block", "kind", "hashes", "checks"])
 
@@ -130,7 +141,7 @@ def _remove(k: int):
         sets = [([], []), ([], [])]
         for kind, h, check in zip(marks["kind"].to_pylist(), marks["hashes"], marks["checks"]):
             sets[kind][0].append(c.unpack_sorted(h.as_py()))
-            sets[kind][1].append(np.frombuffer(check.as_py(), U32))
+            sets[kind][1].append(_four(check.as_py()))
         tables = []
         for hashes, checks in sets:
             h, check = (np.concatenate(hashes), np.concatenate(checks)) if hashes else (np.zeros(0, c.U64), np.zeros(0, U32))
