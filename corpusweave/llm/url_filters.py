@@ -8,7 +8,7 @@ capture meets an entry of another pattern. The join isn't forced to broadcast: S
 size of the intervals is below its threshold.
 
 Defined cases: patterns are compared in lower case, without surrounding spaces; entries with a null list, pattern, time or
-an action other than add/remove, and patterns of more than 253 characters before a slash (no DNS name), are void; at equal
+an action other than add/remove are void; at equal
 times add wins over remove; repeated entries change nothing. Repeated captures (same id, url and time) are one capture. A
 null url, one without a host, or a null fetch time is on no list. Extra columns are ignored.
 """
@@ -22,13 +22,12 @@ from . import common as c
 
 HOST = r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 SEGMENT = r"^[a-z][a-z0-9+.\-]*://[^/?#]+/([^/?#]+)"
-LABELS = 127  # a DNS name has no more
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """list, pattern, begin, end (null: open): the spans in which an entry is active."""
     clean = entries.select(F.col("list").cast("string").alias("list"), F.lower(F.trim(F.col("pattern").cast("string"))).alias("pattern"), F.col("action").cast("string").alias("action"), F.col("at").alias("begin"))
-    clean = clean.where(F.col("list").isNotNull() & F.col("begin").isNotNull() & F.col("action").isin("add", "remove") & (F.length(F.substring_index("pattern", "/", 1)) <= 253))
+    clean = clean.where(F.col("list").isNotNull() & F.col("begin").isNotNull() & F.col("action").isin("add", "remove"))
     states = clean.groupBy("list", "pattern", "begin").agg(F.max(F.col("action") == "add").alias("active"))
     w = Window.partitionBy("list", "pattern").orderBy("begin")
     return states.withColumn("end", F.lead("begin").over(w)).where("active").drop("active")
@@ -38,7 +37,7 @@ def patterns(url: str = "url") -> F.Column:
     """All patterns that can match a url."""
     low = F.lower(F.trim(F.col(url)))
     host = F.regexp_extract(low, HOST, 1)
-    labels = F.slice(F.reverse(F.split(host, r"\.")), 1, LABELS)
+    labels = F.reverse(F.split(host, r"\."))
     domains = F.transform(F.when(F.size(labels) >= 2, F.sequence(F.lit(2), F.size(labels))).otherwise(F.array().cast("array<int>")), lambda n: F.array_join(F.reverse(F.slice(labels, 1, n)), "."))
     segment = F.regexp_extract(low, SEGMENT, 1)
     more = F.when(segment != "", F.array(host, F.concat(host, F.lit("/"), segment))).otherwise(F.array(host))
