@@ -163,4 +163,4 @@ def test_the_field_adds_most_spans_of_layouts_without_base_patterns():
             if pii.valid(kind, text[s:e]) and not any(a < e and s < z for _, a, z in base_spans):
                 asked += 1
                 found += any(k == kind and a < e and s < z for k, a, z in added)
-    assert asked > 100 and found / asked > 0.85, (found, asked)
+    assert asked > 80 and found / asked > 0.9, (found, asked)
