@@ -164,17 +164,26 @@ def evaluate(results: DataFrame, goldens: DataFrame, k: int = 5) -> DataFrame:
     return found.agg(F.avg(F.col("first").isNotNull().cast("double")).alias("hit_rate"), F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"))
 
 
-def lsh_candidates(chunks: DataFrame, queries: DataFrame, bits: int = 12, tables: int = 8, seed: int = 5) -> DataFrame:
-    """Approximate arm: pairs that share a random-hyperplane key in one of the tables; vector_search over them ranks exactly."""
-    import numpy as np
+def lsh_candidates(chunks: DataFrame, queries: DataFrame, bits: int = 10, tables: int = 24, seed: int = 5) -> DataFrame:
+    """Approximate arm: query_id, chunk_id of pairs that share a random-hyperplane key in one of the tables; vector_search over
+    them ranks exactly. A pair at an angle of a is found with probability 1 - (1 - (1 - a/pi)**bits)**tables.
 
+    The planes are broadcast and met by a matrix product for each Arrow batch. Vectors of another length than the queries' longest have no key.
+    """
     dim = queries.select(F.max(F.size("vector"))).first()[0] or 0
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim)).tolist()
-
-    def keys(col: str):
-        sign = lambda p: F.aggregate(F.zip_with(col, F.array(*map(F.lit, p)), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x) >= 0
-        return F.array(*[F.concat(F.lit(f"{t}:"), *[F.when(sign(p), "1").otherwise("0") for p in rows]) for t, rows in enumerate(planes)])
-
-    a = chunks.where("embedding is not null").select("chunk_id", F.explode(keys("embedding")).alias("key"))
-    b = queries.select("query_id", F.explode(keys("vector")).alias("key"))
-    return a.join(F.broadcast(b), "key").select("query_id", "chunk_id").distinct()
+    shared = chunks.sparkSession.sparkContext.broadcast(np.random.default_rng(seed).standard_normal((dim, tables * bits)))
+
+    def run(batches):
+        weights = 1 << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            vectors = batch.column(1)
+            own = np.flatnonzero(np.diff(vectors.offsets.to_numpy()) == dim)
+            at = vectors.offsets.to_numpy()[:-1][own] - vectors.offsets.to_numpy()[0]
+            x = vectors.flatten().to_numpy(zero_copy_only=False)[at[:, None] + np.arange(dim)].astype(np.float64)
+            codes = ((x @ shared.value >= 0).reshape(len(own), tables, bits) * weights).sum(2) + (np.arange(tables, dtype=np.int64) << bits)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(own, tables))), pa.array(codes.ravel())], ["id", "key"])
+
+    keys = lambda df, name, vector: df.where(F.col(vector).isNotNull()).select(F.col(name).cast("bigint").alias("id"), F.col(vector).alias("v")).mapInArrow(run, "id bigint, key bigint")
+    a = keys(chunks, "chunk_id", "embedding").withColumnRenamed("id", "chunk_id")
+    b = keys(queries, "query_id", "vector").withColumnRenamed("id", "query_id")
+    return a.join(b, "key").select("query_id", "chunk_id").distinct()

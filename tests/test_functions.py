@@ -136,3 +136,20 @@ def test_request_bounds():
 def test_hashing_embedder_is_deterministic_and_unit():
     a, b = HashingEmbedder(64).embed(["some words here", "some words here"])
     assert a == b and abs(sum(x * x for x in a) - 1) < 1e-5 and HashingEmbedder(8).embed([""]) == [[0.0] * 8]
+
+
+def test_chunks_by_a_public_vocabulary():
+    public = pytest.importorskip("public_tokenizers")
+    import tiktoken
+
+    from corpusweave.functions import chunk as K
+
+    pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    own = K.RankTokenizer(public.path("byte_bpe_50k.tiktoken"), pattern)
+    text = " ".join(f"Sentence number {i} tells of gardens, grüne Blätter and {i * 37} other things." for i in range(300))
+    assert own.decode(own.encode(text)) == text and isinstance(own.model, tiktoken.Encoding)
+    made = K.chunk_document(text, "Title", own)
+    assert len(made) > 5 and all(c.token_count == len(own.encode(c.text)) <= K.MOST for c in made)
+    assert [c.token_count for c in made] != [c.token_count for c in K.chunk_document(text, "Title", K.PieceTokenizer())][: len(made)]
+    words = " ".join(c.text for c in made)
+    assert all(f"number {i} tells" in words for i in range(300))

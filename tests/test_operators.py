@@ -55,6 +55,19 @@ def test_searches_without_matches_are_empty(spark):
     assert {r.chunk_id for r in R.lsh_candidates(vec, queries).collect()} >= {3}
 
 
+def test_hyperplane_keys_find_near_vectors(spark):
+    import numpy as np
+
+    r = np.random.default_rng(9)
+    centres = r.standard_normal((30, 16))
+    rows = [(i, (centres[i % 30] + 0.15 * r.standard_normal(16)).tolist()) for i in range(600)] + [(900, None), (901, [1.0])]
+    chunks = spark.createDataFrame(rows, "chunk_id bigint, embedding array<float>")
+    queries = chunks.where("chunk_id % 50 = 0 and chunk_id < 900").selectExpr("chunk_id as query_id", "embedding as vector")
+    found = {tuple(x) for x in R.lsh_candidates(chunks, queries).collect()}
+    best = {(x.query_id, x.chunk_id) for x in R.vector_search(chunks, queries, 10).collect()}
+    assert len(found & best) / len(best) >= 0.9 and len(found) < 12 * 600
+
+
 def test_evaluation(spark):
     hits = spark.createDataFrame([(0, 1, "a/x"), (0, 2, "b/y"), (1, 1, "c")], "query_id int, rank int, url string")
     gold = spark.createDataFrame([(0, "y"), (1, "q"), (2, "z")], "query_id int, expect string")
@@ -82,7 +95,7 @@ def test_store_snapshots(spark, tmp_path):
     assert s.read("t", schema).count() == 0
     for i in range(4):
         s.append("t", spark.createDataFrame([(i,)], "id bigint"), schema)
-    assert sorted(r.id for r in s.read("t", schema).collect()) == [0, 1, 2, 3] and len(s._snapshots("t")) == 2
+    assert sorted(r.id for r in s.read("t", schema).collect()) == [0, 1, 2, 3] and len(s._parts("t")) == 4
 
 
 def test_search_plan_cuts_to_k_before_the_shuffle(spark):
