@@ -40,7 +40,7 @@ SHINGLE, SIMILARITY = 5, (80, 100)
 BANDS, ROWS = 36, 6
 SALT = 200  # members in one stretch of a leader
 GROUP = 4096  # members of a group that isn't a single bucket
-CHUNK, CHUNK_SHINGLES = 4096, 4_000_000  # members and shingles of a chunk
+CHUNK, CHUNK_SHINGLES = 1024, 1_000_000  # members and shingles of a chunk
 BLOCK, BLOCK_SHINGLES = 512, 400_000  # of what one product compares
 U32 = np.uint32
 
@@ -300,8 +300,9 @@ def rest(buckets: DataFrame, classes: DataFrame, texts: DataFrame, k: int, simil
     near = near.select("gkey", F.col("mine"), number("size", F.col("chunk")).alias("other"))
     rows = groups.join(chunks, ["gkey", "size"]).withColumn("own", number("size", F.pmod(F.xxhash64("rep"), F.col("chunks")))).withColumnRenamed("size", "mine").join(near, ["gkey", "mine"])
     rows = rows.select("gkey", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", F.col("rep").alias("id"), "rep", "component")
-    full = texts.join(classes.select(F.col("rep").alias("id"), "bands"), "id")
-    dealt = rows.join(full, "id").drop("id").repartition("gkey", "lo", "hi").sortWithinPartitions("gkey", "lo", "hi")
+    own = c.staged(groups.select("rep").distinct(), "open-members")  # of a size that the joins know
+    few = texts.join(own.withColumnRenamed("rep", "id"), "id", "left_semi").join(classes.join(own, "rep", "left_semi").select(F.col("rep").alias("id"), "bands"), "id")
+    dealt = rows.join(few, "id").drop("id").repartition("gkey", "lo", "hi").sortWithinPartitions("gkey", "lo", "hi")
     return c.map_batches(dealt, _blocks(k, *similarity), "a bigint, b bigint")
 
 
@@ -318,8 +319,10 @@ def dedup(docs: DataFrame, k: int = SHINGLE, similarity: tuple[int, int] = SIMIL
     keys = classes.select("rep", "n", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high").select("key")
     buckets = c.staged(keys.join(shared, "key"), "buckets")
-    needed = c.staged(classes.select("rep", F.col("first").alias("doc_id"), "text_hash").join(buckets.select("rep").distinct(), "rep", "left_semi"), "needed")  # written, so that the join knows its size
-    texts = c.staged(docs.join(needed, ["doc_id", "text_hash"]).groupBy("rep").agg(F.first("text").alias("text")).withColumnRenamed("rep", "id"), "texts")
+    wanted = c.staged(classes.select("rep", F.col("first").alias("doc_id"), "text_hash").join(buckets.select("rep").distinct(), "rep", "left_semi"), "wanted")
+    needed = c.staged(wanted.select("doc_id").distinct(), "needed")  # written, so that the join knows its size; ids alone, so that it's small
+    some = docs.join(needed, "doc_id", "left_semi").groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
+    texts = c.staged(some.join(wanted, ["doc_id", "text_hash"]).select(F.col("rep").alias("id"), "text"), "texts")
     pairs = c.staged(stars(buckets), "pairs")
     links = c.staged(confirmed(pairs, texts, k, similarity), "links")
     # rows of one id are one node: their classes are linked
@@ -333,7 +336,7 @@ def dedup(docs: DataFrame, k: int = SHINGLE, similarity: tuple[int, int] = SIMIL
         parts = connected_components(links.union(same).union(more)).withColumnRenamed("node", "rep")
     lowest = parts.join(classes.select("rep", "first"), "rep").groupBy("component").agg(F.min("first").alias("component_id"))
     labels = c.staged(parts.join(lowest, "component").select("rep", "component_id"), "labels")
-    c.unstage(sets, classes, buckets, needed, texts, pairs, links, same, more)
+    c.unstage(sets, classes, buckets, wanted, needed, texts, pairs, links, same, more)
     out = members.join(labels, "rep", "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "first")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
