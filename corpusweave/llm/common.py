@@ -59,15 +59,16 @@ def clean(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors.
+def staged(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors. partition: a column of few values,
+    each of which is a folder.
 
     The tables of a session lie in one folder named by its application id; operators delete those that their result doesn't read, and clean() the rest.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/corpusweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    (df.write.partitionBy(partition) if partition else df.write).parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.staged_at = path
     return out
