@@ -15,6 +15,7 @@ QUERIES = {
     "op8_embedding_dedup": "embedding_dedup",
     "op9_token_counts": "token_counts",
     "op10_pii": "pii",
+    "op11_quality": "quality",
     "op12_vector_codes": "vector_codes",
 }
 
