@@ -208,7 +208,7 @@ def sample(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, s
     place = lambda *of: F.shiftrightunsigned(F.xxhash64(*of, F.lit(9)), 1)
     most = (1 << 63) - 1
     part = {k: min(1.0, sample_docs / 2 / n) for k, n in counts.items()}
-    bound = F.when(F.col("label") == 1, F.lit(int(part[1] * most))).otherwise(F.lit(int(part[0] * most)))
+    bound = F.when(F.col("label") == 1, F.lit(min(most, int(part[1] * most)))).otherwise(F.lit(min(most, int(part[0] * most))))
     drawn = known.where(place("doc_id") <= bound).orderBy(place("doc_id"), "doc_id", "label").limit(2 * sample_docs)
     met = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= sample_text).join(F.broadcast(drawn), "doc_id")
     rows = met.select("doc_id", "label", "text").orderBy(place("doc_id", "text"), "doc_id", "label", "text").limit(2 * sample_docs).collect()
