@@ -17,6 +17,7 @@ QUERIES = {
     "op10_pii": "pii",
     "op11_quality": "quality",
     "op12_vector_codes": "vector_codes",
+    "op13_conversations": "conversations",
 }
 
 

@@ -28,7 +28,7 @@ def documents(spark, tmp_path_factory):
 
 
 def test_every_operator_is_registered():
-    assert sorted(QUERIES, key=lambda n: int(n.split("_")[0][2:])) == ["op1_decontaminate", "op2_bpe", "op3_substring_dedup", "op4_minhash_dedup", "op5_language_id", "op6_url_filters", "op7_line_dedup", "op8_embedding_dedup", "op9_token_counts", "op10_pii", "op11_quality", "op12_vector_codes"]
+    assert sorted(QUERIES, key=lambda n: int(n.split("_")[0][2:])) == ["op1_decontaminate", "op2_bpe", "op3_substring_dedup", "op4_minhash_dedup", "op5_language_id", "op6_url_filters", "op7_line_dedup", "op8_embedding_dedup", "op9_token_counts", "op10_pii", "op11_quality", "op12_vector_codes", "op13_conversations"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="the test tables are absent")
