@@ -153,3 +153,48 @@ def test_chunks_by_a_public_vocabulary():
     assert [c.token_count for c in made] != [c.token_count for c in K.chunk_document(text, "Title", K.PieceTokenizer())][: len(made)]
     words = " ".join(c.text for c in made)
     assert all(f"number {i} tells" in words for i in range(300))
+
+
+@pytest.mark.parametrize("piece", ["<table><tr><td>", "<table><tr><td>x<td>y", "<blockquote>a long text, with commas, ", "<a href='x.pdf'>t ", "<main>w ", "<div><p>", "<ul><li>"])
+def test_nested_elements_take_linear_time(piece):
+    import time
+
+    html = piece * 1000
+    began = time.perf_counter()
+    page = H.parse(html)
+    H.extract(html, page), H.tables(html, page), H.document_links(html, "https://h.example/", page)
+    assert time.perf_counter() - began < 1
+
+
+def test_deeply_nested_tables_keep_every_cell_once(monkeypatch):
+    html = "".join(f"<table><tr><td>a{i}</td><td>b{i}" for i in range(300)) + "</td></tr></table>" * 300
+    whole = H.tables(html)
+    assert len(whole) == 300 and len(whole[0]["headers"]) == 600
+    monkeypatch.setattr(H, "MOST_CELLS", 1000)
+    own = H.tables(html)
+    assert [t["headers"] for t in own] == [[f"a{i}", f"b{i}"] for i in range(300)] and all(t["rows"] == [] for t in own)
+    small = "<table><tr><td>x</td><td>y</td></tr></table>"
+    assert H.tables(small)[0]["headers"] == ["x", "y"]
+
+
+def test_reader_takes_siblings_of_like_kind():
+    prose = "A long paragraph, with commas, and words that go on. " * 6
+    page = f"<body><div><section><p>{prose}one</p></section><section><p>{prose}two</p></section><p>Short end.</p><p><a href='/x'>link</a></p><ul><li>item</li></ul></div></body>"
+    title, text, used = H.extract(page)
+    assert used and "one" in text and "two" in text and "Short end." in text and "link" not in text and "item" not in text
+    assert H.extract(f"<p>{prose}</p><p>{prose}</p>")[1].count("A long") == 12
+    assert "menu" not in H.extract(f"<div class='menu'><p>{prose}menu</p></div><article><p>{prose}</p><p>{prose}</p></article>")[1]
+
+
+def test_page_index_answers_as_a_walk_would():
+    """Lengths, commas and links by running sums, against the text itself."""
+    r = random.Random(2)
+    tags = "p div a nav td table tr section blockquote script".split()
+    for _ in range(300):
+        html = "".join(r.choice([f"<{r.choice(tags)}>", f"</{r.choice(tags)}>", "word, ", " ", "a\n\tb ", "x"]) for _ in range(r.randrange(40)))
+        page = H.parse(html)
+        for i in range(len(page.tags)):
+            assert page.length(i) == len(H.collapse(page.clean_of(i)))
+            assert page.commas(i) == page.clean_of(i).count(",")
+            assert page.linked(i) == sum(len(page.text_of(a)) for a in page.below(i, page.of("a")))
+            assert all(page.parents[k] >= i for k in range(i + 1, page.ends[i]))
