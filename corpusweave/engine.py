@@ -17,11 +17,12 @@ from .operators import catalog as G
 from .operators import crawl as C
 from .operators import extract as E
 from .operators import index as I
+from .operators import keyword_index as K
 from .operators import retrieve as R
 from .sources.fetch import by_mode, robots_rules, with_robots
 from .sources.store import Store
 
-TABLES = {"sites": S.SITES, "pages": S.PAGES, "page_versions": S.PAGE_VERSIONS, "documents": S.DOCUMENTS, "chunks": S.CHUNKS, "failed_jobs": S.FAILED_JOBS, "crawl_sessions": S.CRAWL_SESSIONS, "postings": S.ddl("chunk_id bigint, lexeme string, tf bigint"), "robots": S.ddl("origin string, robots_txt string"), "fetches": S.ddl("session_id bigint, url string, domain string, attempt int, now_ms bigint, status int, in_cooldown boolean")}
+TABLES = {"sites": S.SITES, "pages": S.PAGES, "page_versions": S.PAGE_VERSIONS, "documents": S.DOCUMENTS, "chunks": S.CHUNKS, "failed_jobs": S.FAILED_JOBS, "crawl_sessions": S.CRAWL_SESSIONS, "keyword_index": S.ddl(K.INDEX), "robots": S.ddl("origin string, robots_txt string"), "fetches": S.ddl("session_id bigint, url string, domain string, attempt int, now_ms bigint, status int, in_cooldown boolean")}
 
 
 def key(*columns) -> F.Column:
@@ -190,8 +191,10 @@ class Engine:
         made = embed_column(made, "text", self.embedder)
         self.store.append("chunks", made, TABLES["chunks"])  # of documents that had none
         chunks = self.table("chunks")
-        fresh = chunks.select(F.col("id").alias("chunk_id"), "text").join(self.table("postings").select("chunk_id").distinct(), "chunk_id", "left_anti")
-        self.store.append("postings", I.postings(fresh, self.analyzer), TABLES["postings"])
+        index = self.table("keyword_index")
+        fresh = chunks.select(F.col("id").alias("chunk_id"), "text").join(index.select(F.explode("ids").alias("chunk_id")), "chunk_id", "left_anti")
+        generation = (index.agg(F.max(F.shiftright("shard", 40))).first()[0] or 0) + 1
+        self.store.append("keyword_index", K.build(I.terms(fresh, self.analyzer), generation), TABLES["keyword_index"])
 
     def compact(self) -> None:
         """Rewrites every table that has grown by deltas as one snapshot."""
@@ -263,7 +266,7 @@ class Engine:
         chunks = self.table("chunks").select(F.col("id").alias("chunk_id"), "embedding")
         pool = k if mode != "hybrid" else max(k, R.POOL)
         semantic = R.vector_search(chunks, queries, pool) if mode != "keyword" else None
-        keyword = R.keyword_search(self.table("postings"), queries, pool, self._lexemes(queries)) if mode != "semantic" else None
+        keyword = R.keyword_search(self.table("keyword_index"), queries, pool, self._lexemes(queries)) if mode != "semantic" else None
         hits = semantic if keyword is None else keyword if semantic is None else R.rrf(semantic.withColumn("list", F.lit(0)).unionByName(keyword.withColumn("list", F.lit(1))), k)
         return self._resolved(hits)
 
@@ -274,7 +277,7 @@ class Engine:
             chunks = self.table("chunks").select(F.col("id").alias("chunk_id"), "embedding")
             asked = self._queries(subs)
             lexemes = self._lexemes(asked.withColumn("query_id", F.struct("group_id", "sub")))
-            hits = self._resolved(R.multi_search(chunks, self.table("postings"), asked, k, lexemes))
+            hits = self._resolved(R.multi_search(chunks, self.table("keyword_index"), asked, k, lexemes))
         else:
             hits = self.search(question, "hybrid", k)
         out = A.answer(question, hits.collect(), self.generator)  # k rows

@@ -23,11 +23,12 @@ def chunk(documents: DataFrame, tokenizer=None, compat: bool = True) -> DataFram
 
 def postings(chunks: DataFrame, analyzer: str = "simple") -> DataFrame:
     """chunk_id, lexeme, tf of chunks (chunk_id, text), by the simple or the english analyzer."""
-    if analyzer == "simple":
-        terms = simple_tokens(F.col("text"))
-    else:
-        terms = english(chunks.sparkSession)("text")
-    return chunks.select("chunk_id", F.explode(terms).alias("lexeme")).groupBy("chunk_id", "lexeme").agg(F.count("*").alias("tf"))
+    return terms(chunks, analyzer).select("chunk_id", F.explode("terms").alias("lexeme")).groupBy("chunk_id", "lexeme").agg(F.count("*").alias("tf"))
+
+
+def terms(chunks: DataFrame, analyzer: str = "simple") -> DataFrame:
+    """chunk_id, terms: the lexemes of chunks (chunk_id, text) in order; what the keyword index is built from."""
+    return chunks.select("chunk_id", (simple_tokens(F.col("text")) if analyzer == "simple" else english(chunks.sparkSession)("text")).alias("terms"))
 
 
 def english(spark):

@@ -1,13 +1,11 @@
 """Retrieval: semantic, keyword, reciprocal rank fusion, hybrid and multi-query search, batched over a table of queries.
 
-Query tables are small stated sets and meet all rows by a broadcast whose row count is checked. Top-k is row_number with a
+Query tables are stated sets that meet all rows in blocks, broadcast, whose row count is checked. Top-k is row_number with a
 filter, which Spark cuts to k rows a query in every task before it shuffles. Every order is total: the id breaks ties.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -16,20 +14,29 @@ from pyspark.sql import types as T
 
 from ..functions.partition import spread
 from ..functions.text import simple_tokens
+from ..sources.staging import new_folder, staged, unstage
+from . import keyword_index as K
+from .keyword_index import PI2_6  # noqa: F401
 
 RRF, POOL = 60, 10
 #: Queries in one broadcast; more are searched in blocks of so many.
 MOST_QUERIES = 1000
-PI2_6 = 1.64493406685
 
 
 def in_blocks(queries: DataFrame, search) -> DataFrame:
-    """Applies search to blocks of at most MOST_QUERIES rows of the query table."""
+    """Applies search to blocks of at most about MOST_QUERIES rows of the query table; the results of many blocks are written one after the other."""
     n = queries.count()
     if n <= MOST_QUERIES:
         return search(queries)
     parts = -(-n // (MOST_QUERIES // 2))
-    return reduce(DataFrame.unionByName, [search(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)) for i in range(parts)])
+    asked = staged(queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(parts))), "queries", "block")
+    path, schema = new_folder(queries.sparkSession, "found"), None
+    for i in range(parts):
+        found = search(asked.where(F.col("block") == i).drop("block"))
+        schema = found.schema
+        found.write.mode("append").parquet(path)
+    unstage(asked)
+    return queries.sparkSession.read.schema(schema).parquet(path)
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -98,26 +105,17 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
 
 
 def query_lexemes(queries: DataFrame) -> DataFrame:
-    """query_id, lexeme, n: the distinct lexemes of each query and how many there are."""
-    lex = F.array_distinct(simple_tokens(F.col("q")))
-    return queries.select("query_id", F.explode(lex).alias("lexeme"), F.size(lex).alias("n"))
-
-
-def rank_weight(tf):
-    """The sum of 1/j^2 for the first 255 occurrences, scaled so that endless occurrences give 0.1."""
-    return F.aggregate(F.sequence(F.lit(1), F.least(tf.cast("int"), F.lit(255))), F.lit(0.0), lambda a, j: a + 1.0 / (j * j)) * 0.1 / PI2_6
-
-
-def keyword_scores(postings: DataFrame, lexemes: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score from postings (chunk_id, lexeme, tf): any lexeme matches."""
-    weighted = postings.select("chunk_id", "lexeme", rank_weight(F.col("tf")).alias("weight")).repartition("chunk_id")  # so that pairs are summed where they arise
-    hit = weighted.join(F.broadcast(lexemes), "lexeme")
-    return hit.groupBy("query_id", "chunk_id").agg((F.sum(F.col("weight") / F.col("n"))).alias("raw")).select("query_id", "chunk_id", F.round("raw", 12).alias("score"))
+    """query_id, own, n: the distinct lexemes of each query and how many there are."""
+    return queries.select("query_id", F.array_distinct(simple_tokens(F.col("q"))).alias("own")).select("query_id", "own", F.size("own").alias("n"))
 
 
-def keyword_search(postings: DataFrame, queries: DataFrame, k: int = 5, lexemes: DataFrame | None = None) -> DataFrame:
-    """OR-lexeme search over a postings table; a query without lexemes finds nothing."""
-    return in_blocks(queries, lambda part: top_k(keyword_scores(postings, query_lexemes(part) if lexemes is None else lexemes.join(part.select("query_id"), "query_id")), k))
+def keyword_search(index: DataFrame, queries: DataFrame, k: int = 5, lexemes: DataFrame | None = None) -> DataFrame:
+    """OR-lexeme search over a keyword index, or over postings (chunk_id, lexeme, tf), of which one is made; a query without
+    lexemes finds nothing. lexemes: query_id, lexeme, n of the queries, where they aren't of the simple analyzer."""
+    if "lexeme" in index.columns:
+        index = K.of_postings(index)
+    lex = query_lexemes(queries) if lexemes is None else lexemes.join(queries.select("query_id"), "query_id")
+    return top_k(K.search(index, lex, k), k)
 
 
 def rrf(lists: DataFrame, k: int) -> DataFrame:
@@ -131,31 +129,30 @@ def rrf(lists: DataFrame, k: int) -> DataFrame:
     return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 
-def hybrid_search(chunks: DataFrame, postings: DataFrame, queries: DataFrame, k: int = 5, lexemes: DataFrame | None = None) -> DataFrame:
-    """Both arms with a pool of max(k, 10), semantic first, fused. queries: query_id, q, vector; lexemes: those of the queries,
-    where the postings aren't of the simple analyzer."""
+def hybrid_search(chunks: DataFrame, index: DataFrame, queries: DataFrame, k: int = 5, lexemes: DataFrame | None = None) -> DataFrame:
+    """Both arms with a pool of max(k, 10), semantic first, fused. queries: query_id, q, vector; index, lexemes: as for
+    keyword_search."""
     pool = max(k, POOL)
     semantic = vector_search(chunks, queries, pool).withColumn("list", F.lit(0))
-    keyword = keyword_search(postings, queries, pool, lexemes).withColumn("list", F.lit(1))
+    keyword = keyword_search(index, queries, pool, lexemes).withColumn("list", F.lit(1))
     return rrf(semantic.unionByName(keyword), k)
 
 
-def multi_search(chunks: DataFrame, postings: DataFrame, queries: DataFrame, k: int = 8, lexemes: DataFrame | None = None) -> DataFrame:
+def multi_search(chunks: DataFrame, index: DataFrame, queries: DataFrame, k: int = 8, lexemes: DataFrame | None = None) -> DataFrame:
     """Hybrid search for each sub-query, then the fused lists are fused. queries: group_id, sub (order), q, vector; lexemes: as
     above, by query_id, a struct of group_id and sub."""
     own = queries.withColumn("query_id", F.struct("group_id", "sub"))
-    each = hybrid_search(chunks, postings, own, max(k, POOL), lexemes)
+    each = hybrid_search(chunks, index, own, max(k, POOL), lexemes)
     return rrf(each.select(F.col("query_id.group_id").alias("query_id"), F.col("query_id.sub").alias("list"), "rank", "chunk_id"), k)
 
 
 def resolve_hits(hits: DataFrame, chunks: DataFrame, documents: DataFrame, versions: DataFrame, pages: DataFrame) -> DataFrame:
-    """The chunk records of ranked hits: url and title by three key joins of the few survivors."""
-    few = F.broadcast(hits)  # k rows for each of at most MOST_QUERIES queries
+    """The chunk records of ranked hits: url and title by key joins; Spark broadcasts the hits if they are few."""
     d = documents.select(F.col("id").alias("document_id"), "page_version_id", "title")
     v = versions.select(F.col("id").alias("page_version_id"), "page_id")
     p = pages.select(F.col("id").alias("page_id"), "url")
     c = chunks.select(F.col("id").alias("chunk_id"), "document_id", "heading_path", "text")
-    return c.join(few, "chunk_id").join(d, "document_id").join(v, "page_version_id").join(p, "page_id").select("query_id", "rank", "chunk_id", "document_id", "url", "title", "heading_path", "text", "score")
+    return c.join(hits, "chunk_id").join(d, "document_id").join(v, "page_version_id").join(p, "page_id").select("query_id", "rank", "chunk_id", "document_id", "url", "title", "heading_path", "text", "score")
 
 
 def evaluate(results: DataFrame, goldens: DataFrame, k: int = 5) -> DataFrame:

@@ -18,7 +18,9 @@ from ..operators import catalog as G
 from ..operators import crawl as C
 from ..operators import extract as E
 from ..operators import index as I
+from ..operators import keyword_index as K
 from ..operators import retrieve as R
+from ..sources.staging import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -83,6 +85,12 @@ def all_queries(spark, d):
     return all_chunks(spark, d).where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), F.col("text").alias("q"), F.col("embedding").alias("vector"))
 
 
+def keyword_index(spark, d, analyzer="simple"):
+    """The keyword index of all documents, built once a session."""
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return kept(spark, f"keyword-{analyzer}", [f"{d}/documents.parquet"], lambda: K.build(I.terms(texts, analyzer)))
+
+
 def vectors_of(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
 
@@ -117,15 +125,14 @@ def vector_topk_batch(spark, d):
 @query(f"""with qs as (select doc_id as query_id, text as q from documents where doc_id % {EVERY} = 0), tx as (select doc_id as chunk_id, text from documents), {keyword_sql('tx', 'qs')}
 select query_id, rank, chunk_id, round(score, 6) as score from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from kw) where rank <= 10""")
 def keyword_or_rank(spark, d):
-    texts = all_chunks(spark, d).select("chunk_id", "text")
-    return rounded(R.keyword_search(I.postings(texts), all_queries(spark, d), 10)).withColumn("rank", F.col("rank").cast("bigint"))
+    return rounded(R.keyword_search(keyword_index(spark, d), all_queries(spark, d), 10)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query()
 def keyword_english(spark, d):
     english, queries = I.english(spark), all_queries(spark, d)
     lex = queries.withColumn("terms", F.array_distinct(english("q"))).select("query_id", F.explode("terms").alias("lexeme"), F.size("terms").alias("n"))
-    return rounded(R.keyword_search(I.postings(all_chunks(spark, d), "english"), queries, 10, lex))
+    return rounded(R.keyword_search(keyword_index(spark, d, "english"), queries, 10, lex))
 
 
 def fused_sql(pool: int, queries: str) -> str:
@@ -144,9 +151,10 @@ QUERIES_SQL = f"select doc_id as query_id, text as q, doc_id as vec from documen
 
 
 def found_by_all(spark, d, k=5):
-    """query_id, rank, chunk_id, score: the hybrid search of all queries."""
-    chunks = all_chunks(spark, d)
-    return R.hybrid_search(chunks, I.postings(chunks), all_queries(spark, d), k).withColumn("rank", F.col("rank").cast("bigint"))
+    """query_id, rank, chunk_id, score: the hybrid search of all queries, done once for the queries that start from its hits."""
+    make = lambda: R.hybrid_search(all_chunks(spark, d), keyword_index(spark, d), all_queries(spark, d), k)
+    found = kept(spark, f"hits-{k}", [f"{d}/documents.parquet", f"{d}/embeddings.parquet"], make)
+    return found.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(f"""with {fused_sql(10, QUERIES_SQL)}
@@ -161,9 +169,8 @@ ra as (select *, row_number() over (partition by query_id order by round(score,
 select query_id, rank, chunk_id, round(score, 6) as score from ra where rank <= 8""")
 def multi_query_rrf(spark, d):
     """Every query is a sub-query; two that follow each other by id are one question."""
-    chunks = all_chunks(spark, d)
     subs = all_queries(spark, d).select(F.floor(F.col("query_id") / (2 * EVERY)).alias("group_id"), F.floor(F.col("query_id") / EVERY % 2).cast("int").alias("sub"), "q", "vector")
-    return rounded(R.multi_search(chunks, I.postings(chunks), subs, 8)).withColumn("rank", F.col("rank").cast("bigint"))
+    return rounded(R.multi_search(all_chunks(spark, d), keyword_index(spark, d), subs, 8)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(f"""with r as (select b.vec_id as query_id, b.label as want, a.label as got, row_number() over (partition by b.vec_id order by round({VEC_SQL}, 12) desc, a.vec_id) as rank

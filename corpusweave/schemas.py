@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 TABLE = T.StructType([T.StructField("caption", T.StringType()), T.StructField("headers", T.ArrayType(T.StringType())), T.StructField("rows", T.ArrayType(T.ArrayType(T.StringType())))])
 LINK = T.StructType([T.StructField(x, T.StringType()) for x in ("url", "text", "type")])
-KINDS = {"bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "vector": T.ArrayType(T.FloatType()), "structured": T.StructType([T.StructField("tables", T.ArrayType(TABLE)), T.StructField("documentLinks", T.ArrayType(LINK))])}
+KINDS = {"bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "vector": T.ArrayType(T.FloatType()), "binary": T.BinaryType(), "array<string>": T.ArrayType(T.StringType()), "array<int>": T.ArrayType(T.IntegerType()), "array<bigint>": T.ArrayType(T.LongType()), "structured": T.StructType([T.StructField("tables", T.ArrayType(TABLE)), T.StructField("documentLinks", T.ArrayType(LINK))])}
 
 
 def ddl(text: str) -> T.StructType:
