@@ -20,7 +20,8 @@ from ..operators import extract as E
 from ..operators import index as I
 from ..operators import keyword_index as K
 from ..operators import retrieve as R
-from ..sources.staging import kept
+from ..operators import vector_index as V
+from ..sources.staging import kept, kept_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -117,9 +118,23 @@ def vector_topk(spark, d):
     return top_vectors(spark, d, 10)
 
 
-@query(topk_sql(5))
-def vector_topk_batch(spark, d):
-    return top_vectors(spark, d, 5)
+def vector_index(spark, d):
+    """The index of all vectors, built once a session."""
+    path = kept_folder(spark, "vectors", [f"{d}/embeddings.parquet"], lambda at: V.Index.build(vectors_of(spark, d), at))
+    return V.Index.open(spark, path)
+
+
+@query()
+def ann_topk(spark, d):
+    """The approximate search of every 50th vector against all."""
+    return rounded(vector_index(spark, d).search(vector_queries(spark, d), 10)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query()
+def ann_recall(spark, d):
+    """The share of the exact search's rows that the approximate one finds, by query."""
+    found = vector_index(spark, d).search(vector_queries(spark, d), 10)
+    return V.recall(found, R.vector_search(vectors_of(spark, d), vector_queries(spark, d), 10))
 
 
 @query(f"""with qs as (select doc_id as query_id, text as q from documents where doc_id % {EVERY} = 0), tx as (select doc_id as chunk_id, text from documents), {keyword_sql('tx', 'qs')}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -62,7 +61,7 @@ def unstage(*tables: DataFrame) -> None:
         fs.delete(path, True)
 
 
-_kept: dict[tuple, DataFrame] = {}
+_kept: dict[tuple, str] = {}
 
 
 def fingerprint(spark: SparkSession, *paths: str) -> tuple:
@@ -77,15 +76,24 @@ def fingerprint(spark: SparkSession, *paths: str) -> tuple:
     return tuple(sorted(out))
 
 
-def kept(spark: SparkSession, name: str, paths: list[str], make) -> DataFrame:
-    """make(), staged once for a session and the files of these paths as they are; a changed file makes it again."""
+def kept_folder(spark: SparkSession, name: str, paths: list[str], make) -> str:
+    """A folder that make(path) has written, once for a session and the files of these paths as they are; a changed file makes it again."""
     key = (spark.sparkContext.applicationId, name, fingerprint(spark, *paths))
-    found = _kept.get(key)
-    if found is None or not _there(spark, found.staged_at):
-        found = _kept[key] = staged(make(), name)
-    return spark.read.schema(found.schema).parquet(found.staged_at)
+    if key not in _kept:
+        path = new_folder(spark, name)
+        make(path)
+        _kept[key] = path
+    return _kept[key]
+
+
+def kept(spark: SparkSession, name: str, paths: list[str], make) -> DataFrame:
+    """make() as a table written once, as above."""
+    schemas: list = []
 
+    def write(path: str) -> None:
+        df = make()
+        schemas.append(df.schema)
+        df.write.parquet(path)
 
-def _there(spark: SparkSession, path: str) -> bool:
-    fs, p = hadoop_path(spark, os.path.join(path, "_SUCCESS"))
-    return fs.exists(p)
+    path = kept_folder(spark, name, paths, write)
+    return spark.read.schema(schemas[0]).parquet(path) if schemas else spark.read.parquet(path)
