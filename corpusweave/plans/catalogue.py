@@ -21,6 +21,7 @@ from ..operators import index as I
 from ..operators import keyword_index as K
 from ..operators import retrieve as R
 from ..operators import vector_index as V
+from ..operators.substring_index import SubstringIndex
 from ..sources.staging import kept, kept_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -318,6 +319,19 @@ def list_documents_total(spark, d):
     return G.documents_where(*documents_of(spark, d), q="1").agg(F.countDistinct("id").alias("total"))
 
 
+#: A pattern of every 50th text: eight of its characters with anything before, between and behind, or with one unknown character.
+PATTERN = "case when doc_id % 100 = 0 then '%' || substr(text, 5, 4) || '%' || substr(text, 30, 4) || '%' else '%' || upper(substr(text, 8, 4)) || '_' || substr(text, 13, 4) || '%' end"
+
+
+@query(f"""with p as (select doc_id as pattern_id, {PATTERN} as pattern from documents where doc_id % {EVERY} = 0)
+select pattern_id, doc_id from documents join p on text ilike pattern""")
+def substring_search(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    path = kept_folder(spark, "trigrams", [f"{d}/documents.parquet"], lambda at: SubstringIndex.build(docs, at))
+    asked = table(spark, d, "documents").where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("pattern_id"), F.expr(PATTERN).alias("pattern"))
+    return SubstringIndex(spark, path).search(asked).withColumnRenamed("id", "doc_id")
+
+
 @query("""select d.doc_id as document_id, count(l.doc_id) as n_chunks, count(l.v) as n_embedded, case when count(l.doc_id) > 0 then round(count(l.v) / count(l.doc_id) * 100) else 0 end as percent
 from documents d left join (select c.conv_id as doc_id, case when turn % 3 = 0 then 1 end as v from conversations c) l using (doc_id) group by 1""")
 def chunk_progress(spark, d):
