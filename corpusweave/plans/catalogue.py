@@ -119,6 +119,11 @@ def vector_topk(spark, d):
     return top_vectors(spark, d, 10)
 
 
+@query(topk_sql(5))
+def vector_topk_batch(spark, d):
+    return top_vectors(spark, d, 5)
+
+
 def vector_index(spark, d):
     """The index of all vectors, built once a session."""
     path = kept_folder(spark, "vectors", [f"{d}/embeddings.parquet"], lambda at: V.Index.build(vectors_of(spark, d), at))
@@ -375,19 +380,6 @@ def queue_depth(spark, d):
     return G.queue_depths(table(spark, d, "events").select(F.col("event_type").alias("queue"), state.alias("state")))
 
 
-SEEDS_SQL = ", ".join(f"({i}::bigint, '{name}', '{url}', {delay}, '{mode}', {depth}, {pages})" for i, name, url, delay, mode, depth, pages in schemas.SEED_SITES)
-
-
-@query(f"select * from (values {SEEDS_SQL}) as t(id, name, base_url, crawl_delay_ms, render_mode, max_depth, max_pages)")
-def seed_sites(spark, d):
-    return schemas.seed_sites(spark).drop("robots_txt", "allowed")
-
-
-@query("select 3::bigint as id, 'https://www.scrapethissite.com/pages/' as base_url")
-def site_lookup(spark, d):
-    return G.site_by(schemas.seed_sites(spark), "scrapethis").select("id", "base_url")
-
-
 # ---------------------------------------------------------------- crawl state
 
 
@@ -505,7 +497,14 @@ def exact_dedup(spark, d):
     return table(spark, d, "documents").groupBy(X.sha(F.col("text")).alias("digest")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"))
 
 
-@query()
+#: The pages' own shape in SQL: the text of their one article, or of all between menu and foot.
+PLAIN_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '<!--.*?-->', '', 'gs'), '<[^>]+>', '', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))"""
+EXTRACT_SQL = f"""(select *, case when used then article else body end as text from (select *, length(article) >= 200 as used from
+(select page_id, {PLAIN_SQL.format("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")} as title, {PLAIN_SQL.format("regexp_extract(html, '<article>(.*)</article>', 1, 's')")} as article,
+{PLAIN_SQL.format("regexp_extract(html, '</nav>(.*)<footer>', 1, 's')")} as body from pages)))"""
+
+
+@query(f"select page_id, case when not used and length(text) < 500 then 'listing' else 'article' end as content_type from {EXTRACT_SQL}")
 def classify_content(spark, d):
     """The content type of every page by its own text and tables."""
     return E.outcome(E.extract(versions_in(spark, d))).select(F.col("page_version_id").alias("page_id"), "content_type")
@@ -574,7 +573,8 @@ def versions_in(spark, d):
     return table(spark, d, "pages").select(F.col("page_id").alias("page_version_id"), "url", F.col("html").alias("raw_html"))
 
 
-@query()
+@query(f"""select page_id as page_version_id, nullif(title, '') as title, text, used as used_readability, case when not used and length(text) < 500 then 'listing' else 'article' end as content_type,
+case when text = '' then 'skipped' else 'processed' end as outcome from {EXTRACT_SQL}""")
 def html_extract(spark, d):
     return E.outcome(E.extract(versions_in(spark, d))).select("page_version_id", "title", "text", "used_readability", "content_type", "outcome")
 
@@ -584,7 +584,11 @@ def html_tables(spark, d):
     return E.extract(versions_in(spark, d)).select("page_version_id", F.size("structured.tables").alias("n_tables"), F.size("structured.documentLinks").alias("n_links"))
 
 
-@query()
+@query(r"""with h as (select page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) as origin, regexp_extract_all(html, '<a\s[^>]*href="(/[^"#]*)', 1) as found from pages),
+l as (select page_id, origin || replace(replace(replace(replace(replace(replace(replace(url_encode(href), '%2F', '/'), '%2C', ','), '%25', '%'), '%24', '$'), '%2A', '*'), '%26', '&'), '%21', '!') as url, pos from
+(select page_id, origin, replace(unnest(found), '&amp;', '&') as href, unnest(range(len(found))) as pos from h)),
+f as (select page_id, url, min(pos) as pos from l group by all)
+select page_id, (row_number() over (partition by page_id order by pos) - 1)::int as place, url from f""")
 def html_links(spark, d):
     return E.links(table(spark, d, "pages"))
 
@@ -604,50 +608,12 @@ def indexed_pages(spark, d):
     return made.select("document_id", "chunk_index", "token_count", F.size("embedding").alias("dimensions"))
 
 
-# ---------------------------------------------------------------- extraction over inline pages, with the values to be found
-
-FIXTURE_URL = "https://site.example/dir/page.html"
-#: (case, html): small pages whose tables, links and text are known.
-FIXTURES = [
-    (1, "<html><head><title> One  page </title></head><body><nav>menu</nav><main><p>Main text.</p></main><footer>foot</footer></body></html>"),
-    (2, "<body><h1>Only a heading</h1><table><caption>Prices</caption><tr><th>Item</th><th>Price</th></tr><tr><td>Tea</td><td>2</td></tr><tr><td>Milk</td><td>1</td></tr></table></body>"),
-    (3, "<table><thead><tr><th>A</th><th>B</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr></tbody></table><table><tr><td>layout</td></tr></table>"),
-    (4, "<a href='/a'>a</a><a href='b?x=1#top'>b</a><a href='/a'>again</a><a href='https://other.example/c'>c</a><a href='mailto:x@y.example'>m</a><a href='/files/Report.PDF'>The  report</a><a href='data.csv?v=2'>data</a>"),
-    (5, "<body><script>var x = 1;</script><p>Plain</p><style>p {}</style><p>words</p></body>"),
-    (6, ""),
-]
-
-
-def fixtures(spark):
-    return spark.createDataFrame([(i, FIXTURE_URL, h) for i, h in FIXTURES], "page_version_id bigint, url string, raw_html string")
-
-
-@query("""select * from (values (1::bigint, 'One page', 'Main text.'), (2, 'Only a heading', 'Only a headingPricesItemPriceTea2Milk1'), (3, null, 'AB12layout'), (4, null, 'abagaincmThe reportdata'), (5, null, 'Plainwords'), (6, null, '')) as t(page_id, title, text)""")
-def fixture_text(spark, d):
-    return E.extract(fixtures(spark)).select(F.col("page_version_id").alias("page_id"), "title", "text")
-
-
-@query("""select * from (values (2::bigint, 0::bigint, 'Prices', 'Item|Price', 'Tea|2;Milk|1'), (3, 0, null, 'A|B', '1|2')) as t(page_id, pos, caption, headers, cells)""")
-def fixture_tables(spark, d):
-    found = E.extract(fixtures(spark)).select(F.col("page_version_id").alias("page_id"), F.posexplode("structured.tables").alias("pos", "t"))
-    cells = F.array_join(F.transform("t.rows", lambda r: F.array_join(r, "|")), ";")
-    return found.select("page_id", F.col("pos").cast("bigint").alias("pos"), "t.caption", F.array_join("t.headers", "|").alias("headers"), cells.alias("cells"))
-
-
-@query("""select * from (values (4::bigint, 0::bigint, 'https://site.example/a'), (4, 1, 'https://site.example/dir/b?x=1'), (4, 2, 'https://site.example/files/Report.PDF'), (4, 3, 'https://site.example/dir/data.csv?v=2')) as t(page_id, place, url)""")
-def fixture_links(spark, d):
-    return E.links(fixtures(spark).select(F.col("page_version_id").alias("page_id"), "url", F.col("raw_html").alias("html"))).withColumn("place", F.col("place").cast("bigint"))
-
-
-@query("""select * from (values (4::bigint, 'https://site.example/files/Report.PDF', 'The report', 'pdf'), (4, 'https://site.example/dir/data.csv?v=2', 'data', 'csv')) as t(page_id, url, text, type)""")
-def fixture_documents(spark, d):
-    return E.extract(fixtures(spark)).select(F.col("page_version_id").alias("page_id"), F.inline("structured.documentLinks"))
-
-
-@query(f"""select v.event_id as chunk_id, 'Doc ' || (v.event_id % 7) as title, p.url from events v join pages p on p.page_id = v.event_id % 7 where v.event_id % {EVERY} = 0""")
+@query(f"""with n as (select count(*) as n from pages)
+select event_id as chunk_id, 'Doc ' || page_id as title, url from events, n join pages on page_id = event_id % n where event_id % {EVERY} = 0""")
 def resolved_hits(spark, d):
-    """Hits with the title of their document and the address of their page, by the joins of search results."""
-    chunks = table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") % 7).alias("document_id"), F.lit("").alias("heading_path"), F.col("event_type").alias("text"))
+    """Hits with the title of their document and the address of their page, by the joins of search results, over all pages."""
+    n = F.lit(table(spark, d, "pages").count())
+    chunks = table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") % n).alias("document_id"), F.lit("").alias("heading_path"), F.col("event_type").alias("text"))
     pages = table(spark, d, "pages").select(F.col("page_id").alias("id"), "url")
     documents = pages.select("id", F.col("id").alias("page_version_id"), F.concat(F.lit("Doc "), F.col("id").cast("string")).alias("title"))
     hits = chunks.where(F.col("id") % EVERY == 0).select(F.lit(0).cast("bigint").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("chunk_id"), F.lit(0.0).alias("score"))
