@@ -498,7 +498,7 @@ def exact_dedup(spark, d):
 
 
 #: The pages' own shape in SQL: the text of their one article, or of all between menu and foot.
-PLAIN_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '<!--.*?-->', '', 'gs'), '<[^>]+>', '', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))"""
+PLAIN_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '<!--.*?-->', '', 'gs'), '<[^>]+>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))"""
 EXTRACT_SQL = f"""(select *, case when used then article else body end as text from (select *, length(article) >= 200 as used from
 (select page_id, {PLAIN_SQL.format("regexp_extract(html, '<title>(.*?)</title>', 1, 's')")} as title, {PLAIN_SQL.format("regexp_extract(html, '<article>(.*)</article>', 1, 's')")} as article,
 {PLAIN_SQL.format("regexp_extract(html, '</nav>(.*)<footer>', 1, 's')")} as body from pages)))"""
