@@ -9,7 +9,8 @@ to the windows around it: the whole window is looked up by its hash and compared
 window are looked up as whole spans of their own length.
 
 A benchmark of at most ``broadcast_bytes`` of text is broadcast as arrays (five to ten times its text): fingerprints, and
-for each window a hash, its place in one text and its items; documents stream past it without a shuffle. A larger
+for each window a hash, its place in one text and the texts that have it; items of one text are one text with several ids. Documents stream
+past it without a shuffle: a document gathers the distinct windows that it has, then their distinct texts, then these texts' ids. A larger
 benchmark never comes to the driver: its fingerprints and windows are made in tasks and staged, the distinct fingerprints of each
 text are joined with them, and only texts that hit send the windows around their hits to be compared, by an equi-join on
 the window's words. Both ways give the same rows.
@@ -22,8 +23,6 @@ struct, so no name clashes with the results.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,7 +51,12 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW, k: int = GRAM):
         self.window, self.k = window, k
-        texts = [(text or "").encode() for _, text in items]
+        by: dict[str, set] = {}
+        for i, text in items:
+            by.setdefault(text or "", set()).add(i)
+        texts = [text.encode() for text in by]
+        #: the ids of each distinct text
+        self.ids = [np.array(sorted(x for x in ids if x is not None), np.int64) for ids in by.values()]
         raw = c.LOWER[np.frombuffer(b"".join(texts), np.uint8)]
         starts, ends, docs = c.word_bounds(raw, np.cumsum([0, *map(len, texts)]), c.ALNUM_WORD)
         self.raw, starts, ends = normal(raw, starts, ends)
@@ -60,34 +64,31 @@ class Index:
         counts = np.diff(docs)
         prints = c.gram_starts(docs, window)
         self.prints = np.unique(winnowed(c.gram_hashes(words, k), window - k + 1)[prints])
-        #: for each size: sorted hashes of windows, their bounds in raw, and their items as a list of ranges
+        #: for each size: sorted hashes of windows, their bounds in raw, and the texts that have them as a list of ranges
         self.spans = {}
         for size in np.unique(np.minimum(counts[counts > 0], window)).tolist():
             if size == window:
                 at = np.flatnonzero(prints)
-                item = np.searchsorted(docs, at, "right") - 1
+                text = np.searchsorted(docs, at, "right") - 1
             else:
-                item = np.flatnonzero(counts == size)
-                at = docs[:-1][item]
+                text = np.flatnonzero(counts == size)
+                at = docs[:-1][text]
             h = c.gram_hashes(words, size)[at]
-            order = np.argsort(h, kind="stable")
-            h, item, s, e = h[order], item[order], starts[at[order]], ends[at[order] + size - 1]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | ~c.same_spans(self.raw, s[1:], e[1:], self.raw, s[:-1], e[:-1])
-            first = np.flatnonzero(new)
-            self.spans[size] = (h[first], *(x.astype(np.int32) for x in (s[first], e[first], np.append(first, len(h)), item)))
-        self.items = [i for i, _ in items]
-
-    def items_of(self, size: int, h: int, words: bytes) -> set | None:
-        """The items that hold a window; None if there's none."""
-        hashes, starts, ends, ranges, item = self.spans[size]
-        found = None
-        i = int(np.searchsorted(hashes, c.U64(h)))
-        while i < len(hashes) and hashes[i] == h:
-            if self.raw[starts[i] : ends[i]].tobytes() == words:
-                found = (found or set()).union(self.items[x] for x in item[ranges[i] : ranges[i + 1]].tolist())
-            i += 1
-        return found
+            order = np.lexsort((text, h))
+            h, text, s, e = h[order], text[order], starts[at[order]], ends[at[order] + size - 1]
+            same = np.zeros(len(h), bool)
+            same[1:] = (h[1:] == h[:-1]) & c.same_spans(self.raw, s[1:], e[1:], self.raw, s[:-1], e[:-1])
+            again = same.copy()
+            again[1:] &= text[1:] == text[:-1]
+            first = np.flatnonzero(~same[~again])
+            h, s, e, text = h[~again], s[~again], e[~again], text[~again]
+            self.spans[size] = (h[first], *(x.astype(np.int32) for x in (s[first], e[first], np.append(first, len(h)), text)))
+
+    def ids_of(self, size: int, windows: np.ndarray) -> np.ndarray:
+        """The distinct texts of distinct windows."""
+        *_, ranges, text = self.spans[size]
+        n = ranges[windows + 1] - ranges[windows]
+        return np.unique(text[np.repeat(ranges[windows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
 
 
 def winnowed(grams: np.ndarray, w: int) -> np.ndarray:
@@ -118,18 +119,34 @@ class Words:
         return winnowed(c.gram_hashes(self.hashes, k), window - k + 1)
 
 
-def hits(words: Words, index: Index) -> list[tuple[int, int, set]]:
-    """Every hit: first word, number of words, items."""
-    found = []
-    for size, (table, *_) in index.spans.items():
+def hits(words: Words, index: Index):
+    """(size, first words, windows) of every hit, for each size: a word once for each window of the benchmark that equals the one there."""
+    raw, starts, ends = normal(words.raw, words.starts, words.ends)
+    for size, (table, first, last, *_) in index.spans.items():
         ok = c.gram_starts(words.docs, size)
         at = np.flatnonzero(ok & c.member(words.prints(size, index.k), index.prints) if size == index.window else ok)
         grams = c.gram_hashes(words.hashes, size)[at]
-        real = c.member(grams, table)
-        for i, h in zip(at[real].tolist(), grams[real].tolist()):
-            if (items := index.items_of(size, h, words.text(i, size))) is not None:
-                found.append((i, size, items))
-    return found
+        place = np.searchsorted(table, grams)
+        left = np.flatnonzero(place < len(table))
+        found, windows = [], []
+        while len(left):  # once, unless hashes in the table are equal
+            left = left[table[place[left]] == grams[left]]
+            a, w = at[left], place[left]
+            real = c.same_spans(raw, starts[a], ends[a + size - 1], index.raw, first[w].astype(np.int64), last[w].astype(np.int64))
+            found.append(a[real])
+            windows.append(w[real])
+            place[left] += 1
+            left = left[place[left] < len(table)]
+        if found:
+            yield size, np.concatenate(found), np.concatenate(windows)
+
+
+def runs_of(docs: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and past-the-end words of the runs of hit words, none over the bounds of two documents."""
+    edge = np.ones(len(hit) + 1, bool)
+    np.not_equal(hit[1:], hit[:-1], out=edge[1:-1])
+    edge[docs] = True
+    return np.flatnonzero(edge[:-1] & hit), np.flatnonzero(edge[1:] & hit) + 1
 
 
 def merged(runs: list[tuple[int, int]]) -> list[list[int]]:
@@ -147,10 +164,9 @@ RESULTS = ("n_words", "item_ids", "starts", "ends")
 KINDS = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
 
 
-def _results(batch: pa.RecordBatch, docs: list[tuple[int, list, list]]) -> pa.RecordBatch:
-    """row and the results of each document: n_words, hit spans, items."""
-    runs = [merged(r) for _, r, _ in docs]
-    columns = [n for n, _, _ in docs], [sorted({x for x in i if x is not None}) for _, _, i in docs], [[s for s, _ in r] for r in runs], [[e for _, e in r] for r in runs]
+def _results(batch: pa.RecordBatch, docs: list[tuple]) -> pa.RecordBatch:
+    """row and the results of each document: n_words, items, first and past-the-end words of the hit runs."""
+    columns = zip(*docs) if docs else [[]] * 4
     return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("row")), *(pa.array(x, k) for x, k in zip(columns, KINDS))], ["row", *RESULTS])
 
 
@@ -164,12 +180,22 @@ def _scan(index):
             out = []
             for i, j in c.slices(bounds):
                 words = Words(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                by = defaultdict(lambda: ([], []))
-                for at, size, items in hits(words, own):
-                    d = int(np.searchsorted(words.docs, at, "right")) - 1
-                    by[d][0].append((at - int(words.docs[d]), at - int(words.docs[d]) + size))
-                    by[d][1].extend(items)
-                out += [(int(words.docs[d + 1] - words.docs[d]), *(by[d] if d in by else ([], []))) for d in range(j - i)]
+                n, docs = int(words.docs[-1]), words.docs
+                hit = np.zeros(n, bool)
+                texts: dict[int, list[np.ndarray]] = {}
+                for size, at, windows in hits(words, own):
+                    if not len(at):
+                        continue
+                    hit |= c.covered(at, size, n)
+                    pair = np.unique((np.searchsorted(docs, at, "right") - 1) * np.int64(len(own.spans[size][0])) + windows)
+                    doc = pair // len(own.spans[size][0])
+                    for x in np.split(pair, np.flatnonzero(np.diff(doc)) + 1):
+                        texts.setdefault(int(x[0]) // len(own.spans[size][0]), []).append(own.ids_of(size, x % len(own.spans[size][0])))
+                starts, ends = runs_of(docs, hit)
+                cut = np.searchsorted(starts, docs)
+                for d in range(j - i):
+                    ids = np.unique(np.concatenate([own.ids[t] for t in np.unique(np.concatenate(texts[d])).tolist()])) if d in texts else []
+                    out.append((int(docs[d + 1] - docs[d]), ids, starts[cut[d] : cut[d + 1]] - docs[d], ends[cut[d] : cut[d + 1]] - docs[d]))
             yield _results(batch, out)
 
     return run
@@ -248,7 +274,8 @@ def _finish(batches):
         spans, items, counts = get("spans"), get("items"), []
         for i, j in c.slices(bounds):
             counts += np.diff(c.word_bounds(c.LOWER[raw[bounds[i] : bounds[j]]], bounds[i : j + 1] - bounds[i], c.ALNUM_WORD)[2]).tolist()
-        yield _results(batch, [(n, [(x["at"], x["at"] + x["size"]) for x in s or ()], i or []) for n, s, i in zip(counts, spans, items)])
+        runs = [merged([(x["at"], x["at"] + x["size"]) for x in s or ()]) for s in spans]
+        yield _results(batch, [(n, sorted(i or []), [a for a, _ in r], [b for _, b in r]) for n, r, i in zip(counts, runs, items)])
 
 
 def _joined(docs: DataFrame, benchmark: DataFrame, window: int, k: int) -> DataFrame:
@@ -262,10 +289,13 @@ def _joined(docs: DataFrame, benchmark: DataFrame, window: int, k: int) -> DataF
     found = c.staged(found.groupBy("t1", "t2").agg(F.collect_set(F.struct("size", "print")).alias("found")), "hit-texts")
     some = texts.join(found, ["t1", "t2"]).dropDuplicates(["t1", "t2"])
     around = c.map_batches(some, _extended(window, k), "t1 bigint, t2 bigint, at int, size int, hash bigint, words string")
-    items = windows.groupBy("size", "hash", "words").agg(F.collect_set("item_id").alias("ids"))
-    real = around.join(items, ["size", "hash", "words"]).groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "size")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("items"))
-    real = c.staged(real, "hits")
-    c.unstage(windows, prints, found)
+    around, key = c.staged(around, "around"), ["size", "hash", "words"]
+    met = around.join(windows.select(*key).distinct(), key)
+    spans = met.groupBy("t1", "t2").agg(F.collect_set(F.struct("at", "size")).alias("spans"))  # one text's
+    pairs = around.select("t1", "t2", *key).distinct().join(windows.where("item_id is not null").select(*key, "item_id").distinct(), key)
+    items = pairs.select("t1", "t2", "item_id").distinct().groupBy("t1", "t2").agg(F.collect_list("item_id").alias("items"))
+    real = c.staged(spans.join(items, ["t1", "t2"], "left"), "hits")
+    c.unstage(windows, prints, found, around)
     return docs.join(real, ["t1", "t2"], "left").select("row", "text", "spans", "items")
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,10 +108,10 @@ def test_the_index_is_small_and_does_not_rest_on_hashes(monkeypatch):
     docs = [(i, t) for i, (_, t) in enumerate(few)] + [(99, "1 2 3 4 5 6 7 8 9 10 11 12")]
     for d, t in docs:
         raw = np.frombuffer(t.encode(), np.uint8)
-        found = decontaminate.hits(decontaminate.Words(raw, np.array([0, len(raw)])), index)
+        found = list(decontaminate.hits(decontaminate.Words(raw, np.array([0, len(raw)])), index))
         want = brute_contamination([(d, t)], few)[0]
-        assert sorted({x for *_, s in found for x in s}) == want[3]
-        assert len({p for a, n, _ in found for p in range(a, a + n)}) == want[2]
+        assert sorted({int(x) for n, _, w in found for text in index.ids_of(n, np.unique(w)) for x in index.ids[text]}) == want[3]
+        assert len({p for n, at, _ in found for a in at.tolist() for p in range(a, a + n)}) == want[2]
 
 
 # ---------------------------------------------------------------- 3
@@ -501,3 +502,31 @@ def test_shapes_are_of_whole_words():
     assert pii.shape(url + "x42") != pii.shape(url + "x") and pii.shape(url + "x42").endswith("a99")
     assert pii.features(url + "B7")[0] != pii.features(url + "b7")[0]
     assert pii.shape("Ab--c12") == "Aa-a99" and pii.shape("") == "" and pii.shape("7" * 100) == "9" * 100
+
+
+def test_many_copies_of_an_item_against_a_text_that_repeats_it():
+    import time
+    import tracemalloc
+
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    items = [(i, item) for i in range(20_000)] + [(None, item), (30_000, item.upper() + " thirteen"), (30_001, "two words")]
+    tracemalloc.start()
+    began = time.perf_counter()
+    index = decontaminate.Index(items)
+    batch = pa.RecordBatch.from_pydict({"row": [1, 2, 3], "text": [" ".join([item] * 20_000), None, "two words " + item]})
+    out = next(iter(decontaminate._scan(type("Held", (), {"value": index}))([batch]))).to_pydict()
+    assert time.perf_counter() - began < 10 and tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+    assert out["n_words"] == [240_000, 0, 14] and out["starts"] == [[0], [], [0]] and out["ends"] == [[240_000], [], [14]]
+    assert out["item_ids"] == [[*range(20_000), 30_000], [], [*range(20_000), 30_000, 30_001]]
+
+
+def test_many_copies_of_an_item_on_both_paths(spark):
+    r = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(40))
+    items = [(i, r.choice([passage, passage + f" tail{i % 3}", f"other {i % 7} " * 6])) for i in range(300)] + [(None, passage), (5, None)]
+    docs = [(i, " ".join(r.choice([passage, "noise here", f"other {i % 7} " * 8, passage[:60]]) for _ in range(6))) for i in range(60)] + [(99, None)]
+    docs, items = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    get = lambda **kw: sorted((x.row.doc_id, x.n_words, x.item_ids, x.starts, x.ends) for x in decontaminate.decontaminate(docs, items, **kw).collect())
+    one = get()
+    assert one == get(broadcast_bytes=0) and any(len(x[2]) > 100 for x in one)
