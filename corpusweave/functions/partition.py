@@ -5,6 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 SMALL = 1 << 30
+# Physical nodes that keep the rows and the order of their one input; nodes that scan begin with "Scan".
+KEEP = frozenset(("Project", "Filter", "Generate", "Union", "LocalTableScan", "Range", "Coalesce"))
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether df's rows come straight from tables: a task that is repeated has the same rows in the same order."""
+    nodes = [df._jdf.queryExecution().sparkPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name not in KEEP and not name.startswith("Scan"):
+            return False
+        below = node.children()
+        nodes += [below.apply(i) for i in range(below.size())]
+    return True
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -12,9 +27,7 @@ def spread(df: DataFrame) -> DataFrame:
 
     One small file is one task, however many cores are free. Larger inputs and results of a shuffle stay as they are.
     """
-    run = df._jdf.queryExecution()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    plan = run.executedPlan().toString()
-    if "Exchange" in plan or "QueryStage" in plan or "InArrow" in plan or "InPandas" in plan or int(str(run.optimizedPlan().stats().sizeInBytes())) > SMALL:
+    if not is_scan(df) or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL:
         return df
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df

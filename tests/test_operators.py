@@ -103,3 +103,15 @@ def test_search_plan_cuts_to_k_before_the_shuffle(spark):
     q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id bigint, vector array<double>")
     plan = R.vector_search(e, q, 3)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_only_scans_are_spread(spark, tmp_path):
+    from corpusweave.functions.partition import is_scan, spread
+
+    path = str(tmp_path / "Exchange InArrow")  # names in a plan decide nothing
+    spark.range(10).withColumnRenamed("id", "Exchange").coalesce(1).write.parquet(path)
+    scan = spark.read.parquet(path)
+    assert is_scan(scan.where("Exchange > 1").selectExpr("Exchange + 1 as x")) and spread(scan).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    for df in (scan.repartition(1), scan.groupBy("Exchange").count(), scan.join(scan.withColumnRenamed("Exchange", "b"), F.col("Exchange") == F.col("b")), scan.mapInArrow(lambda it: it, "Exchange bigint"), scan.orderBy("Exchange")):
+        assert not is_scan(df)
+    assert is_scan(spark.createDataFrame([(1,)], "a int")) and is_scan(spark.createDataFrame([], "a int"))
