@@ -13,9 +13,12 @@ rank of its own, in several blocks.
    than once.
 3. Each block takes its documents (the same shuffle as in 1) and its hashes, and decides: a removable hash goes, an owned
    one goes in all documents but those with the block's smallest id.
-Nothing is collected; a group is a block or a hash range, both of bounded size. A window is known by 88 bits: a Rabin-Karp
-hash of 64 bits and 24 bits of a second one with another base, modulo a prime. Among the 2e13 windows of 100 TB of text
-about one pair of different windows is expected to agree in them.
+Nothing is collected; a group is a block or a hash range, both of bounded size. A window is known by 85 bits: a Rabin-Karp hash of 61
+bits and 24 bits of a second one with another base, modulo a prime. Words enter each by a hash of their own, keyed by a secret that the driver
+draws for each run, so no text can be made to collide. Two given windows agree with a chance of 2**-85; among the 2e13 windows of 100 TB of
+text a few pairs of different windows are expected to.
+
+Blocks need rows that come in the same order again: if docs isn't a scan, it's written first.
 
 Defined cases: a null text has no words; a null id comes after all others (rows with null ids never remove from each
 other); rows with the same id never remove from each other; documents shorter than a window lose nothing; extra columns
@@ -24,11 +27,14 @@ are ignored.
 
 from __future__ import annotations
 
+from secrets import randbits
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.partition import is_scan
 from . import common as c
 
 WINDOW = 13
@@ -50,12 +56,12 @@ def _four(data: bytes) -> np.ndarray:
     return out.reshape(-1).view(U32)
 
 
-def window_hashes(raw: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def window_hashes(raw: np.ndarray, bounds: np.ndarray, k: int, secret: tuple[int, int] = (0, 0)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, second hash and first word of every window, and the documents' bounds in words."""
     starts, ends, docs = c.word_bounds(raw, bounds, c.WHITESPACE_WORD)
     at = np.flatnonzero(c.gram_starts(docs, k))
-    words = c.span_hashes(raw, starts, ends)
-    return c.gram_hashes(words, k)[at], (c.gram_hashes(words, k, 1)[at] >> c.U64(40)).astype(U32), at, docs
+    one, two = (c.gram_hashes(c.span_hashes(raw, starts, ends, s), k, i)[at] for i, s in enumerate(secret))
+    return one, (two >> c.U64(40)).astype(U32), at, docs
 
 
 def _in_order(groups: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +76,7 @@ def _in_order(groups: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> tup
     return order, new
 
 
-def _send(batches, k: int, ranges: int):
+def _send(batches, k: int, ranges: int, secret: tuple[int, int]):
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size = 0
 
@@ -91,7 +97,7 @@ def _send(batches, k: int, ranges: int):
         raw, bounds = c.texts_of(batch, "text")
         block = batch.column(batch.schema.get_field_index("block")).to_numpy(zero_copy_only=False)
         for i, j in c.slices(bounds):
-            h, check, at, docs = window_hashes(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], k)
+            h, check, at, docs = window_hashes(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], k, secret)
             if len(h):
                 held.append((block[i:j][np.searchsorted(docs, at, "right") - 1], h, check))
             size += int(bounds[j] - bounds[i])
@@ -136,7 +142,7 @@ def _settle(table: pa.Table) -> pa.Table:
 OUT = ["doc_id", "n_words", "starts", "ends", "kept"]
 
 
-def _remove(k: int):
+def _remove(k: int, secret: tuple[int, int]):
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
         sets = [([], []), ([], [])]
         for kind, h, check in zip(marks["kind"].to_pylist(), marks["hashes"], marks["checks"]):
@@ -155,7 +161,7 @@ def _remove(k: int):
             raw, bounds = c.texts_of(b, "text")
             key = b.column(b.schema.get_field_index("key")).to_numpy(zero_copy_only=False)
             for i, j in c.slices(bounds):
-                h, check, at, words = window_hashes(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], k)
+                h, check, at, words = window_hashes(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], k, secret)
                 keys = key[i:j][np.searchsorted(words, at, "right") - 1]
                 place = c.places(h, check, *owned)
                 mine = np.flatnonzero(place >= 0)
@@ -194,14 +200,15 @@ def _remove(k: int):
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, n_words, the removed word intervals [starts, ends) and the kept text of every document."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs, total = c.order_blocks(docs, "key", block_bytes)
+    docs, total = c.order_blocks(docs if is_scan(docs) else c.staged(docs, "docs"), "key", block_bytes)
+    secret = randbits(63), randbits(63)
     ranges = max(64, -(-total // range_bytes))
     tasks = min(PARTITIONS, -(-total // TASK_BYTES))  # more than the session's number only where the bytes ask for it
     deal = lambda df, by: df.repartition(tasks, by) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(by)
     dealt = deal(docs, "block")
-    sent = c.map_batches(dealt, lambda it: _send(it, window, ranges), "part bigint, block bigint, hashes binary, checks binary, again binary")
+    sent = c.map_batches(dealt, lambda it: _send(it, window, ranges, secret), "part bigint, block bigint, hashes binary, checks binary, again binary")
     marks = deal(sent, "part").groupBy("part").applyInArrow(_settle, "block bigint, kind int, hashes binary, checks binary")
-    return dealt.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_remove(window), "doc_id bigint, n_words bigint, starts array<int>, ends array<int>, kept string")
+    return dealt.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_remove(window, secret), "doc_id bigint, n_words bigint, starts array<int>, ends array<int>, kept string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
