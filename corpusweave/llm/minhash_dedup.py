@@ -6,6 +6,9 @@ scatters the shingles, the second is applied after a circular shift by the coord
 BANDS bands of ROWS coordinates are keys; a pair of Jaccard similarity s shares one with probability
 1 - (1 - s**ROWS)**BANDS, at 0.8 more than 0.9999.
 
+Sets are compared by shingle hashes of 61 bits, whose words enter by a hash keyed by a secret that the driver draws for each run, so
+no text can be made to collide; signatures, which only propose pairs, are made of hashes without a key and are the same in every run.
+
 1. Documents with equal sets are one class, known by two 64-bit sums over the set; one of its texts stands for it.
 2. Stars: in every bucket of a band key the members are confirmed against the bucket's first class, on full sets.
    Components of the confirmed links merge most of each group of copies.
@@ -26,6 +29,7 @@ columns are ignored.
 from __future__ import annotations
 
 import math
+from secrets import randbits
 
 import numpy as np
 import pyarrow as pa
@@ -55,11 +59,11 @@ def scatter(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def shingle_hashes(raw: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each document, sorted within it, and the documents' bounds."""
+def shingle_hashes(raw: np.ndarray, bounds: np.ndarray, k: int, secret: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each document, sorted within it, and the documents' bounds. secret: keys the words' hashes."""
     raw = c.LOWER[raw]
     starts, ends, docs = c.word_bounds(raw, bounds, c.WHITESPACE_WORD)
-    words = c.span_hashes(raw, starts, ends)
+    words = c.span_hashes(raw, starts, ends, secret)
     at = np.flatnonzero(c.gram_starts(docs, k))
     h, doc = [c.gram_hashes(words, k)[at]], [np.searchsorted(docs, at, "right") - 1]
     sizes = np.diff(docs)
@@ -116,23 +120,24 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _sets(k: int, bands: int, rows: int):
+def _sets(k: int, bands: int, rows: int, secret: int):
     def run(batches):
         for b in batches:
             raw, bounds = c.texts_of(b, "text")
             parts = []
             for i, j in c.slices(bounds):
-                h, own = shingle_hashes(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], k)
+                text, cut = raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+                h, own = shingle_hashes(text, cut, k, secret)
                 sums = [np.concatenate([[c.U64(0)], np.cumsum(c.mix(h + c.U64(salt)), dtype=c.U64)]) for salt in (1, 2)]
                 keys = [(s[own[1:]] - s[own[:-1]]).view(np.int64) for s in sums]
-                parts.append((np.diff(own), *keys, band_keys(signatures(h, own, bands * rows), bands, rows)))
+                parts.append((np.diff(own), *keys, band_keys(signatures(*shingle_hashes(text, cut, k), bands * rows), bands, rows)))
             n, k1, k2, keys = (np.concatenate([p[i] for p in parts]) for i in range(4)) if parts else (np.zeros(0, np.int64),) * 4
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(k1), pa.array(k2), c.list_array(keys.ravel(), np.full(len(n), bands), pa.int64())], ["doc_id", "text_hash", "n", "k1", "k2", "bands"])
 
     return run
 
 
-def _confirm(k: int, least: int, of: int):
+def _confirm(k: int, least: int, of: int, secret: int):
     """Rows sorted by leader, salt, role: the leader's text (role 0), then members' texts. Yields confirmed links."""
 
     def run(batches):
@@ -142,7 +147,7 @@ def _confirm(k: int, least: int, of: int):
             heads, roles, ids = (b.column(b.schema.get_field_index(x)).to_numpy() for x in ("leader", "role", "id"))
             out: list[tuple[int, int]] = []
             for i, j in c.slices(bounds):
-                h, at = shingle_hashes(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], k)
+                h, at = shingle_hashes(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], k, secret)
                 for d in range(i, j):
                     x = h[at[d - i] : at[d - i + 1]]
                     if roles[d] == 0:
@@ -157,13 +162,13 @@ def _confirm(k: int, least: int, of: int):
     return run
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, k: int, similarity: tuple[int, int], secret: int = 0) -> DataFrame:
     """The pairs (a leader, b member; ids of texts) whose full sets are similar enough. texts: id, text."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
     dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
     wanted = dealt.select(F.col("b").alias("id"), F.col("a").alias("leader"), "salt", F.lit(1).alias("role")).union(sizes.select(F.col("a").alias("id"), F.col("a").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role")))
     rows = wanted.join(texts, "id").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "role")
-    return c.map_batches(rows, _confirm(k, *similarity), "a bigint, b bigint")
+    return c.map_batches(rows, _confirm(k, *similarity, secret), "a bigint, b bigint")
 
 
 def stars(buckets: DataFrame) -> DataFrame:
@@ -259,7 +264,7 @@ def tile_links(x: Members, y: Members | None, least: int, of: int) -> tuple[np.n
     return ids[moved], ids[label[moved]]
 
 
-def _blocks(k: int, least: int, of: int):
+def _blocks(k: int, least: int, of: int, secret: int):
     """Rows sorted by (gkey, lo, hi): all links between components inside each tile of two chunks."""
 
     def run(batches):
@@ -275,7 +280,7 @@ def _blocks(k: int, least: int, of: int):
             get = lambda x: b.column(b.schema.get_field_index(x)).to_pylist()
             keys, rows = list(zip(get("gkey"), get("lo"), get("hi"))), list(zip(get("rep"), get("component"), get("bands"), get("own")))
             for i, j in c.slices(bounds):
-                h, own = shingle_hashes(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], k)
+                h, own = shingle_hashes(raw[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], k, secret)
                 for d in range(i, j):
                     if keys[d] != at:
                         yield from flush()
@@ -288,7 +293,7 @@ def _blocks(k: int, least: int, of: int):
     return run
 
 
-def rest(buckets: DataFrame, classes: DataFrame, texts: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
+def rest(buckets: DataFrame, classes: DataFrame, texts: DataFrame, k: int, similarity: tuple[int, int], secret: int = 0) -> DataFrame:
     """a, b: the links between different components, of which no pair is made outside a numpy block."""
     groups = open_groups(buckets, GROUP).withColumn("size", F.floor(F.log(F.col("n").cast("double")) / math.log(1.01 * similarity[1] / similarity[0])).cast("bigint"))
     groups = c.staged(groups, "open-groups")
@@ -303,15 +308,16 @@ def rest(buckets: DataFrame, classes: DataFrame, texts: DataFrame, k: int, simil
     own = c.staged(groups.select("rep").distinct(), "open-members")  # of a size that the joins know
     few = texts.join(own.withColumnRenamed("rep", "id"), "id", "left_semi").join(classes.join(own, "rep", "left_semi").select(F.col("rep").alias("id"), "bands"), "id")
     dealt = rows.join(few, "id").drop("id").repartition("gkey", "lo", "hi").sortWithinPartitions("gkey", "lo", "hi")
-    return c.map_batches(dealt, _blocks(k, *similarity), "a bigint, b bigint")
+    return c.map_batches(dealt, _blocks(k, *similarity, secret), "a bigint, b bigint")
 
 
 def dedup(docs: DataFrame, k: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text). similarity: fraction, 80/100 or more."""
     if similarity[0] * 100 < 80 * similarity[1]:
         raise ValueError("the bands are made for similarities of 0.8 or more")
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    sets = c.staged(c.map_batches(docs.select("doc_id", "text_hash", "text"), _sets(k, bands, rows), "doc_id bigint, text_hash bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"), "sets")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("text_hash", F.conv(F.substring(F.sha2("text", 256), 1, 15), 16, 10).cast("bigint"))  # tells texts of one id apart
+    secret = randbits(63)
+    sets = c.staged(c.map_batches(docs.select("doc_id", "text_hash", "text"), _sets(k, bands, rows, secret), "doc_id bigint, text_hash bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"), "sets")
     linked = sets.where("doc_id is not null and n > 0")
     classes = linked.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.min_by("text_hash", "doc_id").alias("text_hash"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = c.staged(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # numbers are fixed by writing them
@@ -324,14 +330,14 @@ def dedup(docs: DataFrame, k: int = SHINGLE, similarity: tuple[int, int] = SIMIL
     some = docs.join(needed, "doc_id", "left_semi").groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
     texts = c.staged(some.join(wanted, ["doc_id", "text_hash"]).select(F.col("rep").alias("id"), "text"), "texts")
     pairs = c.staged(stars(buckets), "pairs")
-    links = c.staged(confirmed(pairs, texts, k, similarity), "links")
+    links = c.staged(confirmed(pairs, texts, k, similarity, secret), "links")
     # rows of one id are one node: their classes are linked
     known = members.where("doc_id is not null and n > 0")
     several = known.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a < most").drop("most")
     same = c.staged(known.join(several, "doc_id").select("a", F.col("rep").alias("b")), "same-ids")
     parts = connected_components(links.union(same)).withColumnRenamed("node", "rep")
     merged = buckets.join(parts, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    more = c.staged(rest(merged, classes, texts, k, similarity), "links")
+    more = c.staged(rest(merged, classes, texts, k, similarity, secret), "links")
     if not more.isEmpty():
         parts = connected_components(links.union(same).union(more)).withColumnRenamed("node", "rep")
     lowest = parts.join(classes.select("rep", "first"), "rep").groupBy("component").agg(F.min("first").alias("component_id"))

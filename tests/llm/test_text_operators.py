@@ -530,3 +530,54 @@ def test_many_copies_of_an_item_on_both_paths(spark):
     get = lambda **kw: sorted((x.row.doc_id, x.n_words, x.item_ids, x.starts, x.ends) for x in decontaminate.decontaminate(docs, items, **kw).collect())
     one = get()
     assert one == get(broadcast_bytes=0) and any(len(x[2]) > 100 for x in one)
+
+
+def colliding_words(seed):
+    """Two different words of 16 bytes with equal hashes under the key 0: the first lanes are chosen, a second lane is solved for."""
+    import numpy as np
+
+    mask, base = (1 << 64) - 1, common._BASE
+    mix = lambda x: int(common.mix(np.array([x], common.U64))[0])
+
+    def unmix(y):
+        def unshift(v, n):
+            out = v
+            for _ in range(64 // n + 1):
+                out = v ^ (out >> n)
+            return out
+
+        y = unshift(y, 31) * pow(0x94D049BB133111EB, -1, 1 << 64) & mask
+        y = unshift(y, 27) * pow(0xBF58476D1CE4E5B9, -1, 1 << 64) & mask
+        return unshift(y, 30)
+
+    salt = mix(1)
+    lane = lambda word, number: mix((mix(int.from_bytes(word, "little") ^ salt) + number * base) & mask)
+    r = random.Random(seed)
+    good = set(range(0x21, 0x7F))
+    one = bytes(r.choice(sorted(good)) for _ in range(16))
+    total = (lane(one[:8], 1) + lane(one[8:], 2)) & mask
+    while True:
+        head = bytes(r.choice(sorted(good)) for _ in range(8))
+        tail = (unmix((unmix((total - lane(head, 1)) & mask) - 2 * base) & mask) ^ salt).to_bytes(8, "little")
+        if not set(tail) & set(b" \t\n\x0b\x0c\r") and tail.isascii() and 0 not in tail:
+            return one.decode(), (head + tail).decode()
+
+
+def test_words_made_to_collide_are_told_apart(spark):
+    import numpy as np
+
+    from corpusweave.llm import minhash_dedup
+
+    pairs = [("abcdefghijklmnop", "yalbpjgt%x}9{d1*"), colliding_words(1), colliding_words(2)]
+    docs = []
+    for n, (a, b) in enumerate(pairs):
+        raw = np.frombuffer((a + b).encode(), np.uint8)
+        h = common.span_hashes(raw, np.array([0, len(a)]), np.array([len(a), len(a) + len(b)]))
+        assert a != b and h[0] == h[1]  # without a key they collide
+        same = " ".join([f"same{n}"] * 12)
+        docs += [(10 * n, f"{same} {a}"), (10 * n + 1, f"{same} {b}"), (10 * n + 2, f"{a} w{n}"), (10 * n + 3, f"{b} w{n}")]
+    df = spark.createDataFrame(docs, DOC)
+    got = {r.doc_id: (r.n_words, list(zip(r.starts, r.ends)), r.kept) for r in substring_dedup.dedup_substrings(df).collect()}
+    assert all(not spans and kept == dict(docs)[i] for i, (_, spans, kept) in got.items())
+    sets = {r.doc_id: (r.component_id, r.n_shingles) for r in minhash_dedup.dedup(df, k=4).collect()}
+    assert all(sets[i][0] == i for i, _ in docs)
