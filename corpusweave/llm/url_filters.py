@@ -9,7 +9,8 @@ size of the intervals is below its threshold.
 
 Defined cases: patterns are compared in lower case, without surrounding spaces; entries with a null list, pattern, time or
 an action other than add/remove are void; at equal
-times add wins over remove; repeated entries change nothing. Repeated captures (same id, url and time) are one capture. A
+times add wins over remove; repeated entries change nothing. A host is cut to the numbers of labels that listed patterns have, so a host of any
+length has no more candidates than that. Repeated captures (same id, url and time) are one capture. A
 null url, one without a host, or a null fetch time is on no list. Extra columns are ignored.
 """
 
@@ -33,12 +34,12 @@ def intervals(entries: DataFrame) -> DataFrame:
     return states.withColumn("end", F.lead("begin").over(w)).where("active").drop("active")
 
 
-def patterns(url: str = "url") -> F.Column:
-    """All patterns that can match a url."""
+def patterns(counts: list[int], url: str = "url") -> F.Column:
+    """All patterns that can match a url. counts: the numbers of labels that domains on the lists have."""
     low = F.lower(F.trim(F.col(url)))
     host = F.regexp_extract(low, HOST, 1)
     labels = F.reverse(F.split(host, r"\."))
-    domains = F.transform(F.when(F.size(labels) >= 2, F.sequence(F.lit(2), F.size(labels))).otherwise(F.array().cast("array<int>")), lambda n: F.array_join(F.reverse(F.slice(labels, 1, n)), "."))
+    domains = F.transform(F.filter(F.lit(counts).cast("array<int>"), lambda n: n <= F.size(labels)), lambda n: F.array_join(F.reverse(F.slice(labels, 1, n)), "."))
     segment = F.regexp_extract(low, SEGMENT, 1)
     more = F.when(segment != "", F.array(host, F.concat(host, F.lit("/"), segment))).otherwise(F.array(host))
     return F.when(F.coalesce(host, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, more)))
@@ -47,8 +48,10 @@ def patterns(url: str = "url") -> F.Column:
 def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """page_id, url, fetched_at and lists (sorted array of the lists that hold the capture) of every distinct capture."""
     caps = captures.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), "fetched_at")
-    spans = intervals(entries)
-    keyed = caps.select("*", F.explode_outer(patterns()).alias("pattern"))
+    spans = c.staged(intervals(entries), "intervals")
+    lengths = spans.where(~F.contains("pattern", F.lit("/"))).select(F.size(F.split("pattern", r"\.")).alias("n")).where("n >= 2").distinct()
+    counts = sorted(r.n for r in lengths.collect())  # no more than the longest pattern has labels
+    keyed = caps.select("*", F.explode_outer(patterns(counts)).alias("pattern"))
     hit = keyed.join(spans, (keyed.pattern == spans.pattern) & (keyed.fetched_at >= spans.begin) & (spans.end.isNull() | (keyed.fetched_at < spans.end)), "left")
     return hit.groupBy("page_id", "url", "fetched_at").agg(F.array_sort(F.collect_set("list")).alias("lists"))
 

@@ -408,3 +408,14 @@ def test_operators_do_not_depend_on_local_checkpoints():
     folder = os.path.dirname(common.__file__)
     assert not any("localCheckpoint" in open(os.path.join(folder, f)).read() for f in os.listdir(folder) if f.endswith(".py"))
     assert decontaminate.WINDOW == 10 and language_id.UND == "und"
+
+
+def test_a_host_of_very_many_labels(spark):
+    import time
+
+    host = ".".join(["a"] * 50_000) + ".evil.example"
+    captures = spark.createDataFrame([(1, f"https://{host}/x", 10), (2, "https://b.evil.example/", 10), (3, "https://example/", 10)], "page_id bigint, url string, fetched_at bigint")
+    entries = spark.createDataFrame([("spam", "evil.example", "add", 1), ("deep", "a.a.a.evil.example", "add", 1), ("top", "example", "add", 1)], "list string, pattern string, action string, at bigint")
+    began = time.perf_counter()
+    got = {r.page_id: r.lists for r in url_filters.filter_urls(captures, entries).collect()}
+    assert got == {1: ["deep", "spam"], 2: ["spam"], 3: ["top"]} and time.perf_counter() - began < 20
