@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,15 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 REACH = 3
 FEATURES = 1 << 12
+STEPS = 4096  # tokens whose scores are held at a time
+REMEMBERED = 64  # characters of a word whose features are cached
 HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
-CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")  # possessive: nothing follows, so no step is remembered
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
+NO_DIGIT = re.compile(r"[^0-9]+")
 TRIGGER = re.compile(r"[0-9@+]|[\[(](?:at|dot)[\])]", re.I)
 TOKEN = re.compile(r"\S+")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -54,7 +58,7 @@ def luhn(digits: str) -> bool:
 
 
 def digits_of(text: str) -> str:
-    return "".join(x for x in text if "0" <= x <= "9")
+    return NO_DIGIT.sub("", text)
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -148,14 +152,19 @@ class Field:
             from .bpe import Generations
 
             self.cache = Generations(lambda w: np.array(features(w)), 20_000)
-        return self.cache[word]
+        return self.cache[word] if len(word) <= REMEMBERED else np.array(features(word))
 
-    def emissions(self, chains: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """(chains, tokens, tags) scores, padded, and the chains' lengths."""
+    def emissions(self, chains: list, start: int = 0, stop: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """((chains, tokens, tags) scores of the tokens from start to stop, padded; the chains' lengths). Chains are sequences of words
+        that can be sliced."""
         sizes = np.array([len(x) for x in chains])
-        x = np.zeros((len(chains), sizes.max() + 2, 7), np.int32)  # bucket 0 stands beyond the ends
+        stop = int(sizes.max()) if stop is None else stop
+        x = np.zeros((len(chains), stop - start + 2, 7), np.int32)  # bucket 0 stands beyond the ends
         for i, chain in enumerate(chains):
-            x[i, 1 : len(chain) + 1] = [self.known(w) for w in chain]
+            words = chain[max(0, start - 1) : stop + 1]
+            if len(words):
+                at = 0 if start else 1
+                x[i, at : at + len(words)] = [self.known(w) for w in words]
         return self.own[x[:, 1:-1]].sum(2) + self.before[x[:, :-2]].sum(2) + self.after[x[:, 2:]].sum(2), sizes
 
     def decode(self, chains: list[list[str]]) -> list[np.ndarray]:
@@ -174,15 +183,21 @@ class Field:
         return out
 
     def _viterbi(self, chains):
-        e, sizes = self.emissions(chains)
-        n, steps, _ = e.shape
+        """Tags of chains of similar lengths. Emissions are made for STEPS tokens at a time; a byte for each token and tag is kept."""
+        sizes = np.array([len(x) for x in chains])
+        n, steps = len(chains), int(sizes.max())
         back = np.zeros((n, steps, len(TAGS)), np.int8)
-        score = e[:, 0] + self.moves[-1]
-        for t in range(1, steps):
-            s = score[:, :, None] + self.moves[None, :-1]
-            back[:, t] = s.argmax(1)
-            new = s.max(1) + e[:, t]
-            score = np.where((t < sizes)[:, None], new, score)
+        score = None
+        for start in range(0, steps, STEPS):
+            stop = min(start + STEPS, steps)
+            e, _ = self.emissions(chains, start, stop)
+            for t in range(start, stop):
+                if score is None:
+                    score = e[:, 0] + self.moves[-1]
+                    continue
+                s = score[:, :, None] + self.moves[None, :-1]
+                back[:, t] = s.argmax(1)
+                score = np.where((t < sizes)[:, None], s.max(1) + e[:, t - start], score)
         tags = np.zeros((n, steps), np.int8)
         rows = np.arange(n)
         tags[rows, sizes - 1] = score.argmax(1)
@@ -317,40 +332,53 @@ def valid(kind: str, span: str) -> bool:
     return bool(re.search(r"@|[\[(]at[\])]", span, re.I)) and bool(re.search(r"\.[A-Za-z]{2}|[\[(]dot[\])]", span, re.I))
 
 
-def chains_of(text: str) -> list[list[tuple[int, int]]]:
-    """Token spans of each chain."""
+class Chain:
+    """Tokens of a text as bounds; a slice is the words."""
+
+    def __init__(self, text: str, bounds: np.ndarray):
+        self.text, self.bounds = text, bounds
+
+    def __len__(self) -> int:
+        return len(self.bounds)
+
+    def __getitem__(self, part: slice) -> list[str]:
+        return [self.text[s:e] for s, e in self.bounds[part].tolist()]
+
+
+def chains_of(text: str) -> list[Chain]:
+    """The tokens around triggers."""
     if not TRIGGER.search(text):
         return []
-    tokens = [m.span() for m in TOKEN.finditer(text)]
-    starts = np.array([s for s, _ in tokens])
-    at = np.array([m.start() for m in TRIGGER.finditer(text)])
-    hot = np.unique(np.searchsorted(starts, at, "right") - 1)
+    flat = array("q")
+    for m in TOKEN.finditer(text):
+        flat.extend(m.span())
+    bounds = np.frombuffer(flat, np.int64).reshape(-1, 2)
+    at = np.frombuffer(array("q", (m.start() for m in TRIGGER.finditer(text))), np.int64)
+    hot = np.unique(np.searchsorted(bounds[:, 0], at, "right") - 1)
     cut = np.flatnonzero(np.diff(hot) > 2 * REACH) + 1
-    return [tokens[max(0, int(g[0]) - REACH) : int(g[-1]) + REACH + 1] for g in np.split(hot, cut)]
+    return [Chain(text, bounds[max(0, int(g[0]) - REACH) : int(g[-1]) + REACH + 1]) for g in np.split(hot, cut)]
 
 
 def added_spans(texts: list[str], bases: list[list[tuple[str, int, int]]], field: Field) -> list[list[tuple[str, int, int]]]:
-    found = [chains_of(t) for t in texts]
-    flat = [(d, chain) for d, chains in enumerate(found) for chain in chains]
+    flat = [(d, chain) for d, t in enumerate(texts) for chain in chains_of(t)]
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     if not flat:
         return out
-    for (d, chain), tags in zip(flat, field.decode([[texts[d][s:e] for s, e in chain] for d, chain in flat])):
-        i = 0
-        while i < len(tags):
+    taken = [(np.array(sorted(s for _, s, _ in b)), np.array(sorted(e for *_, e in b))) for b in bases]
+    for (d, chain), tags in zip(flat, field.decode([chain for _, chain in flat])):
+        for i in np.flatnonzero((tags > 0) & ((np.concatenate([[0], tags[:-1]]) != tags) & (np.concatenate([[0], tags[:-1]]) != tags - 1) | (tags % 2 == 1))).tolist():
             kind = (int(tags[i]) - 1) // 2
             j = i + 1
-            if tags[i]:
-                while j < len(tags) and tags[j] == 2 * kind + 2:
-                    j += 1
-                s, e = chain[i][0], chain[j - 1][1]
-                while e > s and texts[d][e - 1] in ".,;:!?)>]}\"'|" and not texts[d][s:e].lower().endswith(("(dot)", "(at)")):
-                    e -= 1
-                while s < e and texts[d][s] in "<\"'{|:,;":
-                    s += 1
-                if s < e and valid(KINDS[kind], texts[d][s:e]) and not any(a < e and s < z for _, a, z in bases[d]):
-                    out[d].append((KINDS[kind], s, e))
-            i = j
+            while j < len(tags) and tags[j] == 2 * kind + 2:
+                j += 1
+            s, e = int(chain.bounds[i, 0]), int(chain.bounds[j - 1, 1])
+            while e > s and texts[d][e - 1] in ".,;:!?)>]}\"'|" and not texts[d][max(s, e - 5) : e].lower().endswith(("(dot)", "(at)")):
+                e -= 1
+            while s < e and texts[d][s] in "<\"'{|:,;":
+                s += 1
+            begins, ends = taken[d]
+            if s < e and valid(KINDS[kind], texts[d][s:e]) and np.searchsorted(begins, e) <= np.searchsorted(ends, s, "right"):
+                out[d].append((KINDS[kind], s, e))
     return out
 
 

@@ -1,6 +1,7 @@
 """Decontamination, substring dedup, BPE, token counts, language ID, personal data: against brute force and odd tables."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -581,3 +582,35 @@ def test_words_made_to_collide_are_told_apart(spark):
     assert all(not spans and kept == dict(docs)[i] for i, (_, spans, kept) in got.items())
     sets = {r.doc_id: (r.component_id, r.n_shingles) for r in minhash_dedup.dedup(df, k=4).collect()}
     assert all(sets[i][0] == i for i, _ in docs)
+
+
+def test_a_chain_in_time_steps_is_the_same_chain(spark, monkeypatch):
+    r = random.Random(31)
+    field = pii.default_field(spark)
+    texts = [" ".join(r.choice(["call", "555-123-4567", "12", "10.2.3.4:80", "4111", "a (at) b (dot) com", "x" * 90, "+49"]) for _ in range(n)) for n in (1, 5, 200, 900)]
+    bases = [pii.base_spans(t) for t in texts]
+    want = pii.added_spans(texts, bases, field)
+    monkeypatch.setattr(pii, "STEPS", 7)
+    assert pii.added_spans(texts, bases, field) == want and any(want)
+
+
+def test_two_million_numbers_in_one_text():
+    """In a process of its own, whose memory is its peak."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+import numpy as np
+from corpusweave.llm import pii
+held = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10
+r = np.random.default_rng(1)
+k = len(pii.TAGS)
+field = pii.Field(*(r.normal(0, 1, (pii.FEATURES, k)) for _ in range(3)), r.normal(0, 1, (k + 1, k)))
+text = " ".join(str(i % 1000) for i in range(2_000_000))
+before = held()
+pii.added_spans([text], [pii.base_spans(text)], field)
+print(held() - before)
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    assert int(said.stdout) < 500, said.stderr
