@@ -6,11 +6,7 @@ its own), so the memory of a task doesn't depend on how many documents a partiti
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.partition import spread
+from ..sources.staging import clean, shared_folder, staged, unstage  # noqa: F401
 
 SLICE_BYTES = 1 << 20
 BATCH_ROWS = 512
@@ -38,50 +35,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it's unset, a local session gets a folder of its own
-    (a process on one machine shares its disk); on a cluster that's an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _local.get(spark.sparkContext.applicationId)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = _local[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="corpusweave-")
-        atexit.register(shutil.rmtree, folder, True)
-    return folder.rstrip("/")
-
-
-_local: dict[str, str] = {}
-
-
-def clean(spark: SparkSession) -> None:
-    """Deletes all staged tables of this session; to be called when the results that read them are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/corpusweave/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def staged(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors. partition: a column of few values,
-    each of which is a folder.
-
-    The tables of a session lie in one folder named by its application id; operators delete those that their result doesn't read, and clean() the rest.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/corpusweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    (df.write.partitionBy(partition) if partition else df.write).parquet(path)
-    out = spark.read.schema(schema).parquet(path)
-    out.staged_at = path
-    return out
-
-
-def unstage(*tables: DataFrame) -> None:
-    """Delete staged tables that no later plan reads."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     small_batches(df.sparkSession)
     return spread(df).mapInArrow(fn, schema)
