@@ -1,12 +1,13 @@
 """The engine: crawl, process, index, search and ask over snapshot tables.
 
 Stages find their work by anti-joins against what is already there, so each can be run again at any time and a lost run
-leaves nothing behind. Ids are hashes of natural keys (url, url and version, document and place), stable across runs.
+leaves nothing behind. Ids are hashes of natural keys (url, page and version, document and place), stable across runs; a hash that
+another row has is drawn again, and rows are found by their natural keys.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import schemas as S
@@ -20,10 +21,14 @@ from .operators import index as I
 from .operators import keyword_index as K
 from .operators import retrieve as R
 from .sources.fetch import by_mode, robots_rules, with_robots
+from .sources.staging import staged
 from .sources.store import Store
 
 TABLES = {"sites": S.SITES, "pages": S.PAGES, "page_versions": S.PAGE_VERSIONS, "documents": S.DOCUMENTS, "chunks": S.CHUNKS, "failed_jobs": S.FAILED_JOBS, "crawl_sessions": S.CRAWL_SESSIONS, "keyword_index": S.ddl(K.INDEX), "robots": S.ddl("origin string, robots_txt string"), "fetches": S.ddl("session_id bigint, url string, domain string, attempt int, now_ms bigint, status int, in_cooldown boolean")}
 
+#: What rows are replaced by, in tables whose rows change.
+KEYS = {"sites": "id", "pages": "url"}
+
 
 def key(*columns) -> F.Column:
     """A positive 63-bit id of a natural key."""
@@ -42,10 +47,29 @@ class Engine:
     def write(self, name: str, df: DataFrame) -> None:
         self.store.write(name, df, TABLES[name])
 
+    def change(self, name: str, df: DataFrame) -> None:
+        """Rows of df in place of those of the same key."""
+        self.store.upsert(name, df, TABLES[name], KEYS[name])
+
+    def with_ids(self, name: str, rows: DataFrame, *natural: str) -> DataFrame:
+        """rows, each of another natural key, with ids that no row of the table nor another of them has."""
+        taken, out, done = self.table(name).select("id"), staged(rows.withColumn("id", key(*natural)), "ids"), []
+        for salt in range(1, 100):
+            again = out.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id").union(out.select("id").join(taken, "id", "left_semi"))
+            for other in done:
+                again = again.union(out.select("id").join(other.select("id"), "id", "left_semi"))
+            bad = staged(again.distinct(), "ids")
+            if bad.isEmpty():
+                break
+            done.append(out.join(bad, "id", "left_anti"))
+            out = staged(out.join(bad, "id", "left_semi").withColumn("id", key(*natural, F.lit(salt))), "ids")
+        for other in done:
+            out = out.unionByName(other)
+        return out
+
     def add_sites(self, sites: DataFrame) -> None:
         """Sites that aren't known by their base address yet."""
-        known = self.table("sites")
-        self.write("sites", known.unionByName(I.find_or_create(known.select("base_url"), sites, "base_url"), allowMissingColumns=True))
+        self.store.append("sites", I.find_or_create(self.table("sites").select("base_url"), sites, "base_url"), TABLES["sites"])
 
     # ------------------------------------------------------------ crawl
 
@@ -68,7 +92,8 @@ class Engine:
         started = self.spark.range(1).select(F.current_timestamp()).first()[0]
         frontier = self.spark.createDataFrame([(site.base_url, 0)], "url string, depth int")
         known = self.table("pages")
-        self.store.append("pages", I.find_or_create(known.select("url"), frontier.select("url", key("url").alias("id"), F.lit(site_id).alias("site_id"), F.lit("pending").alias("status"))), TABLES["pages"])
+        first = I.find_or_create(known.select("url"), frontier.select("url", F.lit(site_id).alias("site_id"), F.lit("pending").alias("status")))
+        self.store.append("pages", self.with_ids("pages", first, "url"), TABLES["pages"])
         counted, tally = 1, {"crawled": 0, "skipped": 0, "failed": 0}
         for level in range(depth + 1):
             links = self._round(frontier, site, session, level, robots, tally)
@@ -78,8 +103,8 @@ class Engine:
             new = links.groupBy("url").agg(F.min(F.struct("parent", "place")).alias("p")).select("url", "p.parent", "p.place").join(pages.select("url"), "url", "left_anti")
             limit = self.spark.createDataFrame([(session, counted, most)], "session bigint, prior bigint, max_pages int")
             judged = C.budget(new.withColumn("session", F.lit(session)), limit).where("outcome <> 'dropped'")
-            fresh = judged.select(key("url").alias("id"), F.lit(site_id).alias("site_id"), "url", F.when(F.col("outcome") == "enqueued", "pending").otherwise("skipped").alias("status"))
-            self.store.append("pages", fresh, TABLES["pages"])
+            fresh = judged.select(F.lit(site_id).alias("site_id"), "url", F.when(F.col("outcome") == "enqueued", "pending").otherwise("skipped").alias("status"))
+            self.store.append("pages", self.with_ids("pages", fresh, "url"), TABLES["pages"])
             frontier = self.table("pages").where((F.col("site_id") == site_id) & (F.col("status") == "pending")).join(links.select("url").distinct(), "url", "left_semi").select("url", F.lit(level + 1).alias("depth"))
             enqueued = frontier.count()
             counted += enqueued
@@ -99,13 +124,14 @@ class Engine:
             own = self.table("robots").where((F.col("origin") == F.regexp_extract(F.lit(site.base_url), r"^([a-z]+://[^/?#]+)", 1)) & (F.col("robots_txt") != "")).first()
             if own is not None and site.robots_txt is None:
                 text = F.when((F.col("id") == site.id) & F.col("robots_txt").isNull(), F.lit(own.robots_txt)).otherwise(F.col("robots_txt"))
-                self.write("sites", self.table("sites").withColumn("robots_txt", text))
+                self.change("sites", self.table("sites").where(F.col("id") == site.id).withColumn("robots_txt", text))
         return self.table("robots")
 
     def _attempt(self, jobs: DataFrame, site, session: int, level: int, attempt: int) -> DataFrame:
         """One try of jobs (url, robots_delay): url, http_status, html, final_url, domain, now_ms, in_cooldown.
 
-        A domain's requests take slots spaced by its delay, after the ones before them; a retry also waits out its backoff.
+        A domain's requests take slots spaced by its delay, after the ones before them; a retry also waits out its backoff. Where a
+        domain's origins ask for different delays, the longest holds for all.
         A request that meets a cooldown isn't made.
         """
         before = self.table("fetches").where(F.col("session_id") == session)
@@ -113,7 +139,7 @@ class Engine:
         wait = F.lit(0) if attempt == 1 else X.backoff_ceiling(F.lit(attempt - 1)) * (1 + F.rand()) / 2
         delay = X.effective_delay(F.lit(site.crawl_delay_ms or 0), F.col("robots_delay"))
         last = before.groupBy("domain").agg(F.max("now_ms").alias("last"))
-        arrivals = jobs.withColumn("domain", X.host(F.col("url"))).join(last, "domain", "left").withColumn("delay", (delay * 1000).cast("bigint"))
+        arrivals = jobs.withColumn("domain", X.host(F.col("url"))).join(last, "domain", "left").withColumn("delay", F.max((delay * 1000).cast("bigint")).over(Window.partitionBy("domain")))
         arrivals = arrivals.withColumn("now_us", (F.greatest(start + wait, F.coalesce(F.col("last") + F.col("delay") / 1000, F.lit(0))) * 1000).cast("bigint")).withColumn("seq", F.col("url"))
         plan = f"{self.store.root}/rounds/{session}-{level}-{attempt}"
         slots = C.rate_slots(arrivals).select("url", "domain", (F.col("slot") / 1000).cast("bigint").alias("now_ms"), F.lit(site.render_mode or "static").alias("render_mode"))
@@ -146,16 +172,17 @@ class Engine:
         got = final[0]
         for more in final[1:]:
             got = got.unionByName(more)
+        got = got.join(self.table("pages").select("url", F.col("id").alias("page_id")), "url")
         got = got.withColumn("content_hash", F.when(F.col("http_status") < 400, X.sha(F.coalesce("html", F.lit("")))))
         versions = self.table("page_versions")
         latest = G.latest_versions(versions, ["content_hash"]).withColumnRenamed("page_id", "page")
-        good = got.where("http_status < 400").select(key("url").alias("page"), F.lit(0).alias("fetched_at"), F.lit(0).alias("seq"), "content_hash")
+        good = got.where("http_status < 400").select(F.col("page_id").alias("page"), F.lit(0).alias("fetched_at"), F.lit(0).alias("seq"), "content_hash")
         new = C.versions(good, latest).select(F.col("page").alias("page_id"), "version_no", "content_hash")
-        new = new.join(got.select(key("url").alias("page_id"), F.col("html").alias("raw_html")), "page_id").withColumn("id", key("page_id", "version_no")).withColumn("fetched_at", F.current_timestamp())
-        before = versions.select("id")
+        new = new.join(got.select("page_id", F.col("html").alias("raw_html")), "page_id").withColumn("fetched_at", F.current_timestamp())
+        new = self.with_ids("page_versions", new, "page_id", "version_no")
         self.store.append("page_versions", new, TABLES["page_versions"])
-        changed = self.table("page_versions").join(before, "id", "left_anti").select("page_id")
-        log = got.join(changed.withColumn("changed", F.lit(True)), key("url") == F.col("page_id"), "left").select("url", "http_status", "html", "final_url", "content_hash", F.coalesce("changed", F.lit(False)).alias("changed"))
+        changed = new.select("page_id").withColumn("changed", F.lit(True))
+        log = got.join(changed, "page_id", "left").select("page_id", "url", "http_status", "html", "final_url", "content_hash", F.coalesce("changed", F.lit(False)).alias("changed"))
         log = log.withColumn("outcome", C.outcome(yes, yes, yes, F.lit(False), F.col("http_status"), F.col("changed")))
         refused = urls.where("not robots_ok").select("url", F.lit("skipped").alias("outcome"))
         log = log.unionByName(refused, allowMissingColumns=True).withColumn("session", F.lit(session))
@@ -165,14 +192,14 @@ class Engine:
             tally["failed"] += r.pages_failed
         status = F.when(F.col("outcome").isin("failed", "skipped"), F.col("outcome")).otherwise("crawled")
         seen = log.select(F.col("url"), status.alias("new_status"), F.col("http_status").alias("new_http"), F.col("content_hash").alias("new_hash"))
-        pages = self.table("pages").join(seen, "url", "left")
-        self.write("pages", pages.withColumn("status", F.coalesce("new_status", "status")).withColumn("http_status", F.coalesce("new_http", "http_status")).withColumn("content_hash", F.coalesce("new_hash", "content_hash")).withColumn("last_crawled_at", F.when(F.col("new_status").isNotNull(), F.current_timestamp()).otherwise(F.col("last_crawled_at"))))
+        pages = self.table("pages").join(seen, "url")
+        self.change("pages", pages.withColumn("status", F.coalesce("new_status", "status")).withColumn("http_status", F.coalesce("new_http", "http_status")).withColumn("content_hash", F.coalesce("new_hash", "content_hash")).withColumn("last_crawled_at", F.when(F.col("new_status").isNotNull(), F.current_timestamp()).otherwise(F.col("last_crawled_at"))))
         if dead is not None:  # every attempt was made
             error = F.when(F.col("in_cooldown"), F.format_string("%s is in cooldown", "domain")).otherwise(F.format_string("status %d", "http_status"))
             tried = dead.select(F.lit("scrape").alias("queue"), F.col("url").alias("job_id"), F.to_json(F.struct("url")).alias("payload"), error.alias("error_message"), F.lit(C.ATTEMPTS).alias("attempts_made"), F.current_timestamp().alias("failed_at"))
             letters = C.dead_letters(tried).withColumn("id", key("job_id", F.lit(session)))
             self.store.append("failed_jobs", letters, TABLES["failed_jobs"])
-        return E.links(log.where("changed").select(key("url").alias("page_id"), F.col("final_url").alias("url"), "html")).withColumnRenamed("page_id", "parent")
+        return E.links(log.where("changed").select("page_id", F.col("final_url").alias("url"), "html")).withColumnRenamed("page_id", "parent")
 
     # ------------------------------------------------------------ process and index
 
@@ -181,14 +208,14 @@ class Engine:
         todo = self.table("page_versions").join(self.table("documents").select("page_version_id"), F.col("id") == F.col("page_version_id"), "left_anti")
         url = self.table("pages").select(F.col("id").alias("page_id"), "url")
         good, bad = E.documents(E.extract(todo.join(url, "page_id", "left").select(F.col("id").alias("page_version_id"), "url", "raw_html")))
-        self.store.append("documents", good.select(key("page_version_id").alias("id"), "*"), TABLES["documents"])
+        self.store.append("documents", self.with_ids("documents", good, "page_version_id"), TABLES["documents"])
         self.store.append("failed_jobs", bad.select(key("page_version_id").alias("id"), F.lit("process").alias("queue"), F.lit("invalid document").alias("error_message"), F.current_timestamp().alias("failed_at")), TABLES["failed_jobs"])
 
     def index(self) -> None:
         """Documents without chunks are chunked, embedded and posted."""
         todo = I.backfill(self.table("documents"), self.table("chunks"))
-        made = I.chunk(todo.select(F.col("id").alias("document_id"), "title", "cleaned_text"), self.tokenizer).withColumn("id", key("document_id", "chunk_index"))
-        made = embed_column(made, "text", self.embedder)
+        made = I.chunk(todo.select(F.col("id").alias("document_id"), "title", "cleaned_text"), self.tokenizer)
+        made = embed_column(self.with_ids("chunks", made, "document_id", "chunk_index"), "text", self.embedder)
         self.store.append("chunks", made, TABLES["chunks"])  # of documents that had none
         chunks = self.table("chunks")
         index = self.table("keyword_index")
@@ -197,9 +224,9 @@ class Engine:
         self.store.append("keyword_index", K.build(I.terms(fresh, self.analyzer), generation), TABLES["keyword_index"])
 
     def compact(self) -> None:
-        """Rewrites every table that has grown by deltas as one snapshot."""
+        """Every table that has grown by parts becomes one snapshot; of those whose rows change only the buckets that parts touch are made anew."""
         for name, schema in TABLES.items():
-            self.store.compact(name, schema)
+            self.store.compact(name, schema, KEYS.get(name))
 
     # ------------------------------------------------------------ queries
 

@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 AGENT, TIMEOUT_S = "corpusweave", 20
-#: Bytes of a body that are read; what is longer is cut, so that one server can't fill a worker.
+#: Bytes of a body that are read, so that one server can't fill a worker. A longer one isn't stored as if it were whole: its page fails with TOO_LARGE.
 BODY_BYTES = 32 << 20
+TOO_LARGE = 413
 RESULT = "url string, status int, html string, final_url string"
 
 
@@ -41,6 +42,11 @@ class HttpFetcher:
         self.agent, self.timeout, self.most = agent, timeout, most
 
     def get(self, url: str) -> tuple[int, str | None, str]:
+        """(status, text of at most ``most`` bytes, final address)."""
+        return self._get(url)[:3]
+
+    def _get(self, url: str) -> tuple[int, str | None, str, bool]:
+        """As get, and whether the body is longer than what was read."""
         try:
             with urlopen(Request(url, headers={"User-Agent": self.agent, "Accept": "text/html,application/xhtml+xml"}), timeout=self.timeout) as r:
                 body, charset = r.read(self.most), r.headers.get_content_charset() or "utf-8"
@@ -48,11 +54,11 @@ class HttpFetcher:
                     text = body.decode(charset, "replace")
                 except LookupError:  # a charset that nobody knows
                     text = body.decode("utf-8", "replace")
-                return r.status, text, r.geturl()
+                return r.status, text, r.geturl(), len(body) == self.most and bool(r.read(1))
         except HTTPError as e:
-            return e.code, None, url
+            return e.code, None, url, False
         except (OSError, ValueError, HTTPException):
-            return 0, None, url
+            return 0, None, url, False
 
     def fetch(self, urls: DataFrame) -> DataFrame:
         def run(batches):
@@ -66,7 +72,8 @@ class HttpFetcher:
                     if start + wait > now:
                         time.sleep((start + wait - now) / 1000)
                     (cold,), state = cooldown_fold([int(time.time() * 1000)], [False], states.get(host, (0, 0, 0)))
-                    got = (-1, None, url) if cold else self.get(url)
+                    *got, cut = (-1, None, url, False) if cold else self._get(url)
+                    got = (TOO_LARGE, None, got[2]) if cut else got
                     states[host] = cooldown_fold([int(time.time() * 1000)], [got[0] in (403, 429)], state)[1]
                     rows.append((url, *got))
                 yield pd.DataFrame(rows, columns=["url", "status", "html", "final_url"])

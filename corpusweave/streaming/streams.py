@@ -11,17 +11,22 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators import extract as E
 from ..operators.crawl import cooldown_fold
+from ..sources.staging import staged, unstage
 
 PAGES = "page_version_id bigint, url string, raw_html string"
 BLOCK_EVENTS = "domain string, now_ms bigint, seq bigint, blocked boolean"
 
 
 def process_pages(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """New page versions become documents, each micro-batch once: its output directory is named by the batch."""
+    """New page versions become documents, each micro-batch once: its output directory is named by the batch. What breaks the shape lies
+    beside the documents, in ``<target>-rejects``."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        done, _ = E.documents(E.extract(rows))
+        extracted = staged(E.extract(rows), "extracted")  # parsed once for both
+        done, rejected = E.documents(extracted)
         done.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        rejected.write.mode("overwrite").parquet(f"{target}-rejects/batch={number}")
+        unstage(extracted)
 
     return spark.readStream.schema(PAGES).parquet(source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

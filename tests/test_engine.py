@@ -187,3 +187,67 @@ def test_plain_http_survives_bad_servers():
     assert f.get(base + "/broken")[0] == 0 and f.get("http://127.0.0.1:1/")[0] == 0 and f.get("no url")[0] == 0
     assert len(f.get(base + "/long")[1].encode()) <= 702
     server.shutdown()
+
+
+def test_ids_are_unique_where_hashes_collide(spark, tmp_path, monkeypatch):
+    from corpusweave import engine as module
+
+    monkeypatch.setattr(module, "key", lambda *columns: F.pmod(F.xxhash64(*columns), F.lit(11)) + 1)
+    rows = [(BASE, page("Home", "x", [f"/{i}" for i in range(6)]), 200), *[(f"{BASE}{i}", page(f"T{i}", f"text of page number {i}."), 200) for i in range(6)]]
+    e = small_site(spark, str(tmp_path), rows, crawl_delay_ms=10)
+    e.start_crawl(1, max_depth=1)
+    e.process()
+    e.index()
+    for name in ("pages", "page_versions", "documents", "chunks"):
+        ids = [r.id for r in e.table(name).select("id").collect()]
+        assert len(ids) == len(set(ids)) == 7, name
+    by = {r.id: r.url for r in e.table("pages").collect()}
+    assert all(f"text of page number {by[r.page_id][-1]}." in r.raw_html for r in e.table("page_versions").collect() if by[r.page_id] != BASE)
+    assert {r.url for r in e.search("number", "keyword", 10).collect()} == {f"{BASE}{i}" for i in range(6)}
+
+
+def test_pages_are_changed_not_rewritten(spark, tmp_path):
+    import os
+
+    e = small_site(spark, str(tmp_path), [(BASE, page("Home", "x", ["/a"]), 200), (BASE + "a", page("A", "y"), 200)], crawl_delay_ms=10)
+    e.start_crawl(1, max_depth=1)
+    parts = sorted(x for x in os.listdir(tmp_path / "pages") if x[0] in "sdu")
+    assert {x[0] for x in parts} == {"d", "u"}
+    assert all(spark.read.parquet(str(tmp_path / "pages" / x)).count() == 1 for x in parts)
+    e.compact()
+    assert {r.url: r.status for r in e.table("pages").collect()} == {BASE: "crawled", BASE + "a": "crawled"}
+
+
+def test_a_domain_has_one_delay(spark, tmp_path):
+    """Robots of http and of https ask for different delays; the domain's slots keep the longer one."""
+    other = BASE.replace("https", "http")
+    rows = [(BASE, page("Home", "x"), 200), (BASE + "robots.txt", "User-agent: *\nCrawl-delay: 1", 200), (other + "robots.txt", "User-agent: *\nCrawl-delay: 3", 200)]
+    e = small_site(spark, str(tmp_path), rows, crawl_delay_ms=10)
+    site = e.table("sites").first()
+    jobs = spark.createDataFrame([(BASE + "a", 1.0), (BASE + "b", 1.0), (other + "c", 3.0), (other + "d", 3.0)], "url string, robots_delay double")
+    times = sorted(r.now_ms for r in e._attempt(jobs, site, 1, 0, 1).collect())
+    assert all(b - a >= 3000 for a, b in zip(times, times[1:]))
+
+
+def test_a_body_that_is_too_long_fails(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from corpusweave.sources.fetch import TOO_LARGE, HttpFetcher
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b"x" * int(self.path[1:]))
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}/"
+    urls = spark.createDataFrame([(base + n,) for n in ("700", "701")], "url string")
+    got = {r.url.removeprefix(base): (r.status, r.html) for r in HttpFetcher(timeout=5, most=700).fetch(urls).collect()}
+    server.shutdown()
+    assert got == {"700": (200, "x" * 700), "701": (TOO_LARGE, None)}

@@ -24,3 +24,15 @@ def test_cooldown_batch_and_stream(spark, tmp_path):
     q = cooldown_stream(spark.readStream.schema(SCHEMA).parquet(src)).writeStream.format("memory").queryName("cold").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.seq, r.in_cooldown) for r in spark.table("cold").collect()) == want
+
+
+def test_rejects_of_the_stream_are_written(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from corpusweave.operators import extract as E
+
+    monkeypatch.setattr(E, "invalid_document", lambda: F.col("title") == "Bad")
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    spark.createDataFrame([(i, f"https://h/{i}", f"<title>{t}</title><body><p>text</p></body>") for i, t in ((1, "Good"), (2, "Bad"))], PAGES).write.parquet(src)
+    process_pages(spark, src, out, str(tmp_path / "c")).awaitTermination()
+    assert [r.title for r in spark.read.parquet(out).collect()] == ["Good"] and [r.title for r in spark.read.parquet(out + "-rejects").collect()] == ["Bad"]
