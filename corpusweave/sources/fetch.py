@@ -60,6 +60,11 @@ class HttpFetcher:
         except (OSError, ValueError, HTTPException):
             return 0, None, url, False
 
+    def page(self, url: str) -> tuple[int, str | None, str]:
+        """As get; a body that is too long is no page."""
+        *got, cut = self._get(url)
+        return (TOO_LARGE, None, got[2]) if cut else tuple(got)
+
     def fetch(self, urls: DataFrame) -> DataFrame:
         def run(batches):
             from ..operators.crawl import cooldown_fold
@@ -72,8 +77,7 @@ class HttpFetcher:
                     if start + wait > now:
                         time.sleep((start + wait - now) / 1000)
                     (cold,), state = cooldown_fold([int(time.time() * 1000)], [False], states.get(host, (0, 0, 0)))
-                    *got, cut = (-1, None, url, False) if cold else self._get(url)
-                    got = (TOO_LARGE, None, got[2]) if cut else got
+                    got = (-1, None, url) if cold else self.page(url)
                     states[host] = cooldown_fold([int(time.time() * 1000)], [got[0] in (403, 429)], state)[1]
                     rows.append((url, *got))
                 yield pd.DataFrame(rows, columns=["url", "status", "html", "final_url"])
