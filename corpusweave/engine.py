@@ -19,6 +19,7 @@ from .operators import crawl as C
 from .operators import extract as E
 from .operators import index as I
 from .operators import keyword_index as K
+from .operators import known as N
 from .operators import retrieve as R
 from .sources.fetch import by_mode, robots_rules, with_robots
 from .sources.staging import staged
@@ -37,7 +38,7 @@ def key(*columns) -> F.Column:
 
 class Engine:
     def __init__(self, spark: SparkSession, root: str, fetcher, js_fetcher=None, embedder=None, generator=None, tokenizer=None, analyzer: str = "english"):
-        self.spark, self.store = spark, Store(spark, root)
+        self.spark, self.store, self.known = spark, Store(spark, root), N.KnownFilter(spark, f"{root.rstrip('/')}/known")
         self.fetcher, self.js_fetcher = fetcher, js_fetcher or fetcher
         self.embedder, self.generator, self.tokenizer, self.analyzer = embedder or HashingEmbedder(), generator, tokenizer, analyzer
 
@@ -67,6 +68,20 @@ class Engine:
             out = out.unionByName(other)
         return out
 
+    def add_pages(self, rows: DataFrame) -> None:
+        """New pages, of other addresses than there are; the filter has them first."""
+        rows = self.with_ids("pages", rows, "url")
+        self.known.extend(rows)
+        self.store.append("pages", rows, TABLES["pages"])
+        if len(self.known._segments()) > N.MOST_SEGMENTS:
+            self.known.rebuild(self.table("pages"))
+
+    def new_urls(self, urls: DataFrame) -> DataFrame:
+        """Distinct addresses without a page."""
+        if not self.known._segments():
+            self.known.extend(self.table("pages"))
+        return self.known.fresh(urls, self.table("pages"))
+
     def add_sites(self, sites: DataFrame) -> None:
         """Sites that aren't known by their base address yet."""
         self.store.append("sites", I.find_or_create(self.table("sites").select("base_url"), sites, "base_url"), TABLES["sites"])
@@ -91,20 +106,18 @@ class Engine:
         session = (sessions.agg(F.max("id")).first()[0] or 0) + 1
         started = self.spark.range(1).select(F.current_timestamp()).first()[0]
         frontier = self.spark.createDataFrame([(site.base_url, 0)], "url string, depth int")
-        known = self.table("pages")
-        first = I.find_or_create(known.select("url"), frontier.select("url", F.lit(site_id).alias("site_id"), F.lit("pending").alias("status")))
-        self.store.append("pages", self.with_ids("pages", first, "url"), TABLES["pages"])
+        self.add_pages(self.new_urls(frontier).select("url", F.lit(site_id).alias("site_id"), F.lit("pending").alias("status")))
         counted, tally = 1, {"crawled": 0, "skipped": 0, "failed": 0}
         for level in range(depth + 1):
             links = self._round(frontier, site, session, level, robots, tally)
             if links is None or level == depth:
                 break
-            pages = self.table("pages")
-            new = links.groupBy("url").agg(F.min(F.struct("parent", "place")).alias("p")).select("url", "p.parent", "p.place").join(pages.select("url"), "url", "left_anti")
+            first = links.groupBy("url").agg(F.min(F.struct("parent", "place")).alias("p")).select("url", "p.parent", "p.place")
+            new = first.join(self.new_urls(first), "url")
             limit = self.spark.createDataFrame([(session, counted, most)], "session bigint, prior bigint, max_pages int")
             judged = C.budget(new.withColumn("session", F.lit(session)), limit).where("outcome <> 'dropped'")
             fresh = judged.select(F.lit(site_id).alias("site_id"), "url", F.when(F.col("outcome") == "enqueued", "pending").otherwise("skipped").alias("status"))
-            self.store.append("pages", self.with_ids("pages", fresh, "url"), TABLES["pages"])
+            self.add_pages(fresh)
             frontier = self.table("pages").where((F.col("site_id") == site_id) & (F.col("status") == "pending")).join(links.select("url").distinct(), "url", "left_semi").select("url", F.lit(level + 1).alias("depth"))
             enqueued = frontier.count()
             counted += enqueued
