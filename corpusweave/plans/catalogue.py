@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text as X
+from ..functions.embed import HashingEmbedder, embed_column
 from ..operators import answer as A
 from ..operators import catalog as G
 from ..operators import crawl as C
 from ..operators import extract as E
 from ..operators import index as I
 from ..operators import keyword_index as K
+from ..operators import latent as L
 from ..operators import retrieve as R
 from ..operators import vector_index as V
 from ..operators.substring_index import SubstringIndex
@@ -212,6 +214,18 @@ def judged(e, asked):
     return rounded(R.evaluate(hits, goldens, 5), "hit_rate", "mrr")
 
 
+@query()
+def latent_eval(spark, d):
+    """hit_rate and mrr by language of every 50th document: of latent vectors of the corpus, and of as long hash vectors."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text", "lang")
+    out = None
+    for name, embedder in (("latent", L.fit(docs)), ("hash", HashingEmbedder(L.DIMENSIONS))):
+        vectors = embed_column(docs, "text", embedder).select(F.col("chunk_id").alias("vec_id"), "embedding", F.col("lang").alias("label"))
+        found = judged(vectors, f"vec_id % {EVERY} = 0").withColumn("embedder", F.lit(name))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def hits_of(spark, d):
     """The results of the hybrid search of all queries with url, title and the whole text."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("https://"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("url"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), "text")
@@ -602,8 +616,6 @@ def chunks(spark, d):
 @query()
 def indexed_pages(spark, d):
     """Pages to searchable chunks: extract, chunk, embed."""
-    from ..functions.embed import HashingEmbedder, embed_column
-
     made = embed_column(chunks(spark, d), "text", HashingEmbedder(64))
     return made.select("document_id", "chunk_index", "token_count", F.size("embedding").alias("dimensions"))
 
