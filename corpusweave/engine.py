@@ -59,9 +59,9 @@ class Engine:
             again = out.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id").union(out.select("id").join(taken, "id", "left_semi"))
             for other in done:
                 again = again.union(out.select("id").join(other.select("id"), "id", "left_semi"))
-            bad = staged(again.distinct(), "ids")
-            if bad.isEmpty():
+            if again.isEmpty():
                 break
+            bad = staged(again.distinct(), "ids")
             done.append(out.join(bad, "id", "left_anti"))
             out = staged(out.join(bad, "id", "left_semi").withColumn("id", key(*natural, F.lit(salt))), "ids")
         for other in done:

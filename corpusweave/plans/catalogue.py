@@ -23,6 +23,7 @@ from ..operators import keyword_index as K
 from ..operators import latent as L
 from ..operators import retrieve as R
 from ..operators import vector_index as V
+from ..operators.paging import PagedTable
 from ..operators.substring_index import SubstringIndex
 from ..sources.staging import kept, kept_folder
 
@@ -333,6 +334,19 @@ def list_documents(spark, d):
 SQL["list_documents"] = SQL["list_documents"].replace("cleaned_text ilike '%the%'", "cleaned_text ilike '%oc%'")
 
 
+@query("""with n as (select count(*) as n from documents), d as (select doc_id, lang, length(text) as length, row_number() over (order by doc_id desc) - 1 as place from documents)
+select doc_id, lang, length, place, n as total from d, n where place >= n * 3 // 4 and place < n * 3 // 4 + 100""")
+def deep_page(spark, d):
+    """A page of all documents, three quarters down the listing, with the total."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.length("text").cast("bigint").alias("length"))
+    path = kept_folder(spark, "paged", [f"{d}/documents.parquet"], lambda at: PagedTable.build(docs, at, "doc_id"))
+    pages = PagedTable(spark, path, "doc_id")
+    total = pages.total()
+    rows = pages.page(100, total * 3 // 4)
+    place = F.row_number().over(Window.orderBy(F.desc("doc_id"))) - 1 + total * 3 // 4  # a hundred rows
+    return rows.withColumns({"place": place.cast("bigint"), "total": F.lit(total).cast("bigint")})
+
+
 @query(f"select count(distinct id) as total from {DOCS_SQL} where title ilike '%1%' or cleaned_text ilike '%1%'")
 def list_documents_total(spark, d):
     return G.documents_where(*documents_of(spark, d), q="1").agg(F.countDistinct("id").alias("total"))
