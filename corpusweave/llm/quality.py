@@ -169,20 +169,21 @@ class Network:
         return loss, [g_embed, g_filters, g_bias, g_top.astype(np.float32), g_offset]
 
 
-def fit(texts: list[bytes], labels: list[int], epochs: int = 12, batch: int = 32, rate: float = 0.01, decay: float = 1e-4, seed: int = 11) -> Network:
-    """Adam over seeded orders of the texts."""
+def fit(texts: list[bytes], labels: list[int], epochs: int = 12, batch: int = 32, rate: float = 0.01, decay: float = 1e-4, seed: int = 11, share: float | None = None) -> Network:
+    """Adam over seeded orders of the texts. share: of label 1 among all labels, of which these are drawn by class."""
     net = Network(seed)
     y = np.array(labels, np.float32)
-    share = float(y.mean())
-    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+    own = float(y.mean())
+    share = own if share is None else share
+    weight = np.where(y == 1, 0.5 / own, 0.5 / (1 - own)).astype(np.float32)
     r = np.random.default_rng(seed)
     first, second = [np.zeros_like(p) for p in net.params()], [np.zeros_like(p) for p in net.params()]
     t, steps = 0, epochs * -(-len(texts) // batch)
     for _ in range(epochs):
         order = r.permutation(len(texts))
         for i in range(0, len(order), batch):
-            own = order[i : i + batch]
-            _, grads = net.gradients([texts[j] for j in own], y[own], weight[own] / len(own))
+            some = order[i : i + batch]
+            _, grads = net.gradients([texts[j] for j in some], y[some], weight[some] / len(some))
             t += 1
             now = rate * (1 - t / (steps + 1))
             for p, g, m, v in zip(net.params(), grads, first, second):
@@ -225,7 +226,7 @@ def sample(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, s
 def train(docs: DataFrame, labels: DataFrame, **bounds: int) -> Network | float:
     """The network, or the share of label 1 if there is nothing to tell apart."""
     texts, ys, share = sample(docs, labels, **bounds)
-    return fit(texts, ys) if 0 < sum(ys) < len(ys) else share
+    return fit(texts, ys, share=share) if 0 < sum(ys) < len(ys) else share
 
 
 def score(docs: DataFrame, model: Network | float, text: str = "text") -> DataFrame:
