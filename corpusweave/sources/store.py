@@ -58,11 +58,10 @@ class Store:
         out.close()
         target = hadoop_path(self.spark, path)[1]
         try:
-            if fs.getScheme() != "file":
+            if fs.getUri().getScheme() != "file":
                 return fs.rename(p, target)
-            paths = self.spark._jvm.java.nio.file.Paths
-            one, two = (paths.get(self.spark._jvm.java.net.URI("file://" + x.toUri().getPath().replace(" ", "%20"))) for x in (target, p))
-            self.spark._jvm.java.nio.file.Files.createLink(one, two)
+            link, of = (self.spark._jvm.java.io.File(x.toUri().getPath()).toPath() for x in (target, p))
+            self.spark._jvm.java.nio.file.Files.createLink(link, of)
             return True
         except Py4JJavaError as e:
             if "FileAlreadyExists" not in str(e.java_exception):

@@ -101,8 +101,8 @@ def test_a_compaction_keeps_what_was_finished_meanwhile(spark, tmp_path):
 
 def test_a_file_is_created_once(spark, tmp_path):
     store = Store(spark, str(tmp_path))
-    made = [store._create(f"{tmp_path}/x y", str(i)) for i in range(3)]
-    assert made == [True, False, False] and store._text(f"{tmp_path}/x y") == "0" and os.listdir(tmp_path) == ["x y"]
+    made = [store._create(f"{tmp_path}/x y#1%2", str(i)) for i in range(3)]
+    assert made == [True, False, False] and store._text(f"{tmp_path}/x y#1%2") == "0" and os.listdir(tmp_path) == ["x y#1%2"]
 
 
 @pytest.mark.parametrize("how", ["append", "upsert"])
