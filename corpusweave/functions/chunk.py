@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cache
 
 from .text import SENTENCE
 
@@ -25,17 +26,26 @@ class PieceTokenizer:
         return "".join(pieces)
 
 
+@cache
+def _ranks(path: str, pattern: str):
+    import base64
+
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 class RankTokenizer:
-    """A byte-level BPE vocabulary of ranks, read from a file whose path is given."""
+    """A byte-level BPE vocabulary of ranks, read from a file whose path is given, once in each process."""
 
     def __init__(self, path: str, pattern: str):
-        import base64
+        self.path, self.pattern = path, pattern
 
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.model = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    @property
+    def model(self):
+        return _ranks(self.path, self.pattern)
 
     def encode(self, text: str) -> list[int]:
         return self.model.encode_ordinary(text)
@@ -44,6 +54,16 @@ class RankTokenizer:
         return self.model.decode(ids)
 
 
+def default_tokenizer(vocabulary: str = "byte_bpe_50k.tiktoken") -> RankTokenizer | PieceTokenizer:
+    """A public BPE vocabulary where its package and library are installed (on executors too), else words and marks."""
+    try:
+        import public_tokenizers as public
+        import tiktoken  # noqa: F401
+    except ImportError:
+        return PieceTokenizer()
+    return RankTokenizer(public.path(vocabulary), public.PATTERN)
+
+
 @dataclass(frozen=True)
 class Chunk:
     text: str

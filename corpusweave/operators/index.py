@@ -6,12 +6,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chunk import chunk_document
+from ..functions.chunk import chunk_document, default_tokenizer
 from ..functions.text import simple_tokens
 
 
 def chunk(documents: DataFrame, tokenizer=None, compat: bool = True) -> DataFrame:
-    """document_id, chunk_index, heading_path, text, token_count of documents (document_id, title, cleaned_text)."""
+    """document_id, chunk_index, heading_path, text, token_count of documents (document_id, title, cleaned_text). Tokens are those of a public
+    BPE vocabulary, if none is given."""
+    tokenizer = tokenizer or default_tokenizer()
 
     def run(batches):
         for pdf in batches:

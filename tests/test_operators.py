@@ -115,3 +115,20 @@ def test_only_scans_are_spread(spark, tmp_path):
     for df in (scan.repartition(1), scan.groupBy("Exchange").count(), scan.join(scan.withColumnRenamed("Exchange", "b"), F.col("Exchange") == F.col("b")), scan.mapInArrow(lambda it: it, "Exchange bigint"), scan.orderBy("Exchange")):
         assert not is_scan(df)
     assert is_scan(spark.createDataFrame([(1,)], "a int")) and is_scan(spark.createDataFrame([], "a int"))
+
+
+def test_chunks_are_counted_in_a_public_vocabulary(spark):
+    import pickle
+
+    import pytest
+
+    pytest.importorskip("public_tokenizers")
+    from corpusweave.functions import chunk as H
+
+    own = H.default_tokenizer()
+    assert isinstance(own, H.RankTokenizer) and len(pickle.dumps(own)) < 1000
+    text = " ".join(f"Sentence {i} tells of gardens and grüne Blätter." for i in range(300))
+    made = I.chunk(spark.createDataFrame([(1, "T", text)], "document_id bigint, title string, cleaned_text string")).orderBy("chunk_index").collect()
+    assert len(made) > 4 and all(r.token_count == len(own.encode(r.text)) <= H.MOST for r in made)
+    words = I.chunk(spark.createDataFrame([(1, "T", text)], "document_id bigint, title string, cleaned_text string"), H.PieceTokenizer()).collect()
+    assert len(words) != len(made)
