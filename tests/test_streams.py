@@ -36,3 +36,27 @@ def test_rejects_of_the_stream_are_written(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(i, f"https://h/{i}", f"<title>{t}</title><body><p>text</p></body>") for i, t in ((1, "Good"), (2, "Bad"))], PAGES).write.parquet(src)
     process_pages(spark, src, out, str(tmp_path / "c")).awaitTermination()
     assert [r.title for r in spark.read.parquet(out).collect()] == ["Good"] and [r.title for r in spark.read.parquet(out + "-rejects").collect()] == ["Bad"]
+
+
+def test_stream_of_documents_is_indexed_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from corpusweave.functions.embed import HashingEmbedder
+    from corpusweave.operators import keyword_index as K
+    from corpusweave.operators import retrieve as R
+    from corpusweave.streaming.streams import TEXTS, index_documents
+
+    src, out, ckpt = (str(tmp_path / x) for x in ("src", "out", "ckpt"))
+    texts = [(i, f"T{i}", f"Document number{i} tells of common things. " * 40) for i in range(6)]
+    for part in (texts[:3], texts[3:]):
+        spark.createDataFrame(part, TEXTS).write.mode("append").parquet(src)
+        for _ in range(2):  # started again without anything new
+            index_documents(spark, src, out, ckpt, embedder=HashingEmbedder(16), analyzer="simple").awaitTermination()
+    chunks = spark.read.parquet(out + "/chunks")
+    assert chunks.select("document_id").distinct().count() == 6 and chunks.select("id").distinct().count() == chunks.count()
+    assert {len(r.embedding) for r in chunks.collect()} == {16}
+    index = spark.read.schema(K.INDEX).parquet(out + "/keyword_index")
+    assert index.where("bucket = -1").select(F.explode("ids")).count() == chunks.count()
+    queries = spark.createDataFrame([(i, f"number{i}") for i in range(6)], "query_id bigint, q string")
+    best = R.keyword_search(index, queries, 1).join(chunks, F.col("chunk_id") == F.col("id")).collect()
+    assert {(r.query_id, r.document_id) for r in best} == {(i, i) for i in range(6)}
