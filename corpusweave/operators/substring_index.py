@@ -16,8 +16,9 @@ import re
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,6 +53,21 @@ def folded(text: str) -> str:
     return text.lower() if text.isascii() else fold(text).tobytes().decode("utf-32-le", "surrogatepass")
 
 
+@cache
+def _uppers() -> dict[int, str]:
+    return {i: x for i in range(0x110000) if not 0xD800 <= i < 0xE000 and len(x := chr(i).upper()) == 1 and x != chr(i)}
+
+
+def simple_upper(col: Column) -> Column:
+    """Simple upper case, one character for each: where the full one is longer (ß) the character stays, which folds to the same."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: x.translate(_uppers()), na_action="ignore")
+
+    return run(col)
+
+
 def grams(codes: np.ndarray) -> np.ndarray:
     """Distinct trigrams, rising."""
     if len(codes) < 3:

@@ -6,6 +6,7 @@ import re
 import pytest
 
 from corpusweave.operators import substring_index as S
+from corpusweave.plans import catalogue
 
 ODD = [(9000, None), (9001, ""), (9002, "ab"), (9003, "a%b_c"), (9004, "Straße ÄÖÜ İstanbul ΑΣ"), (9005, "line\nbreak x"), (9006, "𝒳𝒴𝒵 日本語"), (9007, "aaa" * 500)]
 
@@ -86,3 +87,10 @@ def test_matcher():
     for _ in range(4000):
         p, t = "".join(r.choice("ab%_") for _ in range(r.randrange(7))), "".join(r.choice("ab") for _ in range(r.randrange(8)))
         assert S.Matcher(p)(t) == like(p, t), (p, t)
+
+
+def test_patterns_in_upper_case_keep_their_length(spark, tmp_path):
+    """ß is one character in upper case too, as in the query's SQL."""
+    rows = [(50, "1234567auß xnschen"), (51, "vor auß ynsch nach"), (52, "vor auss ynsch nach"), (100, None), (150, "1234567ﬁŉǰ_ſıςµ")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, catalogue.substring_search(spark, str(tmp_path)).collect())) == [(50, 50), (50, 51), (150, 150)]
