@@ -22,11 +22,11 @@ class HashingEmbedder:
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = []
         for text in texts:
-            v = np.zeros(self.dimensions)
             words = re.findall(r"\w+", (text or "").lower())
-            for term in [*words, *map(" ".join, zip(words, words[1:]))]:
-                h = int.from_bytes(hashlib.blake2b(term.encode(), digest_size=8).digest(), "little")
-                v[h % self.dimensions] += 1 if h >> 63 else -1
+            terms = [*words, *map(" ".join, zip(words, words[1:]))]
+            h = np.frombuffer(b"".join(hashlib.blake2b(t.encode(), digest_size=8).digest() for t in terms), "<u8")
+            place, sign = (h % np.uint64(self.dimensions)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0)
+            v = np.bincount(place, sign, self.dimensions)
             n = np.linalg.norm(v)
             out.append((v / n if n else v).astype(np.float32).tolist())
         return out

@@ -26,6 +26,7 @@ from ..functions.text import simple_tokens
 from ..sources.staging import staged, unstage
 
 BITS, DIMENSIONS, OVER, POWER = 15, 64, 16, 3
+STEP = 1 << 11
 SLICES = 64  # blocks of buckets in which partial products are sent
 WORD = re.compile(r"[^\W_]+")
 
@@ -99,20 +100,17 @@ def _product(rows: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
             if not len(row):
                 continue
             some = True
-            for at in range(0, len(row), 1 << 16):  # of so many weights at a time
-                part = slice(at, at + (1 << 16))
-                lo = row[at]
+            y = np.zeros((len(batch), width))
+            for at in range(0, len(row), STEP):  # of so many weights at a time, which stay in the processor's cache
+                part = slice(at, at + STEP)
                 own, first = np.unique(row[part], return_index=True)
-                image = np.zeros((int(own[-1] - lo) + 1, width))
-                image[own - lo] = np.add.reduceat(w[part, None] * q[bucket[part]], first, axis=0)
-                if at == 0:
-                    y = np.zeros((len(batch), width))
-                y[lo : lo + len(image)] += image
-            for at in range(0, len(row), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                order = np.argsort(bucket[part], kind="stable")
-                own, first = np.unique(bucket[part][order], return_index=True)
-                total[own] += np.add.reduceat((w[part, None] * y[row[part]])[order], first, axis=0)
+                y[own] += np.add.reduceat(w[part, None] * q[bucket[part]], first, axis=0)
+            order = np.argsort(bucket, kind="stable")
+            row, bucket, w = row[order], bucket[order], w[order]
+            for at in range(0, len(row), STEP):
+                part = slice(at, at + STEP)
+                own, first = np.unique(bucket[part], return_index=True)
+                total[own] += np.add.reduceat(w[part, None] * y[row[part]], first, axis=0)
         if some:
             for i in range(SLICES):
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[i * step : (i + 1) * step].tobytes()], pa.binary())], ["slice", "sums"])

@@ -1,12 +1,15 @@
 """Latent vectors against a plain singular value decomposition, over partitionings, and against hash vectors in a search."""
 
+import hashlib
 import os
 import random
 
 import numpy as np
 import pytest
 
+from corpusweave.functions.embed import HashingEmbedder
 from corpusweave.operators import latent as L
+from corpusweave.operators import retrieve as R
 from corpusweave.plans import catalogue
 
 DIR = "/root/testdata/sf0.01"
@@ -61,3 +64,33 @@ def test_empty_corpus(spark):
 def test_latent_vectors_find_better_than_hash_vectors(spark):
     got = {r.embedder: r for r in catalogue.latent_eval(spark, DIR).collect()}
     assert got["latent"].mrr >= got["hash"].mrr and got["latent"].hit_rate >= 0.95
+
+
+def test_texts_are_embedded_once_however_many_blocks(spark, tmp_path, monkeypatch):
+    """The blocks of queries read vectors that are written; a text isn't embedded again for each of them."""
+    rows = [(i, t, f"l{i % 6}") for i, t in corpus(3, 300)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    calls = spark.sparkContext.accumulator(0)
+    plain = catalogue.embed_column
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def embed(self, texts):
+            calls.add(len(texts))
+            return self.inner.embed(texts)
+
+    monkeypatch.setattr(catalogue, "embed_column", lambda df, text, embedder: plain(df, text, Counted(embedder)))
+    monkeypatch.setattr(R, "MOST_QUERIES", 2)
+    got = catalogue.latent_eval(spark, str(tmp_path)).collect()
+    assert len(got) == 2 and calls.value == 2 * sum(t is not None for _, t, _ in rows)
+
+
+def test_hash_vectors_are_sums_of_signs():
+    v = HashingEmbedder(8).embed(["a b a", "", None])
+    want = np.zeros(8)
+    for term in ("a", "b", "a", "a b", "b a"):
+        h = int.from_bytes(hashlib.blake2b(term.encode(), digest_size=8).digest(), "little")
+        want[h % 8] += 1 if h >> 63 else -1
+    assert np.allclose(v[0], want / np.linalg.norm(want)) and not any(v[1]) and not any(v[2])
