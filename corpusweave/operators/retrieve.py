@@ -21,6 +21,8 @@ from .keyword_index import PI2_6  # noqa: F401
 RRF, POOL = 60, 10
 #: Queries in one broadcast; more are searched in blocks of so many.
 MOST_QUERIES = 1000
+#: Scores of queries and chunks that are held at a time, and what stands for a null id while they are.
+SCORES, LEAST_ID = 1 << 20, -(1 << 63)
 
 
 def in_blocks(queries: DataFrame, search) -> DataFrame:
@@ -48,8 +50,8 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 def vector_search(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Exact cosine top-k. chunks: chunk_id, embedding; queries: query_id, vector. Rows without a vector are skipped.
 
-    A block of queries is broadcast as one matrix; every Arrow batch of chunks is one matrix product with it, of which the k
-    best of each query in the batch are rows. Scores are rounded to twelve places, so that equal vectors tie.
+    A block of queries is broadcast as one matrix; slices of every Arrow batch of chunks are matrix products with it, of bounded size,
+    and a task has one row for each of its k best of each query. Scores are rounded to twelve places, so that equal vectors tie.
     """
 
     def search(part: DataFrame) -> DataFrame:
@@ -61,20 +63,23 @@ def vector_search(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFram
         shared = chunks.sparkSession.sparkContext.broadcast(lengths)
 
         def run(batches):
+            lengths = shared.value
+            best = {n: Nearest(len(place), k) for n, (place, _) in lengths.items()}
             for batch in batches:
-                ids, vectors = batch.column(0), batch.column(1)
+                vectors = batch.column(1)
+                ids = batch.column(0).fill_null(LEAST_ID).to_numpy()
+                null = np.asarray(batch.column(0).is_null())
                 sizes = np.diff(vectors.offsets.to_numpy())
                 flat = vectors.flatten().to_numpy(zero_copy_only=False)
-                at = np.concatenate([[0], np.cumsum(sizes)])
-                for n, (place, q) in shared.value.items():
+                at = np.cumsum(sizes) - sizes
+                for n, (place, q) in lengths.items():
                     own = np.flatnonzero(sizes == n)
-                    if not len(own):
-                        continue
-                    score = np.round(q @ _unit(flat[at[own][:, None] + np.arange(n)].astype(np.float64)).T, 12)
-                    best = _best(score, own if ids.null_count else ids.to_numpy()[own], k)
-                    for i, cols in enumerate(best):
-                        cols = cols[~np.isnan(score[i, cols])]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols), place[i], np.int32)), ids.take(pa.array(own[cols])), pa.array(score[i, cols])], ["number", "chunk_id", "score"])
+                    step = max(1, SCORES // len(place))
+                    for some in (own[i : i + step] for i in range(0, len(own), step)):
+                        score = q @ _unit(flat[at[some][:, None] + np.arange(n)].astype(np.float64)).T
+                        best[n].add(score, ids[some], null[some])
+            for n, (place, _) in lengths.items():
+                yield best[n].rows(place)
 
         rows = spread(chunks.where("embedding is not null").select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "embedding"))
         found = rows.mapInArrow(run, "number int, chunk_id bigint, score double")
@@ -91,17 +96,38 @@ def _unit(x: np.ndarray) -> np.ndarray:
         return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each row the places of its k best scores, the least id first of equal ones; nan comes last."""
-    out = []
-    for row in np.where(np.isnan(score), -np.inf, score):
-        if len(row) > k:
-            least = np.partition(row, len(row) - k)[len(row) - k]
-            some = np.flatnonzero(row >= least)
-        else:
-            some = np.arange(len(row))
-        out.append(some[np.lexsort((ids[some], -row[some]))][:k])
-    return out
+class Nearest:
+    """The k best chunks of each of n queries so far, by score and id; a null id comes before others."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.score, self.id, self.null = np.full((n, k), -np.inf), np.zeros((n, k), np.int64), np.zeros((n, k), bool)
+
+    def add(self, score: np.ndarray, ids: np.ndarray, null: np.ndarray) -> None:
+        """score: queries x chunks; nan is no score."""
+        least = np.maximum(self.score[:, -1] - 1e-11, -np.finfo(float).max)  # scores aren't rounded yet
+        may = score >= least[:, None]
+        many = np.flatnonzero(may.sum(axis=1) > 4 * self.k)
+        if len(many):
+            row = np.where(may[many], score[many], -np.inf)
+            kth = np.partition(row, row.shape[1] - self.k, axis=1)[:, row.shape[1] - self.k]
+            may[many] = row >= kth[:, None] - 1e-11
+        i, j = np.nonzero(may)
+        if not len(i):
+            return
+        own, i = np.unique(i, return_inverse=True)
+        row = np.concatenate([np.repeat(np.arange(len(own)), self.k), i])
+        value = np.concatenate([self.score[own].ravel(), np.round(score[own[i], j], 12)])
+        id_ = np.concatenate([self.id[own].ravel(), ids[j]])
+        gone = np.concatenate([self.null[own].ravel(), null[j]])
+        order = np.lexsort((id_, ~gone, -value, row))
+        first = np.searchsorted(row[order], np.arange(len(own)))
+        top = order[first[:, None] + np.arange(self.k)]
+        self.score[own], self.id[own], self.null[own] = value[top], id_[top], gone[top]
+
+    def rows(self, place: np.ndarray) -> pa.RecordBatch:
+        i, j = np.nonzero(self.score > -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(place[i].astype(np.int32)), pa.array(self.id[i, j], mask=self.null[i, j]), pa.array(self.score[i, j])], ["number", "chunk_id", "score"])
 
 
 def query_lexemes(queries: DataFrame) -> DataFrame:
@@ -133,7 +159,8 @@ def hybrid_search(chunks: DataFrame, index: DataFrame, queries: DataFrame, k: in
     """Both arms with a pool of max(k, 10), semantic first, fused. queries: query_id, q, vector; index, lexemes: as for
     keyword_search."""
     pool = max(k, POOL)
-    semantic = vector_search(chunks, queries, pool).withColumn("list", F.lit(0))
+    vectors = staged(chunks.where("embedding is not null").select("chunk_id", "embedding"), "vectors")  # blocks of queries read it again
+    semantic = vector_search(vectors, queries.where("vector is not null").select("query_id", "vector"), pool).withColumn("list", F.lit(0))
     keyword = keyword_search(index, queries, pool, lexemes).withColumn("list", F.lit(1))
     return rrf(semantic.unionByName(keyword), k)
 

@@ -132,3 +132,20 @@ def test_chunks_are_counted_in_a_public_vocabulary(spark):
     assert len(made) > 4 and all(r.token_count == len(own.encode(r.text)) <= H.MOST for r in made)
     words = I.chunk(spark.createDataFrame([(1, "T", text)], "document_id bigint, title string, cleaned_text string"), H.PieceTokenizer()).collect()
     assert len(words) != len(made)
+
+
+def test_nearest_keeps_k_rows_whatever_the_slices():
+    """What a task holds and returns of a search doesn't grow with its batches; null ids first, nan never."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    score = np.round(r.standard_normal((5, 300)), 1)
+    score[2], score[:, 7] = np.nan, np.nan
+    ids, null = r.permutation(300).astype(np.int64), np.arange(300) % 50 == 0
+    ids[null] = R.LEAST_ID
+    best = R.Nearest(5, 4)
+    for at in range(0, 300, 23):
+        best.add(score[:, at : at + 23], ids[at : at + 23], null[at : at + 23])
+    got = best.rows(np.arange(5)).to_pylist()
+    want = [(q, s, i) for q in (0, 1, 3, 4) for s, i in sorted((-score[q, j], (not null[j], ids[j])) for j in range(300) if j != 7)[:4]]
+    assert [(x["number"], -x["score"], (x["chunk_id"] is not None, R.LEAST_ID if x["chunk_id"] is None else x["chunk_id"])) for x in got] == want
