@@ -5,7 +5,8 @@ the largest frequency of each in the shard, and the chunks and frequencies of th
 chunk has is one entry in each shard, so no key is hot, and building it shuffles nothing. A search reads the buckets that its queries' lexemes fall
 into, keeps matching lexemes in the scan, and brings what is left of each shard together. There a query is scored only
 if the sum of its lexemes' maxima can reach the worst of its k best so far (at first, of chunks with its rarest lexemes), and with the
-lexemes that such a score needs (MaxScore): the others are looked up where a chunk can still get in. Only the k best of each query leave a task.
+lexemes that such a score needs (MaxScore): the others are looked up where a chunk can still get in. Many queries at once meet a shard's
+frequent lexemes in one matrix product and the others posting by posting. Only the k best of each query leave a task.
 
 Queries are met in blocks of bounded number and size, one job each, whose results are written.
 """
@@ -27,9 +28,12 @@ from ..sources.staging import new_folder, staged, unstage
 
 SHARD, BUCKETS = 1024, 16
 #: Queries and bytes of lexemes of one block.
-BLOCK_QUERIES, BLOCK_BYTES = 1000, 16 << 20
+BLOCK_QUERIES, BLOCK_BYTES = 8000, 64 << 20
 #: Products of a posting and a query that are held at a time.
 PRODUCTS = 1 << 21
+#: So many queries at least that can get a chunk of a shard are scored together: by a matrix product over the shard's frequent lexemes, so
+#: many at most, those whose shares of its chunks and of the queries have a product of COMMON at least; the others posting by posting.
+TOGETHER, FREQUENT, COMMON, ROWS = 64, 512, 0.01, 1024
 PI2_6 = 1.64493406685
 #: The weight of a frequency: the sum of 1/j^2 for the first 255 occurrences, scaled so that endless occurrences give 0.1.
 WEIGHTS = np.concatenate([[0.0], np.cumsum(1.0 / np.arange(1, 256) ** 2.0)]) * 0.1 / PI2_6
@@ -132,13 +136,19 @@ class Queries:
     query: np.ndarray
     share: np.ndarray
 
+    def __post_init__(self):
+        word = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+        order = np.argsort(self.query, kind="stable")
+        self.owner, self.word = self.query[order], word[order]  # the same pairs, query by query
+
     @classmethod
     def of(cls, lists: list[list[str]], counts: list[int]) -> Queries:
-        pairs = sorted((w, i) for i, own in enumerate(lists) for w in set(own))
-        words = sorted({w for w, _ in pairs})
-        place = {w: i for i, w in enumerate(words)}
-        sizes = np.bincount([place[w] for w, _ in pairs], minlength=len(words)) if pairs else np.zeros(0, np.int64)
-        return cls(pa.array(words, pa.string()), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.array([i for _, i in pairs], np.int64), np.array([1 / n if n else 0.0 for n in counts]))
+        words = pa.array([w for own in lists for w in own], pa.string()).dictionary_encode()
+        query = np.repeat(np.arange(len(lists)), [len(own) for own in lists])
+        pair = np.unique(words.indices.to_numpy().astype(np.int64) * max(1, len(lists)) + query)
+        word, query = np.divmod(pair, max(1, len(lists)))
+        sizes = np.bincount(word, minlength=len(words.dictionary))
+        return cls(words.dictionary, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), query, np.array([1 / n if n else 0.0 for n in counts]))
 
     def __reduce__(self):  # arrow arrays are sent as lists
         return _queries, (self.lexemes.to_pylist(), self.bounds, self.query, self.share)
@@ -173,6 +183,8 @@ class Best:
         """A shard's postings: word (place among the queries' lexemes), their sizes and maxima; chunks (rising in a lexeme), tfs: one
         lexeme after the other."""
         q = self.q
+        if len(q.share) >= TOGETHER:
+            return self._add_many(word, sizes, tops, chunks, tfs, ids)
         per = q.bounds[word + 1] - q.bounds[word]
         lex = np.repeat(np.arange(len(word)), per)  # (lexeme, query) pairs
         query = q.query[_ranges(q.bounds[word], per)]
@@ -195,6 +207,70 @@ class Best:
             self._score(shard, alive[at:end], lex[part], query[part], most[part])
             at = end
 
+    def _add_many(self, word: np.ndarray, sizes: np.ndarray, tops: np.ndarray, chunks: np.ndarray, tfs: np.ndarray, ids: np.ndarray) -> None:
+        """The same for many queries, which would pay more for their order than pruning saves."""
+        q = self.q
+        local = np.full(len(q.lexemes), -1, np.int64)
+        local[word] = np.arange(len(word))
+        lex = local[q.word]
+        query, lex = q.owner[lex >= 0], lex[lex >= 0]
+        self.asked += int(sizes[lex].sum())
+        total = np.bincount(query, WEIGHTS[tops][lex], len(q.share)) * q.share
+        alive = np.flatnonzero((total > 0) & (total >= self.score[:, -1] - 1e-9))
+        if not len(alive):
+            return
+        row = np.full(len(q.share), -1, np.int64)
+        row[alive] = np.arange(len(alive))
+        row = row[query]
+        row, lex = row[row >= 0], lex[row >= 0]
+        first, weights = np.cumsum(sizes) - sizes, WEIGHTS[tfs]
+        met = sizes * np.bincount(lex, minlength=len(sizes))
+        frequent = np.argsort(-met, kind="stable")[:FREQUENT]
+        frequent = frequent[met[frequent] >= COMMON * len(ids) * len(alive)]
+        column = np.full(len(sizes), -1, np.int64)
+        column[frequent] = np.arange(len(frequent))
+        dense = np.zeros((len(frequent), len(ids)))
+        dense[np.repeat(np.arange(len(frequent)), sizes[frequent]), chunks[_ranges(first[frequent], sizes[frequent])]] = weights[_ranges(first[frequent], sizes[frequent])]
+        for at in range(0, len(alive), ROWS):
+            end = min(at + ROWS, len(alive))
+            part = slice(np.searchsorted(row, at), np.searchsorted(row, end))
+            own, which = row[part] - at, lex[part]
+            col = column[which]
+            has = np.zeros((end - at, len(frequent)))
+            has[own[col >= 0], col[col >= 0]] = 1.0
+            table = has @ dense
+            self.made += has.shape[0] * dense.size
+            own, which = own[col < 0], which[col < 0]
+            done = np.cumsum(sizes[which])
+            i = 0
+            while i < len(own):  # so many products at a time
+                j = max(i + 1, int(np.searchsorted(done, PRODUCTS + (done[i - 1] if i else 0), "right")))
+                n = sizes[which[i:j]]
+                places = _ranges(first[which[i:j]], n)
+                self.made += len(places)
+                np.add.at(table.reshape(-1), np.repeat(own[i:j] * len(ids), n) + chunks[places], weights[places])
+                i = j
+            self._keep(alive[at:end], table * q.share[alive[at:end], None], ids)
+
+    def _keep(self, queries: np.ndarray, table: np.ndarray, ids: np.ndarray) -> None:
+        """Puts a shard's scores (queries x chunks) among the best."""
+        least = self.score[queries, -1]
+        may = (table > 0) & (table >= least[:, None] - 1e-11)  # not rounded yet
+        many = np.flatnonzero(may.sum(axis=1) > 4 * self.k)
+        if len(many):
+            at = table.shape[1] - self.k
+            may[many] &= table[many] >= np.partition(table[many], at, axis=1)[:, at, None] - 1e-11
+        i, j = np.nonzero(may)
+        if not len(i):
+            return
+        own, i = np.unique(i, return_inverse=True)
+        row = np.concatenate([np.repeat(np.arange(len(own)), self.k), i])
+        value = np.concatenate([self.score[queries[own]].ravel(), np.round(table[own[i], j], 12)])
+        chunk = np.concatenate([self.chunk[queries[own]].ravel(), ids[j]])
+        order = np.lexsort((chunk, -value, row))
+        top = order[np.searchsorted(row[order], np.arange(len(own)))[:, None] + np.arange(self.k)]
+        self.score[queries[own]], self.chunk[queries[own]] = value[top], chunk[top]
+
     def _seeds(self, shard: _Shard, alive: np.ndarray, lex: np.ndarray, row: np.ndarray, share: np.ndarray) -> np.ndarray:
         """What a chunk must reach in queries that have no k chunks yet: the k-th best score of the chunks with their rarest lexemes."""
         least = self.score[alive, -1].copy()
@@ -290,11 +366,14 @@ def _matching(shared):
         q: Queries = shared.value
         for batch in batches:
             rows = []
+            lists = batch.column(2)
+            place_of = pc.index_in(lists.values, value_set=q.lexemes)  # the queries' lexemes are hashed once a batch, not for each row
+            bounds = lists.offsets.to_numpy()
             for i in range(len(batch)):
                 if batch.column(1)[i].as_py() < 0:
                     rows.append((batch.column(0)[i].as_py(), None, None, None, None, None, batch.column(7)[i].as_py()))
                     continue
-                place = pc.index_in(batch.column(2)[i].values, value_set=q.lexemes)
+                place = place_of.slice(bounds[i], bounds[i + 1] - bounds[i])
                 own = np.flatnonzero(np.asarray(place.is_valid()))
                 if not len(own):
                     continue

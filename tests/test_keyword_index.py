@@ -107,3 +107,43 @@ def test_empty_index_and_no_queries(spark):
     queries = spark.createDataFrame([(1, "word")], "query_id bigint, q string")
     assert R.keyword_search(index, queries).count() == 0
     assert R.keyword_search(index, queries.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("frequent, rows_", [(512, 1024), (0, 7), (3, 100)])
+def test_many_queries_are_scored_together(spark, index, rows, monkeypatch, frequent, rows_):
+    """Frequent lexemes by a matrix product, the others by their postings, whatever falls to which, as plain scoring."""
+    monkeypatch.setattr(K, "FREQUENT", frequent)
+    monkeypatch.setattr(K, "ROWS", rows_)
+    monkeypatch.setattr(K, "PRODUCTS", 5000)
+    r = random.Random(9)
+    asked = ASKED + [(100 + i, " ".join(r.choice(rows[:2500])[1].split()[: r.choice([1, 3, 30])])) for i in range(120)]
+    best = K.Best(K.Queries.of([sorted(set((t or "").split())) for _, t in asked], [len(set((t or "").split())) for _, t in asked]), 7)
+    every = index.where("bucket >= 0").collect()
+    for ids in index.where("bucket = -1").collect():
+        own = [x for x in every if x.shard == ids.shard]
+        place = {w: i for i, w in enumerate(best.q.lexemes.to_pylist())}
+        parts = []
+        for x in own:
+            ends = np.cumsum(x.sizes)
+            c, f = np.frombuffer(x.chunks, "<u2"), np.frombuffer(x.tfs, np.uint8)
+            parts += [(place[w], n, t, c[e - n : e], f[e - n : e]) for w, n, t, e in zip(x.lexemes, x.sizes, x.tops, ends) if w in place]
+        word, sizes, tops = (np.array([p[i] for p in parts], np.int64) for i in range(3))
+        best.add(word, sizes, tops, np.concatenate([p[3] for p in parts]).astype(np.int64), np.concatenate([p[4] for p in parts]), np.array(ids.ids, np.int64))
+    got = {}
+    for x in best.rows().to_pylist():
+        got.setdefault(asked[x["number"]][0], []).append((x["chunk_id"], x["score"]))
+    same(got, plain(rows, asked, 7))
+
+
+def test_lexemes_of_queries_are_hashed_once_a_batch(spark, index, rows, monkeypatch):
+    """Not once for each row of the index: what a search costs besides its products doesn't grow with rows times lexemes."""
+    calls, real = [], K.pc.index_in
+    monkeypatch.setattr(K.pc, "index_in", lambda *a, **b: calls.append(1) or real(*a, **b))
+
+    class Shared:
+        value = K.Queries.of([["common", "w1"], ["w7"]], [2, 1])
+
+    batches = index.coalesce(1).toArrow().combine_chunks().to_batches()
+    out = [r for b in K._matching(Shared)(batches) for r in b.to_pylist()]
+    assert sum(len(b) for b in batches) > len(batches) == len(calls)
+    assert len({r["shard"] for r in out if r["words"]}) == index.where("bucket = -1").count()
