@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .partition import small_batches
+
 DIMENSIONS, BATCH = 1536, 100
 
 
@@ -35,6 +37,7 @@ class HashingEmbedder:
 def embed_column(df: DataFrame, text: str, embedder=None, into: str = "embedding") -> DataFrame:
     """Adds vectors, in batches as a remote embedder takes them; a null text has none."""
     embedder = embedder or HashingEmbedder()
+    small_batches(df.sparkSession)
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html as H
-from ..functions.partition import spread
+from ..functions.partition import small_batches, spread
 from ..functions.text import content_type
 from ..schemas import STRUCTURED, invalid_document
 
@@ -24,6 +24,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 rows.append((i, title, text, used, {"tables": H.tables(html, root), "documentLinks": H.document_links(html, url, root)}))
             yield pd.DataFrame(rows, columns=["page_version_id", "title", "text", "used_readability", "structured"])
 
+    small_batches(pages.sparkSession)
     rows = pages.select("page_version_id", F.coalesce("url", F.lit("")).alias("url"), "raw_html")
     return spread(rows).mapInPandas(run, f"page_version_id bigint, title string, text string, used_readability boolean, structured {STRUCTURED}")
 
@@ -36,6 +37,7 @@ def links(pages: DataFrame) -> DataFrame:
             rows = [(i, k, x) for i, url, html in zip(pdf.page_id, pdf.url, pdf.html) for k, x in enumerate(H.same_host_links(html, url))]
             yield pd.DataFrame(rows, columns=["page_id", "place", "url"])
 
+    small_batches(pages.sparkSession)
     return spread(pages.select("page_id", "url", "html")).mapInPandas(run, "page_id bigint, place int, url string")
 
 

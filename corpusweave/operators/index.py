@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chunk import chunk_document, default_tokenizer
+from ..functions.partition import small_batches
 from ..functions.text import simple_tokens
 
 
@@ -20,6 +21,7 @@ def chunk(documents: DataFrame, tokenizer=None, compat: bool = True) -> DataFram
             rows = [(d, i, x.heading_path, x.text, x.token_count) for d, title, text in zip(pdf.document_id, pdf.title, pdf.cleaned_text) for i, x in enumerate(chunk_document(text, title, tokenizer, compat=compat))]
             yield pd.DataFrame(rows, columns=["document_id", "chunk_index", "heading_path", "text", "token_count"])
 
+    small_batches(documents.sparkSession)
     return documents.select("document_id", "title", "cleaned_text").mapInPandas(run, "document_id bigint, chunk_index int, heading_path string, text string, token_count int")
 
 

@@ -47,3 +47,22 @@ def test_seed_sites(spark):
     assert [(r.id, r.crawl_delay_ms, r.render_mode, r.max_depth, r.max_pages) for r in sites.orderBy("id").collect()] == [(1, 500, "static", 2, 50), (2, 500, "js", 2, 50), (3, 1000, "static", 2, 30)]
     one = G.site_by(sites, "scrapethis").collect()
     assert [(r.id, r.base_url) for r in one] == [(3, "https://www.scrapethissite.com/pages/")]
+
+
+def test_batches_of_pages_are_small(spark):
+    """A worker holds 512 pages at most, however many a partition has."""
+    from corpusweave.functions.embed import embed_column
+    from corpusweave.operators import extract as E
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        pages = spark.range(1200).coalesce(1).selectExpr("id as page_version_id", "'u' as url", "'<p>x</p>' as raw_html")
+        E.extract(pages)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 512
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        embed_column(pages, "url")
+        sizes = pages.mapInArrow(lambda batches: (b.slice(0, 1) for b in batches), "page_version_id bigint, url string, raw_html string")
+        assert sizes.count() == 3
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
