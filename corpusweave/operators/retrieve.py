@@ -25,12 +25,12 @@ MOST_QUERIES = 1000
 SCORES, LEAST_ID = 1 << 20, -(1 << 63)
 
 
-def in_blocks(queries: DataFrame, search) -> DataFrame:
-    """Applies search to blocks of at most about MOST_QUERIES rows of the query table; the results of many blocks are written one after the other."""
-    n = queries.count()
-    if n <= MOST_QUERIES:
+def in_blocks(queries: DataFrame, search, times: int = 1) -> DataFrame:
+    """Applies search to blocks of at most about times MOST_QUERIES rows of the query table; the results of many blocks are written one after the other."""
+    n, most = queries.count(), times * MOST_QUERIES
+    if n <= most:
         return search(queries)
-    parts = -(-n // (MOST_QUERIES // 2))
+    parts = -(-n // (most // 2))
     asked = staged(queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(parts))), "queries", "block")
     path, schema = new_folder(queries.sparkSession, "found"), None
     for i in range(parts):
@@ -113,13 +113,20 @@ class Nearest:
             kth = np.partition(row, row.shape[1] - self.k, axis=1)[:, row.shape[1] - self.k]
             may[many] = row >= kth[:, None] - 1e-11
         i, j = np.nonzero(may)
+        self.put(i, np.round(score[i, j], 12), ids[j], null[j])
+
+    def put(self, i: np.ndarray, score: np.ndarray, ids: np.ndarray, null: np.ndarray | None = None) -> None:
+        """Single scores, rounded: of the chunks ids for the queries i."""
+        null = np.zeros(len(i), bool) if null is None else null
+        may = score >= self.score[i, -1]
+        i, score, ids, null = i[may], score[may], ids[may], null[may]
         if not len(i):
             return
         own, i = np.unique(i, return_inverse=True)
         row = np.concatenate([np.repeat(np.arange(len(own)), self.k), i])
-        value = np.concatenate([self.score[own].ravel(), np.round(score[own[i], j], 12)])
-        id_ = np.concatenate([self.id[own].ravel(), ids[j]])
-        gone = np.concatenate([self.null[own].ravel(), null[j]])
+        value = np.concatenate([self.score[own].ravel(), score])
+        id_ = np.concatenate([self.id[own].ravel(), ids])
+        gone = np.concatenate([self.null[own].ravel(), null])
         order = np.lexsort((id_, ~gone, -value, row))
         first = np.searchsorted(row[order], np.arange(len(own)))
         top = order[first[:, None] + np.arange(self.k)]

@@ -2,9 +2,10 @@
 
 Cells and codebooks are fitted on the driver on a bounded sample (SAMPLE_ROWS vectors and SAMPLE_BYTES at most, drawn by a hash of the id);
 every row is coded. Rows lie on disk by cell, so that a search skips the row groups of cells it doesn't probe; a cell that holds a
-large share of the rows is spread over files by a hash of the id. A search has two steps: in the probed cells scores are read from lookup tables by
-the rows' codes, an Arrow batch at a time, and only the ``pool`` best of each query leave a task; these candidates' vectors are fetched
-by cell and id, and ranked exactly. How many cells are probed and how many candidates are kept is set when the index is built, from
+large share of the rows is spread over files by a hash of the id. A search reads the probed cells once for each block of queries: a row's score by
+its code is its decoded vector's product with the query, a matrix product for each slice of a cell; what comes within ``margin`` of the k-th
+best of its query so far is compared exactly where it lies, and only the k best of each query leave a task. So a task holds one slice of scores and
+k rows a query, whatever the number of rows. How many cells are probed, and the margin, are set when the index is built, from
 where the true neighbours of some sampled vectors lie, for a share of TARGET of them.
 
 Rows without a vector, and vectors without a direction, are not found, as in the exact search. Vectors of another length than the sample's most
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.partition import spread
-from ..sources.staging import new_folder, staged
-from .retrieve import in_blocks, top_k
+from ..sources.staging import new_folder
+from .retrieve import MOST_QUERIES, SCORES, Nearest, in_blocks, top_k
 
 SAMPLE_ROWS, SAMPLE_BYTES = 1 << 16, 64 << 20
 MOST_CELLS, ENTRIES, PART = 1 << 14, 256, 4
@@ -31,6 +32,10 @@ LEAST_A_CELL = 16  # sampled vectors for each cell
 TARGET = 0.98
 TUNED = 256  # sampled vectors whose neighbours are looked at
 OTHER = -1
+#: Rows whose distances to all centres are held at a time, and pairs whose vectors are.
+AT_ONCE, PAIRS = 1 << 11, 1 << 15
+#: Components of queries' vectors for which blocks of queries are made larger, up to BLOCKS times, as each block reads the rows anew.
+ASKED, BLOCKS = 1 << 18, 4
 ROWS = "cell int, chunk_id bigint, code binary, embedding array<float>"
 _ROWS = pa.schema([("cell", pa.int32()), ("chunk_id", pa.int64()), ("code", pa.binary()), ("embedding", pa.list_(pa.float32()))])
 
@@ -46,31 +51,41 @@ def lloyd(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     r = np.random.default_rng(seed)
     centres = x[r.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        far = (centres * centres).sum(axis=1) - 2 * (x @ centres.T)
-        own = far.argmin(axis=1)
+        own, far = _nearest(x, centres)
         count = np.bincount(own, minlength=k)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, x)
+        sums = np.stack([np.bincount(own, column, k) for column in x.T], axis=1)
         some = count > 0
         centres[some] = sums[some] / count[some, None]
         if not some.all():
-            worst = np.argsort(-(far[np.arange(len(x)), own] + (x * x).sum(axis=1)), kind="stable")
+            worst = np.argsort(-(far + (x * x).sum(axis=1)), kind="stable")
             centres[~some] = x[worst[: int((~some).sum())]]
     return centres
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's nearest centre, and its squared distance less the row's own square; some rows at a time, which stay in the cache."""
+    own, far = np.zeros(len(x), np.int64), np.zeros(len(x))
+    lengths, turned = (centres * centres).sum(axis=1), -2 * centres.T
+    for i in range(0, len(x), AT_ONCE):
+        d = x[i : i + AT_ONCE] @ turned
+        d += lengths
+        own[i : i + AT_ONCE] = at = d.argmin(axis=1)
+        far[i : i + AT_ONCE] = d[np.arange(len(d)), at]
+    return own, far
+
+
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((centres * centres).sum(axis=1) - 2 * (x @ centres.T)).argmin(axis=1)
+    return _nearest(x, centres)[0]
 
 
 @dataclass
 class Codec:
-    """centres: cells x length; books: parts x entries x width (length rounded up to whole parts); probes, pool: see Index.search."""
+    """centres: cells x length; books: parts x entries x width (length rounded up to whole parts); probes, margin: see Index.search."""
 
     centres: np.ndarray
     books: np.ndarray
     probes: int = 1
-    rank: float = 10.0
+    margin: float = np.inf
 
     @property
     def length(self) -> int:
@@ -87,9 +102,10 @@ class Codec:
         cut = self.parts(x - self.centres[cell])
         return cell, np.stack([nearest(p, b) for p, b in zip(cut, self.books)], axis=1).astype(np.uint8)
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """Inner products of queries' parts with codebook entries: parts x queries x entries."""
-        return np.matmul(self.parts(q), self.books.transpose(0, 2, 1)).astype(np.float32)
+    def decode(self, cell: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The vectors that cells and codes stand for."""
+        rest = self.books[np.arange(len(self.books)), code].reshape(len(code), -1)[:, : self.length]
+        return (self.centres[cell] + rest).astype(np.float32)
 
     @classmethod
     def fit(cls, x: np.ndarray, rows: int, cells: int | None = None, seed: int = 3) -> Codec:
@@ -100,12 +116,12 @@ class Codec:
         cut = own.parts(x - centres[nearest(x, centres)])
         entries = min(ENTRIES, len(x))
         own.books = np.stack([lloyd(p, entries, 10, seed + 1 + i) for i, p in enumerate(cut)])
-        own.tune(x, rows, seed)
+        own.tune(x, seed)
         return own
 
-    def tune(self, x: np.ndarray, rows: int, seed: int, k: int = 10) -> None:
-        """probes: so that TARGET of the k nearest of sampled vectors lie in a probed cell. rank: the place in the order by codes behind
-        which 1 - TARGET of them come, carried on to all rows."""
+    def tune(self, x: np.ndarray, seed: int, k: int = 10) -> None:
+        """probes: so that TARGET of the k nearest of sampled vectors lie in a probed cell. margin: by codes TARGET of them come no further
+        than this below the exact score of the k-th."""
         some = np.random.default_rng(seed).permutation(len(x))[:TUNED]
         cell, code = self.encode(x)
         q = x[some]
@@ -113,29 +129,56 @@ class Codec:
         exact[np.arange(len(some)), some] = -np.inf
         k = min(k, len(x) - 1)
         if k < 1:
-            self.probes, self.rank = len(self.centres), 1.0
+            self.probes, self.margin = len(self.centres), np.inf
             return
         best = np.argpartition(-exact, k - 1, axis=1)[:, :k]
         near = q @ self.centres.T
         place = np.empty_like(near, dtype=np.int64)
         np.put_along_axis(place, np.argsort(-near, axis=1), np.arange(near.shape[1])[None], axis=1)
         self.probes = int(np.quantile(np.take_along_axis(place, cell[best], axis=1), TARGET, method="higher")) + 1
-        rough = near[:, cell] + sum(t[:, code[:, p]] for p, t in enumerate(self.tables(q)))
-        rough[np.arange(len(some)), some] = -np.inf
-        ranks = np.array([(rough[i][None] > rough[i, best[i]][:, None]).sum(axis=1) for i in range(len(some))])
-        self.rank = (float(np.quantile(ranks, TARGET, method="higher")) + 1) * max(1.0, rows / len(x))
+        last = np.take_along_axis(exact, best, axis=1).min(axis=1, keepdims=True)
+        rough = np.einsum("ij,ikj->ik", q, self.decode(cell[best.ravel()], code[best.ravel()]).reshape(*best.shape, -1))
+        self.margin = max(0.0, float(np.quantile(last - rough, TARGET, method="higher")))
 
 
 def _vectors(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the vectors of that length that have a direction, and these as unit vectors."""
-    sizes = np.where(np.asarray(column.is_valid()), np.diff(column.offsets.to_numpy()), -1)
+    at = column.offsets.to_numpy()
+    sizes = np.where(np.asarray(column.is_valid()), np.diff(at), -1)
     own = np.flatnonzero(sizes == length)
-    flat = column.values.cast(pa.float64()).to_numpy(zero_copy_only=False)
-    x = unit(flat[column.offsets.to_numpy()[:-1][own][:, None] + np.arange(length)]) if len(own) else np.zeros((0, length))
+    flat = column.values.slice(at[0], at[-1] - at[0]).cast(pa.float64()).to_numpy(zero_copy_only=False)
+    x = unit(flat[(at[:-1][own] - at[0])[:, None] + np.arange(length)]) if len(own) else np.zeros((0, length))
     good = np.isfinite(x).all(axis=1)
     return own[good], x[good]
 
 
+def _compare(best: Nearest, some: np.ndarray, rough: np.ndarray, margin: float, q: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
+    """Exact scores of the rows x whose rough scores (queries some x rows) come within margin of the k-th best of their query so far."""
+
+    def put(i: np.ndarray, j: np.ndarray) -> None:
+        if 8 * len(i) > rough.size:
+            whole = np.round(q[some] @ x.T, 12)
+            best.put(some[i], whole[i, j], ids[j])
+            return
+        for at in range(0, len(i), PAIRS):
+            a, b = some[i[at : at + PAIRS]], j[at : at + PAIRS]
+            best.put(a, np.round(np.einsum("ij,ij->i", q[a], x[b]), 12), ids[b])
+
+    def near() -> np.ndarray:
+        return rough >= (best.score[some, -1] - margin - 1e-6).astype(np.float32)[:, None]  # rough scores are of single precision
+
+    may, k = near(), best.k
+    many = np.flatnonzero(may.sum(axis=1) > 4 * k)
+    if len(many):  # their k best by code first: these raise what the others have to reach
+        top = np.argpartition(-rough[many], k - 1, axis=1)[:, :k]
+        put(np.repeat(many, k), top.ravel())
+        may = near()
+        may[many[:, None], top] = False
+    i, j = np.nonzero(may)
+    if len(i):
+        put(i, j)
+
+
 class Index:
     def __init__(self, spark: SparkSession, path: str, codec: Codec | None):
         self.spark, self.path, self.codec = spark, path.rstrip("/"), codec
@@ -166,7 +209,7 @@ class Index:
 
     def _save(self) -> None:
         c = self.codec
-        rows = [] if c is None else [("centre", i, 0, v.tolist()) for i, v in enumerate(c.centres)] + [("book", p, e, v.tolist()) for p, b in enumerate(c.books) for e, v in enumerate(b)] + [("tuned", 0, 0, [float(c.probes), c.rank])]
+        rows = [] if c is None else [("centre", i, 0, v.tolist()) for i, v in enumerate(c.centres)] + [("book", p, e, v.tolist()) for p, b in enumerate(c.books) for e, v in enumerate(b)] + [("tuned", 0, 0, [float(c.probes), c.margin])]
         self.spark.createDataFrame(rows, "kind string, a int, b int, v array<double>").coalesce(1).write.parquet(f"{self.path}/codec")
 
     @classmethod
@@ -206,15 +249,16 @@ class Index:
 
     # ------------------------------------------------------------ search
 
-    def search(self, queries: DataFrame, k: int = 5, probes: int | None = None, pool: int | None = None, exact: bool = False) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 5, probes: int | None = None, margin: float | None = None, exact: bool = False) -> DataFrame:
         """query_id, rank, chunk_id, score of queries (query_id, vector), as the exact search gives them.
 
-        probes: cells each query looks into; pool: candidates each query re-ranks; as tuned if not given. exact: all rows of the probed
-        cells are compared exactly, no codes are read; with all cells probed the result is that of the exact search.
+        probes: cells each query looks into; margin: rows whose score by code is less than the k-th best exact score by more than this are
+        not compared exactly; as tuned if not given. exact: all rows of the probed cells are compared exactly, no codes are read; with all
+        cells probed the result is that of the exact search.
         """
 
         def block(part: DataFrame) -> DataFrame:
-            asked = part.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector")).collect()  # at most MOST_QUERIES
+            asked = part.where("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector")).collect()  # at most BLOCKS * MOST_QUERIES
             kind = part.schema["query_id"].dataType
             schema = T.StructType([T.StructField("number", T.IntegerType()), T.StructField("query_id", kind)])
             names = self.spark.createDataFrame([(i, r.query_id) for i, r in enumerate(asked)], schema)
@@ -229,76 +273,50 @@ class Index:
             if near:
                 place, q = np.array([i for i, _ in near], np.int32), unit(np.array([v for _, v in near]))
                 tried = min(probes or codec.probes, len(codec.centres))
-                wanted = max(4 * k, pool or int(np.ceil(codec.rank / 10 * max(k, 10))))
-                found = found.unionByName(self._exact(place, q, tried, k) if exact else self._ranked(place, q, tried, k, wanted))
+                found = found.unionByName(self._exact(place, q, tried, k) if exact else self._ranked(place, q, tried, k, codec.margin if margin is None else margin))
             return top_k(found.join(F.broadcast(names), "number").select("query_id", "chunk_id", "score"), k)
 
-        return in_blocks(queries, block)
+        length = self.codec.length if self.codec is not None else ASKED
+        return in_blocks(queries, block, min(BLOCKS, max(1, ASKED // (MOST_QUERIES * length))))
 
-    def _probed(self, place: np.ndarray, q: np.ndarray, probes: int) -> tuple[dict, list[int]]:
-        """{cell: (queries that look into it, their products with its centre)}."""
+    def _probed(self, q: np.ndarray, probes: int) -> tuple[np.ndarray, list[int]]:
+        """Which queries look into each cell (cells x queries), and the cells that any looks into."""
         near = q @ self.codec.centres.T
-        best = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
-        out: dict[int, list] = {}
-        for i, cells in enumerate(best.tolist()):
-            for cell in cells:
-                out.setdefault(cell, []).append(i)
-        return {cell: (np.array(own), near[own, cell].astype(np.float32)) for cell, own in out.items()}, sorted(out)
+        out = np.zeros(near.T.shape, bool)
+        out[np.argpartition(-near, probes - 1, axis=1)[:, :probes].T, np.arange(len(q))] = True
+        return out, np.flatnonzero(out.any(axis=1)).tolist()
 
     def _in(self, cells: list[int]) -> DataFrame:
         """Rows of these cells; the filter reaches the row groups."""
         everything = len(cells) == len(self.codec.centres)
         return self.rows().where(F.col("cell") >= 0 if everything else F.col("cell").isin(cells))
 
-    def _ranked(self, place: np.ndarray, q: np.ndarray, probes: int, k: int, pool: int) -> DataFrame:
-        probed, cells = self._probed(place, q, probes)
-        shared = self.spark.sparkContext.broadcast((place, q, probed, self.codec.tables(q)))
-        parts = len(self.codec.books)
+    def _ranked(self, place: np.ndarray, q: np.ndarray, probes: int, k: int, margin: float) -> DataFrame:
+        probed, cells = self._probed(q, probes)
+        shared = self.spark.sparkContext.broadcast((place, q, probed, self.codec))
 
-        def rough(batches):
-            place, q, probed, tables = shared.value
-            score = np.full((len(q), pool), -np.inf, np.float32)
-            chunk, of = np.zeros((len(q), pool), np.int64), np.zeros((len(q), pool), np.int32)
-            for batch in batches:
-                cell, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(batch), parts)
+        def run(batches):
+            place, q, probed, codec = shared.value
+            best, asked, most = Nearest(len(q), k), q.astype(np.float32), max(1, SCORES // codec.length)
+            for batch in (whole.slice(i, most) for whole in batches for i in range(0, len(whole), most)):
+                own, x = _vectors(batch.column(3), codec.length)
+                cell, ids = batch.column(0).to_numpy()[own], batch.column(1).to_numpy()[own]
+                code = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(batch), -1)[own]
+                coded = codec.decode(cell, code)
                 order = np.argsort(cell, kind="stable")
                 for at in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
-                    if not len(at) or (own := probed.get(int(cell[at[0]]))) is None:
+                    if not len(at) or not len(some := np.flatnonzero(probed[cell[at[0]]])):
                         continue
-                    some, base = own
-                    s = np.repeat(base[:, None], len(at), axis=1)
-                    for p in range(parts):
-                        s += tables[p][some][:, codes[at, p]]
-                    better = (s >= score[some].min(axis=1, keepdims=True)).any(axis=1)  # of equal scores the least id stays
-                    some, s = some[better], s[better]
-                    both = np.concatenate([score[some], s], axis=1)
-                    chunks = np.concatenate([chunk[some], np.broadcast_to(ids[at], s.shape)], axis=1)
-                    top = np.lexsort((chunks, -both), axis=1)[:, :pool]
-                    score[some], chunk[some] = np.take_along_axis(both, top, axis=1), np.take_along_axis(chunks, top, axis=1)
-                    of[some] = np.take_along_axis(np.concatenate([of[some], np.full(s.shape, cell[at[0]], np.int32)], axis=1), top, axis=1)
-            i, j = np.nonzero(score > -np.inf)
-            yield pa.RecordBatch.from_arrays([pa.array(place[i]), pa.array(chunk[i, j]), pa.array(of[i, j]), pa.array(score[i, j].astype(np.float64))], ["number", "chunk_id", "cell", "score"])
-
-        coded = self._in(cells).select("cell", "chunk_id", "code").mapInArrow(rough, "number int, chunk_id bigint, cell int, score double")
-        best = top_k(coded.select(F.struct("number").alias("query_id"), F.struct("chunk_id", "cell").alias("chunk_id"), "score"), pool)
-        candidates = staged(best.select("query_id.number", "chunk_id.chunk_id", "chunk_id.cell"), "candidates")
-        met = self._in(cells).select("cell", "chunk_id", "embedding").join(candidates, ["cell", "chunk_id"]).select("number", "chunk_id", "embedding")
-        row = {int(n): i for i, n in enumerate(place)}
-
-        def exactly(batches):
-            _, q, _, _ = shared.value
-            for batch in batches:
-                own, x = _vectors(batch.column(2), q.shape[1])
-                number = batch.column(0).to_numpy()[own]
-                score = np.round(np.einsum("ij,ij->i", x, q[[row[n] for n in number.tolist()]]) if len(own) else np.zeros(0), 12)
-                yield pa.RecordBatch.from_arrays([pa.array(number), batch.column(1).take(pa.array(own)), pa.array(score)], ["number", "chunk_id", "score"])
+                    step = max(1, SCORES // len(some))
+                    for part in (at[i : i + step] for i in range(0, len(at), step)):
+                        _compare(best, some, asked[some] @ coded[part].T, margin, q, x[part], ids[part])
+            yield best.rows(place)
 
-        return met.mapInArrow(exactly, "number int, chunk_id bigint, score double")
+        return self._in(cells).select("cell", "chunk_id", "code", "embedding").mapInArrow(run, "number int, chunk_id bigint, score double")
 
     def _exact(self, place: np.ndarray, q: np.ndarray, probes: int, k: int) -> DataFrame:
-        probed, cells = self._probed(place, q, probes)
-        return self._compared(self._in(cells), {q.shape[1]: (place, q)}, k, {cell: own for cell, (own, _) in probed.items()})
+        probed, cells = self._probed(q, probes)
+        return self._compared(self._in(cells), {q.shape[1]: (place, q)}, k, probed)
 
     def _others(self, queries: list, k: int) -> DataFrame:
         """Queries of other lengths than the cells', against the rows of their length."""
@@ -310,22 +328,26 @@ class Index:
             return self.spark.createDataFrame([], "number int, chunk_id bigint, score double")
         return self._compared(self.rows().where(F.col("cell") == OTHER), tables, k, None)
 
-    def _compared(self, rows: DataFrame, tables: dict, k: int, probed: dict | None) -> DataFrame:
-        """Cosines of rows with the queries of their length, with those that probe their cell; the k best of each batch."""
+    def _compared(self, rows: DataFrame, tables: dict, k: int, probed: np.ndarray | None) -> DataFrame:
+        """Cosines of rows with the queries of their length, with those that probe their cell; the k best of each task."""
         shared = self.spark.sparkContext.broadcast((tables, probed))
 
         def run(batches):
             tables, probed = shared.value
+            best = {n: Nearest(len(place), k) for n, (place, _) in tables.items()}
             for batch in batches:
                 cell, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                for n, (place, q) in tables.items():
+                for n, (_, q) in tables.items():
                     own, x = _vectors(batch.column(2), n)
                     for at in np.split(np.arange(len(own)), np.flatnonzero(np.diff(cell[own])) + 1) if len(own) else []:
-                        some = np.arange(len(place)) if probed is None else probed.get(int(cell[own[at[0]]]), np.zeros(0, np.int64))
-                        score = np.round(q[some] @ x[at].T, 12)
-                        for i, s in zip(some.tolist(), score):
-                            top = np.lexsort((ids[own[at]], -s))[:k]
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), place[i], np.int32)), pa.array(ids[own[at]][top]), pa.array(s[top])], ["number", "chunk_id", "score"])
+                        some = np.arange(len(q)) if probed is None else np.flatnonzero(probed[cell[own[at[0]]]])
+                        step = max(1, SCORES // max(1, len(some)))
+                        for part in (at[i : i + step] for i in range(0, len(at), step)):
+                            score = np.round(q[some] @ x[part].T, 12)
+                            i, j = np.nonzero(score >= best[n].score[some, -1:])
+                            best[n].put(some[i], score[i, j], ids[own[part]][j])
+            for n, (place, _) in tables.items():
+                yield best[n].rows(place)
 
         return rows.select("cell", "chunk_id", "embedding").mapInArrow(run, "number int, chunk_id bigint, score double")
 

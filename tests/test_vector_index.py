@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,45 @@ def test_equal_vectors_come_by_id(spark):
     assert [r.chunk_id for r in index.search(q, 5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
 
 
+def test_candidates_are_compared_where_they_lie(spark, made):
+    """No table of candidates, whose number would grow with queries times rows: one scan, of which k rows a query and task come."""
+    _, index = made
+    q = queries_of(made[0]).where("query_id < 3000")
+    plan = index.search(q, 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "SortMergeJoin" not in plan
+    asked = V.unit(np.array([r.vector for r in q.orderBy("query_id").collect()]))
+    found = index._ranked(np.arange(len(asked), dtype=np.int32), asked, 3, 10, 10.0)
+    assert 0 < found.count() <= 10 * len(asked) * found.rdd.getNumPartitions()
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_rows_within_the_margin_are_compared(copies, monkeypatch):
+    """Slices in any order give the exact search's rows if the margin covers what codes are wrong by; few others are compared."""
+    r = np.random.default_rng(5)
+    x = np.repeat(V.unit(r.standard_normal((4000 // copies, 16))), copies, axis=0)
+    wrong = 0.02 * r.uniform(-1, 1, (9, len(x)))
+    q, ids = V.unit(r.standard_normal((20, 16))), r.permutation(len(x))
+    some = np.arange(3, 12)
+    compared = []
+    put = R.Nearest.put
+    monkeypatch.setattr(R.Nearest, "put", lambda self, i, *rest: compared.append(len(i)) or put(self, i, *rest))
+    best = R.Nearest(len(q), 5)
+    for at in np.split(np.arange(len(x)), [7, 9, 1000, 2500]):
+        V._compare(best, some, (q[some] @ x[at].T + wrong[:, at]).astype(np.float32), 0.02, q, x[at], ids[at])
+    exact = np.round(q[some] @ x.T, 12)
+    for i, s in zip(some, exact):
+        order = np.lexsort((ids, -s))[:5]
+        assert best.id[i].tolist() == ids[order].tolist() and np.allclose(best.score[i], s[order], atol=1e-11)
+    assert (best.score[:3] == -np.inf).all() and (best.score[12:] == -np.inf).all()
+    assert sum(compared) < exact.size / 5
+
+
+def test_vectors_of_a_sliced_batch():
+    column = pa.array([[1.0, 2.0], None, [3.0], [3.0, 4.0], [0.0, 0.0], [0.0, 5.0]], pa.list_(pa.float32()))
+    own, x = V._vectors(column.slice(2, 4), 2)
+    assert own.tolist() == [1, 3] and np.allclose(x, [[0.6, 0.8], [0.0, 1.0]])
+
+
 def test_filter_on_cells_reaches_the_scan(spark, made):
     _, index = made
     plan = index._in([1, 2])._jdf.queryExecution().toString()
