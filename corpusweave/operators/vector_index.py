@@ -5,7 +5,8 @@ every row is coded. Rows lie on disk by cell, so that a search skips the row gro
 large share of the rows is spread over files by a hash of the id. A search reads the probed cells once for each block of queries: a row's score by
 its code is its decoded vector's product with the query, a matrix product for each slice of a cell; what comes within ``margin`` of the k-th
 best of its query so far is compared exactly where it lies, and only the k best of each query leave a task. So a task holds one slice of scores and
-k rows a query, whatever the number of rows. How many cells are probed, and the margin, are set when the index is built, from
+k rows a query, whatever the number of rows. What a task compares rests on the rows it has met, so other file
+boundaries can bring in a few more true neighbours; what comes within margin of the k best of all rows is always compared. How many cells are probed, and the margin, are set when the index is built, from
 where the true neighbours of some sampled vectors lie, for a share of TARGET of them.
 
 Rows without a vector, and vectors without a direction, are not found, as in the exact search. Vectors of another length than the sample's most
@@ -125,18 +126,21 @@ class Codec:
         some = np.random.default_rng(seed).permutation(len(x))[:TUNED]
         cell, code = self.encode(x)
         q = x[some]
-        exact = q @ x.T
-        exact[np.arange(len(some)), some] = -np.inf
         k = min(k, len(x) - 1)
         if k < 1:
             self.probes, self.margin = len(self.centres), np.inf
             return
-        best = np.argpartition(-exact, k - 1, axis=1)[:, :k]
+        best, last = np.zeros((len(q), k), np.int64), np.zeros((len(q), 1))
+        for i in range(0, len(q), 16):
+            own = some[i : i + 16]
+            exact = q[i : i + 16] @ x.T
+            exact[np.arange(len(own)), own] = -np.inf
+            best[i : i + 16] = at = np.argpartition(exact, len(x) - k, axis=1)[:, len(x) - k :]
+            last[i : i + 16] = np.take_along_axis(exact, at, axis=1).min(axis=1, keepdims=True)
         near = q @ self.centres.T
         place = np.empty_like(near, dtype=np.int64)
         np.put_along_axis(place, np.argsort(-near, axis=1), np.arange(near.shape[1])[None], axis=1)
         self.probes = int(np.quantile(np.take_along_axis(place, cell[best], axis=1), TARGET, method="higher")) + 1
-        last = np.take_along_axis(exact, best, axis=1).min(axis=1, keepdims=True)
         rough = np.einsum("ij,ikj->ik", q, self.decode(cell[best.ravel()], code[best.ravel()]).reshape(*best.shape, -1))
         self.margin = max(0.0, float(np.quantile(last - rough, TARGET, method="higher")))
 
@@ -194,13 +198,11 @@ class Index:
         path = path or new_folder(spark, "vectors")
         share = min(1.0, sample_rows / max(n, 1), sample_bytes / 8 / max(size, 1))
         die = F.shiftrightunsigned(F.xxhash64("chunk_id", F.lit(17)), 11) / float(1 << 53)
-        drawn = rows.where(die <= share).orderBy(die, "chunk_id").limit(2 * sample_rows).collect()
-        lengths = [len(r.embedding) for r in drawn]
+        drawn = rows.where(die <= share).orderBy(die, "chunk_id").limit(2 * sample_rows).select("embedding").toArrow().column(0).combine_chunks()
         codec = None
-        if lengths:
-            length = max(set(lengths), key=lambda m: (lengths.count(m), -m))
-            x = unit(np.array([r.embedding for r in drawn if len(r.embedding) == length and None not in r.embedding], np.float64).reshape(-1, length))
-            x = x[np.isfinite(x).all(axis=1)]
+        if len(drawn):
+            sizes, often = np.unique(np.diff(drawn.offsets.to_numpy()), return_counts=True)
+            _, x = _vectors(drawn, int(sizes[often.argmax()]))
             codec = Codec.fit(x, n, cells) if len(x) else None
         own = cls(spark, path, codec)
         own._save()
