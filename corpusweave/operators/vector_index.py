@@ -5,9 +5,9 @@ every row is coded. Rows lie on disk by cell, so that a search skips the row gro
 large share of the rows is spread over files by a hash of the id. A search reads the probed cells once for each block of queries: a row's score by
 its code is its decoded vector's product with the query, a matrix product for each slice of a cell; what comes within ``margin`` of the k-th
 best of its query so far is compared exactly where it lies, and only the k best of each query leave a task. So a task holds one slice of scores and
-k rows a query, whatever the number of rows. What a task compares rests on the rows it has met, so other file
-boundaries can bring in a few more true neighbours; what comes within margin of the k best of all rows is always compared. How many cells are probed, and the margin, are set when the index is built, from
-where the true neighbours of some sampled vectors lie, for a share of TARGET of them.
+k rows a query, whatever the number of rows. What a task compares rests on the rows it has met, so other file boundaries can bring in a few more
+true neighbours; what comes within margin of the k-th best of all rows is always compared. How many cells are probed, and the margin, are
+set when the index is built, from where the true neighbours of some sampled vectors lie, for a share of TARGET of them.
 
 Rows without a vector, and vectors without a direction, are not found, as in the exact search. Vectors of another length than the sample's most
 frequent one are kept in a cell of their own and compared exactly.
