@@ -6,6 +6,10 @@ the texts by shard, so that those of a shard can be read without the others. A t
 search reads their buckets, counts for each text how many of a pattern's trigrams it has, and compares the texts that have all.
 Patterns without a run of three characters have no trigram: they are compared with every text.
 
+MANY patterns and more at once have candidates in nearly every shard. Then each shard's texts are read once, as one array of characters with
+the places of every four characters in it: a pattern's pieces are looked up at the places of their rarest four, and pieces follow each other by binary
+search, for all texts of the shard together. No text is sent, copied or walked through for a single pattern.
+
 Folding is the simple lower case of each character, of texts and patterns alike. ``%`` stands for any characters and ``_`` for one; there is no
 escape. A null text or pattern matches nothing; the empty pattern matches the empty text alone.
 """
@@ -27,7 +31,12 @@ from ..sources.staging import hadoop_path, new_folder, staged
 
 SHARD, BUCKETS = 1024, 64
 SHARD_CHARS = 4 << 20  # a shard ends behind the text with which it passes this
-BLOCK_PATTERNS, BLOCK_GRAMS = 1000, 1 << 18
+#: Patterns and characters of one block.
+BLOCK_PATTERNS, BLOCK_GRAMS = 1 << 16, 1 << 22
+#: So many patterns at least meet the places of characters in whole shards instead of the stored postings.
+MANY = 64
+#: Matches in one Arrow batch, about.
+MATCHES = 1 << 18
 MOST_SHARDS = 4096  # in a pushed-down list
 GRAMS = "shard bigint, bucket int, grams binary, sizes binary, texts binary"
 TEXTS = "shard bigint, place int, id bigint, text string"
@@ -110,13 +119,137 @@ class Matcher:
         return True
 
 
+class Places:
+    """The texts of a shard as one array of folded characters, numbered by the shard's alphabet, a 0 behind each, with the places of every four characters,
+    by a 16-bit hash. Four characters are one integer, which is compared; where the alphabet is too large for that it's a hash, and
+    the characters are compared too."""
+
+    def __init__(self, texts: list[str]):
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.ends = np.cumsum(self.sizes + 1) - 1
+        self.starts = self.ends - self.sizes
+        codes = fold("\n".join([*texts, ""]))
+        seen = np.zeros(0x110000, bool)
+        seen[codes] = True
+        alphabet = np.flatnonzero(seen)
+        number = np.zeros(0x110000, np.min_scalar_type(len(alphabet)))
+        number[alphabet] = np.arange(1, len(alphabet) + 1)
+        self.codes, self.exact = number[codes], len(alphabet) < 256
+        self.codes[self.ends] = 0
+        self.number = {chr(c): i for i, c in enumerate(alphabet.tolist(), 1)}
+        self.quads = self._quad(*(self.codes[j : len(codes) - 3 + j].astype(np.uint32) for j in range(4))) if len(codes) > 3 else np.zeros(0, np.uint32)
+        own = self._slot(self.quads).astype(np.uint16)
+        self.order = np.argsort(own, kind="stable").astype(np.int32)  # radix sort
+        self.first = [0, *np.cumsum(np.bincount(own, minlength=1 << 16)).tolist()]
+        self.sorted = self.quads[self.order]
+        self.last: tuple = (None, None, None)
+
+    def _quad(self, a, b, c, d):
+        """Of numbers or of arrays of 32-bit integers."""
+        if self.exact:
+            return a << 24 | b << 16 | c << 8 | d
+        for x in (b, c, d):
+            a = a * 0x01000193 & 0xFFFFFFFF ^ x
+        return a
+
+    @staticmethod
+    def _slot(quad):
+        return (quad * 0x9E3779B1 & 0xFFFFFFFF) >> 16
+
+    def _agree(self, at: np.ndarray, own: list, done: int = -4) -> np.ndarray:
+        """Of the places at those where a piece stands: its characters' numbers, None for any. done: where four of them are known to stand."""
+        j = 0
+        while j < len(own) and len(at):
+            four = own[j : j + 4]
+            if self.exact and len(four) == 4 and None not in four:
+                if j != done:
+                    at = at[self.quads[at + j] == self._quad(*four)]
+                j += 4
+                continue
+            if not (self.exact and done <= j < done + 4):
+                x = self.codes[at + j]
+                at = at[x > 0 if own[j] is None else x == own[j]]
+            j += 1
+        return at
+
+    def _numbers(self, piece: str) -> list | None:
+        """None if the shard lacks one of the characters."""
+        own = [None if x == "_" else self.number.get(x, 0) for x in piece]
+        return None if 0 in own else own
+
+    def find(self, piece: str) -> np.ndarray:
+        """Rising places where a piece (not empty) stands."""
+        own = self._numbers(piece)
+        least, off, last = None, 0, len(self.codes) - len(piece)
+        if own is None or last < 0:
+            return np.zeros(0, np.int64)
+        for j in range(len(own) - 3):
+            if None not in own[j : j + 4]:
+                quad = self._quad(*own[j : j + 4])
+                slot = self._slot(quad)
+                size = self.first[slot + 1] - self.first[slot]
+                if least is None or size < least:
+                    least, off, value, some = size, j, quad, slice(self.first[slot], self.first[slot + 1])
+        if least is None:  # not four characters in a row: all places
+            at = np.flatnonzero(self.codes[: last + 1] > 0 if own[0] is None else self.codes[: last + 1] == own[0])
+            return self._agree(at, own)
+        at = self.order[some][self.sorted[some] == value].astype(np.int64) - off
+        at = at[(at >= 0) & (at <= last)]
+        return at if self.exact and len(own) == 4 else self._agree(at, own, off)
+
+    def _first(self, piece: str) -> tuple[np.ndarray, np.ndarray]:
+        """The texts that have a piece, and where it first stands in each."""
+        if self.last[0] != piece:
+            at = self.find(piece)
+            text = np.searchsorted(self.ends, at)
+            new = np.ones(len(at), bool)
+            new[1:] = text[1:] != text[:-1]
+            self.last = piece, text[new], at[new]
+        return self.last[1:]
+
+    def _stands(self, piece: str, at: np.ndarray) -> np.ndarray:
+        """Whether a piece stands at each of the places."""
+        own = self._numbers(piece)
+        return np.zeros(len(at), bool) if own is None else np.isin(at, self._agree(at, own))
+
+    def match(self, pattern: str) -> np.ndarray:
+        """The texts (their numbers, rising) that match a folded pattern."""
+        head, *rest = pattern.split("%")
+        text, at = None, None
+        if head or not rest:
+            text = np.flatnonzero(self.sizes >= len(head) if rest else self.sizes == len(head))
+            text = text[self._stands(head, self.starts[text])]
+            at = self.starts[text] + len(head)
+        if not rest:
+            return text
+        tail = rest.pop()
+        for piece in filter(None, rest):
+            if text is None:
+                text, at = self._first(piece)
+            else:
+                places = self.find(piece)
+                i = np.searchsorted(places, at)
+                some = i < len(places)
+                text, at = text[some], places[i[some]]
+            at = at + len(piece)
+            some = at <= self.ends[text]
+            text, at = text[some], at[some]
+        if text is None:
+            text, at = np.arange(len(self.sizes)), self.starts
+        if tail:
+            some = at <= self.ends[text] - len(tail)
+            text = text[some]
+            text = text[self._stands(tail, self.ends[text] - len(tail))]
+        return text
+
+
 class SubstringIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     @classmethod
     def build(cls, docs: DataFrame, path: str | None = None) -> SubstringIndex:
-        """docs: id, text. Writes the index to a path that nothing uses yet."""
+        """docs: id, text. Writes the texts of the index to a path that nothing uses yet; its postings are written when a search first asks for them."""
         spark = docs.sparkSession
         own = cls(spark, path or new_folder(spark, "trigrams"))
         own.add(docs)
@@ -148,17 +281,22 @@ class SubstringIndex:
 
         rows = spread(docs.select(F.col("id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null"))
         rows.mapInArrow(number, TEXTS).write.mode("append").option("parquet.block.size", 8 << 20).parquet(f"{self.path}/texts")
-        made = self.texts().where(F.shiftright("shard", 40) == generation)
-        together = made.repartition("shard").sortWithinPartitions("shard", "place")
-        together.select("shard", "place", "text").mapInArrow(_packed, GRAMS).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/grams")
 
     def texts(self) -> DataFrame:
         return self.spark.read.schema(TEXTS).parquet(f"{self.path}/texts")
 
     def _grams(self) -> DataFrame:
-        fs, path = hadoop_path(self.spark, f"{self.path}/grams/_SUCCESS")
-        schema = "shard bigint, grams binary, sizes binary, texts binary, bucket int"
-        return self.spark.read.schema(schema).parquet(f"{self.path}/grams") if fs.exists(path) else self.spark.createDataFrame([], schema)
+        """The postings; those of texts that have none yet are written."""
+        paths = []
+        for generation in [r[0] for r in self.texts().select(F.shiftright("shard", 40)).distinct().collect()]:  # one for each add
+            paths.append(f"{self.path}/grams/generation={generation}")
+            fs, done = hadoop_path(self.spark, f"{paths[-1]}/_SUCCESS")
+            if not fs.exists(done):
+                made = self.texts().where(F.shiftright("shard", 40) == generation)
+                together = made.repartition("shard").sortWithinPartitions("shard", "place")
+                together.select("shard", "place", "text").mapInArrow(_packed, GRAMS).write.mode("overwrite").partitionBy("bucket").parquet(paths[-1])
+        schema = "shard bigint, grams binary, sizes binary, texts binary, generation bigint, bucket int"
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/grams").parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def candidates(self, patterns: list[str]) -> DataFrame:
         """number, shard, place of the texts that have all trigrams of a pattern (numbered in this list), of those that have one."""
@@ -222,7 +360,7 @@ class SubstringIndex:
         return met.repartition("shard").sortWithinPartitions("shard").mapInArrow(count, "number int, shard bigint, place int")
 
     def search(self, patterns: DataFrame) -> DataFrame:
-        """pattern_id, id of the texts that match patterns (pattern_id, pattern), in blocks of bounded size, whose results are written."""
+        """pattern_id, id of the texts that match patterns (pattern_id, pattern), in blocks of bounded size; the results of more than one are written."""
         kind = patterns.schema["pattern_id"].dataType
         schema = T.StructType([T.StructField("pattern_id", kind), T.StructField("id", T.LongType())])
         asked = staged(patterns.where("pattern is not null").select("pattern_id", "pattern"), "patterns")
@@ -230,31 +368,80 @@ class SubstringIndex:
         blocks = max(1, -(-n // BLOCK_PATTERNS), -(-size // BLOCK_GRAMS))
         if blocks > 1:
             blocks *= 2
+        if not n:
+            return self.spark.createDataFrame([], schema)
+        if blocks == 1:
+            return self._matches(asked.collect(), schema)  # bounded above
         path = new_folder(self.spark, "matches")
         for b in range(blocks):
             rows = asked.where(F.pmod(F.xxhash64("pattern_id", "pattern"), F.lit(blocks)) == b).collect()  # bounded above
             if rows:
                 self._matches(rows, schema).write.mode("append").parquet(path)
-        return self.spark.read.schema(schema).parquet(path) if n else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)
 
     def _matches(self, rows: list, schema: T.StructType) -> DataFrame:
-        patterns = [r.pattern for r in rows]
-        names = self.spark.createDataFrame([(i, r.pattern_id) for i, r in enumerate(rows)], T.StructType([T.StructField("number", T.IntegerType()), schema["pattern_id"]]))
+        place = {p: i for i, p in enumerate(sorted({r.pattern for r in rows}, key=folded))}  # equal ones are met once, equal beginnings one after the other
+        names = self.spark.createDataFrame([(place[r.pattern], r.pattern_id) for r in rows], T.StructType([T.StructField("number", T.IntegerType()), schema["pattern_id"]]))
+        out = self._many(list(place)) if len(place) >= MANY else self._few(list(place))
+        return out.join(F.broadcast(names), "number").select(*schema.names)
+
+    def _many(self, patterns: list[str]) -> DataFrame:
+        """number, id of the texts that match; every text is read once."""
+        shared = self.spark.sparkContext.broadcast([folded(p) for p in patterns])
+
+        def run(batches):
+            ids, texts, held = [], [], 0
+
+            def close():
+                places, own, out, size = Places(texts), np.array(ids, np.int64), [], 0
+                for i, pattern in enumerate(shared.value):
+                    found = places.match(pattern)
+                    if len(found):
+                        out.append((i, found))
+                        size += len(found)
+                    if size >= MATCHES:
+                        yield batch_of(out, own)
+                        out, size = [], 0
+                if out:
+                    yield batch_of(out, own)
+
+            def batch_of(out, own):
+                number = np.repeat(np.array([i for i, _ in out], np.int32), [len(x) for _, x in out])
+                return pa.RecordBatch.from_arrays([pa.array(number), pa.array(own[np.concatenate([x for _, x in out])])], ["number", "id"])
+
+            for batch in batches:
+                for id_, text in zip(*(col.to_pylist() for col in batch.columns)):
+                    ids.append(id_)
+                    texts.append(text)
+                    held += len(text)
+                    if len(ids) == SHARD or held >= SHARD_CHARS:
+                        yield from close()
+                        ids, texts, held = [], [], 0
+            if ids:
+                yield from close()
+
+        return spread(self.texts().select("id", "text")).mapInArrow(run, "number int, id bigint")
+
+    def _few(self, patterns: list[str]) -> DataFrame:
+        """The same by the stored postings: candidates are compared."""
         shared = self.spark.sparkContext.broadcast(patterns)
         short = [i for i, p in enumerate(patterns) if not len(pattern_grams(p))]
         found = staged(self.candidates(patterns), "candidates")
         shards = [r.shard for r in found.select("shard").distinct().limit(MOST_SHARDS + 1).collect()]
         texts = self.texts() if len(shards) > MOST_SHARDS else self.texts().where(F.col("shard").isin(shards))
+        found = found.groupBy("shard", "place").agg(F.collect_list("number").alias("numbers"))  # of one text, fewer than MANY
 
         def verify(batches):
             own = {}
             for batch in batches:
                 out = []
-                for number, id_, text in zip(*(col.to_pylist() for col in batch.columns)):
-                    if number not in own:
-                        own[number] = Matcher(shared.value[number])
-                    if own[number](folded(text)):
-                        out.append((number, id_))
+                for numbers, id_, text in zip(*(col.to_pylist() for col in batch.columns)):
+                    low = folded(text)
+                    for number in numbers:
+                        if number not in own:
+                            own[number] = Matcher(shared.value[number])
+                        if own[number](low):
+                            out.append((number, id_))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([x for _, x in out], pa.int64())], ["number", "id"])
 
@@ -267,10 +454,10 @@ class SubstringIndex:
                     if hits:
                         yield pa.RecordBatch.from_arrays([pa.array(hits, pa.int32()), pa.array([id_] * len(hits), pa.int64())], ["number", "id"])
 
-        out = texts.join(found, ["shard", "place"]).select("number", "id", "text").mapInArrow(verify, "number int, id bigint")
+        out = texts.join(found, ["shard", "place"]).select("numbers", "id", "text").mapInArrow(verify, "number int, id bigint")
         if short:
             out = out.unionByName(spread(self.texts().select("id", "text")).mapInArrow(scan, "number int, id bigint"))
-        return out.join(F.broadcast(names), "number").select(*schema.names)
+        return out
 
 
 def _packed(batches):

@@ -94,3 +94,32 @@ def test_patterns_in_upper_case_keep_their_length(spark, tmp_path):
     rows = [(50, "1234567auß xnschen"), (51, "vor auß ynsch nach"), (52, "vor auss ynsch nach"), (100, None), (150, "1234567ﬁŉǰ_ſıςµ")]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(map(tuple, catalogue.substring_search(spark, str(tmp_path)).collect())) == [(50, 50), (50, 51), (150, 150)]
+
+
+def test_many_patterns_meet_a_text_once(spark, rows, tmp_path):
+    """No candidates are written and no text is sent for a single pattern; the same rows as ILIKE, several ids of one pattern too."""
+    index = S.SubstringIndex.build(spark.createDataFrame(rows, "id bigint, text string").repartition(3), f"{tmp_path}/index")
+    r = random.Random(8)
+    patterns = PATTERNS + ["%" + "".join(r.choice("abcde_% ") for _ in range(r.choice([4, 5, 9]))) + r.choice(["%", ""]) for _ in range(80)] + PATTERNS[:3]
+    got = index.search(asked(spark, patterns))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in plan and "SortMergeJoin" not in plan and sorted(p.name for p in (tmp_path / "index").iterdir()) == ["texts"]
+    assert sorted(map(tuple, got.collect())) == want(rows, patterns)
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_places_equal_ilike(rows, wide):
+    """Also where four characters don't fit into an integer, and texts and patterns shorter than four."""
+    own = [t for _, t in rows[:600] + rows[-len(ODD) :] if t is not None] + ["".join(map(chr, range(1000, 1600)))] * wide
+    places, r = S.Places(own), random.Random(7)
+    assert places.exact != wide
+    patterns = list(PATTERNS)
+    for _ in range(200):
+        t = r.choice(own)
+        a = r.randrange(len(t) + 1)
+        p = list(t[a : a + r.choice([2, 6, 12])])
+        for _ in range(r.randrange(3) * bool(p)):
+            p[r.randrange(len(p))] = r.choice("%_")
+        patterns.append(r.choice(["%", ""]) + "".join(p) + r.choice(["%", ""]))
+    for p in patterns:
+        assert places.match(S.folded(p)).tolist() == [i for i, t in enumerate(own) if like(p, t)], p
