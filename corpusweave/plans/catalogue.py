@@ -92,9 +92,9 @@ def all_queries(spark, d):
 
 
 def keyword_index(spark, d, analyzer="simple"):
-    """The keyword index of all documents, built once a session."""
+    """The keyword index of all documents for many queries at once, built once a session."""
     texts = table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return kept(spark, f"keyword-{analyzer}", [f"{d}/documents.parquet"], lambda: K.build(I.terms(texts, analyzer)))
+    return kept(spark, f"keyword-{analyzer}", [f"{d}/documents.parquet"], lambda: K.build_whole(I.terms(texts, analyzer)))
 
 
 def vectors_of(spark, d):
@@ -156,7 +156,7 @@ def keyword_or_rank(spark, d):
 @query()
 def keyword_english(spark, d):
     english, queries = I.english(spark), all_queries(spark, d)
-    lex = queries.withColumn("terms", F.array_distinct(english("q"))).select("query_id", F.explode("terms").alias("lexeme"), F.size("terms").alias("n"))
+    lex = queries.withColumn("terms", F.array_distinct(english("q"))).select("query_id", F.col("terms").alias("own"), F.size("terms").alias("n"))
     return rounded(R.keyword_search(keyword_index(spark, d, "english"), queries, 10, lex))
 
 

@@ -147,3 +147,82 @@ def test_lexemes_of_queries_are_hashed_once_a_batch(spark, index, rows, monkeypa
     out = [r for b in K._matching(Shared)(batches) for r in b.to_pylist()]
     assert sum(len(b) for b in batches) > len(batches) == len(calls)
     assert len({r["shard"] for r in out if r["words"]}) == index.where("bucket = -1").count()
+
+
+@pytest.fixture(scope="module")
+def whole(spark, rows):
+    return K.build_whole(I.terms(spark.createDataFrame(rows, "chunk_id bigint, text string").repartition(5))).cache()
+
+
+def many(rows, seed=11, n=150):
+    r = random.Random(seed)
+    return ASKED + [(100 + i, " ".join(r.choice(rows[:2500])[1].split()[: r.choice([1, 3, 30])])) for i in range(n)]
+
+
+@pytest.mark.parametrize("richest, most", [(1, 10_000), (2, 10_000), (50, 10_000), (1, 40)])
+def test_whole_shards_equal_plain_scoring(spark, whole, rows, monkeypatch, richest, most):
+    """The richest shards first, then the others above their scores; in blocks of queries too."""
+    monkeypatch.setattr(K, "RICHEST", richest)
+    monkeypatch.setattr(K, "WHOLE_QUERIES", most)
+    asked = many(rows)
+    assert whole.count() == 5
+    same(answers(R.keyword_search(whole, spark.createDataFrame(asked, "query_id bigint, q string"), 7)), plain(rows, asked, 7))
+
+
+def scored_here(index, asked, k, floor, monkeypatch=None, **constants):
+    for name, value in constants.items():
+        monkeypatch.setattr(K, name, value)
+    own = [sorted(set((t or "").split())) for _, t in asked]
+
+    class Shared:
+        value = K.Queries.of(own, [len(x) for x in own]), floor
+
+    class Count(list):
+        def add(self, n):
+            self.append(n)
+
+    count = Count(), Count()
+    batches = index.select("lexemes", "hashes", "sizes", "tops", "chunks", "tfs", "ids").toArrow().to_batches()
+    out = [x for b in K._scored_whole(Shared, k, count)(batches) for x in b.to_pylist()]
+    got = {}
+    for x in out:
+        got.setdefault(asked[x["number"]][0], []).append((x["chunk_id"], x["score"]))
+    return got, *(sum(c) for c in count)
+
+
+@pytest.mark.parametrize("constants", [{}, {"EARLY": 0.0}, {"EARLY": 1.0}, {"CELLS": 1, "PRODUCTS": 50}, {"TABLED": 1}, {"CELLS": 3000, "TABLED": 3, "EARLY": 0.5}])
+def test_chunks_are_pruned_by_a_floor(whole, rows, monkeypatch, constants):
+    """With each query's k-th score known, all that reach it are found, whatever is left to look-ups."""
+    asked = many(rows)
+    want = plain(rows, asked, 7)
+    floor = np.array([want[q][6][1] if len(want.get(q, [])) == 7 else -1.0 for q, _ in asked])
+    got, all_products, made = scored_here(whole, asked, 7, floor, monkeypatch, **constants)
+    same(got, want)
+    if not constants:
+        assert all_products > 100_000 and made < 0.7 * all_products
+
+
+def test_lexemes_with_one_hash_are_told_apart(whole, rows, monkeypatch):
+    asked = many(rows, n=5)
+    monkeypatch.setattr(K, "_hashes", lambda words: np.array([len(w) for w in words.to_pylist()], np.uint64))
+    words = K._Words(K.pa.array(["aa", "bb", "c"]))
+    own, word = words(np.array([1, 2, 2, 3], np.uint64), K.pa.array(["c", "bb", "xx", "yyy"]))
+    assert list(zip(own.tolist(), word.tolist())) == [(0, 2), (1, 1)]
+
+
+def test_whole_shards_of_bounded_size_hold_every_chunk_that_has_lexemes(rows, monkeypatch):
+    monkeypatch.setattr(K, "WHOLE_CHUNKS", 100)
+    monkeypatch.setattr(K, "WHOLE_POSTINGS", 900)
+    text = {i: t.split() for i, t in rows if t and t != "?!"}
+    ids = sorted(text)
+    lists = [sorted(set(text[i])) for i in ids]
+    parts = [(np.array(ids[a::2]), np.array([len(x) for x in lists[a::2]]), K.pa.array([w for x in lists[a::2] for w in x]).dictionary_encode(), np.array([min(text[i].count(w), 255) for i, x in zip(ids[a::2], lists[a::2]) for w in x], np.uint8)) for a in (0, 1)]
+    seen, last = {}, math.inf
+    for rich, lexemes, _, sizes, tops, chunks, tfs, own in K._whole_rows(parts):
+        sizes, tops, chunks, tfs, own = (np.frombuffer(x, kind) for x, kind in ((sizes, "<i4"), (tops, np.uint8), (chunks, "<u2"), (tfs, np.uint8), (own, "<i8")))
+        assert len(own) <= 100 and (len(tfs) <= 900 or len(own) == 1) and rich <= last
+        last = rich
+        for w, n, top, end in zip(lexemes.to_pylist(), sizes.tolist(), tops.tolist(), np.cumsum(sizes).tolist()):
+            assert top == tfs[end - n : end].max() and (np.diff(chunks[end - n : end].astype(int)) > 0).all()
+            seen |= {(int(own[c]), w): int(f) for c, f in zip(chunks[end - n : end].tolist(), tfs[end - n : end].tolist())}
+    assert seen == {(i, w): min(text[i].count(w), 255) for i in ids for w in text[i]}
