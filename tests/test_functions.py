@@ -198,3 +198,11 @@ def test_page_index_answers_as_a_walk_would():
             assert page.commas(i) == page.clean_of(i).count(",")
             assert page.linked(i) == sum(len(page.text_of(a)) for a in page.below(i, page.of("a")))
             assert all(page.parents[k] >= i for k in range(i + 1, page.ends[i]))
+
+
+def test_a_word_is_stemmed_once():
+    from corpusweave.functions import analyze
+
+    analyze.stem.cache_clear()
+    assert analyze.english_tokens("Running dogs, running dogs: running", frozenset()) == ["run", "dog", "run", "dog", "run"]
+    assert (analyze.stem.cache_info().misses, analyze.stem.cache_info().hits) == (2, 3)
