@@ -27,6 +27,8 @@ from ..sources.staging import staged, unstage
 
 BITS, DIMENSIONS, OVER, POWER = 15, 64, 16, 3
 STEP = 1 << 11
+DENSE, ROWS = 1 << 13, 512  # buckets of the most texts, which are multiplied as dense matrices of so many texts
+KNOWN = 1 << 17  # words whose buckets a worker keeps
 SLICES = 64  # blocks of buckets in which partial products are sent
 WORD = re.compile(r"[^\W_]+")
 
@@ -46,7 +48,11 @@ class LatentEmbedder:
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = []
         for text in texts:
-            buckets = np.array([bucket_of(w, self.bits) for w in WORD.findall((text or "").lower())], np.int64)
+            words = WORD.findall((text or "").lower())
+            if len(self.known) > KNOWN:
+                self.known.clear()
+            known = self.known
+            buckets = np.array([known[w] if w in known else known.setdefault(w, bucket_of(w, self.bits)) for w in words], np.int64)
             at, tf = np.unique(buckets, return_counts=True)
             v = ((1 + np.log(tf)) * self.idf[at]) @ self.basis[at] if len(at) else np.zeros(self.dimensions)
             n = np.linalg.norm(v)
@@ -93,24 +99,32 @@ def _product(rows: DataFrame, idf: np.ndarray, q: np.ndarray) -> np.ndarray:
     def multiply(batches):
         idf, q = shared.value
         total, some = np.zeros((size, width)), False
-        for batch in batches:
-            if not len(batch):
-                continue
+        common = np.argsort(np.where(idf > 0, idf, np.inf), kind="stable")[:DENSE]
+        column = np.full(size, -1)
+        column[common] = np.arange(len(common))
+        thin, sums = q[common].astype(np.float32), np.zeros((len(common), width))
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, len(b), ROWS)):
             row, bucket, w = _weights(batch, idf)
             if not len(row):
                 continue
             some = True
-            y = np.zeros((len(batch), width))
+            dense = np.zeros((len(batch), len(common)), np.float32)
+            rare = column[bucket] < 0
+            dense[row[~rare], column[bucket[~rare]]] = w[~rare]
+            row, bucket, w = row[rare], bucket[rare], w[rare]
+            y = (dense @ thin).astype(np.float64)
             for at in range(0, len(row), STEP):  # of so many weights at a time, which stay in the processor's cache
                 part = slice(at, at + STEP)
                 own, first = np.unique(row[part], return_index=True)
                 y[own] += np.add.reduceat(w[part, None] * q[bucket[part]], first, axis=0)
+            sums += dense.T @ y.astype(np.float32)
             order = np.argsort(bucket, kind="stable")
             row, bucket, w = row[order], bucket[order], w[order]
             for at in range(0, len(row), STEP):
                 part = slice(at, at + STEP)
                 own, first = np.unique(bucket[part], return_index=True)
                 total[own] += np.add.reduceat(w[part, None] * y[row[part]], first, axis=0)
+        total[common] += sums
         if some:
             for i in range(SLICES):
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[i * step : (i + 1) * step].tobytes()], pa.binary())], ["slice", "sums"])

@@ -21,6 +21,8 @@ from .keyword_index import PI2_6  # noqa: F401
 RRF, POOL = 60, 10
 #: Queries in one broadcast; more are searched in blocks of so many.
 MOST_QUERIES = 1000
+#: Numbers of the vectors of one block of queries; each pass over the chunks costs more than its products if a block is small.
+QUERY_NUMBERS = 1 << 20
 #: Scores of queries and chunks that are held at a time, and what stands for a null id while they are.
 SCORES, LEAST_ID = 1 << 20, -(1 << 63)
 
@@ -50,8 +52,8 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 def vector_search(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Exact cosine top-k. chunks: chunk_id, embedding; queries: query_id, vector. Rows without a vector are skipped.
 
-    A block of queries is broadcast as one matrix; slices of every Arrow batch of chunks are matrix products with it, of bounded size,
-    and a task has one row for each of its k best of each query. Scores are rounded to twelve places, so that equal vectors tie.
+    A block of queries is broadcast as one matrix; slices of every Arrow batch of chunks are matrix products with it, of bounded size and in single
+    precision, and scores that can be among the k best are computed in double precision; a task has one row for each of its k best of each query. Scores are rounded to twelve places, so that equal vectors tie.
     """
 
     def search(part: DataFrame) -> DataFrame:
@@ -65,6 +67,7 @@ def vector_search(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFram
         def run(batches):
             lengths = shared.value
             best = {n: Nearest(len(place), k) for n, (place, _) in lengths.items()}
+            single = {n: q.astype(np.float32) for n, (_, q) in lengths.items()}
             for batch in batches:
                 vectors = batch.column(1)
                 ids = batch.column(0).fill_null(LEAST_ID).to_numpy()
@@ -76,8 +79,7 @@ def vector_search(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFram
                     own = np.flatnonzero(sizes == n)
                     step = max(1, SCORES // len(place))
                     for some in (own[i : i + step] for i in range(0, len(own), step)):
-                        score = q @ _unit(flat[at[some][:, None] + np.arange(n)].astype(np.float64)).T
-                        best[n].add(score, ids[some], null[some])
+                        best[n].meet(q, single[n], _unit(flat[at[some][:, None] + np.arange(n)].astype(np.float64)), ids[some], null[some])
             for n, (place, _) in lengths.items():
                 yield best[n].rows(place)
 
@@ -87,7 +89,8 @@ def vector_search(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFram
         names = chunks.sparkSession.createDataFrame([(i, r.query_id) for i, r in enumerate(asked)], T.StructType([T.StructField("number", T.IntegerType()), T.StructField("query_id", kind)]))
         return top_k(found.join(F.broadcast(names), "number").select("query_id", "chunk_id", "score"), k)
 
-    return in_blocks(queries, search)
+    longest = queries.select(F.max(F.size("vector"))).first()[0] or 1
+    return in_blocks(queries, search, max(1, QUERY_NUMBERS // MOST_QUERIES // max(1, longest)))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -115,6 +118,24 @@ class Nearest:
         i, j = np.nonzero(may)
         self.put(i, np.round(score[i, j], 12), ids[j], null[j])
 
+    def meet(self, q: np.ndarray, single: np.ndarray, x: np.ndarray, ids: np.ndarray, null: np.ndarray) -> None:
+        """Unit vectors: the queries, also in single precision, and chunks."""
+        margin = (q.shape[1] + 4) * 2.0**-23  # more than single precision can be wrong by
+        score = single @ x.astype(np.float32).T
+        least = np.maximum(self.score[:, -1] - margin, -np.finfo(np.float32).max).astype(np.float32)
+        may = score >= least[:, None]
+        at = np.flatnonzero(may)
+        many = np.flatnonzero(np.bincount(at // len(x), minlength=len(q)) > 4 * self.k)
+        if len(many):
+            row = np.where(may[many], score[many], np.float32(-np.inf))
+            kth = np.partition(row, row.shape[1] - self.k, axis=1)[:, row.shape[1] - self.k]
+            may[many] = row >= (kth - np.float32(2 * margin))[:, None]
+            at = np.flatnonzero(may)
+        step = max(1, (1 << 21) // q.shape[1])
+        for some in (at[a : a + step] for a in range(0, len(at), step)):
+            i, j = some // len(x), some % len(x)
+            self.put(i, np.round(np.einsum("ij,ij->i", q[i], x[j]), 12), ids[j], null[j])
+
     def put(self, i: np.ndarray, score: np.ndarray, ids: np.ndarray, null: np.ndarray | None = None) -> None:
         """Single scores, rounded: of the chunks ids for the queries i."""
         null = np.zeros(len(i), bool) if null is None else null

@@ -94,3 +94,18 @@ def test_hash_vectors_are_sums_of_signs():
         h = int.from_bytes(hashlib.blake2b(term.encode(), digest_size=8).digest(), "little")
         want[h % 8] += 1 if h >> 63 else -1
     assert np.allclose(v[0], want / np.linalg.norm(want)) and not any(v[1]) and not any(v[2])
+
+
+def test_products_of_dense_and_of_rare_buckets(spark, monkeypatch):
+    """A product with all texts' weights equals the plain one, with buckets on both sides of DENSE and texts of several slices."""
+    rows = L.rows_of(spark.createDataFrame(corpus(4, 1500), SCHEMA).coalesce(1), 14).cache()
+    idf = np.zeros(1 << 14)
+    for b in {int(b) for r in rows.collect() for b in r.buckets}:
+        idf[b] = 1 + b % 5
+    for i in range(L.DENSE + 100):  # seen elsewhere: the texts' buckets of the highest idf are rare
+        idf[i] = idf[i] or 1.5
+    q = np.random.default_rng(6).standard_normal((1 << 14, 3))
+    m = matrix(corpus(4, 1500), 14, idf)
+    assert np.allclose(L._product(rows, idf, q), m.T @ (m @ q), rtol=1e-4, atol=1e-4)
+    at = L._weights(rows.select("buckets", "tf").toArrow().combine_chunks().to_batches()[0].slice(600, 300), idf)
+    assert at[0].max() < 300 and len(at[0]) == len(at[1]) == len(at[2])
